@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwatch.operators import clean, facts, graph, risk
+from gridwatch.operators import clean, facts, graph, poi, proximity, risk, spatial
+from gridwatch.functions.geo import in_bbox
 from gridwatch.plans import params as P
 from gridwatch.sources import standin
 
@@ -89,6 +90,102 @@ def q_snapshot_limit(spark, sf_dir):
         "id", "incident_type", "offense_date", "latitude", "longitude", "seq")
 
 
+# ---------------------------------------------------------------------------
+# phase 2: graph
+# ---------------------------------------------------------------------------
+
+def places_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poi.place_nodes(poi.flatten_elements(standin.poi_elements(spark, sf_dir)))
+
+
+def q_location_first_wins(spark, sf_dir):
+    return graph.location_nodes(g_input(spark, sf_dir))
+
+
+def q_time_block_nodes(spark, sf_dir):
+    return graph.time_block_nodes(g_input(spark, sf_dir))
+
+
+def q_edges_all(spark, sf_dir):
+    return graph.edges_all(g_input(spark, sf_dir))
+
+
+def q_graph_stats(spark, sf_dir):
+    g = g_input(spark, sf_dir)
+    places = places_df(spark, sf_dir)
+    near = proximity.occurred_near(g, places, P.NEAR_PLACE_M)
+    return graph.graph_stats(g, places, near)
+
+
+def q_places(spark, sf_dir):
+    return places_df(spark, sf_dir)
+
+
+# ---------------------------------------------------------------------------
+# phase 3: risk
+# ---------------------------------------------------------------------------
+
+def q_risk_by_part(spark, sf_dir):
+    return risk.risk_by_part(g_input(spark, sf_dir))
+
+
+def q_risk_at_hour(spark, sf_dir):
+    return risk.risk_at_hour(g_input(spark, sf_dir), P.LOOKUP_HOUR)
+
+
+def q_risk_labels(spark, sf_dir):
+    return risk.risk_labels(g_input(spark, sf_dir), P.LOOKUP_HOUR)
+
+
+# ---------------------------------------------------------------------------
+# phase 4: spatial
+# ---------------------------------------------------------------------------
+
+def q_poi_flatten(spark, sf_dir):
+    _prepare(spark)
+    return poi.flatten_elements(standin.poi_elements(spark, sf_dir))
+
+
+def q_poi_bbox(spark, sf_dir):
+    _prepare(spark)
+    return poi.flatten_elements(standin.poi_elements(spark, sf_dir), bbox=P.MAP_VIEW)
+
+
+def q_incidents_bbox(spark, sf_dir):
+    s, w, n, e = P.MAP_VIEW
+    return (fact(spark, sf_dir).filter(in_bbox(F.col("latitude"), F.col("longitude"), s, w, n, e))
+            .select("id", "incident_type", "offense_date", "latitude", "longitude"))
+
+
+def q_occurred_near(spark, sf_dir):
+    return proximity.occurred_near(g_input(spark, sf_dir), places_df(spark, sf_dir), P.NEAR_PLACE_M)
+
+
+def q_near_incident_pairs(spark, sf_dir):
+    return proximity.near_incident_pairs(fact(spark, sf_dir), P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS)
+
+
+def q_within_radius(spark, sf_dir):
+    pts = spark.createDataFrame(P.RADIUS_POINTS, "point_id int, lat double, lon double")
+    return proximity.within_radius(pts, fact(spark, sf_dir), P.RADIUS_M)
+
+
+def q_grid_counts(spark, sf_dir):
+    return spatial.grid_counts(fact(spark, sf_dir), P.GRID_DEG)
+
+
+def q_amenity_exposure(spark, sf_dir):
+    g = g_input(spark, sf_dir)
+    return proximity.amenity_exposure(
+        proximity.occurred_near_paths(g, places_df(spark, sf_dir), P.NEAR_PLACE_M))
+
+
+def q_cell_amenity_pivot(spark, sf_dir):
+    g = g_input(spark, sf_dir)
+    paths = proximity.occurred_near_paths(g, places_df(spark, sf_dir), P.NEAR_PLACE_M)
+    return proximity.cell_amenity_pivot(g, paths, P.GRID_DEG)
+
+
 def registry() -> dict[str, Query]:
     return {
         name[2:]: fn for name, fn in globals().items()

@@ -94,6 +94,76 @@ paths AS (
 )"""
 
 
+# Stand-in POI elements (same arithmetic as gridwatch.sources.standin).
+ELEMENTS = r"""
+el AS (
+  SELECT CASE WHEN p_partkey % 2 = 0 THEN 'node' ELSE 'way' END AS type,
+    p_partkey AS id,
+    CASE WHEN p_partkey % 2 = 0 THEN
+      CASE WHEN p_partkey % 97 = 0 THEN NULL WHEN p_partkey % 89 = 0 THEN 0.0::DOUBLE
+           ELSE 29.59::DOUBLE + (p_partkey * 41 % 131) * 0.001::DOUBLE END END AS lat,
+    CASE WHEN p_partkey % 2 = 0 AND p_partkey % 97 <> 0 THEN
+      -82.42::DOUBLE + (p_partkey * 29 % 151) * 0.001::DOUBLE END AS lon,
+    CASE WHEN p_partkey % 2 = 1 AND p_partkey % 97 <> 0 THEN
+      29.59::DOUBLE + (p_partkey * 41 % 131) * 0.001::DOUBLE END AS c_lat,
+    CASE WHEN p_partkey % 2 = 1 AND p_partkey % 97 <> 0 THEN
+      -82.42::DOUBLE + (p_partkey * 29 % 151) * 0.001::DOUBLE END AS c_lon,
+    ['bar', 'pub', 'nightclub', 'restaurant', 'cafe', 'atm', 'bank', 'school', 'university',
+     'parking', 'fast_food', 'fuel', 'bicycle_parking'][(p_size % 13) + 1] AS amenity,
+    CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS name
+  FROM part
+)"""
+
+
+def flat_pois(bbox=None) -> str:
+    box = ""
+    if bbox is not None:
+        s, w, n, e = bbox
+        box = f"AND lat BETWEEN {s} AND {n} AND lon BETWEEN {w} AND {e}"
+    return f"""
+flat AS (
+  SELECT id, type, amenity, COALESCE(name, 'Unknown') AS name,
+    COALESCE(NULLIF(lat, 0.0), c_lat) AS lat, COALESCE(NULLIF(lon, 0.0), c_lon) AS lon
+  FROM el
+  WHERE type IN ('node', 'way')
+    AND regexp_matches(amenity, 'bar|pub|nightclub|restaurant|cafe|atm|bank|school|university|parking')
+),
+pois AS (
+  SELECT id, type, amenity, name, lat, lon FROM (
+    SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY amenity, name, lat, lon) AS rn
+    FROM flat
+    WHERE lat IS NOT NULL AND lat <> 0 AND lon IS NOT NULL AND lon <> 0 {box}
+  ) WHERE rn = 1
+),
+places AS (
+  SELECT type AS osm_type, id AS osm_id, COALESCE(name, 'Unknown') AS name,
+         COALESCE(amenity, 'unknown') AS amenity_type, lat, lon
+  FROM pois WHERE lat IS NOT NULL AND lon IS NOT NULL
+)"""
+
+
+def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return (f"(12756280.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, "
+            f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) "
+            f"* pow(sin(radians({lon2} - {lon1}) / 2), 2)))))")
+
+
+NEAR_PATHS = """
+lp AS (
+  SELECT l.address, p.osm_type, p.osm_id, p.amenity_type, {d} AS d
+  FROM location l, places p
+  WHERE l.lat IS NOT NULL AND l.lon IS NOT NULL AND {d} < {radius}
+),
+near_paths AS (
+  SELECT a.case_id, a.address, lp.osm_type, lp.osm_id, lp.amenity_type, lp.d
+  FROM occ_at a JOIN lp ON a.address = lp.address
+)"""
+
+
+def near_paths(radius: float) -> str:
+    return NEAR_PATHS.format(d=hav("l.lat", "l.lon", "p.lat", "p.lon"), radius=radius)
+
+
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + body
 
@@ -182,4 +252,106 @@ SELECT id, incident_type, offense_date, latitude, longitude, seq FROM (
   SELECT id, incident_type, offense_date, latitude, longitude, seq FROM typed
   ORDER BY seq LIMIT {P.SNAPSHOT_LIMIT})""")
 
+    # --- phase 2: graph -------------------------------------------------------
+    q["location_first_wins"] = with_ctes(*BASE, EDGES, body="""
+SELECT address, lat, lon, 'street' AS type FROM location""")
+
+    q["time_block_nodes"] = with_ctes(*BASE, EDGES, body="SELECT hour, part_of_day FROM time_block")
+
+    q["edges_all"] = with_ctes(*BASE, body="""
+SELECT DISTINCT 'OCCURRED_AT' AS edge_type, id AS src, location_key AS dst FROM g
+UNION SELECT DISTINCT 'OCCURRED_DURING', id, CAST(hour AS VARCHAR) FROM g
+UNION SELECT DISTINCT 'ON_DAY', id, day_name FROM g
+UNION SELECT DISTINCT 'DURING_SEASON', id, season FROM g""")
+
+    q["places"] = with_ctes(ELEMENTS, flat_pois(), body="SELECT * FROM places")
+
+    q["graph_stats"] = with_ctes(*BASE, EDGES, ELEMENTS, flat_pois(), near_paths(P.NEAR_PLACE_M), body="""
+SELECT 'node' AS kind, 'Location' AS item, CAST(count(DISTINCT location_key) AS BIGINT) AS n FROM g
+UNION ALL SELECT 'node', 'Incident', count(DISTINCT id) FROM g
+UNION ALL SELECT 'node', 'TimeBlock', count(DISTINCT hour) FROM g
+UNION ALL SELECT 'node', 'Day', count(DISTINCT day_name) FROM g
+UNION ALL SELECT 'node', 'Season', count(DISTINCT season) FROM g
+UNION ALL SELECT 'edge', 'OCCURRED_AT', count(*) FROM occ_at
+UNION ALL SELECT 'edge', 'OCCURRED_DURING', count(*) FROM occ_during
+UNION ALL SELECT 'edge', 'ON_DAY', count(*) FROM (SELECT DISTINCT id, day_name FROM g)
+UNION ALL SELECT 'edge', 'DURING_SEASON', count(*) FROM (SELECT DISTINCT id, season FROM g)
+UNION ALL SELECT 'node', 'Place', count(*) FROM places
+UNION ALL SELECT 'edge', 'OCCURRED_NEAR', count(*) FROM (SELECT DISTINCT case_id, osm_type, osm_id FROM near_paths)""")
+
+    # --- phase 3: risk --------------------------------------------------------
+    q["risk_by_part"] = with_ctes(*BASE, EDGES, body="""
+SELECT address, part_of_day, CAST(count(*) AS BIGINT) AS incident_count
+FROM paths GROUP BY address, part_of_day HAVING count(*) > 0""")
+
+    q["risk_at_hour"] = with_ctes(*BASE, EDGES, _risk_at_hour(P.LOOKUP_HOUR), body="""
+SELECT r.address, l.lat, l.lon, r.risk FROM risk r JOIN location l ON r.address = l.address""")
+
+    q["risk_labels"] = with_ctes(*BASE, EDGES, _risk_at_hour(P.LOOKUP_HOUR), body=f"""
+SELECT address, risk, CASE WHEN risk > 5 THEN 'red' ELSE 'orange' END AS colour,
+  '{_hour_label(P.LOOKUP_HOUR)}' AS time_label
+FROM risk""")
+
+    # --- phase 4: spatial -----------------------------------------------------
+    q["poi_flatten"] = with_ctes(ELEMENTS, flat_pois(), body="SELECT * FROM pois")
+    q["poi_bbox"] = with_ctes(ELEMENTS, flat_pois(P.MAP_VIEW), body="SELECT * FROM pois")
+
+    s_, w_, n_, e_ = P.MAP_VIEW
+    q["incidents_bbox"] = with_ctes(RAW, TYPED, KEYED, FACT, body=f"""
+SELECT id, incident_type, offense_date, latitude, longitude FROM fact
+WHERE latitude BETWEEN {s_} AND {n_} AND longitude BETWEEN {w_} AND {e_}""")
+
+    q["occurred_near"] = with_ctes(*BASE, EDGES, ELEMENTS, flat_pois(), near_paths(P.NEAR_PLACE_M), body="""
+SELECT case_id, osm_type, osm_id, round(min(d), 3) AS distance_m
+FROM near_paths GROUP BY case_id, osm_type, osm_id""")
+
+    d_pair = hav("a.lat", "a.lon", "b.lat", "b.lon")
+    q["near_incident_pairs"] = with_ctes(RAW, TYPED, KEYED, FACT, body=f"""
+, f AS (SELECT id, latitude AS lat, longitude AS lon, epoch_us(offense_date) AS t FROM fact
+        WHERE offense_date IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL)
+SELECT a.id AS id_a, b.id AS id_b, round({d_pair}, 3) AS distance_m, abs(a.t - b.t) AS micros_apart
+FROM f a JOIN f b ON a.id < b.id AND abs(a.t - b.t) <= {P.NEAR_INCIDENT_DAYS} * 86400000000
+WHERE {d_pair} < {P.NEAR_INCIDENT_M}""")
+
+    pts = ", ".join(f"({i}, {la}::DOUBLE, {lo}::DOUBLE)" for i, la, lo in P.RADIUS_POINTS)
+    d_pt = hav("p.lat", "p.lon", "f.latitude", "f.longitude")
+    q["within_radius"] = with_ctes(RAW, TYPED, KEYED, FACT, body=f"""
+, pts AS (SELECT * FROM (VALUES {pts}) AS t(point_id, lat, lon))
+SELECT CAST(p.point_id AS INTEGER) AS point_id, f.id, round({d_pt}, 3) AS distance_m
+FROM pts p, fact f
+WHERE f.latitude IS NOT NULL AND f.longitude IS NOT NULL AND {d_pt} < {P.RADIUS_M}""")
+
+    q["grid_counts"] = with_ctes(RAW, TYPED, KEYED, FACT, body=f"""
+SELECT cell_y, cell_x, CAST(count(*) AS BIGINT) AS incidents,
+  CAST(cell_y AS VARCHAR) || ':' || CAST(cell_x AS VARCHAR) AS grid_id
+FROM (SELECT CAST(floor(latitude / {P.GRID_DEG}::DOUBLE) AS BIGINT) AS cell_y,
+             CAST(floor(longitude / {P.GRID_DEG}::DOUBLE) AS BIGINT) AS cell_x
+      FROM fact WHERE latitude IS NOT NULL AND longitude IS NOT NULL)
+GROUP BY cell_y, cell_x""")
+
+    q["amenity_exposure"] = with_ctes(*BASE, EDGES, ELEMENTS, flat_pois(), near_paths(P.NEAR_PLACE_M), body="""
+SELECT amenity_type, CAST(count(DISTINCT case_id) AS BIGINT) AS incidents,
+  CAST(count(DISTINCT case_id || '|' || osm_type || '|' || CAST(osm_id AS VARCHAR)) AS BIGINT) AS edges
+FROM near_paths GROUP BY amenity_type""")
+
+    kinds = ["bar", "pub", "nightclub", "restaurant", "cafe", "atm", "bank", "school", "university", "parking"]
+    kind_list = ", ".join(f"'{k}'" for k in kinds)
+    piv = ",\n  ".join(
+        f"CAST(count(DISTINCT CASE WHEN amenity_type = '{k}' THEN case_id END) AS BIGINT) AS {k}" for k in kinds)
+    q["cell_amenity_pivot"] = with_ctes(*BASE, EDGES, ELEMENTS, flat_pois(), near_paths(P.NEAR_PLACE_M), body=f"""
+, lc AS (
+  SELECT address, CAST(CAST(floor(lat / {P.GRID_DEG}::DOUBLE) AS BIGINT) AS VARCHAR) || ':' ||
+                  CAST(CAST(floor(lon / {P.GRID_DEG}::DOUBLE) AS BIGINT) AS VARCHAR) AS grid_id
+  FROM location WHERE lat IS NOT NULL AND lon IS NOT NULL)
+SELECT lc.grid_id,
+  {piv},
+  CAST(count(DISTINCT CASE WHEN amenity_type NOT IN ({kind_list}) THEN case_id END) AS BIGINT) AS other
+FROM near_paths np JOIN lc ON np.address = lc.address
+GROUP BY lc.grid_id""")
+
     return q
+
+
+def _hour_label(hour: int) -> str:
+    h12 = hour % 12 or 12
+    return f"{h12}:00 {'PM' if hour >= 12 else 'AM'}"

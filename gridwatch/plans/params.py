@@ -18,3 +18,4 @@ EVIDENCE_DAYS = 30                # evidence look-back window
 BAND_START_HOUR = 22              # evidence hour band start (wraps past midnight)
 BAND_END_HOUR = 2                 # evidence hour band end (exclusive)
 MODEL_VERSION = "count-v1"
+MAP_VIEW = (29.6200, -82.3800, 29.6800, -82.3000)  # south, west, north, east of a map view
