@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwatch.operators import clean, facts, graph, poi, proximity, risk, spatial
+from gridwatch.operators import clean, facts, graph, poi, predict, proximity, risk, spatial
+from gridwatch.session import shared_path
 from gridwatch.functions.geo import in_bbox
 from gridwatch.plans import params as P
 from gridwatch.sources import standin
@@ -186,6 +187,61 @@ def q_cell_amenity_pivot(spark, sf_dir):
     return proximity.cell_amenity_pivot(g, paths, P.GRID_DEG)
 
 
+# ---------------------------------------------------------------------------
+# phase 6: prediction
+# ---------------------------------------------------------------------------
+
+def cells_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.with_cells(fact(spark, sf_dir), P.GRID_DEG)
+
+
+def q_grid_type_risk(spark, sf_dir):
+    return predict.grid_type_risk(cells_df(spark, sf_dir), P.HIGH_RISK)
+
+
+def q_time_window_counts(spark, sf_dir):
+    return predict.time_window_counts(cells_df(spark, sf_dir))
+
+
+def q_grid_scores(spark, sf_dir):
+    return predict.grid_scores(cells_df(spark, sf_dir), P.PREDICTION_TIME, P.MODEL_VERSION)
+
+
+def q_top_cells_geojson(spark, sf_dir):
+    scores = predict.grid_scores(cells_df(spark, sf_dir), P.PREDICTION_TIME, P.MODEL_VERSION, by_type=False)
+    return predict.top_cells_geojson(scores, P.TOP_K, P.GRID_DEG)
+
+
+def q_rolling_30d(spark, sf_dir):
+    return predict.rolling_counts(cells_df(spark, sf_dir), P.EVIDENCE_DAYS)
+
+
+def _evidence(spark, sf_dir):
+    g = g_input(spark, sf_dir)
+    near_ids = proximity.occurred_near(g, places_df(spark, sf_dir), P.NEAR_PLACE_M).select("case_id").distinct()
+    return predict.evidence(cells_df(spark, sf_dir), near_ids, P.PREDICTION_TIME, P.NEAR_PLACE_M,
+                            P.EVIDENCE_DAYS, P.BAND_START_HOUR, P.BAND_END_HOUR, P.GRID_DEG)
+
+
+def q_evidence(spark, sf_dir):
+    return _evidence(spark, sf_dir)
+
+
+def q_explanation_text(spark, sf_dir):
+    return predict.explanation_text(_evidence(spark, sf_dir), P.PREDICTION_TIME, P.NEAR_PLACE_M,
+                                    P.EVIDENCE_DAYS, P.BAND_START_HOUR, P.BAND_END_HOUR)
+
+
+def q_prediction_lookup(spark, sf_dir):
+    """Score two prediction times, store them, read one back by time."""
+    cells = cells_df(spark, sf_dir)
+    path = shared_path(spark, "predictions", fresh=True)
+    for t in P.PREDICTION_TIMES:
+        predict.store_predictions(predict.grid_scores(cells, t, P.MODEL_VERSION), path)
+    return predict.predictions_at(spark, path, P.PREDICTION_TIME).select(
+        "grid_id", "incident_type", "prediction_time", "risk_score", "model_version")
+
+
 def registry() -> dict[str, Query]:
     return {
         name[2:]: fn for name, fn in globals().items()

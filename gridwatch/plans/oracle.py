@@ -164,6 +164,21 @@ def near_paths(radius: float) -> str:
     return NEAR_PATHS.format(d=hav("l.lat", "l.lon", "p.lat", "p.lon"), radius=radius)
 
 
+CELLS_TMPL = """
+gf AS ({g_body}),
+cells AS (
+  SELECT *, CAST(cy AS VARCHAR) || ':' || CAST(cx AS VARCHAR) AS grid_id FROM (
+    SELECT *, CAST(floor(latitude / {deg}::DOUBLE) AS BIGINT) AS cy,
+              CAST(floor(longitude / {deg}::DOUBLE) AS BIGINT) AS cx
+    FROM gf WHERE latitude IS NOT NULL AND longitude IS NOT NULL)
+)"""
+
+
+def cells(deg: float) -> str:
+    g_body = G.strip()[len("g AS ("):-1].replace("FROM keyed", "FROM fact")
+    return CELLS_TMPL.format(g_body=g_body, deg=deg)
+
+
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + body
 
@@ -349,9 +364,87 @@ SELECT lc.grid_id,
 FROM near_paths np JOIN lc ON np.address = lc.address
 GROUP BY lc.grid_id""")
 
+    # --- phase 6: prediction ---------------------------------------------------
+    FB = (RAW, TYPED, KEYED, FACT, cells(P.GRID_DEG))
+    q["grid_type_risk"] = with_ctes(*FB, body=f"""
+, c AS (SELECT grid_id, incident_type, count(*) AS n FROM cells GROUP BY grid_id, incident_type),
+m AS (SELECT incident_type, max(n) AS mx FROM c GROUP BY incident_type)
+SELECT c.grid_id, c.incident_type, CAST(c.n AS BIGINT) AS incidents, c.n / m.mx AS risk_score
+FROM c JOIN m ON c.incident_type = m.incident_type
+WHERE c.n / m.mx >= {P.HIGH_RISK}""")
+
+    q["time_window_counts"] = with_ctes(*FB, body="""
+SELECT day_name, part_of_day, CAST(count(*) AS BIGINT) AS incidents
+FROM cells GROUP BY ROLLUP (day_name, part_of_day)""")
+
+    pt = P.PREDICTION_TIME
+    pt_part = _part_sql(f"hour(TIMESTAMP '{pt}')")
+    q["grid_scores"] = with_ctes(*FB, body=f"""
+, c AS (SELECT grid_id, incident_type, count(*) AS n FROM cells
+        WHERE day_name = dayname(TIMESTAMP '{pt}') AND part_of_day = {pt_part}
+        GROUP BY grid_id, incident_type),
+m AS (SELECT incident_type, max(n) AS mx FROM c GROUP BY incident_type)
+SELECT c.grid_id, c.incident_type, TIMESTAMP '{pt}' AS prediction_time, c.n / m.mx AS risk_score,
+       '{P.MODEL_VERSION}' AS model_version
+FROM c JOIN m ON c.incident_type = m.incident_type""")
+    q["prediction_lookup"] = q["grid_scores"]
+
+    q["top_cells_geojson"] = with_ctes(*FB, body=f"""
+, c AS (SELECT grid_id, cy, cx, count(*) AS n FROM cells
+        WHERE day_name = dayname(TIMESTAMP '{pt}') AND part_of_day = {pt_part}
+        GROUP BY grid_id, cy, cx),
+s AS (SELECT grid_id, cy, cx, n / (SELECT max(n) FROM c) AS risk_score FROM c),
+t AS (SELECT *, row_number() OVER (ORDER BY risk_score DESC, grid_id) AS rk FROM s)
+SELECT grid_id, risk_score, CAST(rk AS INTEGER) AS rank,
+  printf('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[%.6f,%.6f]}},"properties":{{"grid_id":"%s","rank":%d}}}}',
+         (cx + 0.5::DOUBLE) * {P.GRID_DEG}::DOUBLE, (cy + 0.5::DOUBLE) * {P.GRID_DEG}::DOUBLE, grid_id, rk) AS feature
+FROM t WHERE rk <= {P.TOP_K}""")
+
+    q["rolling_30d"] = with_ctes(*FB, body=f"""
+, daily AS (SELECT grid_id, CAST(offense_date AS DATE) AS day, count(*) AS incidents
+            FROM cells WHERE offense_date IS NOT NULL GROUP BY grid_id, CAST(offense_date AS DATE))
+SELECT grid_id, day, CAST(incidents AS BIGINT) AS incidents,
+  CAST(sum(incidents) OVER (PARTITION BY grid_id ORDER BY day
+       RANGE BETWEEN INTERVAL {P.EVIDENCE_DAYS - 1} DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS trailing_incidents
+FROM daily""")
+
+    d_ev = hav("ce.lat", "ce.lon", "r.latitude", "r.longitude")
+    ev_body = f"""
+, nearc AS (SELECT DISTINCT case_id FROM near_paths),
+recent AS (
+  SELECT c.*, c.id IN (SELECT case_id FROM nearc) AS near_place FROM cells c
+  WHERE c.offense_date > (SELECT max(offense_date) FROM cells) - INTERVAL {P.EVIDENCE_DAYS} DAY
+    AND c.offense_date <= (SELECT max(offense_date) FROM cells)),
+centres AS (SELECT DISTINCT grid_id, (cy + 0.5::DOUBLE) * {P.GRID_DEG}::DOUBLE AS lat,
+                   (cx + 0.5::DOUBLE) * {P.GRID_DEG}::DOUBLE AS lon FROM cells),
+ev AS (
+  SELECT ce.grid_id, r.incident_type, count(*) AS n_recent,
+    count_if(r.near_place) AS n_near_place,
+    count_if(r.hour >= {P.BAND_START_HOUR} OR r.hour < {P.BAND_END_HOUR}) AS n_in_band,
+    count_if(r.day_name = dayname(TIMESTAMP '{pt}') AND r.part_of_day = {pt_part}) AS n_pattern
+  FROM centres ce, recent r
+  WHERE {d_ev} < {P.NEAR_PLACE_M}
+  GROUP BY ce.grid_id, r.incident_type)"""
+    ev_ctes = (*BASE, EDGES, ELEMENTS, flat_pois(), near_paths(P.NEAR_PLACE_M), FACT, cells(P.GRID_DEG))
+    q["evidence"] = with_ctes(*ev_ctes, body=ev_body + """
+SELECT grid_id, incident_type, CAST(n_recent AS BIGINT) AS n_recent, CAST(n_near_place AS BIGINT) AS n_near_place,
+       CAST(n_in_band AS BIGINT) AS n_in_band, CAST(n_pattern AS BIGINT) AS n_pattern FROM ev""")
+    q["explanation_text"] = with_ctes(*ev_ctes, body=ev_body + f"""
+SELECT grid_id, incident_type,
+  printf('Cell %s: %d %s incidents within %d m in the last %d days; %d near a listed place, %d between %s and %s, %d on %s %s.',
+         grid_id, n_recent, incident_type, {int(P.NEAR_PLACE_M)}, {P.EVIDENCE_DAYS}, n_near_place, n_in_band,
+         '{_hour_label(P.BAND_START_HOUR)}', '{_hour_label(P.BAND_END_HOUR)}', n_pattern,
+         dayname(TIMESTAMP '{pt}'), {pt_part}) AS explanation
+FROM ev""")
+
     return q
 
 
+def _part_sql(h: str) -> str:
+    return (f"(CASE WHEN {h} >= 5 AND {h} < 12 THEN 'morning' WHEN {h} >= 12 AND {h} < 17 THEN 'afternoon' "
+            f"WHEN {h} >= 17 AND {h} < 21 THEN 'evening' ELSE 'night' END)")
+
+
 def _hour_label(hour: int) -> str:
     h12 = hour % 12 or 12
     return f"{h12}:00 {'PM' if hour >= 12 else 'AM'}"

@@ -19,3 +19,5 @@ BAND_START_HOUR = 22              # evidence hour band start (wraps past midnigh
 BAND_END_HOUR = 2                 # evidence hour band end (exclusive)
 MODEL_VERSION = "count-v1"
 MAP_VIEW = (29.6200, -82.3800, 29.6800, -82.3000)  # south, west, north, east of a map view
+PREDICTION_TIME = "2024-01-26 23:00:00"   # a Friday night
+PREDICTION_TIMES = ["2024-01-26 23:00:00", "2024-01-27 14:00:00"]
