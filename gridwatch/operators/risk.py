@@ -79,3 +79,22 @@ def risk_labels(g: DataFrame, hour: int) -> DataFrame:
         cal.risk_colour(F.col("risk")).alias("colour"),
         cal.hour_label(F.lit(hour)).alias("time_label"),
     )
+
+
+def risk_from_graph(edges: DataFrame, time_blocks: DataFrame) -> DataFrame:
+    """(address, band, risk_score, incidents) recomputed from a stored graph.
+
+    Reads the stored edge set and TimeBlock nodes (as the streaming sink keeps
+    them), so the scores can be refreshed as an overwrite job after new batches.
+    The TimeBlock side holds one row per hour value; AQE broadcasts it.
+    """
+    at = edges.filter(F.col("edge_type") == "OCCURRED_AT") \
+        .select(F.col("src").alias("case_id"), F.col("dst").alias("address"))
+    during = edges.filter(F.col("edge_type") == "OCCURRED_DURING") \
+        .select(F.col("src").alias("case_id"), F.col("dst").cast("int").alias("hour"))
+    per_case = (during.join(time_blocks, "hour")
+                .withColumn("band", _band_of_part(F.col("part_of_day")))
+                .filter(F.col("band").isNotNull())
+                .groupBy("case_id", "band").agg(F.count(F.lit(1)).alias("paths")))
+    return (at.join(per_case, "case_id").groupBy("address", "band")
+            .agg(F.sum("paths").alias("risk_score"), F.count(F.lit(1)).alias("incidents")))

@@ -242,6 +242,61 @@ def q_prediction_lookup(spark, sf_dir):
         "grid_id", "incident_type", "prediction_time", "risk_score", "model_version")
 
 
+# ---------------------------------------------------------------------------
+# phase 5: streaming (each run lands a fresh feed under the shared folder,
+# runs the stream to completion and returns the stored result)
+# ---------------------------------------------------------------------------
+
+def _stream_run(spark: SparkSession, sf_dir: str, mode: str = "single") -> str:
+    from gridwatch.streaming import runner, source
+
+    _prepare(spark)
+    base = shared_path(spark, "stream", fresh=True)
+    source.land_records(standin.incident_json(spark, sf_dir), f"{base}/landing", P.STREAM_FILES)
+    runner.run_incidents(spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint", mode=mode)
+    return f"{base}/store"
+
+
+def q_stream_fact(spark, sf_dir):
+    from gridwatch.schema import FACT_COLUMNS
+    from gridwatch.streaming import sinks
+
+    root = _stream_run(spark, sf_dir)
+    return sinks.read_fact(spark, root).select(*FACT_COLUMNS, "seq")
+
+
+def q_stream_graph(spark, sf_dir):
+    from gridwatch.streaming import sinks
+
+    root = _stream_run(spark, sf_dir, mode="dual")
+    return sinks.read_edges(spark, root).select("edge_type", "src", "dst")
+
+
+def q_stream_risk_refresh(spark, sf_dir):
+    from gridwatch.streaming import sinks
+
+    root = _stream_run(spark, sf_dir)
+    scores = risk.risk_from_graph(sinks.read_edges(spark, root), sinks.read_time_blocks(spark, root))
+    return scores.filter(F.col("band") == "night").select("address", "risk_score", "incidents")
+
+
+def q_stream_quarantine(spark, sf_dir):
+    from gridwatch.streaming import sinks
+
+    root = _stream_run(spark, sf_dir)
+    return sinks.read_quarantine(spark, root).select("seq", "id", "reasons")
+
+
+def q_stream_window_counts(spark, sf_dir):
+    from gridwatch.streaming import runner, source
+
+    _prepare(spark)
+    base = shared_path(spark, "stream", fresh=True)
+    source.land_records(standin.incident_json(spark, sf_dir), f"{base}/landing", P.STREAM_FILES)
+    return runner.run_window_counts(spark, f"{base}/landing", f"{base}/windows", f"{base}/checkpoint",
+                                    size=P.WINDOW_SIZE, watermark=P.WATERMARK)
+
+
 def registry() -> dict[str, Query]:
     return {
         name[2:]: fn for name, fn in globals().items()

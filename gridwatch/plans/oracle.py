@@ -437,6 +437,18 @@ SELECT grid_id, incident_type,
          dayname(TIMESTAMP '{pt}'), {pt_part}) AS explanation
 FROM ev""")
 
+    # --- phase 5: streaming (same results as the batch twins) -------------------
+    q["stream_fact"] = q["fact_first_wins"]
+    q["stream_graph"] = q["edges_all"]
+    q["stream_risk_refresh"] = q["risk_night"]
+    q["stream_quarantine"] = q["quarantine"]
+    q["stream_window_counts"] = with_ctes(RAW, TYPED, body="""
+SELECT time_bucket(INTERVAL 1 DAY, offense_date) AS window_start,
+       time_bucket(INTERVAL 1 DAY, offense_date) + INTERVAL 1 DAY AS window_end,
+       incident_type, CAST(count(*) AS BIGINT) AS incidents
+FROM typed WHERE offense_date IS NOT NULL
+GROUP BY ALL""")
+
     return q
 
 

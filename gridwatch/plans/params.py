@@ -21,3 +21,6 @@ MODEL_VERSION = "count-v1"
 MAP_VIEW = (29.6200, -82.3800, 29.6800, -82.3000)  # south, west, north, east of a map view
 PREDICTION_TIME = "2024-01-26 23:00:00"   # a Friday night
 PREDICTION_TIMES = ["2024-01-26 23:00:00", "2024-01-27 14:00:00"]
+STREAM_FILES = 4                  # landed files (= micro-batches) in the stream feeds
+WINDOW_SIZE = "1 day"
+WATERMARK = "30 days"
