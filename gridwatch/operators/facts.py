@@ -27,9 +27,16 @@ def pick_by_seq(df: DataFrame, keys: list[str], cols: list[str], last: bool = Fa
     return df.groupBy(*keys).agg(w).select(*keys, *[F.col(f"_w.{c}").alias(c) for c in others])
 
 
-def fact_first_wins(typed: DataFrame) -> DataFrame:
-    """Insert-once fact table: the first row per id (``ON CONFLICT DO NOTHING``)."""
-    return pick_by_seq(has_key(typed), ["id"], FACT_COLUMNS + ["seq"])
+def fact_first_wins(typed: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Insert-once fact table: the first row per id (``ON CONFLICT DO NOTHING``).
+
+    ``columns`` limits the carried columns: the struct inside ``min_by`` is
+    not pruned by the optimizer, so a consumer that needs three columns
+    should not drag all of them through the shuffle.
+    """
+    cols = columns if columns is not None else FACT_COLUMNS + ["seq"]
+    cols = ["id"] + [c for c in cols if c != "id"]
+    return pick_by_seq(has_key(typed), ["id"], cols)
 
 
 def incident_last_wins(typed: DataFrame) -> DataFrame:

@@ -81,13 +81,24 @@ def near_counts(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("near_incidents"))
 
 
-def within_radius(points: DataFrame, fact: DataFrame, radius_m: float) -> DataFrame:
+# Largest caller-given point list that is broadcast (x8 copies, a few bytes each).
+MAX_BROADCAST_POINTS = 100_000
+
+
+def within_radius(points: DataFrame, fact: DataFrame, radius_m: float,
+                  n_points: int | None = None) -> DataFrame:
     """Incidents within ``radius_m`` of each query point: (point_id, id, distance_m).
 
-    The query points are the probe side; AQE broadcasts them when small.
+    The query points are the probe side.  When the caller states how many
+    there are (``n_points``, e.g. the length of the list it passed) and that is
+    within ``MAX_BROADCAST_POINTS``, they are broadcast and the incidents are
+    never shuffled; otherwise both sides shuffle on the cell key and AQE
+    decides from measured sizes.
     """
     inc = fact.select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    pairs = proximity_join(points, inc, radius_m, probe_cols=["point_id"], build_cols=["id"])
+    small = n_points is not None and n_points <= MAX_BROADCAST_POINTS
+    pairs = proximity_join(points, inc, radius_m, probe_cols=["point_id"], build_cols=["id"],
+                           broadcast_probe=small)
     return pairs.select(F.col("p_point_id").alias("point_id"), F.col("b_id").alias("id"),
                         F.round("distance_m", 3).alias("distance_m"))
 

@@ -57,6 +57,13 @@ def _axes(lat: Column, lon: Column, radius_m: float, extra: list[Axis]) -> list[
     return dims
 
 
+def _lat_reach_deg(radius_m: float) -> float:
+    """Latitude difference (degrees) no pair closer than radius_m can exceed (with margin)."""
+    import math
+
+    return math.degrees(radius_m / EARTH_RADIUS_M) * MARGIN
+
+
 def _cell_keys(df: DataFrame, dims: list[tuple[Column, float]], probe: bool, self_join: bool) -> DataFrame:
     """Add ``_k`` (array of long cell keys) per row; probe rows are exploded to neighbours."""
     home = []
@@ -86,38 +93,69 @@ def _cell_keys(df: DataFrame, dims: list[tuple[Column, float]], probe: bool, sel
     return out.drop("_home")
 
 
+def _with_trig(df: DataFrame, prefix: str) -> DataFrame:
+    """Per-point radians and cos(latitude), computed once per row instead of per candidate."""
+    return (df.withColumn(prefix + "phi", F.radians(F.col(prefix + "lat")))
+            .withColumn(prefix + "lam", F.radians(F.col(prefix + "lon")))
+            .withColumn(prefix + "cphi", F.cos(F.col(prefix + "phi"))))
+
+
+def _near_enough(radius_m: float) -> Column:
+    """Cheap, exact-safe prefilter on the haversine term (no asin / sqrt).
+
+    d < r  <=>  a < sin^2(r / 2R).  ``a`` here is built from per-row radians
+    and cosines; its rounding differs from the reference formula by ~1e-15
+    relative, far inside the 1e-6 margin, so no true pair is rejected.  The
+    exact distance (same formula as everywhere else) decides afterwards.
+    """
+    import math
+
+    thr = math.sin(radius_m / (2.0 * EARTH_RADIUS_M)) ** 2 * (1.0 + 1e-6)
+    a = (F.pow(F.sin((F.col("b_phi") - F.col("p_phi")) / 2), 2)
+         + F.col("p_cphi") * F.col("b_cphi") * F.pow(F.sin((F.col("b_lam") - F.col("p_lam")) / 2), 2))
+    return a < thr
+
+
 def proximity_join(probe: DataFrame, build: DataFrame, radius_m: float,
                    probe_cols: list[str], build_cols: list[str],
                    lat: str = "lat", lon: str = "lon",
                    extra: list[tuple[str, float]] | None = None,
-                   strict: bool = True) -> DataFrame:
+                   strict: bool = True, broadcast_probe: bool = False) -> DataFrame:
     """All (probe, build) pairs closer than ``radius_m`` metres (and within each extra reach).
 
     ``probe`` / ``build`` need columns ``lat``, ``lon`` (non-NULL rows only are
-    matched) and any extra axis columns.  Output: ``probe_cols`` prefixed
-    ``a_`` when they collide, ``build_cols``, and ``distance_m``.
+    matched) and any extra axis columns.  Output: ``p_<probe col>``,
+    ``b_<build col>``, their ``lat``/``lon`` and ``distance_m``.
     Put the smaller input on the probe side: it is the one copied.
+    ``broadcast_probe`` hints a broadcast of the (copied) probe side; pass it
+    only when the caller knows the probe's size (e.g. a given point list).
     """
     extra = extra or []
 
     def prep(df: DataFrame, cols: list[str], prefix: str, is_probe: bool) -> DataFrame:
         keep = [F.col(c).alias(prefix + c) for c in cols]
-        axes = [Axis(n, F.col(n), reach) for n, reach in extra]
         base = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
             *keep, F.col(lat).alias(prefix + "lat"), F.col(lon).alias(prefix + "lon"),
-            *[F.col(a.name).alias(prefix + a.name) for a in axes])
+            *[F.col(n).alias(prefix + n) for n, _ in extra])
         dims = _axes(F.col(prefix + "lat"), F.col(prefix + "lon"), radius_m,
-                     [Axis(a.name, F.col(prefix + a.name), a.reach) for a in axes])
-        return _cell_keys(base, dims, probe=is_probe, self_join=False)
+                     [Axis(n, F.col(prefix + n), reach) for n, reach in extra])
+        return _with_trig(_cell_keys(base, dims, probe=is_probe, self_join=False), prefix)
 
     p = prep(probe, probe_cols, "p_", True)
+    if broadcast_probe:
+        p = F.broadcast(p)
     b = prep(build, build_cols, "b_", False)
     dist = haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("b_lat"), F.col("b_lon"))
-    j = p.join(b, "_k").withColumn("distance_m", dist)
-    cond = (F.col("distance_m") < radius_m) if strict else (F.col("distance_m") <= radius_m)
+    # Cheap tests first (conjuncts are evaluated in order): extra axes, the
+    # latitude band, the trig-light prefilter, then the exact distance.
+    cond = F.lit(True)
     for name, reach in extra:
         cond = cond & (F.abs(F.col("p_" + name) - F.col("b_" + name)) <= reach)
-    return j.filter(cond)
+    cond = cond & (F.abs(F.col("p_lat") - F.col("b_lat")) <= _lat_reach_deg(radius_m))
+    cond = cond & _near_enough(radius_m)
+    cond = cond & ((dist < radius_m) if strict else (dist <= radius_m))
+    trig = [c for c in ("p_phi", "p_lam", "p_cphi", "b_phi", "b_lam", "b_cphi")]
+    return p.join(b, "_k").filter(cond).withColumn("distance_m", dist).drop("_k", *trig)
 
 
 def self_proximity_join(df: DataFrame, key: str, radius_m: float,
@@ -135,17 +173,20 @@ def self_proximity_join(df: DataFrame, key: str, radius_m: float,
                  [Axis(n, F.col("_x_" + n), reach) for n, reach in extra])
     p = _cell_keys(base, dims, probe=True, self_join=True)
     b = _cell_keys(base, dims, probe=False, self_join=True)
-    p = p.select("_k", *[F.col(c).alias("p" + c) for c in p.columns if c != "_k"])
-    b = b.select("_k", *[F.col(c).alias("b" + c) for c in b.columns if c != "_k"])
+    p = _with_trig(p.select("_k", *[F.col(c).alias("p" + c) for c in p.columns if c != "_k"]), "p_")
+    b = _with_trig(b.select("_k", *[F.col(c).alias("b" + c) for c in b.columns if c != "_k"]), "b_")
     # Pairs in different home cells are met once (from the lower cell); pairs
     # sharing a home cell are met from both sides, so keep p_id < b_id there.
-    j = p.join(b, "_k").filter((F.col("p_home") != F.col("_k")) | (F.col("p_id") < F.col("b_id")))
+    # Cheap tests run before the exact distance.
     dist = haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("b_lat"), F.col("b_lon"))
-    j = j.withColumn("distance_m", dist)
-    cond = F.col("distance_m") < radius_m
+    cond = F.lit(True)
     for n, reach in extra:
         cond = cond & (F.abs(F.col("p_x_" + n) - F.col("b_x_" + n)) <= reach)
-    j = j.filter(cond)
+    cond = cond & (F.abs(F.col("p_lat") - F.col("b_lat")) <= _lat_reach_deg(radius_m))
+    cond = cond & ((F.col("p_home") != F.col("_k")) | (F.col("p_id") < F.col("b_id")))
+    cond = cond & _near_enough(radius_m)
+    cond = cond & (dist < radius_m)
+    j = p.join(b, "_k").filter(cond).withColumn("distance_m", dist)
     a_first = F.col("p_id") < F.col("b_id")
     cols = [F.when(a_first, F.col("p_id")).otherwise(F.col("b_id")).alias("a_" + key),
             F.when(a_first, F.col("b_id")).otherwise(F.col("p_id")).alias("b_" + key),

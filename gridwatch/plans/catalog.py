@@ -34,8 +34,8 @@ def g_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_input(typed(spark, sf_dir))
 
 
-def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.fact_first_wins(typed(spark, sf_dir))
+def fact(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    return facts.fact_first_wins(typed(spark, sf_dir), columns)
 
 
 # ---------------------------------------------------------------------------
@@ -163,16 +163,18 @@ def q_occurred_near(spark, sf_dir):
 
 
 def q_near_incident_pairs(spark, sf_dir):
-    return proximity.near_incident_pairs(fact(spark, sf_dir), P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS)
+    f = fact(spark, sf_dir, ["latitude", "longitude", "offense_date"])
+    return proximity.near_incident_pairs(f, P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS)
 
 
 def q_within_radius(spark, sf_dir):
     pts = spark.createDataFrame(P.RADIUS_POINTS, "point_id int, lat double, lon double")
-    return proximity.within_radius(pts, fact(spark, sf_dir), P.RADIUS_M)
+    f = fact(spark, sf_dir, ["latitude", "longitude"])
+    return proximity.within_radius(pts, f, P.RADIUS_M, n_points=len(P.RADIUS_POINTS))
 
 
 def q_grid_counts(spark, sf_dir):
-    return spatial.grid_counts(fact(spark, sf_dir), P.GRID_DEG)
+    return spatial.grid_counts(fact(spark, sf_dir, ["latitude", "longitude"]), P.GRID_DEG)
 
 
 def q_amenity_exposure(spark, sf_dir):
