@@ -67,3 +67,8 @@ def hour_label(hour: Column) -> Column:
 
 def risk_colour(score: Column) -> Column:
     return F.when(score > RED_ABOVE, "red").otherwise("orange")
+
+
+def current_hour() -> Column:
+    """Hour of the session clock (the UI's default hour); non-deterministic by nature."""
+    return F.hour(F.current_timestamp())

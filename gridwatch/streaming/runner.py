@@ -4,9 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from gridwatch.streaming import sinks, source, windows
 
 
+def observed(stream: DataFrame, name: str = "ingest") -> DataFrame:
+    """Per-batch row counts, reported in ``StreamingQuery.lastProgress['observedMetrics']``.
+
+    Computed by the executors as the batch flows (no extra job).
+    """
+    return stream.observe(name, F.count(F.lit(1)).alias("records"),
+                          F.count_if(~F.col("payload_ok")).alias("unparseable"))
+
+
+def batch_counts(query) -> list[dict]:
+    """Observed row counts of every recent micro-batch of ``query``."""
+    return [p["observedMetrics"].get("ingest", {}) for p in query.recentProgress if p.get("observedMetrics")]
+
+
 def run_incidents(spark: SparkSession, landing: str, root: str, checkpoint: str,
                   max_files_per_trigger: int = 1, mode: str = "single",
                   available_now: bool = True) -> list:
@@ -17,7 +33,7 @@ def run_incidents(spark: SparkSession, landing: str, root: str, checkpoint: str,
     ``mode="dual"``: two queries with their own checkpoints, one per store, as
     the reference runs them; the call waits for both.
     """
-    stream = source.parsed(source.file_stream(spark, landing, max_files_per_trigger))
+    stream = observed(source.parsed(source.file_stream(spark, landing, max_files_per_trigger)))
     plans = ([(sinks.IncidentSink(root, checkpoint), checkpoint)] if mode == "single" else
              [(sinks.IncidentSink(root, checkpoint + "/fact", write_graph=False), checkpoint + "/fact"),
               (sinks.IncidentSink(root, checkpoint + "/graph", write_fact=False), checkpoint + "/graph")])

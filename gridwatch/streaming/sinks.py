@@ -75,12 +75,14 @@ class IncidentSink:
         return f"{self.root}/{table}"
 
     def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
-        if batch_df.isEmpty():
-            return
-        spark = batch_df.sparkSession
-        key = f"{self.token}_{batch_id:012d}"
+        # Persist first: the batch feeds several writes, and each row then passes
+        # the upstream plan (parsing, observed metrics) exactly once.
         batch = batch_df.persist()
         try:
+            if batch.isEmpty():
+                return
+            spark = batch_df.sparkSession
+            key = f"{self.token}_{batch_id:012d}"
             _write(clean.quarantine(batch), self.path("quarantine"), key)
             typed = clean.type_incidents(batch)
             if self.write_fact:

@@ -67,3 +67,11 @@ def test_window_counts_stream(spark, scratch):
     want = t.groupBy(F.to_date("offense_date").alias("d"), "incident_type").count()
     assert got.count() == want.count()
     assert got.agg(F.sum("incidents")).first()[0] == t.count()
+
+
+def test_progress_counts(spark, scratch):
+    records = standin.incident_json(spark, SF)
+    source.land_records(records, f"{scratch}/landing", 2)
+    qs = runner.run_incidents(spark, f"{scratch}/landing", f"{scratch}/store", f"{scratch}/ckpt")
+    counts = runner.batch_counts(qs[0])
+    assert sum(c["records"] for c in counts) == records.count()
