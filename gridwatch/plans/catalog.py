@@ -267,6 +267,18 @@ def q_stream_fact(spark, sf_dir):
     return sinks.read_fact(spark, root).select(*FACT_COLUMNS, "seq")
 
 
+def q_stream_fact_state(spark, sf_dir):
+    """Fact table through keyed streaming state (transformWithStateInPandas)."""
+    from gridwatch.schema import FACT_COLUMNS
+    from gridwatch.streaming import runner, source
+
+    _prepare(spark)
+    base = shared_path(spark, "stream", fresh=True)
+    source.land_records(standin.incident_json(spark, sf_dir), f"{base}/landing", P.STREAM_FILES)
+    fact_rows = runner.run_fact_stateful(spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint")
+    return fact_rows.select(*FACT_COLUMNS, "seq")
+
+
 def q_stream_graph(spark, sf_dir):
     from gridwatch.streaming import sinks
 

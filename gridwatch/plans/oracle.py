@@ -439,6 +439,7 @@ FROM ev""")
 
     # --- phase 5: streaming (same results as the batch twins) -------------------
     q["stream_fact"] = q["fact_first_wins"]
+    q["stream_fact_state"] = q["fact_first_wins"]
     q["stream_graph"] = q["edges_all"]
     q["stream_risk_refresh"] = q["risk_night"]
     q["stream_quarantine"] = q["quarantine"]

@@ -61,3 +61,26 @@ def run_window_counts(spark: SparkSession, landing: str, out: str, checkpoint: s
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return windows.read_window_counts(spark, out)
+
+
+def run_fact_stateful(spark: SparkSession, landing: str, root: str, checkpoint: str,
+                      max_files_per_trigger: int = 1) -> DataFrame:
+    """Fact table from keyed state: insert-once without reading the stored table.
+
+    Each batch appends exactly the newly inserted rows to its own directory.
+    """
+    from gridwatch.operators import clean
+    from gridwatch.schema import FACT_COLUMNS
+    from gridwatch.streaming import state
+
+    state.use_rocksdb(spark)
+    stream = observed(source.parsed(source.file_stream(spark, landing, max_files_per_trigger)))
+    keyed = clean.has_key(clean.type_incidents(stream)).select(*FACT_COLUMNS, "seq")
+    path = f"{root.rstrip('/')}/fact"
+    sink = windows.UpdateSink(path, checkpoint)
+    q = (state.first_seen(keyed).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return sinks.read_fact(spark, root).drop("_batch_id")
