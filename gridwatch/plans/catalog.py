@@ -25,6 +25,24 @@ def _prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def comparable(df: DataFrame, nullable_ints: tuple[str, ...] = ("offense_hour",),
+               dates: tuple[str, ...] = ()) -> DataFrame:
+    """Output representation that reads the same from every engine/client.
+
+    A nullable INT arrives as float in pandas from Spark but as a nullable int
+    from other engines, and a DATE as ``date`` vs ``Timestamp``; equal values,
+    different text.  Registered outputs therefore carry such columns as DOUBLE
+    and ISO date text (the oracle SQL does the same).  Stored tables keep
+    their declared types.
+    """
+    for c in nullable_ints:
+        if c in df.columns:
+            df = df.withColumn(c, F.col(c).cast("double"))
+    for c in dates:
+        df = df.withColumn(c, F.date_format(c, "yyyy-MM-dd"))
+    return df
+
+
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     _prepare(spark)
     return clean.type_incidents(standin.incident_payloads(spark, sf_dir))
@@ -43,7 +61,7 @@ def fact(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) ->
 # ---------------------------------------------------------------------------
 
 def q_typed_incidents(spark, sf_dir):
-    return typed(spark, sf_dir)
+    return comparable(typed(spark, sf_dir))
 
 
 def q_risk_night(spark, sf_dir):
@@ -55,7 +73,7 @@ def q_risk_day(spark, sf_dir):
 
 
 def q_fact_first_wins(spark, sf_dir):
-    return fact(spark, sf_dir)
+    return comparable(fact(spark, sf_dir))
 
 
 def q_incident_last_wins(spark, sf_dir):
@@ -73,7 +91,7 @@ def q_season_daypart(spark, sf_dir):
 
 
 def q_calendar_parts(spark, sf_dir):
-    return clean.calendar_parts(clean.has_key(typed(spark, sf_dir)))
+    return comparable(clean.calendar_parts(clean.has_key(typed(spark, sf_dir))), ("ts_hour", "ts_month"))
 
 
 def q_history_by_date(spark, sf_dir):
@@ -215,7 +233,7 @@ def q_top_cells_geojson(spark, sf_dir):
 
 
 def q_rolling_30d(spark, sf_dir):
-    return predict.rolling_counts(cells_df(spark, sf_dir), P.EVIDENCE_DAYS)
+    return comparable(predict.rolling_counts(cells_df(spark, sf_dir), P.EVIDENCE_DAYS), dates=("day",))
 
 
 def _evidence(spark, sf_dir):
@@ -264,7 +282,7 @@ def q_stream_fact(spark, sf_dir):
     from gridwatch.streaming import sinks
 
     root = _stream_run(spark, sf_dir)
-    return sinks.read_fact(spark, root).select(*FACT_COLUMNS, "seq")
+    return comparable(sinks.read_fact(spark, root).select(*FACT_COLUMNS, "seq"))
 
 
 def q_stream_fact_state(spark, sf_dir):
@@ -276,7 +294,7 @@ def q_stream_fact_state(spark, sf_dir):
     base = shared_path(spark, "stream", fresh=True)
     source.land_records(standin.incident_json(spark, sf_dir), f"{base}/landing", P.STREAM_FILES)
     fact_rows = runner.run_fact_stateful(spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint")
-    return fact_rows.select(*FACT_COLUMNS, "seq")
+    return comparable(fact_rows.select(*FACT_COLUMNS, "seq"))
 
 
 def q_stream_graph(spark, sf_dir):

@@ -214,12 +214,14 @@ def sql() -> dict[str, str]:
 
     q: dict[str, str] = {}
 
-    q["typed_incidents"] = with_ctes(RAW, TYPED, body="SELECT * FROM typed")
+    q["typed_incidents"] = with_ctes(RAW, TYPED, body=
+        "SELECT * REPLACE (CAST(offense_hour AS DOUBLE) AS offense_hour) FROM typed")
 
     q["risk_night"] = _risk_band("'night'")
     q["risk_day"] = _risk_band("'morning', 'afternoon'")
 
-    q["fact_first_wins"] = with_ctes(RAW, TYPED, KEYED, FACT, body="SELECT * FROM fact")
+    q["fact_first_wins"] = with_ctes(RAW, TYPED, KEYED, FACT, body=
+        "SELECT * REPLACE (CAST(offense_hour AS DOUBLE) AS offense_hour) FROM fact")
 
     q["incident_last_wins"] = with_ctes(RAW, TYPED, KEYED, body="""
 SELECT id AS case_id, incident_type, description FROM (
@@ -244,8 +246,8 @@ SELECT id, seq, hour, hour_imputed, month, season, part_of_day, day_name FROM g"
 
     q["calendar_parts"] = with_ctes(RAW, TYPED, KEYED, body="""
 SELECT id, seq,
-  CAST(hour(offense_date) AS INTEGER) AS ts_hour,
-  CAST(month(offense_date) AS INTEGER) AS ts_month,
+  CAST(hour(offense_date) AS DOUBLE) AS ts_hour,
+  CAST(month(offense_date) AS DOUBLE) AS ts_month,
   dayname(offense_date) AS ts_day_name,
   CASE WHEN COALESCE(month(offense_date), 1) IN (12, 1, 2) THEN 'Winter'
        WHEN COALESCE(month(offense_date), 1) IN (3, 4, 5) THEN 'Spring'
@@ -403,7 +405,7 @@ FROM t WHERE rk <= {P.TOP_K}""")
     q["rolling_30d"] = with_ctes(*FB, body=f"""
 , daily AS (SELECT grid_id, CAST(offense_date AS DATE) AS day, count(*) AS incidents
             FROM cells WHERE offense_date IS NOT NULL GROUP BY grid_id, CAST(offense_date AS DATE))
-SELECT grid_id, day, CAST(incidents AS BIGINT) AS incidents,
+SELECT grid_id, strftime(day, '%Y-%m-%d') AS day, CAST(incidents AS BIGINT) AS incidents,
   CAST(sum(incidents) OVER (PARTITION BY grid_id ORDER BY day
        RANGE BETWEEN INTERVAL {P.EVIDENCE_DAYS - 1} DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS trailing_incidents
 FROM daily""")
