@@ -288,13 +288,24 @@ def q_stream_fact(spark, sf_dir):
 def q_stream_fact_state(spark, sf_dir):
     """Fact table through keyed streaming state (transformWithStateInPandas)."""
     from gridwatch.schema import FACT_COLUMNS
-    from gridwatch.streaming import runner, source
+    from gridwatch.streaming import runner, sinks, source
+
+    _prepare(spark)
+    base = shared_path(spark, "stream", fresh=True)
+    source.land_records(standin.incident_json(spark, sf_dir), f"{base}/landing", P.STREAM_FILES)
+    runner.run_incidents_stateful(spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint")
+    return comparable(sinks.read_fact(spark, f"{base}/store").select(*FACT_COLUMNS, "seq"))
+
+
+def q_stream_graph_state(spark, sf_dir):
+    """Graph edges through keyed streaming state (no read-back of stored edges)."""
+    from gridwatch.streaming import runner, sinks, source
 
     _prepare(spark)
     base = shared_path(spark, "stream", fresh=True)
     source.land_records(standin.incident_json(spark, sf_dir), f"{base}/landing", P.STREAM_FILES)
-    fact_rows = runner.run_fact_stateful(spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint")
-    return comparable(fact_rows.select(*FACT_COLUMNS, "seq"))
+    runner.run_incidents_stateful(spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint")
+    return sinks.read_edges(spark, f"{base}/store").select("edge_type", "src", "dst")
 
 
 def q_stream_graph(spark, sf_dir):

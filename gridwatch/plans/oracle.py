@@ -443,6 +443,7 @@ FROM ev""")
     q["stream_fact"] = q["fact_first_wins"]
     q["stream_fact_state"] = q["fact_first_wins"]
     q["stream_graph"] = q["edges_all"]
+    q["stream_graph_state"] = q["edges_all"]
     q["stream_risk_refresh"] = q["risk_night"]
     q["stream_quarantine"] = q["quarantine"]
     q["stream_window_counts"] = with_ctes(RAW, TYPED, body="""

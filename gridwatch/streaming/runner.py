@@ -63,24 +63,27 @@ def run_window_counts(spark: SparkSession, landing: str, out: str, checkpoint: s
     return windows.read_window_counts(spark, out)
 
 
-def run_fact_stateful(spark: SparkSession, landing: str, root: str, checkpoint: str,
-                      max_files_per_trigger: int = 1) -> DataFrame:
-    """Fact table from keyed state: insert-once without reading the stored table.
+def run_incidents_stateful(spark: SparkSession, landing: str, root: str, checkpoint: str,
+                           max_files_per_trigger: int = 1) -> list:
+    """Fact + graph from keyed state: every insert-once table without reading stored keys.
 
-    Each batch appends exactly the newly inserted rows to its own directory.
+    Two queries over the source: (1) entity rows -> ``FirstSeen`` keyed by
+    (kind, key) in RocksDB state -> ``EntitySink``; (2) stateless appends
+    (quarantine, last-wins Incident / TimeBlock rows) -> ``AppendSink``.
     """
-    from gridwatch.operators import clean
-    from gridwatch.schema import FACT_COLUMNS
+    from gridwatch.operators import clean, graph
     from gridwatch.streaming import state
 
     state.use_rocksdb(spark)
-    stream = observed(source.parsed(source.file_stream(spark, landing, max_files_per_trigger)))
-    keyed = clean.has_key(clean.type_incidents(stream)).select(*FACT_COLUMNS, "seq")
-    path = f"{root.rstrip('/')}/fact"
-    sink = windows.UpdateSink(path, checkpoint)
-    q = (state.first_seen(keyed).writeStream.foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-    return sinks.read_fact(spark, root).drop("_batch_id")
+    parsed = observed(source.parsed(source.file_stream(spark, landing, max_files_per_trigger)))
+    g = graph.graph_input(clean.type_incidents(parsed))
+    entities = state.first_entities(state.entity_rows(g))
+    q1 = (entities.writeStream.foreachBatch(sinks.EntitySink(root, checkpoint + "/entities"))
+          .option("checkpointLocation", checkpoint + "/entities").trigger(availableNow=True).start())
+    q2 = (parsed.writeStream.foreachBatch(sinks.AppendSink(root, checkpoint + "/append"))
+          .option("checkpointLocation", checkpoint + "/append").trigger(availableNow=True).start())
+    for q in (q1, q2):
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+    return [q1, q2]

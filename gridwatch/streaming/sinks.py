@@ -137,3 +137,58 @@ def read_time_blocks(spark: SparkSession, root: str) -> DataFrame:
 
 def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/quarantine").drop(BATCH_COL)
+
+
+class EntitySink:
+    """``foreachBatch`` for the keyed-state stream: newly inserted entities -> their tables.
+
+    Each batch holds only entities never stored before, so nothing is read
+    back; each table gets the batch's own directory (overwrite on retry).
+    """
+
+    def __init__(self, root: str, checkpoint: str):
+        self.root = root.rstrip("/")
+        self.token = run_token(checkpoint)
+
+    def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
+        batch = batch_df.persist()
+        try:
+            if batch.isEmpty():
+                return
+            key = f"{self.token}_{batch_id:012d}"
+            kind = F.col("kind")
+            _write(batch.filter(kind == "fact").select("fact.*", "seq"), f"{self.root}/fact", key)
+            _write(batch.filter(kind == "location").select(
+                F.col("k1").alias("address"), "lat", "lon", F.lit(clean.LOCATION_KIND).alias("type")),
+                f"{self.root}/location", key)
+            for table in ("day", "season"):
+                _write(batch.filter(kind == table).select(F.col("k1").alias("name")), f"{self.root}/{table}", key)
+            _write(batch.filter(kind.startswith("edge:")).select(
+                F.substring_index(kind, ":", -1).alias("edge_type"), F.col("k1").alias("src"),
+                F.col("k2").alias("dst")), f"{self.root}/edges", key)
+        finally:
+            batch.unpersist()
+
+
+class AppendSink:
+    """``foreachBatch`` for the stateless side: quarantine and last-wins node rows (merge on read)."""
+
+    def __init__(self, root: str, checkpoint: str):
+        self.root = root.rstrip("/")
+        self.token = run_token(checkpoint)
+
+    def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
+        batch = batch_df.persist()
+        try:
+            if batch.isEmpty():
+                return
+            key = f"{self.token}_{batch_id:012d}"
+            _write(clean.quarantine(batch), f"{self.root}/quarantine", key)
+            g = graph.graph_input(clean.type_incidents(batch))
+            inc = facts.pick_by_seq(g, ["id"], ["id", "incident_type", "description", "seq"], last=True)
+            _write(inc.withColumnRenamed("id", "case_id"), f"{self.root}/incident", key)
+            tb = g.groupBy("hour").agg(F.max_by(F.struct("part_of_day", "seq"), "seq").alias("v")) \
+                .select("hour", "v.part_of_day", "v.seq")
+            _write(tb, f"{self.root}/time_block", key)
+        finally:
+            batch.unpersist()

@@ -31,7 +31,7 @@ class FirstSeen(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = None
         for pdf in rows:
-            cand = pdf.loc[[pdf["seq"].idxmin()]]
+            cand = pdf if len(pdf) == 1 else pdf.loc[[pdf["seq"].idxmin()]]
             if best is None or cand["seq"].iloc[0] < best["seq"].iloc[0]:
                 best = cand
         if best is not None and not self.inserted.exists():
@@ -42,6 +42,25 @@ class FirstSeen(StatefulProcessor):
         pass
 
 
+class FirstSeenRows(StatefulProcessor):
+    """``FirstSeen`` for the Row-based API: cheaper when most keys bring one row."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inserted = handle.getValueState("inserted_seq", "seq long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = None
+        for row in rows:
+            if best is None or row["seq"] < best["seq"]:
+                best = row
+        if best is not None and not self.inserted.exists():
+            self.inserted.update((int(best["seq"]),))
+            yield best
+
+    def close(self) -> None:
+        pass
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """transformWithState needs the RocksDB state store (set before the query starts)."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -52,3 +71,61 @@ def first_seen(keyed: DataFrame, key: str = "id") -> DataFrame:
     return keyed.groupBy(key).transformWithStateInPandas(
         statefulProcessor=FirstSeen(), outputStructType=keyed.schema,
         outputMode="Append", timeMode="None")
+
+
+def entity_rows(g: DataFrame) -> DataFrame:
+    """Every insert-once entity an incident row implies, as (kind, k1, k2, seq, payload).
+
+    kinds: ``fact`` (k1 = id, payload = the fact row), ``location`` (k1 = address,
+    payload lat/lon), ``day``, ``season`` (k1 = name) and one kind per edge type
+    (``edge:<TYPE>``, k1 = case id, k2 = target key).  Keys are never NULL.
+    """
+    from pyspark.sql import functions as F
+
+    from gridwatch.schema import FACT_COLUMNS
+
+    fact = F.struct(*[F.col(c) for c in FACT_COLUMNS])
+    none_fact = F.lit(None).cast(fact_type(g))
+    none_d = F.lit(None).cast("double")
+
+    def ent(kind, k1, k2=F.lit(""), payload=none_fact, lat=none_d, lon=none_d):
+        return F.struct(F.lit(kind).alias("kind"), k1.cast("string").alias("k1"), k2.cast("string").alias("k2"),
+                        payload.alias("fact"), lat.alias("lat"), lon.alias("lon"))
+
+    items = F.array(
+        ent("fact", F.col("id"), payload=fact),
+        ent("location", F.col("location_key"), lat=F.col("latitude"), lon=F.col("longitude")),
+        ent("day", F.col("day_name")),
+        ent("season", F.col("season")),
+        ent("edge:OCCURRED_AT", F.col("id"), F.col("location_key")),
+        ent("edge:OCCURRED_DURING", F.col("id"), F.col("hour")),
+        ent("edge:ON_DAY", F.col("id"), F.col("day_name")),
+        ent("edge:DURING_SEASON", F.col("id"), F.col("season")),
+    )
+    return g.select(F.col("seq"), F.explode(items).alias("e")).select("e.kind", "e.k1", "e.k2", "seq",
+                                                                      "e.fact", "e.lat", "e.lon")
+
+
+def fact_type(df: DataFrame):
+    from pyspark.sql import types as T
+
+    from gridwatch.schema import FACT_COLUMNS
+
+    fields = {f.name: f for f in df.schema.fields}
+    return T.StructType([T.StructField(c, fields[c].dataType, True) for c in FACT_COLUMNS])
+
+
+def first_entities(entities: DataFrame, rows_api: bool = True) -> DataFrame:
+    """Only entities never inserted before (first occurrence by ``seq``).
+
+    Most keys bring a single row per batch, so the Row-based API (no pandas
+    frame per key) is the default; the pandas form is kept for comparison.
+    """
+    grouped = entities.groupBy("kind", "k1", "k2")
+    if rows_api:
+        return grouped.transformWithState(
+            statefulProcessor=FirstSeenRows(), outputStructType=entities.schema,
+            outputMode="Append", timeMode="None")
+    return grouped.transformWithStateInPandas(
+        statefulProcessor=FirstSeen(), outputStructType=entities.schema,
+        outputMode="Append", timeMode="None")

@@ -77,13 +77,20 @@ def test_progress_counts(spark, scratch):
     assert sum(c["records"] for c in counts) == records.count()
 
 
-def test_stateful_fact_is_insert_once_across_restarts(spark, scratch):
+def test_stateful_stream_is_insert_once_across_restarts(spark, scratch):
     records = standin.incident_json(spark, SF)
     source.land_records(records, f"{scratch}/landing", 2)
     store, ckpt = f"{scratch}/store", f"{scratch}/ckpt"
-    first = _rows(runner.run_fact_stateful(spark, f"{scratch}/landing", store, ckpt).select("id", "seq"))
+    runner.run_incidents_stateful(spark, f"{scratch}/landing", store, ckpt)
+    first = _rows(sinks.read_fact(spark, store).select("id", "seq"))
     assert first == _rows(_batch_fact(spark))
-    # The same records arrive again (a replayed topic): state already holds every id.
+    g = graph.graph_input(clean.type_incidents(standin.incident_payloads(spark, SF)))
+    edges = _rows(sinks.read_edges(spark, store).select("edge_type", "src", "dst"))
+    assert edges == _rows(graph.edges_all(g))
+    locs = _rows(sinks.read_locations(spark, store).select("address", "lat", "lon"))
+    assert locs == _rows(graph.location_nodes(g).select("address", "lat", "lon"))
+    # The same records arrive again (a replayed topic): state already holds every key.
     source.land_records(records, f"{scratch}/landing", 1)
-    again = _rows(runner.run_fact_stateful(spark, f"{scratch}/landing", store, ckpt).select("id", "seq"))
-    assert again == first
+    runner.run_incidents_stateful(spark, f"{scratch}/landing", store, ckpt)
+    assert _rows(sinks.read_fact(spark, store).select("id", "seq")) == first
+    assert _rows(sinks.read_edges(spark, store).select("edge_type", "src", "dst")) == edges
