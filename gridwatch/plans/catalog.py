@@ -176,6 +176,28 @@ def q_incidents_bbox(spark, sf_dir):
             .select("id", "incident_type", "offense_date", "latitude", "longitude"))
 
 
+def _stored_fact(spark: SparkSession, sf_dir: str) -> str:
+    from gridwatch.sources import tables
+
+    path = shared_path(spark, "fact", fresh=True)
+    tables.write_fact(fact(spark, sf_dir), path)
+    return path
+
+
+def q_history_by_date_stored(spark, sf_dir):
+    """Store the fact table (partitioned by day), then read one day: partition pruning."""
+    from gridwatch.sources import tables
+
+    return tables.facts_on(spark, _stored_fact(spark, sf_dir), P.HISTORY_DAY)
+
+
+def q_incidents_bbox_stored(spark, sf_dir):
+    """Store the fact table, then read a map view: range filters pushed to Parquet."""
+    from gridwatch.sources import tables
+
+    return tables.facts_in_bbox(spark, _stored_fact(spark, sf_dir), P.MAP_VIEW)
+
+
 def q_occurred_near(spark, sf_dir):
     return proximity.occurred_near(g_input(spark, sf_dir), places_df(spark, sf_dir), P.NEAR_PLACE_M)
 

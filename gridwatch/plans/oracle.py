@@ -318,6 +318,9 @@ FROM risk""")
 SELECT id, incident_type, offense_date, latitude, longitude FROM fact
 WHERE latitude BETWEEN {s_} AND {n_} AND longitude BETWEEN {w_} AND {e_}""")
 
+    q["incidents_bbox_stored"] = q["incidents_bbox"]
+    q["history_by_date_stored"] = q["history_by_date"]
+
     q["occurred_near"] = with_ctes(*BASE, EDGES, ELEMENTS, flat_pois(), near_paths(P.NEAR_PLACE_M), body="""
 SELECT case_id, osm_type, osm_id, round(min(d), 3) AS distance_m
 FROM near_paths GROUP BY case_id, osm_type, osm_id""")

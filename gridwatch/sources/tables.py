@@ -44,6 +44,18 @@ def facts_on(spark: SparkSession, path: str, day: str) -> DataFrame:
             .select("id", "incident_type", "offense_date", "latitude", "longitude", "address"))
 
 
+def facts_in_bbox(spark: SparkSession, path: str, bbox: tuple[float, float, float, float]) -> DataFrame:
+    """Incidents inside a bounding box: plain range predicates, pushed to the Parquet scan.
+
+    Files are sorted by coordinates within each day, so row-group min/max
+    statistics let the reader skip most groups.
+    """
+    s, w, n, e = bbox
+    return (read_fact(spark, path)
+            .filter(F.col("latitude").between(s, n) & F.col("longitude").between(w, e))
+            .select("id", "incident_type", "offense_date", "latitude", "longitude"))
+
+
 def graph_tables(g: DataFrame) -> dict[str, DataFrame]:
     """All node and edge tables of the incident graph."""
     return {
