@@ -158,23 +158,26 @@ def proximity_join(probe: DataFrame, build: DataFrame, radius_m: float,
     return p.join(b, "_k").filter(cond).withColumn("distance_m", dist).drop("_k", *trig)
 
 
-def self_proximity_join(df: DataFrame, key: str, radius_m: float,
-                        extra: list[tuple[str, float]] | None = None,
-                        lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Unordered pairs (a_key < b_key) of rows of ``df`` within the radius (and extra reaches).
-
-    Output: ``a_<key>``, ``b_<key>``, ``distance_m`` (+ ``a_/b_`` extra axis values).
+def self_join_sides(df: DataFrame, key: str, radius_m: float,
+                    extra: list[tuple[str, float]] | None = None,
+                    lat: str = "lat", lon: str = "lon",
+                    carry: list[str] | None = None) -> tuple[DataFrame, DataFrame, Column]:
+    """Probe side, build side and residual condition of a self proximity join.
+
+    Shared by the batch join below and the streaming interval join.  ``carry``
+    columns ride along on both sides (prefixed ``p_`` / ``b_``).
     """
     extra = extra or []
+    carry = carry or []
     base = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
         F.col(key).alias("_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"),
-        *[F.col(n).alias("_x_" + n) for n, _ in extra])
+        *[F.col(n).alias("_x_" + n) for n, _ in extra], *[F.col(c).alias("_c_" + c) for c in carry])
     dims = _axes(F.col("_lat"), F.col("_lon"), radius_m,
                  [Axis(n, F.col("_x_" + n), reach) for n, reach in extra])
     p = _cell_keys(base, dims, probe=True, self_join=True)
     b = _cell_keys(base, dims, probe=False, self_join=True)
-    p = _with_trig(p.select("_k", *[F.col(c).alias("p" + c) for c in p.columns if c != "_k"]), "p_")
-    b = _with_trig(b.select("_k", *[F.col(c).alias("b" + c) for c in b.columns if c != "_k"]), "b_")
+    p = _with_trig(p.select(*[F.col(c).alias("p" + c) for c in p.columns]), "p_")
+    b = _with_trig(b.select(*[F.col(c).alias("b" + c) for c in b.columns]), "b_")
     # Pairs in different home cells are met once (from the lower cell); pairs
     # sharing a home cell are met from both sides, so keep p_id < b_id there.
     # Cheap tests run before the exact distance.
@@ -183,20 +186,38 @@ def self_proximity_join(df: DataFrame, key: str, radius_m: float,
     for n, reach in extra:
         cond = cond & (F.abs(F.col("p_x_" + n) - F.col("b_x_" + n)) <= reach)
     cond = cond & (F.abs(F.col("p_lat") - F.col("b_lat")) <= _lat_reach_deg(radius_m))
-    cond = cond & ((F.col("p_home") != F.col("_k")) | (F.col("p_id") < F.col("b_id")))
+    cond = cond & ((F.col("p_home") != F.col("p_k")) | (F.col("p_id") < F.col("b_id")))
     cond = cond & _near_enough(radius_m)
     cond = cond & (dist < radius_m)
-    j = p.join(b, "_k").filter(cond).withColumn("distance_m", dist)
+    return p, b, cond
+
+
+def self_pairs_output(j: DataFrame, key: str, extra: list[tuple[str, float]] | None = None) -> DataFrame:
+    """Normalise joined (probe, build) rows to (a_key < b_key, distance_m, a_/b_ extras)."""
+    extra = extra or []
+    dist = haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("b_lat"), F.col("b_lon"))
     a_first = F.col("p_id") < F.col("b_id")
     cols = [F.when(a_first, F.col("p_id")).otherwise(F.col("b_id")).alias("a_" + key),
             F.when(a_first, F.col("b_id")).otherwise(F.col("p_id")).alias("b_" + key),
-            "distance_m"]
+            dist.alias("distance_m")]
     for n, _ in extra:
         cols += [F.when(a_first, F.col("p_x_" + n)).otherwise(F.col("b_x_" + n)).alias("a_" + n),
                  F.when(a_first, F.col("b_x_" + n)).otherwise(F.col("p_x_" + n)).alias("b_" + n)]
     return j.select(*cols)
 
 
+def self_proximity_join(df: DataFrame, key: str, radius_m: float,
+                        extra: list[tuple[str, float]] | None = None,
+                        lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Unordered pairs (a_key < b_key) of rows of ``df`` within the radius (and extra reaches).
+
+    Output: ``a_<key>``, ``b_<key>``, ``distance_m`` (+ ``a_/b_`` extra axis values).
+    """
+    p, b, cond = self_join_sides(df, key, radius_m, extra, lat, lon)
+    j = p.join(b, F.col("p_k") == F.col("b_k")).filter(cond)
+    return self_pairs_output(j, key, extra)
+
+
 def grid_counts(points: DataFrame, deg: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Incidents per square grid cell: (grid_id, cell_y, cell_x, incidents)."""
     cy, cx = grid_cell(F.col(lat), F.col(lon), deg)

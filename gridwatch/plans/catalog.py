@@ -330,6 +330,16 @@ def q_stream_graph_state(spark, sf_dir):
     return sinks.read_edges(spark, f"{base}/store").select("edge_type", "src", "dst")
 
 
+def q_stream_near_pairs(spark, sf_dir):
+    """NEAR pairs kept by a stream-stream interval join that follows the stored fact table."""
+    from gridwatch.streaming import near
+
+    root = _stream_run(spark, sf_dir)
+    base = root.rsplit("/", 1)[0]
+    return near.run_near_stream(spark, f"{root}/fact", f"{base}/near", f"{base}/near_checkpoint",
+                                P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS, watermark=P.WATERMARK)
+
+
 def q_stream_graph(spark, sf_dir):
     from gridwatch.streaming import sinks
 

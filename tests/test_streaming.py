@@ -94,3 +94,17 @@ def test_stateful_stream_is_insert_once_across_restarts(spark, scratch):
     runner.run_incidents_stateful(spark, f"{scratch}/landing", store, ckpt)
     assert _rows(sinks.read_fact(spark, store).select("id", "seq")) == first
     assert _rows(sinks.read_edges(spark, store).select("edge_type", "src", "dst")) == edges
+
+
+def test_near_pairs_stream_equals_batch(spark, scratch):
+    from gridwatch.operators import proximity
+    from gridwatch.streaming import near
+
+    records = standin.incident_json(spark, SF)
+    source.land_records(records, f"{scratch}/landing", 3)
+    runner.run_incidents(spark, f"{scratch}/landing", f"{scratch}/store", f"{scratch}/ckpt")
+    got = near.run_near_stream(spark, f"{scratch}/store/fact", f"{scratch}/near", f"{scratch}/near_ckpt",
+                               500.0, 7, watermark="30 days")
+    t = clean.type_incidents(standin.incident_payloads(spark, SF))
+    want = proximity.near_incident_pairs(facts.fact_first_wins(t), 500.0, 7)
+    assert _rows(got.select("id_a", "id_b")) == _rows(want.select("id_a", "id_b"))
