@@ -14,6 +14,14 @@ def hav(lat1, lon1, lat2, lon2):
     return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(min(1.0, a)))
 
 
+def _cell(lat, lon, radius):
+    """The home cube cell the join assigns to a point (same rule as the library)."""
+    size = 2 * (radius / EARTH_RADIUS_M * spatial.MARGIN)
+    p, l_ = math.radians(lat), math.radians(lon)
+    xyz = (math.cos(p) * math.cos(l_), math.cos(p) * math.sin(l_), math.sin(p))
+    return tuple(math.floor(v / size) for v in xyz)
+
+
 def north_of(lat, lon, metres):
     return lat + math.degrees(metres / EARTH_RADIUS_M), lon
 
@@ -50,6 +58,10 @@ def test_cell_join_matches_brute_force_everywhere(spark):
         assert len(got) == len(set(got)), "a pair was met twice"
         want = {(i, j) for i, la, lo in pl for j, lb, lob in pts if hav(la, lo, lb, lob) < 250.0}
         assert set(got) == want, (lat_c, lon_c)
+        # The fixture must exercise cell borders: some true pairs sit in different cells.
+        cell = {("p", i): _cell(la, lo, 250.0) for i, la, lo in pl}
+        cell.update({("b", j): _cell(la, lo, 250.0) for j, la, lo in pts})
+        assert any(cell[("p", i)] != cell[("b", j)] for i, j in want)
 
 
 def test_self_join_with_time_matches_brute_force(spark):
