@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwatch.operators.clean import csv_to_typed, snapshot_to_raw, type_incidents
+from gridwatch.operators.facts import snapshot_limit
 from gridwatch.schema import CSV_INCIDENT, SNAPSHOT_INCIDENT
 
 # ---------------------------------------------------------------------------
@@ -64,7 +65,7 @@ def read_snapshot(spark: SparkSession, path: str, multiline: bool = True,
     """Historical snapshot (list of string records) -> typed incidents, first ``limit`` rows."""
     snap = with_file_order(read_json_list(spark, path, SNAPSHOT_INCIDENT, multiline))
     typed = type_incidents(snapshot_to_raw(snap))
-    return typed.orderBy("seq").limit(limit) if limit else typed
+    return snapshot_limit(typed, limit) if limit else typed
 
 
 def publish_json(df: DataFrame, path: str, fields: list[str] | None = None) -> DataFrame:

@@ -111,3 +111,11 @@ def test_missing_snapshot_fails_visibly(spark, scratch):
 
     with pytest.raises(AnalysisException):
         read_snapshot(spark, scratch + "/does-not-exist.json").collect()
+
+
+def test_snapshot_limit_exact_first_n(spark):
+    df = spark.range(0, 50_000, numPartitions=16).select((F.col("id") * 7 % 50_000).alias("seq"),
+                                                          F.col("id").cast("string").alias("v"))
+    for n in (1, 999, 12_345, 49_999, 50_000, 60_000):
+        got = [r.seq for r in facts.snapshot_limit(df, n, accuracy=500).collect()]
+        assert sorted(got) == list(range(min(n, 50_000)))
