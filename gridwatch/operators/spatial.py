@@ -154,7 +154,7 @@ def proximity_join(probe: DataFrame, build: DataFrame, radius_m: float,
     cond = cond & (F.abs(F.col("p_lat") - F.col("b_lat")) <= _lat_reach_deg(radius_m))
     cond = cond & _near_enough(radius_m)
     cond = cond & ((dist < radius_m) if strict else (dist <= radius_m))
-    trig = [c for c in ("p_phi", "p_lam", "p_cphi", "b_phi", "b_lam", "b_cphi")]
+    trig = ("p_phi", "p_lam", "p_cphi", "b_phi", "b_lam", "b_cphi")
     return p.join(b, "_k").filter(cond).withColumn("distance_m", dist).drop("_k", *trig)
 
 

@@ -83,9 +83,11 @@ class IncidentSink:
                 return
             spark = batch_df.sparkSession
             key = f"{self.token}_{batch_id:012d}"
-            _write(clean.quarantine(batch), self.path("quarantine"), key)
             typed = clean.type_incidents(batch)
             if self.write_fact:
+                # Quarantine belongs to the fact side: in two-query mode the
+                # graph query must not store the same defects a second time.
+                _write(clean.quarantine(batch), self.path("quarantine"), key)
                 first = facts.fact_first_wins(typed)
                 _write(_new_keys(spark, first, self.path("fact"), ["id"], key), self.path("fact"), key)
             if self.write_graph:

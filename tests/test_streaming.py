@@ -108,3 +108,13 @@ def test_near_pairs_stream_equals_batch(spark, scratch):
     t = clean.type_incidents(standin.incident_payloads(spark, SF))
     want = proximity.near_incident_pairs(facts.fact_first_wins(t), 500.0, 7)
     assert _rows(got.select("id_a", "id_b")) == _rows(want.select("id_a", "id_b"))
+
+
+def test_dual_mode_stores_each_quarantined_row_once(spark, scratch):
+    records = standin.incident_json(spark, SF)
+    source.land_records(records, f"{scratch}/landing", 2)
+    runner.run_incidents(spark, f"{scratch}/landing", f"{scratch}/store", f"{scratch}/ckpt", mode="dual")
+    got = _rows(sinks.read_quarantine(spark, f"{scratch}/store").select("seq", "reasons"))
+    want = _rows(clean.quarantine(standin.incident_payloads(spark, SF)).select("seq", "reasons"))
+    assert got == want
+    assert _rows(sinks.read_fact(spark, f"{scratch}/store").select("id", "seq")) == _rows(_batch_fact(spark))
