@@ -67,7 +67,7 @@ def run_incidents_stateful(spark: SparkSession, landing: str, root: str, checkpo
                            max_files_per_trigger: int = 1) -> list:
     """Fact + graph from keyed state: every insert-once table without reading stored keys.
 
-    Two queries over the source: (1) entity rows -> ``FirstSeen`` keyed by
+    Two queries over the source: (1) entity rows -> ``FirstSeenRows`` keyed by
     (kind, key) in RocksDB state -> ``EntitySink``; (2) stateless appends
     (quarantine, last-wins Incident / TimeBlock rows) -> ``AppendSink``.
     """

@@ -163,8 +163,6 @@ class EntitySink:
             _write(batch.filter(kind == "location").select(
                 F.col("k1").alias("address"), "lat", "lon", F.lit(clean.LOCATION_KIND).alias("type")),
                 f"{self.root}/location", key)
-            for table in ("day", "season"):
-                _write(batch.filter(kind == table).select(F.col("k1").alias("name")), f"{self.root}/{table}", key)
             _write(batch.filter(kind.startswith("edge:")).select(
                 F.substring_index(kind, ":", -1).alias("edge_type"), F.col("k1").alias("src"),
                 F.col("k2").alias("dst")), f"{self.root}/edges", key)
@@ -173,7 +171,12 @@ class EntitySink:
 
 
 class AppendSink:
-    """``foreachBatch`` for the stateless side: quarantine and last-wins node rows (merge on read)."""
+    """``foreachBatch`` for the stateless side of the keyed-state stream.
+
+    Writes quarantine rows, last-wins Incident / TimeBlock rows (merged on
+    read) and new Day / Season nodes (a dozen values at most: partial
+    aggregate, then a check against their tiny stored tables).
+    """
 
     def __init__(self, root: str, checkpoint: str):
         self.root = root.rstrip("/")
@@ -192,5 +195,9 @@ class AppendSink:
             tb = g.groupBy("hour").agg(F.max_by(F.struct("part_of_day", "seq"), "seq").alias("v")) \
                 .select("hour", "v.part_of_day", "v.seq")
             _write(tb, f"{self.root}/time_block", key)
+            spark = batch_df.sparkSession
+            for table, nodes in (("day", graph.day_nodes(g)), ("season", graph.season_nodes(g))):
+                path = f"{self.root}/{table}"
+                _write(_new_keys(spark, nodes, path, ["name"], key), path, key)
         finally:
             batch.unpersist()

@@ -1,14 +1,15 @@
-"""Insert-once fact rows from keyed streaming state (no scan of the stored table).
-
-``groupBy("id").transformWithStateInPandas`` keeps, per id, the ``seq`` of the
-row that was inserted.  The state lives in the RocksDB state store,
-partitioned by id across the cluster and checkpointed with each batch, so a
-micro-batch costs work proportional to the batch, not to the stored table.
-Per key and batch the processor sees only that key's new rows (Arrow
-batches), emits the first one by ``seq`` if the id was never inserted, and
-records it.  On a retried batch the state is restored to the previous
-version, so the same rows come out again and the batch directory is
-overwritten with them.
+"""Insert-once tables from keyed streaming state (no scan of the stored tables).
+
+Every insert-once entity an incident implies (its fact row, its Location,
+each of its four edges) becomes a ``(kind, k1, k2)``
+keyed row.  ``transformWithState`` keeps, per key, the ``seq`` of the row
+that was inserted.  The state lives in the RocksDB state store, partitioned
+by key across the cluster and versioned with each batch's checkpoint, so a
+micro-batch costs work proportional to the batch, not to the stored tables.
+Per key and batch the processor sees only that key's new rows, emits the
+first by ``seq`` if the key was never inserted, and records it.  A retried
+batch starts from the previous state version, so the same rows come out
+again and overwrite that batch's directory.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 def first_seen(keyed: DataFrame, key: str = "id") -> DataFrame:
     """Streaming rows -> only the first row of each key ever seen (append output)."""
-    return keyed.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=FirstSeen(), outputStructType=keyed.schema,
+    return keyed.groupBy(key).transformWithState(
+        statefulProcessor=FirstSeenRows(), outputStructType=keyed.schema,
         outputMode="Append", timeMode="None")
 
 
@@ -77,8 +78,11 @@ def entity_rows(g: DataFrame) -> DataFrame:
     """Every insert-once entity an incident row implies, as (kind, k1, k2, seq, payload).
 
     kinds: ``fact`` (k1 = id, payload = the fact row), ``location`` (k1 = address,
-    payload lat/lon), ``day``, ``season`` (k1 = name) and one kind per edge type
-    (``edge:<TYPE>``, k1 = case id, k2 = target key).  Keys are never NULL.
+    payload lat/lon) and one kind per edge type (``edge:<TYPE>``, k1 = case id,
+    k2 = target key).  Keys are never NULL.  Day and Season nodes are not
+    here: every row names one of a dozen values, so as state keys they would
+    pull whole batches into a few tasks; the stateless side handles them with
+    a partial aggregate and a check against their tiny stored tables.
     """
     from pyspark.sql import functions as F
 
@@ -95,8 +99,6 @@ def entity_rows(g: DataFrame) -> DataFrame:
     items = F.array(
         ent("fact", F.col("id"), payload=fact),
         ent("location", F.col("location_key"), lat=F.col("latitude"), lon=F.col("longitude")),
-        ent("day", F.col("day_name")),
-        ent("season", F.col("season")),
         ent("edge:OCCURRED_AT", F.col("id"), F.col("location_key")),
         ent("edge:OCCURRED_DURING", F.col("id"), F.col("hour")),
         ent("edge:ON_DAY", F.col("id"), F.col("day_name")),

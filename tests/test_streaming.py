@@ -118,3 +118,13 @@ def test_dual_mode_stores_each_quarantined_row_once(spark, scratch):
     want = _rows(clean.quarantine(standin.incident_payloads(spark, SF)).select("seq", "reasons"))
     assert got == want
     assert _rows(sinks.read_fact(spark, f"{scratch}/store").select("id", "seq")) == _rows(_batch_fact(spark))
+
+
+def test_stateful_day_and_season_nodes(spark, scratch):
+    records = standin.incident_json(spark, SF)
+    source.land_records(records, f"{scratch}/landing", 3)
+    runner.run_incidents_stateful(spark, f"{scratch}/landing", f"{scratch}/store", f"{scratch}/ckpt")
+    g = graph.graph_input(clean.type_incidents(standin.incident_payloads(spark, SF)))
+    for table, nodes in (("day", graph.day_nodes(g)), ("season", graph.season_nodes(g))):
+        got = _rows(spark.read.parquet(f"{scratch}/store/{table}").select("name"))
+        assert got == _rows(nodes)
