@@ -5,8 +5,6 @@ All are built-in Spark expressions, so distance tests run inside codegen.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,17 +14,18 @@ from pyspark.sql import functions as F
 #   SRID of stored points: 4326
 #   WKT point text: 'POINT(' || lon || ' ' || lat || ')'  (longitude first)
 #   default proximity threshold: 200 metres, strict '<'
-#   default display/prediction grid: square cells of 0.0025 degrees,
-#       grid_id = cell_y || ':' || cell_x
 # ---------------------------------------------------------------------------
 EARTH_RADIUS_M = 6378140.0
 SRID = 4326
 NEAR_PLACE_M = 200.0
+
+# Our definition (the reference names a grid but fixes none): square cells of
+# 0.0025 degrees, grid_id = cell_y || ':' || cell_x.
 GRID_DEG = 0.0025
 
 
 def wkt_point(lon: Column, lat: Column) -> Column:
-    """WKT text of a point; NULL when either coordinate is NULL."""
+    """WKT text of a point (coordinates in SRID 4326); NULL when either is NULL."""
     return F.concat(F.lit("POINT("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")"))
 
 
@@ -40,38 +39,6 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
     return F.lit(2.0 * radius_m) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def sphere_cell_size(radius_m: float, earth_radius_m: float = EARTH_RADIUS_M) -> float:
-    """Edge of a cube cell on the unit sphere that no pair closer than radius_m can skip.
-
-    Two points closer than d on the sphere have a chord <= d/R, so each of their
-    unit-vector coordinates differs by at most d/R: they land in the same or an
-    adjacent cube cell.  The 1% margin absorbs floating-point rounding.
-    """
-    return (radius_m / earth_radius_m) * 1.01
-
-
-def sphere_cell(lat: Column, lon: Column, cell: float) -> list[Column]:
-    """(cx, cy, cz) cube-cell keys of a point's unit vector.
-
-    Unlike a lat/lon grid this needs no latitude-dependent width, so it is exact
-    at any latitude, across the antimeridian and at the poles, with no pass over
-    the data to find the largest latitude.
-    """
-    phi, lmb = F.radians(lat), F.radians(lon)
-    x = F.cos(phi) * F.cos(lmb)
-    y = F.cos(phi) * F.sin(lmb)
-    z = F.sin(phi)
-    return [F.floor(v / F.lit(cell)).cast("long") for v in (x, y, z)]
-
-
-def neighbour_offsets(dims: int = 3) -> Column:
-    """Array of all offset vectors in {-1,0,1}^dims, as an array<struct<d0..>>."""
-    import itertools
-
-    combos = list(itertools.product((-1, 0, 1), repeat=dims))
-    return F.array(*[F.struct(*[F.lit(v).alias(f"d{i}") for i, v in enumerate(c)]) for c in combos])
-
-
 def grid_cell(lat: Column, lon: Column, deg: float = GRID_DEG) -> tuple[Column, Column]:
     """Square lat/lon grid indices (cell_y, cell_x) used for display and prediction."""
     return (F.floor(lat / F.lit(float(deg))).cast("long"),
@@ -86,10 +53,3 @@ def in_bbox(lat: Column, lon: Column, south: float, west: float, north: float, e
     """Plain range predicates, so Parquet can skip row groups on stored tables."""
     return lat.between(south, north) & lon.between(west, east)
 
-
-def degrees_for_metres(metres: float, at_lat: float = 0.0,
-                       earth_radius_m: float = EARTH_RADIUS_M) -> tuple[float, float]:
-    """(dlat, dlon) in degrees spanning ``metres`` at latitude ``at_lat``."""
-    dlat = math.degrees(metres / earth_radius_m)
-    dlon = math.degrees(metres / (earth_radius_m * max(math.cos(math.radians(at_lat)), 1e-9)))
-    return dlat, dlon

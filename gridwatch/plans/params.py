@@ -1,9 +1,11 @@
 """Parameters of the registered queries (shared by the Spark plans and the oracle SQL)."""
 
+from gridwatch.functions import geo
+
 HISTORY_DAY = "2024-01-15"        # date looked up by history_by_date
 SNAPSHOT_LIMIT = 300_000          # snapshot row cap, as in the reference
 LOOKUP_HOUR = 23                  # hour requested by risk_at_hour / risk_labels
-NEAR_PLACE_M = 200.0              # incident-to-place threshold (strict <)
+NEAR_PLACE_M = geo.NEAR_PLACE_M   # incident-to-place threshold (strict <), fixed value
 NEAR_INCIDENT_M = 500.0           # incident-to-incident threshold (strict <)
 NEAR_INCIDENT_DAYS = 7            # incident-to-incident time limit (<=)
 RADIUS_M = 1000.0                 # radius lookup
@@ -11,7 +13,7 @@ RADIUS_M = 1000.0                 # radius lookup
 # map centre the UI opens on.
 RADIUS_POINTS = [(1, 29.6516, -82.3248), (2, 29.6190, -82.3730), (3, 29.6500, -82.4000)]
 BBOX = (29.5900, -82.4200, 29.7200, -82.2700)   # south, west, north, east
-GRID_DEG = 0.0025                 # display / prediction grid cell size (degrees)
+GRID_DEG = geo.GRID_DEG           # display / prediction grid cell size (degrees)
 HIGH_RISK = 0.5                   # grid score threshold for HIGH_RISK_FOR
 TOP_K = 20                        # top high-risk cells
 EVIDENCE_DAYS = 30                # evidence look-back window
