@@ -36,3 +36,29 @@ def test_hour_label_and_colour(spark):
 def test_day_name_is_full(spark):
     df = spark.sql("SELECT timestamp_ntz'2024-01-01 10:00:00' AS t")
     assert df.select(cal.day_name(F.col("t")).alias("d")).first().d == "Monday"
+
+
+def test_rules_over_whole_integer_ranges(spark):
+    def part(h):
+        if 5 <= h <= 11:
+            return "morning"
+        if 12 <= h <= 16:
+            return "afternoon"
+        if 17 <= h <= 20:
+            return "evening"
+        return "night"
+
+    def season(m):
+        return {12: "Winter", 1: "Winter", 2: "Winter", 3: "Spring", 4: "Spring", 5: "Spring",
+                6: "Summer", 7: "Summer", 8: "Summer"}.get(m, "Fall")
+
+    df = spark.range(-48, 201).select(F.col("id").cast("int").alias("v"))
+    got = {r.v: (r.p, r.s, r.l) for r in df.select(
+        "v", cal.part_of_day(F.col("v")).alias("p"), cal.season_of_month(F.col("v")).alias("s"),
+        cal.hour_label(F.col("v")).alias("l")).collect()}
+    for v in range(-48, 201):
+        assert got[v][0] == part(v)
+        assert got[v][1] == season(v)
+    for h in range(24):
+        h12 = h % 12 or 12
+        assert got[h][2] == f"{h12}:00 {'PM' if h >= 12 else 'AM'}"
