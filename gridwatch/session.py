@@ -26,6 +26,10 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    # The size bound for any broadcast the planner chooses: statically from
+    # plan statistics, and at runtime (AQE) from the measured shuffle output.
+    "spark.sql.autoBroadcastJoinThreshold": "32MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     # Small stages that feed CPU-heavy joins (candidate pairs) must still spread
     # over all cores; at scale stages are far above this size anyway.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
