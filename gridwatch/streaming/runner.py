@@ -4,11 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from gridwatch.streaming import sinks, source, windows
 
 
+@contextmanager
+def stream_partitions(spark: SparkSession, n: int | None = None):
+    """Shuffle / state partitions for streams started inside the block.
+
+    A stream copies the session when it starts and records the partition
+    count in its checkpoint (state is partitioned by it for the query's
+    life), so the caller's setting is restored right after ``start()``.
+    Default: one partition per core of the cluster (``defaultParallelism``).
+    """
+    n = n or spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def observed(stream: DataFrame, name: str = "ingest") -> DataFrame:
     """Per-batch row counts, reported in ``StreamingQuery.lastProgress['observedMetrics']``.
 
@@ -38,10 +58,11 @@ def run_incidents(spark: SparkSession, landing: str, root: str, checkpoint: str,
              [(sinks.IncidentSink(root, checkpoint + "/fact", write_graph=False), checkpoint + "/fact"),
               (sinks.IncidentSink(root, checkpoint + "/graph", write_fact=False), checkpoint + "/graph")])
     queries = []
-    for sink, ckpt in plans:
-        w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-        w = w.trigger(availableNow=True) if available_now else w
-        queries.append(w.start())
+    with stream_partitions(spark):
+        for sink, ckpt in plans:
+            w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
+            w = w.trigger(availableNow=True) if available_now else w
+            queries.append(w.start())
     if available_now:
         for q in queries:
             q.awaitTermination()
@@ -55,10 +76,11 @@ def run_window_counts(spark: SparkSession, landing: str, out: str, checkpoint: s
                       max_files_per_trigger: int = 1) -> DataFrame:
     stream = source.parsed(source.file_stream(spark, landing, max_files_per_trigger))
     counts = windows.window_counts(stream, size, watermark)
-    q = (counts.writeStream.outputMode("update")
-         .foreachBatch(windows.UpdateSink(out, checkpoint))
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    with stream_partitions(spark):
+        q = (counts.writeStream.outputMode("update")
+             .foreachBatch(windows.UpdateSink(out, checkpoint))
+             .option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     return windows.read_window_counts(spark, out)
 
@@ -78,10 +100,11 @@ def run_incidents_stateful(spark: SparkSession, landing: str, root: str, checkpo
     parsed = observed(source.parsed(source.file_stream(spark, landing, max_files_per_trigger)))
     g = graph.graph_input(clean.type_incidents(parsed))
     entities = state.first_entities(state.entity_rows(g))
-    q1 = (entities.writeStream.foreachBatch(sinks.EntitySink(root, checkpoint + "/entities"))
-          .option("checkpointLocation", checkpoint + "/entities").trigger(availableNow=True).start())
-    q2 = (parsed.writeStream.foreachBatch(sinks.AppendSink(root, checkpoint + "/append"))
-          .option("checkpointLocation", checkpoint + "/append").trigger(availableNow=True).start())
+    with stream_partitions(spark):
+        q1 = (entities.writeStream.foreachBatch(sinks.EntitySink(root, checkpoint + "/entities"))
+              .option("checkpointLocation", checkpoint + "/entities").trigger(availableNow=True).start())
+        q2 = (parsed.writeStream.foreachBatch(sinks.AppendSink(root, checkpoint + "/append"))
+              .option("checkpointLocation", checkpoint + "/append").trigger(availableNow=True).start())
     for q in (q1, q2):
         q.awaitTermination()
         if q.exception() is not None:

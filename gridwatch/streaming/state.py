@@ -14,14 +14,20 @@ again and overwrite that batch's directory.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# The processors below run in Python workers.  Ship this module's classes by
+# value, so executors need PySpark only, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class FirstSeen(StatefulProcessor):
     """Emit the first row (smallest ``seq``) of each key, once per key for ever."""
