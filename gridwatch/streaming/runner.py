@@ -20,7 +20,9 @@ def stream_partitions(spark: SparkSession, n: int | None = None):
     life), so the caller's setting is restored right after ``start()``.
     Default: one partition per core of the cluster (``defaultParallelism``).
     """
-    n = n or spark.sparkContext.defaultParallelism
+    from gridwatch.session import default_parallelism
+
+    n = n or default_parallelism(spark)
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     try:
