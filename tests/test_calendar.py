@@ -62,3 +62,8 @@ def test_rules_over_whole_integer_ranges(spark):
     for h in range(24):
         h12 = h % 12 or 12
         assert got[h][2] == f"{h12}:00 {'PM' if h >= 12 else 'AM'}"
+
+
+def test_current_hour_in_range(spark):
+    h = spark.range(1).select(cal.current_hour().alias("h")).first().h
+    assert 0 <= h <= 23
