@@ -144,6 +144,11 @@ def q_places(spark, sf_dir):
 # phase 3: risk
 # ---------------------------------------------------------------------------
 
+def q_risk_table(spark, sf_dir):
+    """Risk scores of both bands in one pass (address, band, risk_score, incidents)."""
+    return risk.risk_scores(g_input(spark, sf_dir))
+
+
 def q_risk_by_part(spark, sf_dir):
     return risk.risk_by_part(g_input(spark, sf_dir))
 
@@ -207,6 +212,12 @@ def q_near_incident_pairs(spark, sf_dir):
     return proximity.near_incident_pairs(f, P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS)
 
 
+def q_near_counts(spark, sf_dir):
+    """NEAR neighbour count per incident; aggregated straight off the join, pairs never stored."""
+    f = fact(spark, sf_dir, ["latitude", "longitude", "offense_date"])
+    return proximity.near_counts(proximity.near_incident_pairs(f, P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS))
+
+
 def q_within_radius(spark, sf_dir):
     pts = spark.createDataFrame(P.RADIUS_POINTS, "point_id int, lat double, lon double")
     f = fact(spark, sf_dir, ["latitude", "longitude"])

@@ -218,6 +218,11 @@ def sql() -> dict[str, str]:
         "SELECT * REPLACE (CAST(offense_hour AS DOUBLE) AS offense_hour) FROM typed")
 
     q["risk_night"] = _risk_band("'night'")
+    q["risk_table"] = with_ctes(*BASE, EDGES, body="""
+SELECT address, CASE WHEN part_of_day = 'night' THEN 'night' ELSE 'day' END AS band,
+       CAST(count(*) AS BIGINT) AS risk_score, CAST(count(DISTINCT case_id) AS BIGINT) AS incidents
+FROM paths WHERE part_of_day IN ('night', 'morning', 'afternoon')
+GROUP BY address, CASE WHEN part_of_day = 'night' THEN 'night' ELSE 'day' END""")
     q["risk_day"] = _risk_band("'morning', 'afternoon'")
 
     q["fact_first_wins"] = with_ctes(RAW, TYPED, KEYED, FACT, body=
@@ -335,6 +340,17 @@ WHERE {d_pair} < {P.NEAR_INCIDENT_M}""")
 
     pts = ", ".join(f"({i}, {la}::DOUBLE, {lo}::DOUBLE)" for i, la, lo in P.RADIUS_POINTS)
     d_pt = hav("p.lat", "p.lon", "f.latitude", "f.longitude")
+    q["near_counts"] = with_ctes(RAW, TYPED, KEYED, FACT, body=f"""
+, f AS (SELECT id, latitude AS lat, longitude AS lon, epoch_us(offense_date) AS t FROM fact
+        WHERE offense_date IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL),
+pairs AS (
+  SELECT a.id AS id_a, b.id AS id_b
+  FROM f a JOIN f b ON a.id < b.id AND abs(a.t - b.t) <= {P.NEAR_INCIDENT_DAYS} * 86400000000
+  WHERE {d_pair} < {P.NEAR_INCIDENT_M})
+SELECT id, CAST(count(*) AS BIGINT) AS near_incidents
+FROM (SELECT id_a AS id FROM pairs UNION ALL SELECT id_b FROM pairs)
+GROUP BY id""")
+
     q["within_radius"] = with_ctes(RAW, TYPED, KEYED, FACT, body=f"""
 , pts AS (SELECT * FROM (VALUES {pts}) AS t(point_id, lat, lon))
 SELECT CAST(p.point_id AS INTEGER) AS point_id, f.id, round({d_pt}, 3) AS distance_m
