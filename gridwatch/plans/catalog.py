@@ -85,6 +85,24 @@ def q_quarantine(spark, sf_dir):
     return clean.quarantine(standin.incident_payloads(spark, sf_dir))
 
 
+def q_csv_incidents(spark, sf_dir):
+    """Land the incidents as a headered CSV, read them back through the CSV adapter."""
+    from gridwatch.sources import files
+
+    _prepare(spark)
+    raw = standin.incident_payloads(spark, sf_dir)
+    path = shared_path(spark, "csv", fresh=True)
+    (raw.select(F.col("id").alias("ID"), F.col("narrative").alias("Crime Type"),
+                F.col("address").alias("Location"),
+                F.col("latitude").try_cast("double").alias("Latitude"),
+                F.col("longitude").try_cast("double").alias("Longitude"),
+                F.col("offense_date").alias("Incident Date"))
+     .write.option("header", True).csv(path))
+    return files.read_incident_csv(spark, path).select(
+        "id", "incident_type", "address", "latitude", "longitude", "offense_hour",
+        "offense_day_of_week", "offense_date")
+
+
 def q_season_daypart(spark, sf_dir):
     return g_input(spark, sf_dir).select("id", "seq", "hour", "hour_imputed", "month", "season",
                                          "part_of_day", "day_name")

@@ -246,6 +246,15 @@ SELECT * FROM (
   ) AS reasons FROM raw
 ) WHERE reasons <> ''""")
 
+    q["csv_incidents"] = with_ctes(RAW, body="""
+SELECT id, narrative AS incident_type, address,
+  COALESCE(TRY_CAST(latitude AS DOUBLE), 0.0) AS latitude,
+  COALESCE(TRY_CAST(longitude AS DOUBLE), 0.0) AS longitude,
+  COALESCE(CAST(hour(TRY_CAST(offense_date AS TIMESTAMP)) AS INTEGER), 0) AS offense_hour,
+  COALESCE(dayname(TRY_CAST(offense_date AS TIMESTAMP)), 'Unknown') AS offense_day_of_week,
+  TRY_CAST(offense_date AS TIMESTAMP) AS offense_date
+FROM raw""")
+
     q["season_daypart"] = with_ctes(*BASE, body="""
 SELECT id, seq, hour, hour_imputed, month, season, part_of_day, day_name FROM g""")
 
