@@ -401,6 +401,20 @@ def q_stream_window_counts(spark, sf_dir):
                                     size=P.WINDOW_SIZE, watermark=P.WATERMARK)
 
 
+def q_snapshot_landed(spark, sf_dir):
+    """Land snapshot records in the lake as JSON lines, read back through the snapshot reader."""
+    from gridwatch.sources import files
+
+    _prepare(spark)
+    raw = standin.incident_payloads(spark, sf_dir)
+    snap = raw.select(F.col("id").alias("incident_id"), F.col("narrative").alias("incident_type"),
+                      F.col("offense_date").alias("incident_date"), "latitude", "longitude")
+    path = files.lake_path(shared_path(spark, "lake", fresh=True), "historical.json")
+    files.write_json_list(snap, path)
+    return files.read_snapshot(spark, path, multiline=False, limit=P.SNAPSHOT_LIMIT).select(
+        "id", "incident_type", "offense_date", "latitude", "longitude")
+
+
 def registry() -> dict[str, Query]:
     return {
         name[2:]: fn for name, fn in globals().items()

@@ -284,6 +284,9 @@ SELECT id, incident_type, offense_date, latitude, longitude, seq FROM (
   ORDER BY seq LIMIT {P.SNAPSHOT_LIMIT})""")
 
     # --- phase 2: graph -------------------------------------------------------
+    q["snapshot_landed"] = with_ctes(RAW, TYPED, body="""
+SELECT id, incident_type, offense_date, latitude, longitude FROM typed""")
+
     q["location_first_wins"] = with_ctes(*BASE, EDGES, body="""
 SELECT address, lat, lon, 'street' AS type FROM location""")
 
