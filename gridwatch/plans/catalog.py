@@ -154,6 +154,16 @@ def q_graph_stats(spark, sf_dir):
     return graph.graph_stats(g, places, near)
 
 
+def q_graph_store_edges(spark, sf_dir):
+    """Batch graph load with full refresh (checkpointed input), edges read back from the store."""
+    from gridwatch.sources import tables
+
+    t = typed(spark, sf_dir)
+    root = shared_path(spark, "graph", fresh=True)
+    tables.write_graph(graph.graph_input(t), t, root)
+    return spark.read.parquet(f"{root}/edges").select("edge_type", "src", "dst")
+
+
 def q_places(spark, sf_dir):
     return places_df(spark, sf_dir)
 

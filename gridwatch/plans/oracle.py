@@ -475,6 +475,7 @@ FROM ev""")
     q["stream_fact_state"] = q["fact_first_wins"]
     q["stream_graph"] = q["edges_all"]
     q["stream_graph_state"] = q["edges_all"]
+    q["graph_store_edges"] = q["edges_all"]
     q["stream_near_pairs"] = q["near_incident_pairs"]
     q["stream_risk_refresh"] = q["risk_night"]
     q["stream_quarantine"] = q["quarantine"]
