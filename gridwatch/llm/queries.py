@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwatch.llm import secrets
+from gridwatch.llm import packing, secrets
 from gridwatch.llm.common import load
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_query(load(spark, sf_dir, "documents"))
 
 
+def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_query(load(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan,)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_hilbert_packing)}
 
 
 def sql() -> dict[str, str]:
