@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwatch.llm import decontaminate, exact_dedup, packing, secrets
+from gridwatch.llm import decontaminate, exact_dedup, packing, quality, secrets, toxicity
 from gridwatch.llm.common import load
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,12 +25,21 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_hilbert_packing, op3_decontamination, op8_exact_dedup)}
+    return {f.__name__: f for f in (
+        op1_secret_scan, op2_hilbert_packing, op3_decontamination, op4_quality_neighbours, op7_toxicity, op8_exact_dedup)}
 
 
 def sql() -> dict[str, str]:
