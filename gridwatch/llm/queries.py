@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwatch.llm import decontaminate, exact_dedup, packing, quality, secrets, toxicity
+from gridwatch.llm import decontaminate, exact_dedup, near_dedup, packing, quality, secrets, toxicity
 from gridwatch.llm.common import load
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,9 +37,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup_query(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_secret_scan, op2_hilbert_packing, op3_decontamination, op4_quality_neighbours, op7_toxicity, op8_exact_dedup)}
+        op1_secret_scan, op2_hilbert_packing, op3_decontamination, op4_quality_neighbours, op7_toxicity, op8_exact_dedup,
+        op10_near_dedup)}
 
 
 def sql() -> dict[str, str]:
