@@ -1,0 +1,89 @@
+"""Language models: probabilities sum to one, formula by hand, held-out accuracy, edge cases."""
+
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from gridwatch.llm import language as L
+from gridwatch.llm.common import load
+
+
+def model_of(texts):
+    table = L.letter_table()
+    counts = {}
+    for lang, t in texts.items():
+        keys, n = np.unique(L.grams(L.letters(t, table)), return_counts=True)
+        counts[lang] = (keys, n)
+    return L.Model(counts)
+
+
+TEXTS = {"aa": "the cat sat on the mat that the rat saw", "bb": "der hund und die katze und der bär"}
+
+
+def test_probabilities_sum_to_one():
+    m = model_of(TEXTS)
+    symbols = m.keys[1]
+    for context in m.contexts[4][:20].tolist() + [0x7A7A7A7A7A7A]:
+        logs = m.lookup(np.array([(context << 16) | int(s) for s in symbols], np.uint64))
+        # One more symbol stands for all characters that no language has.
+        rest = m.lookup(np.array([(context << 16) | 0xFFF0], np.uint64))
+        assert np.allclose(np.exp(logs.astype(float)).sum(axis=0) + np.exp(rest.astype(float))[0], 1, atol=1e-4)
+
+
+def test_formula_by_hand():
+    text = " " + TEXTS["aa"] + " "
+    m = model_of({"aa": TEXTS["aa"]})
+    lead = "  " + text
+    grams = [lead[i:i + 4] for i in range(len(lead) - 3)]
+    counts = {4: Counter(grams)}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    alphabet = len(counts[1]) + 1
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / alphabet
+        c = counts[n]
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        same = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
+        if not same:
+            return p(gram[1:])
+        total = sum(same.values())
+        return max(c.get(gram, 0) - d, 0) / total + d * len(same) / total * p(gram[1:])
+
+    for gram in grams[:30] + ["xzqt", "the ", "heta", "zzza"]:
+        key = 0
+        for ch in gram:
+            key = (key << 16) | ord(ch)
+        assert m.lookup(np.array([key], np.uint64))[0, 0] == pytest.approx(np.log(p(gram)), rel=1e-4)
+
+
+def test_edge_cases(spark):
+    rows = [(i, t, lang) for i, (lang, t) in enumerate([("aa", TEXTS["aa"]), ("bb", TEXTS["bb"])] * 60)]
+    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 ++ 7!", None), (None, "the cat", "aa"), (1003, "und die katze " * 30000, None),
+             (1004, "日本語", None), (1004, "日本語", None), (1005, "the mat", None)]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
+    out = L.language_query(df).collect()
+    assert len(out) == len(rows)
+    got = {r.doc_id: r for r in out}
+    assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1000].score == 0
+    assert got[1003].lang_pred == "bb" and got[1005].lang_pred == "aa" and got[None].lang_pred == "aa"
+    assert got[1004].rejected and not got[1003].rejected
+    assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_empty_and_unlabelled(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert L.language_query(empty).count() == 0
+    one = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
+    assert L.language_query(one).first().lang_pred == "und"
+
+
+def test_held_out_accuracy(spark):
+    df = load(spark, "/root/testdata/sf0.01", "documents")
+    out = {r.doc_id: r for r in L.language_query(df).collect()}
+    held = [(r.lang, out[r.doc_id].lang_pred) for r in df.collect() if out[r.doc_id].held_out and r.lang]
+    assert len(held) > 200 and sum(a == b for a, b in held) / len(held) > 0.97
