@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwatch.llm import decontaminate, exact_dedup, near_dedup, packing, quality, secrets, toxicity
+from gridwatch.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    toxicity,
+)
 from gridwatch.llm.common import load
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +40,14 @@ def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_query(load(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_query(load(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -37,15 +56,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding_query(load(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup_query(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_secret_scan, op2_hilbert_packing, op3_decontamination, op4_quality_neighbours, op7_toxicity, op8_exact_dedup,
-        op10_near_dedup)}
+        op1_secret_scan, op2_hilbert_packing, op3_decontamination, op4_quality_neighbours, op5_language, op6_line_dedup,
+        op7_toxicity, op8_exact_dedup, op9_sharding, op10_near_dedup)}
 
 
 def sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.ORACLE_SQL}
