@@ -14,8 +14,8 @@
    row per task before the shuffle.
 
 Defined results: null text counts as empty; the largest id of a group stays, and
-a null id is smaller than any other; rows that repeat both id and text all carry
-the same result; an empty table gives no rows; extra columns are ignored, or
+a null id is smaller than any other; of rows that repeat both id and text one stays
+(the first as read); an empty table gives no rows; extra columns are ignored, or
 carried along where asked for.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwatch.llm.common import as_bytes, slices
+from gridwatch.llm.common import as_bytes, slices, staged
 from gridwatch.session import shared_path
 
 CHUNK_ROWS = 1 << 15
@@ -114,14 +114,14 @@ def exchange_table(docs: DataFrame, owners: int, text: str) -> DataFrame:
             prints = np.array([int.from_bytes(d.digest()[:8], "big") for d in digests], np.uint64)
             bit, copied, messages = chunk_plan(prints, owners)
             n, m = len(prints), len(messages)
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            columns = [pa.array([chunk] * n, kinds[0]), pa.array(bit, kinds[1]), pa.array(copied, kinds[2]),
-                       pa.array([d.hexdigest() for d in digests], kinds[3]), *(pa.nulls(n, t) for t in kinds[4:])]
-            own = ["__chunk", "__bit", "__copied", "__sha", "__owner", "__n", "__k", "__blob"]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            columns = [pa.array([chunk] * n, kinds[0]), pa.array(range(n), kinds[1]), pa.array(bit, kinds[2]), pa.array(copied, kinds[3]),
+                       pa.array([d.hexdigest() for d in digests], kinds[4]), *(pa.nulls(n, t) for t in kinds[5:])]
+            own = ["__chunk", "__place", "__bit", "__copied", "__sha", "__owner", "__n", "__k", "__blob"]
             yield from pa.Table.from_arrays([*table.columns, *columns], names=names + own).to_batches()
             owner, count, k, blob = (list(c) for c in zip(*messages, strict=True))
-            columns = [pa.array([chunk] * m, kinds[0]), *(pa.nulls(m, t) for t in kinds[1:4]),
-                       *(pa.array(c, t) for c, t in zip((owner, count, k, blob), kinds[4:], strict=True))]
+            columns = [pa.array([chunk] * m, kinds[0]), *(pa.nulls(m, t) for t in kinds[1:5]),
+                       *(pa.array(c, t) for c, t in zip((owner, count, k, blob), kinds[5:], strict=True))]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(m, f.type) for f in table.schema), *columns], names=names + own)
             held, size, rows, made = [], 0, 0, made + 1
 
@@ -137,7 +137,7 @@ def exchange_table(docs: DataFrame, owners: int, text: str) -> DataFrame:
             yield from flush()
 
     own = ", ".join(f"{c} {t}" for c, t in (
-        ("__chunk", "long"), ("__bit", "long"), ("__copied", "boolean"), ("__sha", "string"), ("__owner", "long"),
+        ("__chunk", "long"), ("__place", "long"), ("__bit", "long"), ("__copied", "boolean"), ("__sha", "string"), ("__owner", "long"),
         ("__n", "long"), ("__k", "long"), ("__blob", "binary")))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema] + T.StructType.fromDDL(own).fields)
     return docs.mapInArrow(run, schema)
@@ -174,15 +174,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     carried = [f"c{i}" for i in range(len(carry))]
     owners = max(16, docs.count() // OWNER_FINGERPRINTS + 1)
     table = bucketed(exchange_table(source, owners, "__text"), "__chunk")
-    marks = (table.filter(F.col("__owner").isNotNull()).select("__chunk", "__owner", "__n", "__k", "__blob")
+    marks = staged(table.filter(F.col("__owner").isNotNull()).select("__chunk", "__owner", "__n", "__k", "__blob")
              .groupBy("__owner").applyInPandas(answer, "__chunk long, __owner long, __marks binary")
              .groupBy("__chunk").agg(F.array_sort(F.collect_list(F.struct("__owner", "__marks"))).alias("__all"))
              .select("__chunk", F.aggregate(F.transform("__all", lambda x: x["__marks"]), F.lit(b""),
-                                            lambda a, x: F.concat(a, x)).alias("__marks")))
+                                            lambda a, x: F.concat(a, x)).alias("__marks")), "marks")
     shared = F.expr("shiftright(cast(conv(hex(substring(__marks, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int), "
                     "cast(7 - __bit % 8 as int)) % 2 = 1")
     rows = (table.filter(F.col("__owner").isNull()).join(marks.hint("shuffle_hash"), "__chunk")
-            .withColumn("__suspect", F.col("__copied") | shared))
+            .withColumn("__suspect", F.col("__copied") | shared)
+            .withColumn("__row", F.col("__chunk") * CHUNK_ROWS + F.col("__place")))
     unique = rows.filter(~F.col("__suspect")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         F.col("__sha").alias("text_sha256"), *carried)
@@ -191,10 +192,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
               .groupBy("__sha").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"),
                                     F.count("*").alias("__texts")))
+    # Of equal ids the first row stays.
+    first = (suspects.select("__sha", "doc_id", "__row").join(groups.select("__sha", "keep_id"), "__sha")
+             .filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("__sha").agg(F.min("__row").alias("__first")))
+    groups = staged(groups.join(first, "__sha"), "groups")
     # Two texts of one SHA-256 would make a group's row ambiguous: stop rather than merge them.
     verified = F.when(F.col("__texts") == 1, F.col("group_size")).otherwise(
         F.raise_error(F.concat(F.lit("different texts share the digest "), F.col("__sha"))).cast("long"))
-    copies = (suspects.select("doc_id", "__sha", *carried).join(groups, "__sha")
-              .select("doc_id", "keep_id", verified.alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+    copies = (suspects.select("doc_id", "__sha", "__row", *carried).join(groups, "__sha")
+              .select("doc_id", "keep_id", verified.alias("group_size"), (F.col("__row") == F.col("__first")).alias("kept"),
                       F.col("__sha").alias("text_sha256"), *carried))
     return unique.unionByName(copies)

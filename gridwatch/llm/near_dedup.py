@@ -129,7 +129,7 @@ def _table() -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, n, f1, f2, bands) of rows (doc_id, text)."""
+    """(uid, doc_id, n, f1, f2, bands, text_key) of rows (doc_id, text, text_key)."""
 
     def run(batches):
         table, uid = _table(), TaskContext.get().partitionId() << 40
@@ -142,12 +142,12 @@ def signed(docs: DataFrame) -> DataFrame:
                 n, f1, f2, bands = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(uid, uid + len(rows))), batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()),
-                    pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["uid", "doc_id", "n", "f1", "f2", "bands"])
+                    pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)],
+                    names=["uid", "doc_id", "n", "f1", "f2", "bands", "text_key"])
                 uid += len(rows)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"uid long, doc_id {kind}, n long, f1 long, f2 long, bands array<bigint>")
+    return docs.mapInArrow(run, f"uid long, doc_id {kind}, n long, f1 long, f2 long, bands array<bigint>, text_key long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -222,9 +222,9 @@ def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and f1, f2 (the set's fingerprint)."""
+    """One row per document: doc_id, n_shingles, component_id, kept, and text_key (xxhash64 of the text)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = staged(signed(source), "signatures")
+    rows = staged(signed(source.withColumn("text_key", F.xxhash64("text"))), "signatures")
     classes = staged(rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("first_id")),
                      "classes")
     keys = (rows.join(classes.select("cls"), F.col("uid") == F.col("cls"))
@@ -249,11 +249,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("f1", "f2", "first_id", F.coalesce("label", "cls").alias("label")))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_set = named.join(smallest, "label").select("f1", "f2", "component_id")
-    known = rows.filter("n > 0").select("doc_id", "n", "f1", "f2").join(of_set, ["f1", "f2"])
-    blank = rows.filter("n = 0").select("doc_id", "n", "f1", "f2", F.col("doc_id").alias("component_id"))
+    known = rows.filter("n > 0").join(of_set, ["f1", "f2"]).select("doc_id", "n", "component_id", "text_key")
+    blank = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_key")
     return known.unionByName(blank).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "f1", "f2")
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
 
 
 def near_dedup_query(docs: DataFrame) -> DataFrame:

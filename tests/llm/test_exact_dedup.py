@@ -31,11 +31,14 @@ def brute(rows):
     groups = {}
     for i, t in rows:
         groups.setdefault((t or "").translate(low), []).append(i)
-    out = []
+    out, taken = [], set()
     for i, t in rows:
         t = (t or "").translate(low)
         keep = max((x for x in groups[t] if x is not None), default=None)
-        out.append((i, keep, len(groups[t]), i == keep, hashlib.sha256(t.encode()).hexdigest()))
+        stays = i == keep and t not in taken  # one of the rows that repeat the id
+        if stays:
+            taken.add(t)
+        out.append((i, keep, len(groups[t]), stays, hashlib.sha256(t.encode()).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -45,7 +48,7 @@ def result(df):
 
 def test_small_cases(spark, monkeypatch):
     rows = [(1, "A b"), (2, "a B"), (3, None), (4, ""), (5, "É"), (6, "é"), (None, "a b"), (None, "n"), (8, "x " * 50000),
-            (9, "X " * 50000), (10, "once"), (10, "other text of one id"), (11, "t"), (11, "t")] + [(100 + i, "Hot") for i in range(300)]
+            (9, "X " * 50000), (10, "once"), (10, "other text of one id"), (11, "t"), (11, "t"), (None, "u"), (None, "U")] + [(100 + i, "Hot") for i in range(300)]
     df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, __chunk int, kept string")
     assert result(df.repartition(5)) == brute(rows)
 
