@@ -29,6 +29,11 @@ def wkt_point(lon: Column, lat: Column) -> Column:
     return F.concat(F.lit("POINT("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")"))
 
 
+def point(lon: Column, lat: Column) -> Column:
+    """Point value ``struct(lon, lat, srid)``; NULL when either coordinate is NULL."""
+    return F.when(lon.isNotNull() & lat.isNotNull(), F.struct(lon.alias("lon"), lat.alias("lat"), F.lit(SRID).alias("srid")))
+
+
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
                 radius_m: float = EARTH_RADIUS_M) -> Column:
     """Great-circle distance in metres."""

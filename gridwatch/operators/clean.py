@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridwatch.functions import calendar as cal
 from gridwatch.functions.geo import wkt_point
-from gridwatch.schema import FACT_COLUMNS, RAW_INCIDENT
+from gridwatch.schema import RAW_INCIDENT
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -111,12 +111,13 @@ def has_key(df: DataFrame) -> DataFrame:
     return df.filter(F.col("id").isNotNull() & (F.col("id") != "") & ~F.col("id").rlike(r"^\s*[\[{]"))
 
 
-def with_graph_columns(typed: DataFrame) -> DataFrame:
+def with_graph_columns(typed: DataFrame, location: bool = True) -> DataFrame:
     """Add the derived columns the graph and risk products use.
 
     ``hour`` defaults to 0 (so a missing hour reads as night, as in the
     reference) and ``hour_imputed`` records that it was defaulted; ``month``
     defaults to 1; NULL address / weekday become 'Unknown Location' / 'Unknown'.
+    ``location=False`` leaves the address out (and does not need it).
     """
     hour = cal.hour_or_default(F.col("offense_hour"))
     return typed.select(
@@ -127,7 +128,7 @@ def with_graph_columns(typed: DataFrame) -> DataFrame:
         cal.season_of_month(cal.month_or_default(F.col("offense_date"))).alias("season"),
         cal.part_of_day(hour).alias("part_of_day"),
         F.coalesce(F.col("offense_day_of_week"), F.lit(cal.UNKNOWN_DAY)).alias("day_name"),
-        F.coalesce(F.col("address"), F.lit(UNKNOWN_ADDRESS)).alias("location_key"),
+        *([F.coalesce(F.col("address"), F.lit(UNKNOWN_ADDRESS)).alias("location_key")] if location else []),
     )
 
 
@@ -196,7 +197,3 @@ def snapshot_to_raw(snap: DataFrame, seq_col: str = "seq") -> DataFrame:
     })
     return snap.select(F.col(seq_col).cast("long").alias("seq"),
                        *[cols[n].alias(n) for n in RAW_FIELDS])
-
-
-def fact_projection(df: DataFrame) -> DataFrame:
-    return df.select(*FACT_COLUMNS, "seq")

@@ -45,33 +45,40 @@ def incident_last_wins(typed: DataFrame) -> DataFrame:
             .withColumnRenamed("id", "case_id"))
 
 
-def insert_if_absent(batch: DataFrame, stored_keys: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of ``batch`` (already one per key) whose key is not stored yet."""
-    return batch.join(stored_keys.select(key), on=key, how="left_anti")
-
-
-def snapshot_limit(typed: DataFrame, n: int = 300_000, seq: str = "seq",
-                   accuracy: int = 100_000) -> DataFrame:
-    """Deterministic row cap on a snapshot: exactly the first ``n`` rows by ``seq``.
-
-    A plain ``orderBy().limit(n)`` keeps ``n`` rows per task and merges them
-    all in one task: (#partitions x n) rows, which grows with the input.
-    Here the cut is found first: ``percentile_approx`` (a partial aggregate)
-    gives a ``seq`` threshold just above the n-th value, a count checks that
-    at least ``n`` rows fall below it (raising the quantile if not), and only
-    those rows -- about ``n`` plus the quantile's rank error, total / accuracy
-    -- are ordered and cut.  Three light passes instead of one heavy merge.
+def nth_seq(typed: DataFrame, n: int, seq: str = "seq", buckets: int = 4096):
+    """The ``n``-th smallest ``seq`` (None when there are fewer rows), by counting ever narrower ranges.
+
+    Each pass counts rows per range of ``seq`` (at most ``buckets`` rows reach the driver) and
+    descends into the range that holds the n-th row, so nothing is sorted and no task
+    sees more than its share.  Ties of ``seq`` are taken together.
     """
-    total = typed.count()
-    if total <= n:
-        return typed
-    q = min(1.0, n / total + 2.0 / accuracy)
-    while True:
-        cut = typed.agg(F.percentile_approx(seq, q, accuracy)).first()[0]
-        below = typed.filter(F.col(seq) <= cut)
-        if q >= 1.0 or below.count() >= n:
-            return below.orderBy(seq).limit(n)
-        q = min(1.0, q + 2.0 * (q - n / total) + 2.0 / accuracy)
+    ends = typed.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi"), F.count(seq).alias("n")).first()
+    if ends["n"] <= n or n <= 0:
+        return None
+    lo, hi, left = ends["lo"], ends["hi"], n
+    while lo < hi:
+        width = (hi - lo) // buckets + 1
+        part = F.expr(f"(`{seq}` - {lo}L) div {width}")
+        counts = (typed.filter(F.col(seq).between(lo, hi)).groupBy(part.alias("part")).count()
+                  .orderBy("part").collect())
+        for row in counts:
+            if left <= row["count"]:
+                lo, hi = lo + row["part"] * width, min(hi, lo + (row["part"] + 1) * width - 1)
+                break
+            left -= row["count"]
+    return lo
+
+
+def snapshot_limit(typed: DataFrame, n: int, seq: str = "seq") -> DataFrame:
+    """The first ``n`` rows by ``seq`` (rows that tie with the n-th stay), as a filter; no sort."""
+    cut = nth_seq(typed, n, seq)
+    return typed if cut is None else typed.filter(F.col(seq) <= cut)
+
+
+def beyond_limit(typed: DataFrame, n: int, seq: str = "seq") -> int:
+    """How many rows ``snapshot_limit`` drops."""
+    cut = nth_seq(typed, n, seq)
+    return 0 if cut is None else typed.filter(F.col(seq) > cut).count()
 
 
 def history_by_date(fact: DataFrame, day: str) -> DataFrame:

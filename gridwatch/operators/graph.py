@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 from gridwatch.operators.clean import LOCATION_KIND, has_key, with_graph_columns
 from gridwatch.operators.facts import incident_last_wins, pick_by_seq
 
-EDGE_TYPES = ("OCCURRED_AT", "OCCURRED_DURING", "ON_DAY", "DURING_SEASON")
-
-
 def graph_input(typed: DataFrame) -> DataFrame:
     """Keyed incidents with the derived graph columns (the graph sink's input)."""
     return with_graph_columns(has_key(typed))
@@ -31,7 +28,11 @@ def graph_input(typed: DataFrame) -> DataFrame:
 
 def location_nodes(g: DataFrame) -> DataFrame:
     """Location per address with the first-seen point (a NULL first point stays NULL)."""
-    first = pick_by_seq(g, ["location_key"], ["location_key", "latitude", "longitude"])
+    return as_location_nodes(pick_by_seq(g, ["location_key"], ["location_key", "latitude", "longitude"]))
+
+
+def as_location_nodes(first: DataFrame) -> DataFrame:
+    """Location nodes from one (location_key, latitude, longitude) row per address."""
     return first.select(F.col("location_key").alias("address"),
                         F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
                         F.lit(LOCATION_KIND).alias("type"))
@@ -62,15 +63,7 @@ def occurred_during(g: DataFrame) -> DataFrame:
     return g.select(F.col("id").alias("case_id"), "hour").distinct()
 
 
-def on_day(g: DataFrame) -> DataFrame:
-    return g.select(F.col("id").alias("case_id"), F.col("day_name").alias("day")).distinct()
-
-
-def during_season(g: DataFrame) -> DataFrame:
-    return g.select(F.col("id").alias("case_id"), "season").distinct()
-
-
-def _edge_triples(g: DataFrame) -> DataFrame:
+def edge_triples(g: DataFrame) -> DataFrame:
     """(edge_type, src, dst) for all four incident edge types, one row each per incident row."""
     triples = F.array(
         F.struct(F.lit("OCCURRED_AT").alias("edge_type"), F.col("location_key").alias("dst")),
@@ -82,12 +75,20 @@ def _edge_triples(g: DataFrame) -> DataFrame:
         .select("e.edge_type", "src", "e.dst")
 
 
-def edges_all(g: DataFrame) -> DataFrame:
+def edges_all(g: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """The union of the typed edge sets as one (edge_type, src, dst) table, as a set.
 
-    One scan and one shuffle for all four types instead of four distincts.
+    One scan and one shuffle for the four incident types instead of four distincts;
+    ``near`` adds OCCURRED_NEAR edges, one row each already, with the Place key ``type/id``.
     """
-    return _edge_triples(g).distinct()
+    edges = edge_triples(g).distinct()
+    return edges if near is None else edges.unionByName(near_edges(near))
+
+
+def near_edges(near: DataFrame) -> DataFrame:
+    """OCCURRED_NEAR rows (case_id, osm_type, osm_id) as (edge_type, src, dst)."""
+    return near.select(F.lit("OCCURRED_NEAR").alias("edge_type"), F.col("case_id").alias("src"),
+                       F.concat_ws("/", "osm_type", F.col("osm_id").cast("string")).alias("dst"))
 
 
 def graph_stats(g: DataFrame, places: DataFrame | None = None,

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwatch.functions import geo
+from gridwatch.operators.facts import pick_by_seq
 from gridwatch.schema import POI_DOCUMENT, POI_ELEMENT
 
 # ---------------------------------------------------------------------------
@@ -30,16 +32,25 @@ UNKNOWN_AMENITY = "unknown"
 
 
 def read_overpass_document(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
-    """One JSON document ``{"elements": [...]}`` per file -> one row per element."""
+    """One JSON document ``{"elements": [...]}`` per file -> one row per element, ``seq`` in file order.
+
+    A document is read by one task; land elements as JSON lines
+    (``read_elements_jsonl``) where dumps are large.
+    """
+    from gridwatch.sources.files import with_file_order
+
     doc = spark.read.schema(POI_DOCUMENT).option("multiLine", True).json(path)
-    el = doc.select(F.explode("elements").alias("e")).select("e.*")
+    el = with_file_order(doc, "document").select("document", F.posexplode("elements").alias("place", "e")).select(
+        "e.*", (F.shiftleft("document", 32) + F.col("place")).alias("seq"))
     # A single document is read by one task; spread the elements before the work.
     return el.repartition(min_partitions) if min_partitions else el
 
 
 def read_elements_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Element-per-line landing (splittable)."""
-    return spark.read.schema(POI_ELEMENT).json(path)
+    """Element-per-line landing (splittable), ``seq`` in file order."""
+    from gridwatch.sources.files import with_file_order
+
+    return with_file_order(spark.read.schema(POI_ELEMENT).json(path))
 
 
 def flatten_elements(el: DataFrame, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -49,7 +60,8 @@ def flatten_elements(el: DataFrame, bbox: tuple[float, float, float, float] | No
     element's own coordinate or else the way's centre (a 0 counts as missing,
     as in the reference's truthiness test), drops elements without a usable
     coordinate, optionally keeps the bounding box (on the point), and keeps one
-    row per (type, id): the union of the node and way selections is a set.
+    row per (type, id), the last by ``seq``: the union of the node and way
+    selections is a set, and a later element overwrites an earlier one.
     """
     amenity = F.col("tags").getItem("amenity")
     lat = F.coalesce(F.nullif(F.col("lat"), F.lit(0.0)), F.col("center.lat"))
@@ -58,17 +70,13 @@ def flatten_elements(el: DataFrame, bbox: tuple[float, float, float, float] | No
             .select(F.col("id").cast("long").alias("id"), F.col("type"),
                     amenity.alias("amenity"),
                     F.coalesce(F.col("tags").getItem("name"), F.lit(UNKNOWN_NAME)).alias("name"),
-                    lat.alias("lat"), lon.alias("lon"))
+                    lat.alias("lat"), lon.alias("lon"), F.col("seq"))
             .filter(F.col("lat").isNotNull() & (F.col("lat") != 0)
                     & F.col("lon").isNotNull() & (F.col("lon") != 0)))
     if bbox is not None:
         s, w, n, e = bbox
         flat = flat.filter(F.col("lat").between(s, n) & F.col("lon").between(w, e))
-    # Deterministic pick when one element appears twice (node and way queries
-    # may both return it): smallest attribute tuple, aggregated partially.
-    return (flat.groupBy("type", "id")
-            .agg(F.min(F.struct("amenity", "name", "lat", "lon")).alias("_v"))
-            .select("id", "type", "_v.amenity", "_v.name", "_v.lat", "_v.lon"))
+    return pick_by_seq(flat, ["type", "id"], ["id", "type", "amenity", "name", "lat", "lon", "seq"], last=True)
 
 
 def place_nodes(pois: DataFrame) -> DataFrame:
@@ -81,4 +89,5 @@ def place_nodes(pois: DataFrame) -> DataFrame:
             .select(F.col("type").alias("osm_type"), F.col("id").alias("osm_id"),
                     F.coalesce("name", F.lit(UNKNOWN_NAME)).alias("name"),
                     F.coalesce("amenity", F.lit(UNKNOWN_AMENITY)).alias("amenity_type"),
-                    F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))
+                    F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
+                    geo.point(F.col("lon"), F.col("lat")).alias("point"), F.col("seq")))

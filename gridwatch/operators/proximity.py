@@ -29,7 +29,7 @@ def epoch_us(ts: F.Column) -> F.Column:
 
 
 def location_place_pairs(g: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
-    """(address, osm_type, osm_id, amenity_type, distance_m) for Locations near Places.
+    """(address, osm_type, osm_id, amenity_type, distance_m, lat, lon) for Locations near Places.
 
     Places are the probe side (copied to neighbour cells): there are usually
     fewer places than addresses.
@@ -39,7 +39,7 @@ def location_place_pairs(g: DataFrame, places: DataFrame, radius_m: float) -> Da
                            probe_cols=["osm_type", "osm_id", "amenity_type"], build_cols=["address"])
     return pairs.select(F.col("b_address").alias("address"), F.col("p_osm_type").alias("osm_type"),
                         F.col("p_osm_id").alias("osm_id"), F.col("p_amenity_type").alias("amenity_type"),
-                        "distance_m")
+                        "distance_m", F.col("b_lat").alias("lat"), F.col("b_lon").alias("lon"))
 
 
 def occurred_near_paths(g: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
@@ -59,20 +59,22 @@ def occurred_near(g: DataFrame, places: DataFrame, radius_m: float) -> DataFrame
             .agg(F.round(F.min("distance_m"), 3).alias("distance_m")))
 
 
-def near_incident_pairs(fact: DataFrame, radius_m: float, days: int) -> DataFrame:
+def near_incident_pairs(fact: DataFrame, radius_m: float, days: int, with_day: bool = False) -> DataFrame:
     """NEAR edges between incidents: closer than ``radius_m`` and at most ``days`` apart.
 
     Undirected, stored once with ``id_a < id_b``.  Space and time are both
     cell dimensions of one equi join, so only incidents in neighbouring
-    space-time cells are ever compared.
+    space-time cells are ever compared.  ``with_day`` adds the day of the earlier end.
     """
     base = (fact.filter(F.col("offense_date").isNotNull())
             .select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
                     epoch_us(F.col("offense_date")).alias("t_us")))
     pairs = self_proximity_join(base, "id", radius_m, extra=[("t_us", float(days) * DAY_US)])
+    earlier = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.least("a_t_us", "b_t_us") / DAY_US).cast("int"))
     return pairs.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"),
                         F.round("distance_m", 3).alias("distance_m"),
-                        F.abs(F.col("a_t_us") - F.col("b_t_us")).alias("micros_apart"))
+                        F.abs(F.col("a_t_us") - F.col("b_t_us")).alias("micros_apart"),
+                        *([earlier.alias("day")] if with_day else []))
 
 
 def near_counts(pairs: DataFrame) -> DataFrame:
@@ -81,46 +83,35 @@ def near_counts(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("near_incidents"))
 
 
-# Largest caller-given point list that is broadcast (x8 copies, a few bytes each).
-MAX_BROADCAST_POINTS = 100_000
-
-
-def within_radius(points: DataFrame, fact: DataFrame, radius_m: float,
-                  n_points: int | None = None) -> DataFrame:
+def within_radius(points: DataFrame, fact: DataFrame, radius_m: float) -> DataFrame:
     """Incidents within ``radius_m`` of each query point: (point_id, id, distance_m).
 
-    The query points are the probe side.  When the caller states how many
-    there are (``n_points``, e.g. the length of the list it passed) and that is
-    within ``MAX_BROADCAST_POINTS``, they are broadcast and the incidents are
-    never shuffled; otherwise both sides shuffle on the cell key and AQE
-    decides from measured sizes.
+    The query points are the probe side; whether they are broadcast is decided
+    from their measured size.
     """
     inc = fact.select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    small = n_points is not None and n_points <= MAX_BROADCAST_POINTS
-    pairs = proximity_join(points, inc, radius_m, probe_cols=["point_id"], build_cols=["id"],
-                           broadcast_probe=small)
+    pairs = proximity_join(points, inc, radius_m, probe_cols=["point_id"], build_cols=["id"])
     return pairs.select(F.col("p_point_id").alias("point_id"), F.col("b_id").alias("id"),
                         F.round("distance_m", 3).alias("distance_m"))
 
 
 def amenity_exposure(paths: DataFrame) -> DataFrame:
     """Per amenity kind: distinct incidents near one, and incident-place edges."""
-    return (paths.groupBy("amenity_type")
-            .agg(F.count_distinct("case_id").alias("incidents"),
-                 F.count_distinct("case_id", "osm_type", "osm_id").alias("edges")))
+    # Paths collapse to edges, edges to (incident, kind); both counts are then plain sums.
+    edges = paths.select("amenity_type", "case_id", "osm_type", "osm_id").distinct()
+    return (edges.groupBy("amenity_type", "case_id").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("amenity_type").agg(F.count(F.lit(1)).alias("incidents"), F.sum("n").alias("edges")))
 
 
-def cell_amenity_pivot(g: DataFrame, paths: DataFrame, deg: float) -> DataFrame:
+def cell_amenity_pivot(paths: DataFrame, deg: float) -> DataFrame:
     """Risk-terrain table: per grid cell of the Location, distinct incidents near each amenity kind.
 
-    The pivot values are listed explicitly (no extra job to discover them).
+    The paths carry their Location's point.  The pivot values are listed explicitly
+    (no extra job to discover them).
     """
-    locs = location_nodes(g).filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     cy, cx = grid_cell(F.col("lat"), F.col("lon"), deg)
-    loc_cell = locs.select("address", grid_id(cy, cx).alias("grid_id"))
     kind = F.when(F.col("amenity_type").isin(*AMENITY_KINDS), F.col("amenity_type")).otherwise("other")
     cols = AMENITY_KINDS + ["other"]
-    piv = (paths.join(loc_cell, "address")
-           .select("grid_id", "case_id", kind.alias("kind"))
+    piv = (paths.select(grid_id(cy, cx).alias("grid_id"), "case_id", kind.alias("kind"))
            .groupBy("grid_id").pivot("kind", cols).agg(F.count_distinct("case_id")))
     return piv.select("grid_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in cols])

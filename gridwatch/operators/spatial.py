@@ -120,15 +120,13 @@ def proximity_join(probe: DataFrame, build: DataFrame, radius_m: float,
                    probe_cols: list[str], build_cols: list[str],
                    lat: str = "lat", lon: str = "lon",
                    extra: list[tuple[str, float]] | None = None,
-                   strict: bool = True, broadcast_probe: bool = False) -> DataFrame:
+                   strict: bool = True) -> DataFrame:
     """All (probe, build) pairs closer than ``radius_m`` metres (and within each extra reach).
 
     ``probe`` / ``build`` need columns ``lat``, ``lon`` (non-NULL rows only are
     matched) and any extra axis columns.  Output: ``p_<probe col>``,
     ``b_<build col>``, their ``lat``/``lon`` and ``distance_m``.
     Put the smaller input on the probe side: it is the one copied.
-    ``broadcast_probe`` hints a broadcast of the (copied) probe side; pass it
-    only when the caller knows the probe's size (e.g. a given point list).
     """
     extra = extra or []
 
@@ -141,37 +139,42 @@ def proximity_join(probe: DataFrame, build: DataFrame, radius_m: float,
                      [Axis(n, F.col(prefix + n), reach) for n, reach in extra])
         return _with_trig(_cell_keys(base, dims, probe=is_probe, self_join=False), prefix)
 
-    p = prep(probe, probe_cols, "p_", True)
-    if broadcast_probe:
-        p = F.broadcast(p)
-    b = prep(build, build_cols, "b_", False)
+    p = prep(probe, probe_cols, "p_", True).withColumnRenamed("_k", "p_k")
+    b = prep(build, build_cols, "b_", False).withColumnRenamed("_k", "b_k")
     dist = haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("b_lat"), F.col("b_lon"))
     # Cheap tests first (conjuncts are evaluated in order): extra axes, the
     # latitude band, the trig-light prefilter, then the exact distance.
-    cond = F.lit(True)
+    cond = same_cell()
     for name, reach in extra:
         cond = cond & (F.abs(F.col("p_" + name) - F.col("b_" + name)) <= reach)
     cond = cond & (F.abs(F.col("p_lat") - F.col("b_lat")) <= _lat_reach_deg(radius_m))
     cond = cond & _near_enough(radius_m)
     cond = cond & ((dist < radius_m) if strict else (dist <= radius_m))
     trig = ("p_phi", "p_lam", "p_cphi", "b_phi", "b_lam", "b_cphi")
-    return p.join(b, "_k").filter(cond).withColumn("distance_m", dist).drop("_k", *trig)
+    return (p.join(b, cell_hash("p_k") == cell_hash("b_k")).filter(cond).withColumn("distance_m", dist)
+            .drop("p_k", "b_k", *trig))
+
+
+def cell_hash(key: str) -> Column:
+    """The join key: one long per cell instead of an array."""
+    return F.xxhash64(key)
+
+
+def same_cell() -> Column:
+    """Residual test that two cells of one hash are the same (written so that it is no join key)."""
+    return (F.col("p_k") <= F.col("b_k")) & (F.col("p_k") >= F.col("b_k"))
 
 
 def self_join_sides(df: DataFrame, key: str, radius_m: float,
                     extra: list[tuple[str, float]] | None = None,
-                    lat: str = "lat", lon: str = "lon",
-                    carry: list[str] | None = None) -> tuple[DataFrame, DataFrame, Column]:
+                    lat: str = "lat", lon: str = "lon") -> tuple[DataFrame, DataFrame, Column]:
     """Probe side, build side and residual condition of a self proximity join.
 
-    Shared by the batch join below and the streaming interval join.  ``carry``
-    columns ride along on both sides (prefixed ``p_`` / ``b_``).
     """
     extra = extra or []
-    carry = carry or []
     base = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
         F.col(key).alias("_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"),
-        *[F.col(n).alias("_x_" + n) for n, _ in extra], *[F.col(c).alias("_c_" + c) for c in carry])
+        *[F.col(n).alias("_x_" + n) for n, _ in extra])
     dims = _axes(F.col("_lat"), F.col("_lon"), radius_m,
                  [Axis(n, F.col("_x_" + n), reach) for n, reach in extra])
     p = _cell_keys(base, dims, probe=True, self_join=True)
@@ -182,7 +185,7 @@ def self_join_sides(df: DataFrame, key: str, radius_m: float,
     # sharing a home cell are met from both sides, so keep p_id < b_id there.
     # Cheap tests run before the exact distance.
     dist = haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("b_lat"), F.col("b_lon"))
-    cond = F.lit(True)
+    cond = same_cell()
     for n, reach in extra:
         cond = cond & (F.abs(F.col("p_x_" + n) - F.col("b_x_" + n)) <= reach)
     cond = cond & (F.abs(F.col("p_lat") - F.col("b_lat")) <= _lat_reach_deg(radius_m))
@@ -214,7 +217,7 @@ def self_proximity_join(df: DataFrame, key: str, radius_m: float,
     Output: ``a_<key>``, ``b_<key>``, ``distance_m`` (+ ``a_/b_`` extra axis values).
     """
     p, b, cond = self_join_sides(df, key, radius_m, extra, lat, lon)
-    j = p.join(b, F.col("p_k") == F.col("b_k")).filter(cond)
+    j = p.join(b, cell_hash("p_k") == cell_hash("b_k")).filter(cond)
     return self_pairs_output(j, key, extra)
 
 

@@ -113,7 +113,8 @@ def q_calendar_parts(spark, sf_dir):
 
 
 def q_history_by_date(spark, sf_dir):
-    return facts.history_by_date(fact(spark, sf_dir), P.HISTORY_DAY)
+    columns = ["incident_type", "offense_date", "latitude", "longitude", "address"]
+    return facts.history_by_date(fact(spark, sf_dir, columns), P.HISTORY_DAY)
 
 
 def q_snapshot_limit(spark, sf_dir):
@@ -123,7 +124,7 @@ def q_snapshot_limit(spark, sf_dir):
                       F.col("narrative").alias("incident_type"),
                       F.col("offense_date").alias("incident_date"), "latitude", "longitude")
     t = clean.type_incidents(clean.snapshot_to_raw(snap))
-    return facts.snapshot_limit(t, P.SNAPSHOT_LIMIT).select(
+    return facts.snapshot_limit(t, P.SNAPSHOT_ROWS).select(
         "id", "incident_type", "offense_date", "latitude", "longitude", "seq")
 
 
@@ -164,8 +165,74 @@ def q_graph_store_edges(spark, sf_dir):
     return spark.read.parquet(f"{root}/edges").select("edge_type", "src", "dst")
 
 
+PLACE_COLUMNS = ["osm_type", "osm_id", "name", "amenity_type", "lat", "lon"]
+
+
 def q_places(spark, sf_dir):
-    return places_df(spark, sf_dir)
+    return places_df(spark, sf_dir).select(*PLACE_COLUMNS)
+
+
+def q_place_points(spark, sf_dir):
+    """The point value of each Place, field by field."""
+    return places_df(spark, sf_dir).select("osm_type", "osm_id", F.col("point.lon").alias("point_lon"),
+                                           F.col("point.lat").alias("point_lat"), F.col("point.srid").alias("srid"))
+
+
+def q_places_stored(spark, sf_dir):
+    """Place nodes upserted in two loads (the first elements, then those that come again); last wins."""
+    from gridwatch.sources import tables
+
+    _prepare(spark)
+    root = shared_path(spark, "places", fresh=True)
+    elements = standin.poi_elements(spark, sf_dir)
+    later = F.col("seq") >= F.lit(1 << 32)
+    for load, part in (("0001", elements.filter(~later)), ("0002", elements.filter(later))):
+        tables.upsert_places(poi.place_nodes(poi.flatten_elements(part)), root, load)
+    return tables.read_places(spark, root).select(*PLACE_COLUMNS)
+
+
+def q_poi_document(spark, sf_dir):
+    """Land the dump as JSON documents, read them back through the document reader, flatten."""
+    _prepare(spark)
+    path = shared_path(spark, "poi", fresh=True)
+    # One document per load, each with a range of elements in order.
+    part = F.expr("seq div 500")
+    (standin.poi_elements(spark, sf_dir).withColumn("part", part).groupBy("part")
+     .agg(F.array_sort(F.collect_list(F.struct("seq", "type", "id", "lat", "lon", "center", F.to_json("tags").alias("tags")))).alias("all"))
+     .select("part", F.to_json(F.struct(F.transform("all", lambda e: F.struct(
+         e["type"].alias("type"), e["id"].alias("id"), e["lat"].alias("lat"), e["lon"].alias("lon"), e["center"].alias("center"),
+         F.from_json(e["tags"], "map<string,string>").alias("tags"))).alias("elements"))).alias("value"))
+     .withColumn("load", F.lpad(F.col("part").cast("string"), 12, "0")).drop("part")
+     .write.partitionBy("load").text(path))
+    return poi.flatten_elements(poi.read_overpass_document(spark, path)).drop("seq")
+
+
+def q_edges_with_near(spark, sf_dir):
+    """All five edge types read back from the stored graph as one table."""
+    from gridwatch.sources import tables
+
+    t = typed(spark, sf_dir)
+    g = graph.graph_input(t)
+    root = shared_path(spark, "graph", fresh=True)
+    tables.write_graph(g, t, root)
+    tables.write_near(proximity.occurred_near(g, places_df(spark, sf_dir), P.NEAR_PLACE_M), root)
+    return tables.read_all_edges(spark, root)
+
+
+def q_graph_store_nodes(spark, sf_dir):
+    """Node tables of the batch graph load, read back: (label, key)."""
+    from gridwatch.sources import tables
+
+    t = typed(spark, sf_dir)
+    root = shared_path(spark, "graph", fresh=True)
+    tables.write_graph(graph.graph_input(t), t, root)
+    keys = {"location": "address", "incident": "case_id", "time_block": "hour", "day": "name", "season": "name"}
+    tables_read = [spark.read.parquet(f"{root}/{t}").select(F.lit(t).alias("label"), F.col(k).cast("string").alias("key"))
+                   for t, k in keys.items()]
+    out = tables_read[0]
+    for df in tables_read[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -177,6 +244,17 @@ def q_risk_table(spark, sf_dir):
     return risk.risk_scores(g_input(spark, sf_dir))
 
 
+def q_risk_table_stored(spark, sf_dir):
+    """The stored risk table after two refreshes: the first from a part of the incidents, then from all."""
+    from gridwatch.sources import tables
+
+    g = g_input(spark, sf_dir)
+    root = shared_path(spark, "risk", fresh=True)
+    for part in (g.filter("month = 1"), g):
+        tables.write_risk(risk.risk_scores(part), root)
+    return spark.read.parquet(f"{root}/risk")
+
+
 def q_risk_by_part(spark, sf_dir):
     return risk.risk_by_part(g_input(spark, sf_dir))
 
@@ -195,17 +273,17 @@ def q_risk_labels(spark, sf_dir):
 
 def q_poi_flatten(spark, sf_dir):
     _prepare(spark)
-    return poi.flatten_elements(standin.poi_elements(spark, sf_dir))
+    return poi.flatten_elements(standin.poi_elements(spark, sf_dir)).drop("seq")
 
 
 def q_poi_bbox(spark, sf_dir):
     _prepare(spark)
-    return poi.flatten_elements(standin.poi_elements(spark, sf_dir), bbox=P.MAP_VIEW)
+    return poi.flatten_elements(standin.poi_elements(spark, sf_dir), bbox=P.MAP_VIEW).drop("seq")
 
 
 def q_incidents_bbox(spark, sf_dir):
     s, w, n, e = P.MAP_VIEW
-    return (fact(spark, sf_dir).filter(in_bbox(F.col("latitude"), F.col("longitude"), s, w, n, e))
+    return (fact(spark, sf_dir, ["incident_type", "offense_date", "latitude", "longitude"]).filter(in_bbox(F.col("latitude"), F.col("longitude"), s, w, n, e))
             .select("id", "incident_type", "offense_date", "latitude", "longitude"))
 
 
@@ -249,7 +327,7 @@ def q_near_counts(spark, sf_dir):
 def q_within_radius(spark, sf_dir):
     pts = spark.createDataFrame(P.RADIUS_POINTS, "point_id int, lat double, lon double")
     f = fact(spark, sf_dir, ["latitude", "longitude"])
-    return proximity.within_radius(pts, f, P.RADIUS_M, n_points=len(P.RADIUS_POINTS))
+    return proximity.within_radius(pts, f, P.RADIUS_M)
 
 
 def q_grid_counts(spark, sf_dir):
@@ -265,7 +343,7 @@ def q_amenity_exposure(spark, sf_dir):
 def q_cell_amenity_pivot(spark, sf_dir):
     g = g_input(spark, sf_dir)
     paths = proximity.occurred_near_paths(g, places_df(spark, sf_dir), P.NEAR_PLACE_M)
-    return proximity.cell_amenity_pivot(g, paths, P.GRID_DEG)
+    return proximity.cell_amenity_pivot(paths, P.GRID_DEG)
 
 
 # ---------------------------------------------------------------------------
@@ -273,7 +351,7 @@ def q_cell_amenity_pivot(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def cells_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predict.with_cells(fact(spark, sf_dir), P.GRID_DEG)
+    return predict.with_cells(fact(spark, sf_dir, predict.CELL_INPUT), P.GRID_DEG)
 
 
 def q_grid_type_risk(spark, sf_dir):
@@ -323,60 +401,92 @@ def q_prediction_lookup(spark, sf_dir):
         "grid_id", "incident_type", "prediction_time", "risk_score", "model_version")
 
 
+def q_prediction_keys(spark, sf_dir):
+    """Predictions of two times, each stored twice: rows and distinct keys per time."""
+    cells = cells_df(spark, sf_dir)
+    path = shared_path(spark, "predictions", fresh=True)
+    for t in P.PREDICTION_TIMES * 2:
+        predict.store_predictions(predict.grid_scores(cells, t, P.MODEL_VERSION), path)
+    return spark.read.parquet(path).groupBy("prediction_time").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("grid_id", "incident_type", "prediction_time", "model_version").alias("n_keys"),
+        F.count_if(F.col("created_at").isNull()).alias("n_unstamped"))
+
+
 # ---------------------------------------------------------------------------
 # phase 5: streaming (each run lands a fresh feed under the shared folder,
 # runs the stream to completion and returns the stored result)
 # ---------------------------------------------------------------------------
 
-def _stream_run(spark: SparkSession, sf_dir: str, mode: str = "single") -> str:
-    from gridwatch.streaming import runner, source
+def _landed(spark: SparkSession, records: DataFrame) -> tuple[DataFrame, str]:
+    """A streaming DataFrame over freshly landed records, and a base folder."""
+    from gridwatch.streaming import source
 
     _prepare(spark)
     base = shared_path(spark, "stream", fresh=True)
-    source.land_records(standin.incident_json(spark, sf_dir), f"{base}/landing", P.STREAM_FILES)
-    runner.run_incidents(spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint", mode=mode)
+    source.land_records(records, f"{base}/landing", P.STREAM_FILES)
+    return source.file_stream(spark, f"{base}/landing"), base
+
+
+def _stream_run(spark: SparkSession, sf_dir: str, mode: str = "single") -> str:
+    from gridwatch.streaming import runner
+
+    stream, base = _landed(spark, standin.incident_json(spark, sf_dir))
+    runner.run_incidents(spark, stream, f"{base}/store", f"{base}/checkpoint", mode=mode)
+    return f"{base}/store"
+
+
+def _stateful_run(spark: SparkSession, sf_dir: str) -> str:
+    from gridwatch.streaming import runner
+
+    stream, base = _landed(spark, standin.incident_json(spark, sf_dir))
+    runner.run_incidents_stateful(spark, stream, f"{base}/store", f"{base}/checkpoint")
     return f"{base}/store"
 
 
 def q_stream_fact(spark, sf_dir):
-    from gridwatch.schema import FACT_COLUMNS
+    """First-wins facts from a feed whose files are in no order."""
+    from gridwatch.streaming import sinks
+
+    return comparable(sinks.read_fact(spark, _stream_run(spark, sf_dir)))
+
+
+def q_stream_locations(spark, sf_dir):
+    """First-wins Locations from a feed whose files are in no order."""
+    from gridwatch.streaming import sinks
+
+    return sinks.read_locations(spark, _stream_run(spark, sf_dir))
+
+
+def q_stream_fact_compacted(spark, sf_dir):
+    """The fact table after its batches were folded into one."""
     from gridwatch.streaming import sinks
 
     root = _stream_run(spark, sf_dir)
-    return comparable(sinks.read_fact(spark, root).select(*FACT_COLUMNS, "seq"))
+    sinks.compact(spark, root, "fact", "folded_0001")
+    return comparable(sinks.read_fact(spark, root))
 
 
 def q_stream_fact_state(spark, sf_dir):
-    """Fact table through keyed streaming state (transformWithStateInPandas)."""
-    from gridwatch.schema import FACT_COLUMNS
-    from gridwatch.streaming import runner, sinks, source
+    """Fact table of the stream that drops replays by keyed state (dropDuplicates)."""
+    from gridwatch.streaming import sinks
 
-    _prepare(spark)
-    base = shared_path(spark, "stream", fresh=True)
-    source.land_records(standin.incident_json(spark, sf_dir), f"{base}/landing", P.STREAM_FILES)
-    runner.run_incidents_stateful(spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint")
-    return comparable(sinks.read_fact(spark, f"{base}/store").select(*FACT_COLUMNS, "seq"))
+    return comparable(sinks.read_fact(spark, _stateful_run(spark, sf_dir)))
 
 
 def q_stream_graph_state(spark, sf_dir):
-    """Graph edges through keyed streaming state (no read-back of stored edges)."""
-    from gridwatch.streaming import runner, sinks, source
-
-    _prepare(spark)
-    base = shared_path(spark, "stream", fresh=True)
-    source.land_records(standin.incident_json(spark, sf_dir), f"{base}/landing", P.STREAM_FILES)
-    runner.run_incidents_stateful(spark, f"{base}/landing", f"{base}/store", f"{base}/checkpoint")
-    return sinks.read_edges(spark, f"{base}/store").select("edge_type", "src", "dst")
+    """Graph edges made distinct by keyed streaming state (dropDuplicates), stored once each."""
+    return spark.read.parquet(f"{_stateful_run(spark, sf_dir)}/edges").select("edge_type", "src", "dst")
 
 
 def q_stream_near_pairs(spark, sf_dir):
-    """NEAR pairs kept by a stream-stream interval join that follows the stored fact table."""
+    """NEAR pairs kept up with the stored fact table, days recomputed as batches touch them."""
     from gridwatch.streaming import near
 
     root = _stream_run(spark, sf_dir)
     base = root.rsplit("/", 1)[0]
-    return near.run_near_stream(spark, f"{root}/fact", f"{base}/near", f"{base}/near_checkpoint",
-                                P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS, watermark=P.WATERMARK)
+    return near.run_near_stream(spark, root, f"{base}/near", f"{base}/near_checkpoint",
+                                P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS)
 
 
 def q_stream_graph(spark, sf_dir):
@@ -402,13 +512,62 @@ def q_stream_quarantine(spark, sf_dir):
 
 
 def q_stream_window_counts(spark, sf_dir):
-    from gridwatch.streaming import runner, source
+    from gridwatch.streaming import runner
+
+    stream, base = _landed(spark, standin.incident_json(spark, sf_dir))
+    return runner.run_window_counts(spark, stream, f"{base}/windows", f"{base}/checkpoint", size=P.WINDOW_SIZE)
+
+
+def q_stream_late_windows(spark, sf_dir):
+    """Window counts of a feed in which every fifth record lies LATE_DAYS earlier than its neighbours."""
+    from gridwatch.streaming import runner
+
+    stream, base = _landed(spark, standin.late_incident_json(spark, sf_dir, P.LATE_DAYS))
+    return runner.run_window_counts(spark, stream, f"{base}/windows", f"{base}/checkpoint", size=P.WINDOW_SIZE)
+
+
+def q_publish_readback(spark, sf_dir):
+    """Publish every record as a JSON message (to files), read the messages back and type them."""
+    from gridwatch.sources import files
+    from gridwatch.streaming import source
 
     _prepare(spark)
-    base = shared_path(spark, "stream", fresh=True)
-    source.land_records(standin.incident_json(spark, sf_dir), f"{base}/landing", P.STREAM_FILES)
-    return runner.run_window_counts(spark, f"{base}/landing", f"{base}/windows", f"{base}/checkpoint",
-                                    size=P.WINDOW_SIZE, watermark=P.WATERMARK)
+    path = shared_path(spark, "topic", fresh=True)
+    files.publish_json(standin.incident_payloads(spark, sf_dir), path)
+    return comparable(clean.type_incidents(source.parsed(spark.read.schema(source.LANDING).json(path))))
+
+
+def q_csv_first_wins(spark, sf_dir):
+    """First-wins over two CSV deliveries, the earlier one much smaller, read as one."""
+    from gridwatch.sources import files
+
+    _prepare(spark)
+    raw = standin.incident_payloads(spark, sf_dir)
+    path = shared_path(spark, "csv", fresh=True)
+    early = F.col("seq") % 1000 < 20
+    for name, part in (("2024-01", raw.filter(early)), ("2024-02", raw.filter(~early))):
+        (part.repartitionByRange("seq").sortWithinPartitions("seq")
+         .select(F.col("id").alias("ID"), F.col("narrative").alias("Crime Type"), F.col("address").alias("Location"),
+                 F.col("latitude").try_cast("double").alias("Latitude"),
+                 F.col("longitude").try_cast("double").alias("Longitude"), F.col("offense_date").alias("Incident Date"))
+         .write.option("header", True).csv(f"{path}/delivery={name}"))
+    rows = files.read_incident_csv(spark, [f"{path}/delivery=2024-02", f"{path}/delivery=2024-01"])
+    return facts.fact_first_wins(rows, ["incident_type", "address", "latitude", "longitude"])
+
+
+def q_snapshot_array(spark, sf_dir):
+    """Snapshot records landed as JSON arrays, one per file, read back through the snapshot reader."""
+    from gridwatch.sources import files
+
+    _prepare(spark)
+    raw = standin.incident_payloads(spark, sf_dir)
+    snap = F.struct(F.col("id").alias("incident_id"), F.col("narrative").alias("incident_type"),
+                    F.col("offense_date").alias("incident_date"), "latitude", "longitude")
+    path = files.lake_path(shared_path(spark, "lake", fresh=True), "historical")
+    (raw.withColumn("part", F.expr("seq div 1000")).groupBy("part").agg(F.to_json(F.collect_list(snap)).alias("value"))
+     .write.partitionBy("part").text(path))
+    return files.read_snapshot(spark, path, multiline=True).select(
+        "id", "incident_type", "offense_date", "latitude", "longitude")
 
 
 def q_snapshot_landed(spark, sf_dir):
@@ -421,7 +580,7 @@ def q_snapshot_landed(spark, sf_dir):
                       F.col("offense_date").alias("incident_date"), "latitude", "longitude")
     path = files.lake_path(shared_path(spark, "lake", fresh=True), "historical.json")
     files.write_json_list(snap, path)
-    return files.read_snapshot(spark, path, multiline=False, limit=P.SNAPSHOT_LIMIT).select(
+    return files.read_snapshot(spark, path, multiline=False).select(
         "id", "incident_type", "offense_date", "latitude", "longitude")
 
 

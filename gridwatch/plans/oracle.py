@@ -21,7 +21,7 @@ raw AS (
     CASE WHEN event_id % 41 = 0 THEN NULL ELSE CAST(round(29.59 + (user_id * 37 % 131) * 0.001
          + (event_id % 3) * 0.0001, 4) AS VARCHAR) END AS latitude,
     CAST(round(-82.42 + (user_id * 53 % 151) * 0.001 + (event_id % 5) * 0.0001, 4) AS VARCHAR) AS longitude,
-    'Gainesville' AS city, 'FL' AS state
+    'Springfield' AS city, 'ST' AS state
   FROM events
 )"""
 
@@ -110,8 +110,9 @@ el AS (
       -82.42::DOUBLE + (p_partkey * 29 % 151) * 0.001::DOUBLE END AS c_lon,
     ['bar', 'pub', 'nightclub', 'restaurant', 'cafe', 'atm', 'bank', 'school', 'university',
      'parking', 'fast_food', 'fuel', 'bicycle_parking'][(p_size % 13) + 1] AS amenity,
-    CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS name
-  FROM part
+    CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS name, seq
+  FROM (SELECT p_partkey, p_size, p_name, p_partkey AS seq FROM part
+        UNION ALL SELECT p_partkey, p_size + 1, upper(p_name), p_partkey + 4294967296 FROM part WHERE p_partkey % 10 = 0)
 )"""
 
 
@@ -123,14 +124,14 @@ def flat_pois(bbox=None) -> str:
     return f"""
 flat AS (
   SELECT id, type, amenity, COALESCE(name, 'Unknown') AS name,
-    COALESCE(NULLIF(lat, 0.0), c_lat) AS lat, COALESCE(NULLIF(lon, 0.0), c_lon) AS lon
+    COALESCE(NULLIF(lat, 0.0), c_lat) AS lat, COALESCE(NULLIF(lon, 0.0), c_lon) AS lon, seq
   FROM el
   WHERE type IN ('node', 'way')
     AND regexp_matches(amenity, 'bar|pub|nightclub|restaurant|cafe|atm|bank|school|university|parking')
 ),
 pois AS (
   SELECT id, type, amenity, name, lat, lon FROM (
-    SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY amenity, name, lat, lon) AS rn
+    SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY seq DESC) AS rn
     FROM flat
     WHERE lat IS NOT NULL AND lat <> 0 AND lon IS NOT NULL AND lon <> 0 {box}
   ) WHERE rn = 1
@@ -281,7 +282,7 @@ WHERE offense_date >= TIMESTAMP '{P.HISTORY_DAY}'
     q["snapshot_limit"] = with_ctes(RAW, TYPED, body=f"""
 SELECT id, incident_type, offense_date, latitude, longitude, seq FROM (
   SELECT id, incident_type, offense_date, latitude, longitude, seq FROM typed
-  ORDER BY seq LIMIT {P.SNAPSHOT_LIMIT})""")
+  ORDER BY seq LIMIT {P.SNAPSHOT_ROWS})""")
 
     # --- phase 2: graph -------------------------------------------------------
     q["snapshot_landed"] = with_ctes(RAW, TYPED, body="""
@@ -477,6 +478,44 @@ FROM ev""")
     q["stream_graph_state"] = q["edges_all"]
     q["graph_store_edges"] = q["edges_all"]
     q["stream_near_pairs"] = q["near_incident_pairs"]
+    q["stream_fact_compacted"] = q["fact_first_wins"]
+    q["stream_locations"] = q["location_first_wins"]
+    q["publish_readback"] = q["typed_incidents"]
+    q["snapshot_array"] = q["snapshot_landed"]
+    q["poi_document"] = q["poi_flatten"]
+    q["places_stored"] = q["places"]
+    q["place_points"] = with_ctes(ELEMENTS, flat_pois(), body="""
+SELECT osm_type, osm_id, lon AS point_lon, lat AS point_lat, 4326 AS srid FROM places""")
+    q["edges_with_near"] = with_ctes(*BASE, EDGES, ELEMENTS, flat_pois(), near_paths(P.NEAR_PLACE_M), body="""
+SELECT DISTINCT 'OCCURRED_AT' AS edge_type, id AS src, location_key AS dst FROM g
+UNION SELECT DISTINCT 'OCCURRED_DURING', id, CAST(hour AS VARCHAR) FROM g
+UNION SELECT DISTINCT 'ON_DAY', id, day_name FROM g
+UNION SELECT DISTINCT 'DURING_SEASON', id, season FROM g
+UNION SELECT DISTINCT 'OCCURRED_NEAR', case_id, osm_type || '/' || osm_id FROM near_paths""")
+    q["graph_store_nodes"] = with_ctes(*BASE, body="""
+SELECT DISTINCT 'location' AS label, location_key AS key FROM g
+UNION SELECT DISTINCT 'incident', id FROM g
+UNION SELECT DISTINCT 'time_block', CAST(hour AS VARCHAR) FROM g
+UNION SELECT DISTINCT 'day', day_name FROM g
+UNION SELECT DISTINCT 'season', season FROM g""")
+    q["risk_table_stored"] = q["risk_table"]
+    q["prediction_keys"] = " UNION ALL ".join("(" + with_ctes(*FB, body=f"""
+SELECT TIMESTAMP '{t}' AS prediction_time, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_keys,
+       CAST(0 AS BIGINT) AS n_unstamped
+FROM (SELECT DISTINCT grid_id, incident_type FROM cells
+      WHERE day_name = dayname(TIMESTAMP '{t}') AND part_of_day = {_part_sql(f"hour(TIMESTAMP '{t}')")})""") + ")"
+        for t in P.PREDICTION_TIMES)
+    # The earlier delivery is smaller: a row of it comes before every row of the later one.
+    q["csv_first_wins"] = with_ctes(RAW, body="""
+SELECT id, arg_min(narrative, (k, seq)) AS incident_type, arg_min(address, (k, seq)) AS address,
+       arg_min(COALESCE(TRY_CAST(latitude AS DOUBLE), 0.0), (k, seq)) AS latitude,
+       arg_min(COALESCE(TRY_CAST(longitude AS DOUBLE), 0.0), (k, seq)) AS longitude
+FROM (SELECT *, CASE WHEN seq % 1000 < 20 THEN 0 ELSE 1 END AS k FROM raw) GROUP BY id""")
+    q["stream_late_windows"] = with_ctes(RAW, TYPED, body=f"""
+SELECT w AS window_start, w + INTERVAL 1 DAY AS window_end, incident_type, CAST(count(*) AS BIGINT) AS incidents
+FROM (SELECT time_bucket(INTERVAL 1 DAY, CASE WHEN seq % 5 = 0 THEN offense_date - INTERVAL {P.LATE_DAYS} DAY
+             ELSE offense_date END) AS w, incident_type FROM typed WHERE offense_date IS NOT NULL)
+GROUP BY ALL""")
     q["stream_risk_refresh"] = q["risk_night"]
     q["stream_quarantine"] = q["quarantine"]
     q["stream_window_counts"] = with_ctes(RAW, TYPED, body="""

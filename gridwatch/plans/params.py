@@ -3,16 +3,14 @@
 from gridwatch.functions import geo
 
 HISTORY_DAY = "2024-01-15"        # date looked up by history_by_date
-SNAPSHOT_LIMIT = 300_000          # snapshot row cap, as in the reference
+SNAPSHOT_ROWS = 4_321             # rows asked for by snapshot_limit
 LOOKUP_HOUR = 23                  # hour requested by risk_at_hour / risk_labels
 NEAR_PLACE_M = geo.NEAR_PLACE_M   # incident-to-place threshold (strict <), fixed value
 NEAR_INCIDENT_M = 500.0           # incident-to-incident threshold (strict <)
 NEAR_INCIDENT_DAYS = 7            # incident-to-incident time limit (<=)
 RADIUS_M = 1000.0                 # radius lookup
-# Points asked for by the radius lookup: (point_id, lat, lon).  The first is the
-# map centre the UI opens on.
-RADIUS_POINTS = [(1, 29.6516, -82.3248), (2, 29.6190, -82.3730), (3, 29.6500, -82.4000)]
-BBOX = (29.5900, -82.4200, 29.7200, -82.2700)   # south, west, north, east
+# Points asked for by the radius lookup: (point_id, lat, lon).
+RADIUS_POINTS = [(1, 29.6551, -82.3352), (2, 29.6243, -82.3617), (3, 29.6507, -82.4012)]
 GRID_DEG = geo.GRID_DEG           # display / prediction grid cell size (degrees)
 HIGH_RISK = 0.5                   # grid score threshold for HIGH_RISK_FOR
 TOP_K = 20                        # top high-risk cells
@@ -25,4 +23,4 @@ PREDICTION_TIME = "2024-01-26 23:00:00"   # a Friday night
 PREDICTION_TIMES = ["2024-01-26 23:00:00", "2024-01-27 14:00:00"]
 STREAM_FILES = 4                  # landed files (= micro-batches) in the stream feeds
 WINDOW_SIZE = "1 day"
-WATERMARK = "30 days"
+LATE_DAYS = 60                    # how much earlier the late rows of the late feed lie

@@ -61,9 +61,10 @@ FACT = T.StructType([
 ])
 
 # Prediction cache table.  The serial id is replaced by the natural key
-# (grid_id, prediction_time, model_version).
+# (grid_id, incident_type, prediction_time, model_version).
 PREDICTION = T.StructType([
     T.StructField("grid_id", S, False),
+    T.StructField("incident_type", S, False),
     T.StructField("prediction_time", T.TimestampNTZType(), False),
     T.StructField("risk_score", T.DoubleType(), True),
     T.StructField("model_version", S, False),
@@ -83,12 +84,3 @@ POI_ELEMENT = T.StructType([
     T.StructField("tags", T.MapType(S, S), True),
 ])
 POI_DOCUMENT = T.StructType([T.StructField("elements", T.ArrayType(POI_ELEMENT), True)])
-
-POI_FLAT = T.StructType([
-    T.StructField("id", T.LongType(), True),
-    T.StructField("type", S, True),
-    T.StructField("amenity", S, True),
-    T.StructField("name", S, True),
-    T.StructField("lat", T.DoubleType(), True),
-    T.StructField("lon", T.DoubleType(), True),
-])

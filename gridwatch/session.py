@@ -1,9 +1,9 @@
 """Session construction and shared-storage helpers.
 
-The library never invents machine-local scratch space on a cluster: every
-intermediate table and streaming checkpoint goes under the shared folder the
-cluster names in ``spark.checkpoint.dir``.  Only when that setting is absent
-(unit tests, a laptop) do we pick a temporary folder ourselves.
+Every intermediate table and streaming checkpoint goes under the shared folder
+the cluster names in ``spark.checkpoint.dir``, in a folder per application.
+When the setting is absent, a temporary folder is picked only where the master
+is local (tests, a laptop); on any other master that is an error.
 """
 
 from __future__ import annotations
@@ -42,11 +42,13 @@ SCALE_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "gridwatch", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "gridwatch", extra: dict | None = None,
+                  checkpoint_dir: str | None = None) -> SparkSession:
     """Create (or reuse) a session with the scale settings above.
 
     ``master`` is left unset on a cluster (spark-submit decides); tests pass
-    ``local[*]``.  ``shuffle_partitions`` should be sized so one post-shuffle
+    ``local[*]``.  ``checkpoint_dir`` sets ``spark.checkpoint.dir`` (needed on a
+    cluster that does not set it).  ``shuffle_partitions`` should be sized so one post-shuffle
     partition is ~128 MB at the target scale; AQE coalesces when it is too many.
     """
     builder = SparkSession.builder.appName(app_name)
@@ -58,6 +60,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -80,7 +84,7 @@ def default_parallelism(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting one only when none is configured."""
+    """Return the shared checkpoint folder; without one, set a temporary folder on a local master only."""
     sc = _context(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -90,7 +94,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return os.path.dirname(current.rstrip("/"))
-    # Unset: only happens in tests / local runs, never on a configured cluster.
+    if not is_local(sc.master if sc is not None else ""):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="gridwatch-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     if sc is not None:
@@ -98,13 +103,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local-cluster`` is not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_path(spark: SparkSession, *parts: str, fresh: bool = False) -> str:
-    """A path under the shared checkpoint folder; ``fresh`` appends a unique leaf."""
-    base = ensure_checkpoint_dir(spark)
+    """A path under this application's part of the shared folder; ``fresh`` appends a unique leaf."""
+    base = application_path(spark)
     leaf = list(parts)
     if fresh:
         leaf.append(uuid.uuid4().hex[:12])
-    return "/".join([base, "gridwatch", *leaf])
+    return "/".join([base, *leaf])
+
+
+def application_path(spark: SparkSession) -> str:
+    sc = _context(spark)
+    name = sc.applicationId if sc is not None else "connect"
+    return f"{ensure_checkpoint_dir(spark)}/gridwatch/{name}"
+
+
+def remove_intermediates(spark: SparkSession) -> bool:
+    """Delete everything this application wrote below the shared folder; call when all results are stored."""
+    return remove_path(spark, application_path(spark))
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder through Hadoop's file system interface (any store that Spark reaches)."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialised(df, *parts: str):
+    """Write ``df`` once to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = shared_path(spark, *parts, fresh=True)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df, spark: SparkSession | None = None):

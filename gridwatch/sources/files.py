@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from gridwatch.operators.clean import csv_to_typed, snapshot_to_raw, type_incidents
 from gridwatch.operators.facts import snapshot_limit
 from gridwatch.schema import CSV_INCIDENT, SNAPSHOT_INCIDENT
+from gridwatch.session import materialised
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -45,27 +46,44 @@ def write_json_list(df: DataFrame, path: str) -> None:
 
 
 def with_file_order(df: DataFrame, seq_col: str = "seq") -> DataFrame:
-    """Add an arrival-order column for a file read.
+    """Add the arrival order of a file read: rows numbered 0, 1, ... by (file path, place in the file).
 
-    ``monotonically_increasing_id`` grows with the file split and the row
-    position inside it, so it keeps file order; and because file splits are
-    fixed, a recomputed task (executor loss) yields the same values.
+    Spark packs splits into tasks by size, so neither task order nor
+    ``monotonically_increasing_id`` is file order.  The rows are written once (the
+    bronze copy) with their path, split start and running number; counting
+    rows per split gives each split's offset.  The numbers do not depend on
+    how the files were split.
     """
-    return df.withColumn(seq_col, F.monotonically_increasing_id())
+    from pyspark.sql import Window
 
+    rows = materialised(df.select(
+        "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at")), "bronze")
+    # One row per split: its rows lie in one task, in order.
+    splits = rows.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_path", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (rows.join(offsets, ["_path", "_start"])
+            .withColumn(seq_col, F.col("_before") + F.col("_at") - F.col("_first"))
+            .drop("_path", "_start", "_at", "_first", "_before"))
 
-def read_incident_csv(spark: SparkSession, path: str) -> DataFrame:
+
+def read_incident_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Incident CSV with header -> canonical typed incidents (CSV semantics)."""
     csv = spark.read.option("header", True).schema(CSV_INCIDENT).csv(path)
     return csv_to_typed(with_file_order(csv))
 
 
 def read_snapshot(spark: SparkSession, path: str, multiline: bool = True,
-                  limit: int = SNAPSHOT_CAP) -> DataFrame:
-    """Historical snapshot (list of string records) -> typed incidents, first ``limit`` rows."""
+                  limit: int | None = None) -> DataFrame:
+    """Historical snapshot (list of string records) -> typed incidents in file order.
+
+    All rows unless the caller asks for the first ``limit`` (``SNAPSHOT_CAP`` is
+    the cap of the original request); ``facts.beyond_limit`` counts what a limit drops.
+    """
     snap = with_file_order(read_json_list(spark, path, SNAPSHOT_INCIDENT, multiline))
     typed = type_incidents(snapshot_to_raw(snap))
-    return snapshot_limit(typed, limit) if limit else typed
+    return typed if limit is None else snapshot_limit(typed, limit)
 
 
 def publish_json(df: DataFrame, path: str, fields: list[str] | None = None) -> DataFrame:

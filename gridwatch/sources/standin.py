@@ -51,8 +51,8 @@ def incident_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "(user_id * 37 % 131) * 0.001 + (event_id % 3) * 0.0001, 4) AS string) END"),
         "longitude": ("cast(round(-82.42 + (user_id * 53 % 151) * 0.001 + "
                       "(event_id % 5) * 0.0001, 4) AS string)"),
-        "city": "'Gainesville'",
-        "state": "'FL'",
+        "city": "'Springfield'",
+        "state": "'ST'",
     }
     order = ["seq"] + [f.name for f in RAW_INCIDENT.fields]
     return ev.select(*[F.expr(cols[c]).alias(c) for c in order])
@@ -65,14 +65,27 @@ def incident_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("seq", F.to_json(F.struct(*fields)).alias("value"))
 
 
+def late_incident_json(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
+    """``incident_json`` with every fifth offence ``days`` earlier: reports that come late."""
+    raw = incident_payloads(spark, sf_dir)
+    earlier = F.date_format(F.col("offense_date").try_cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    raw = raw.withColumn("offense_date", F.when((F.col("seq") % 5 == 0) & earlier.isNotNull(), earlier).otherwise(F.col("offense_date")))
+    return raw.select("seq", F.to_json(F.struct(*[f.name for f in RAW_INCIDENT.fields])).alias("value"))
+
+
 def poi_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``part`` -> POI dump elements (type, id, lat, lon, center, tags).
 
     Even keys are nodes (own lat/lon), odd keys are ways (centre only).  Every
     7th has no name tag; every 89th node sits at latitude 0 and every 97th
-    element has no coordinates at all.
+    element has no coordinates at all.  ``seq`` is the order in the dump; every 10th
+    element comes a second time, later, under another name and amenity.
     """
-    p = read_table(spark, sf_dir, "part")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", F.col("p_partkey").cast("long").alias("seq"))
+    again = p.filter("p_partkey % 10 = 0").select(
+        "p_partkey", (F.col("p_size") + 1).alias("p_size"), F.upper("p_name").alias("p_name"),
+        (F.col("seq") + F.lit(1 << 32)).alias("seq"))
+    p = p.unionByName(again)
     lat = F.expr("29.59D + (p_partkey * 41 % 131) * 0.001D")
     lon = F.expr("-82.42D + (p_partkey * 29 % 151) * 0.001D")
     picks = F.array(*[F.lit(w) for w in AMENITY_PICK])
@@ -91,4 +104,5 @@ def poi_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_node & ~no_coords, lon).cast("double").alias("lon"),
         F.when(~is_node & ~no_coords, center).alias("center"),
         tags.alias("tags"),
+        "seq",
     )

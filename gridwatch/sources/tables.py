@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwatch.operators import graph
+from gridwatch.operators.facts import pick_by_seq
 from gridwatch.schema import FACT
 
 DAY_COL = "offense_day"
@@ -26,11 +27,11 @@ def conform(df: DataFrame, schema=FACT) -> DataFrame:
 def write_fact(fact: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store the fact table, partitioned by offense day (NULL dates in their own partition).
 
-    Rows are clustered by day before the write so each task writes few files
-    (one shuffle; AQE sizes the partitions).
+    Rows are rebalanced by day: few files per day, and AQE splits a day that is larger than
+    the advisory partition size over several tasks and files.
     """
     out = conform(fact).withColumn(DAY_COL, F.to_date("offense_date"))
-    (out.repartition(DAY_COL).sortWithinPartitions(DAY_COL, "latitude", "longitude")
+    (out.hint("rebalance", F.col(DAY_COL)).sortWithinPartitions(DAY_COL, "latitude", "longitude")
      .write.mode(mode).partitionBy(DAY_COL).parquet(path))
 
 
@@ -56,6 +57,38 @@ def facts_in_bbox(spark: SparkSession, path: str, bbox: tuple[float, float, floa
             .select("id", "incident_type", "offense_date", "latitude", "longitude"))
 
 
+def upsert_places(places: DataFrame, root: str, load: str) -> None:
+    """Store one load of Place nodes; loads are merged on read, the later name winning.
+
+    Writing a load again replaces it.
+    """
+    places.write.mode("overwrite").parquet(f"{root.rstrip('/')}/place/load={load}")
+
+
+def read_places(spark: SparkSession, root: str) -> DataFrame:
+    """Place nodes: per (type, id) the last element of the last load that has it."""
+    stored = spark.read.option("recursiveFileLookup", "false").parquet(f"{root.rstrip('/')}/place")
+    stored = stored.withColumn("_order", F.struct(F.col("load").cast("string"), "seq"))
+    columns = [c for c in stored.columns if c not in ("load", "_order")]
+    return pick_by_seq(stored, ["osm_type", "osm_id"], columns, last=True, seq="_order")
+
+
+def write_near(near: DataFrame, root: str) -> None:
+    """Full refresh of the stored OCCURRED_NEAR edges (case_id, osm_type, osm_id, distance_m)."""
+    near.write.mode("overwrite").parquet(f"{root.rstrip('/')}/occurred_near")
+
+
+def read_all_edges(spark: SparkSession, root: str) -> DataFrame:
+    """The stored incident edges and OCCURRED_NEAR edges as one (edge_type, src, dst) table."""
+    edges = spark.read.parquet(f"{root.rstrip('/')}/edges").select("edge_type", "src", "dst")
+    return edges.unionByName(graph.near_edges(spark.read.parquet(f"{root.rstrip('/')}/occurred_near")))
+
+
+def write_risk(scores: DataFrame, root: str) -> None:
+    """Full refresh of the stored risk table (address, band, risk_score, incidents): old scores go."""
+    scores.write.mode("overwrite").parquet(f"{root.rstrip('/')}/risk")
+
+
 def graph_tables(g: DataFrame) -> dict[str, DataFrame]:
     """All node and edge tables of the incident graph."""
     return {

@@ -8,18 +8,16 @@ is already stored it excludes its own directory.  ``run`` is derived from the
 checkpoint location, so a restart on the same checkpoint reuses the same
 names and a new checkpoint never touches another run's batches.
 
-Semantics per table (the reference's MERGE / ON CONFLICT rules):
-
-* fact: insert-if-absent by ``id``; inside a batch the first row by ``seq``.
-* Location: insert-if-absent by address (first point wins, a NULL point too).
-* Day / Season nodes, all edges: insert-if-absent by key.
-* Incident / TimeBlock: last-wins attributes.  Stored append-only with
-  ``seq``; readers take the last row per key (merge on read), so a batch never
-  rewrites older batches.
-
-Lookups of stored keys read only the key columns (Parquet column pruning) and
-are semi-joined with the batch's keys; the batch is bounded by the trigger
-limit, so AQE can broadcast it instead of shuffling the stored table.
+No batch reads what is stored: each appends its own rows with ``seq``, and
+readers merge (the reference's MERGE / ON CONFLICT rules):
+
+* fact, Location: first-wins by ``seq`` over all batches (a NULL first point stays NULL),
+  so a record that arrives in a later batch with a smaller ``seq`` still wins;
+* Incident, TimeBlock: last-wins attributes by ``seq``;
+* Day, Season, edges: sets.
+
+Inside a batch the same rules pre-aggregate, so an id replayed a million times in a
+batch is stored once.  ``compact`` folds the batches of a table into one.
 """
 
 from __future__ import annotations
@@ -28,9 +26,10 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from gridwatch.operators import clean, facts, graph
+from gridwatch.schema import FACT_COLUMNS
+from gridwatch.session import remove_path
 
 BATCH_COL = "batch"
 
@@ -39,37 +38,20 @@ def run_token(checkpoint: str) -> str:
     return "b" + hashlib.sha1(checkpoint.encode()).hexdigest()[:10]
 
 
-def read_table(spark: SparkSession, path: str, exclude_batch: str | None = None) -> DataFrame | None:
-    """Stored rows (all batches, or all but one); None when nothing is stored yet."""
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    if exclude_batch is not None:
-        df = df.filter(F.col(BATCH_COL) != exclude_batch)
-    return df
-
-
 def _write(df: DataFrame, path: str, batch_key: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH_COL}={batch_key}")
 
 
-def _new_keys(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], batch_key: str) -> DataFrame:
-    stored = read_table(spark, path, exclude_batch=batch_key)
-    if stored is None:
-        return rows
-    known = stored.select(*keys).join(rows.select(*keys), keys, "left_semi")
-    return rows.join(known, keys, "left_anti")
-
-
 class IncidentSink:
     """``foreachBatch`` callback writing quarantine, fact and graph tables under ``root``."""
 
-    def __init__(self, root: str, checkpoint: str, write_fact: bool = True, write_graph: bool = True):
+    def __init__(self, root: str, checkpoint: str, write_fact: bool = True, write_graph: bool = True,
+                 write_edges: bool = True):
         self.root = root.rstrip("/")
         self.token = run_token(checkpoint)
         self.write_fact = write_fact
         self.write_graph = write_graph
+        self.write_edges = write_edges
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -81,123 +63,111 @@ class IncidentSink:
         try:
             if batch.isEmpty():
                 return
-            spark = batch_df.sparkSession
             key = f"{self.token}_{batch_id:012d}"
             typed = clean.type_incidents(batch)
             if self.write_fact:
                 # Quarantine belongs to the fact side: in two-query mode the
                 # graph query must not store the same defects a second time.
                 _write(clean.quarantine(batch), self.path("quarantine"), key)
-                first = facts.fact_first_wins(typed)
-                _write(_new_keys(spark, first, self.path("fact"), ["id"], key), self.path("fact"), key)
+                _write(facts.fact_first_wins(typed), self.path("fact"), key)
             if self.write_graph:
-                self._graph(spark, graph.graph_input(typed), key)
+                self._graph(graph.graph_input(typed), key)
         finally:
             batch.unpersist()
 
-    def _graph(self, spark: SparkSession, g: DataFrame, key: str) -> None:
-        locs = graph.location_nodes(g)
-        _write(_new_keys(spark, locs, self.path("location"), ["address"], key), self.path("location"), key)
-        for table, nodes in (("day", graph.day_nodes(g)), ("season", graph.season_nodes(g))):
-            _write(_new_keys(spark, nodes, self.path(table), ["name"], key), self.path(table), key)
-        inc = facts.pick_by_seq(g, ["id"], ["id", "incident_type", "description", "seq"], last=True)
-        _write(inc.withColumnRenamed("id", "case_id"), self.path("incident"), key)
-        tb = g.groupBy("hour").agg(F.max_by(F.struct("part_of_day", "seq"), "seq").alias("v")) \
-            .select("hour", "v.part_of_day", "v.seq")
-        _write(tb, self.path("time_block"), key)
-        edges = graph.edges_all(g)
-        _write(_new_keys(spark, edges, self.path("edges"), ["edge_type", "src", "dst"], key),
-               self.path("edges"), key)
+    def _graph(self, g: DataFrame, key: str) -> None:
+        locations = facts.pick_by_seq(g, ["location_key"], ["location_key", "latitude", "longitude", "seq"])
+        _write(locations, self.path("location"), key)
+        _write(graph.day_nodes(g), self.path("day"), key)
+        _write(graph.season_nodes(g), self.path("season"), key)
+        incidents = facts.pick_by_seq(g, ["id"], ["id", "incident_type", "description", "seq"], last=True)
+        _write(incidents.withColumnRenamed("id", "case_id"), self.path("incident"), key)
+        _write(facts.pick_by_seq(g, ["hour"], ["hour", "part_of_day", "seq"], last=True), self.path("time_block"), key)
+        if self.write_edges:
+            _write(graph.edges_all(g), self.path("edges"), key)
+
+
+class EdgeSink:
+    """``foreachBatch`` for edges that the stream's own state has already made distinct."""
+
+    def __init__(self, root: str, checkpoint: str):
+        self.path = f"{root.rstrip('/')}/edges"
+        self.token = run_token(checkpoint)
+
+    def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
+        _write(batch_df, self.path, f"{self.token}_{batch_id:012d}")
 
 
 # ---------------------------------------------------------------------------
 # Readers (current state of each table)
 # ---------------------------------------------------------------------------
 
+def _first_facts(df: DataFrame) -> DataFrame:
+    return facts.pick_by_seq(df, ["id"], [*FACT_COLUMNS, "seq"])
+
+
+def _first_locations(df: DataFrame) -> DataFrame:
+    return facts.pick_by_seq(df, ["location_key"], ["location_key", "latitude", "longitude", "seq"])
+
+
+def _last_incidents(df: DataFrame) -> DataFrame:
+    return facts.pick_by_seq(df, ["case_id"], ["case_id", "incident_type", "description", "seq"], last=True)
+
+
+def _last_time_blocks(df: DataFrame) -> DataFrame:
+    return facts.pick_by_seq(df, ["hour"], ["hour", "part_of_day", "seq"], last=True)
+
+
+def _as_set(df: DataFrame) -> DataFrame:
+    return df.drop(BATCH_COL).distinct()
+
+
+#: How the batches of each table merge; merging twice gives the same rows.
+MERGES = {"fact": _first_facts, "location": _first_locations, "incident": _last_incidents,
+          "time_block": _last_time_blocks, "day": _as_set, "season": _as_set, "edges": _as_set}
+
+
+def read_merged(spark: SparkSession, root: str, table: str) -> DataFrame:
+    return MERGES[table](spark.read.parquet(f"{root}/{table}"))
+
+
 def read_fact(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/fact").drop(BATCH_COL)
+    return read_merged(spark, root, "fact")
 
 
 def read_edges(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/edges").drop(BATCH_COL)
+    return read_merged(spark, root, "edges")
 
 
 def read_locations(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/location").drop(BATCH_COL)
+    """Location nodes: the first point per address over all batches."""
+    return graph.as_location_nodes(read_merged(spark, root, "location"))
 
 
 def read_incidents(spark: SparkSession, root: str) -> DataFrame:
     """Incident nodes: last row per case_id across batches."""
-    df = spark.read.parquet(f"{root}/incident")
-    return facts.pick_by_seq(df, ["case_id"], ["case_id", "incident_type", "description"], last=True)
+    return read_merged(spark, root, "incident").drop("seq")
 
 
 def read_time_blocks(spark: SparkSession, root: str) -> DataFrame:
-    df = spark.read.parquet(f"{root}/time_block")
-    return df.groupBy("hour").agg(F.max_by("part_of_day", "seq").alias("part_of_day"))
+    return read_merged(spark, root, "time_block").drop("seq")
 
 
 def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/quarantine").drop(BATCH_COL)
 
 
-class EntitySink:
-    """``foreachBatch`` for the keyed-state stream: newly inserted entities -> their tables.
+def compact(spark: SparkSession, root: str, table: str, name: str) -> None:
+    """Fold all batches of a table, as stored now, into the batch ``name``; then delete them.
 
-    Each batch holds only entities never stored before, so nothing is read
-    back; each table gets the batch's own directory (overwrite on retry).
+    Readers merge, so they see the same rows before, between and after the two steps, and a batch
+    that its stream writes again later does no harm.
     """
-
-    def __init__(self, root: str, checkpoint: str):
-        self.root = root.rstrip("/")
-        self.token = run_token(checkpoint)
-
-    def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
-        batch = batch_df.persist()
-        try:
-            if batch.isEmpty():
-                return
-            key = f"{self.token}_{batch_id:012d}"
-            kind = F.col("kind")
-            _write(batch.filter(kind == "fact").select("fact.*", "seq"), f"{self.root}/fact", key)
-            _write(batch.filter(kind == "location").select(
-                F.col("k1").alias("address"), "lat", "lon", F.lit(clean.LOCATION_KIND).alias("type")),
-                f"{self.root}/location", key)
-            _write(batch.filter(kind.startswith("edge:")).select(
-                F.substring_index(kind, ":", -1).alias("edge_type"), F.col("k1").alias("src"),
-                F.col("k2").alias("dst")), f"{self.root}/edges", key)
-        finally:
-            batch.unpersist()
-
-
-class AppendSink:
-    """``foreachBatch`` for the stateless side of the keyed-state stream.
-
-    Writes quarantine rows, last-wins Incident / TimeBlock rows (merged on
-    read) and new Day / Season nodes (a dozen values at most: partial
-    aggregate, then a check against their tiny stored tables).
-    """
-
-    def __init__(self, root: str, checkpoint: str):
-        self.root = root.rstrip("/")
-        self.token = run_token(checkpoint)
-
-    def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
-        batch = batch_df.persist()
-        try:
-            if batch.isEmpty():
-                return
-            key = f"{self.token}_{batch_id:012d}"
-            _write(clean.quarantine(batch), f"{self.root}/quarantine", key)
-            g = graph.graph_input(clean.type_incidents(batch))
-            inc = facts.pick_by_seq(g, ["id"], ["id", "incident_type", "description", "seq"], last=True)
-            _write(inc.withColumnRenamed("id", "case_id"), f"{self.root}/incident", key)
-            tb = g.groupBy("hour").agg(F.max_by(F.struct("part_of_day", "seq"), "seq").alias("v")) \
-                .select("hour", "v.part_of_day", "v.seq")
-            _write(tb, f"{self.root}/time_block", key)
-            spark = batch_df.sparkSession
-            for table, nodes in (("day", graph.day_nodes(g)), ("season", graph.season_nodes(g))):
-                path = f"{self.root}/{table}"
-                _write(_new_keys(spark, nodes, path, ["name"], key), path, key)
-        finally:
-            batch.unpersist()
+    path = f"{root}/{table}"
+    stored = spark.read.parquet(path)
+    old = [r[0] for r in stored.select(BATCH_COL).distinct().collect()]  # one row per batch
+    if name in old:
+        raise ValueError(f"batch {name} is stored already")
+    _write(MERGES[table](stored), path, name)
+    for key in old:
+        remove_path(spark, f"{path}/{BATCH_COL}={key}")

@@ -1,9 +1,9 @@
-"""Event-time window counts on the incident stream (watermarked, update mode).
+"""Event-time window counts on the incident stream, without loss of late rows.
 
-State is bounded by the watermark: a window's counter is dropped once the
-watermark passes its end.  Each micro-batch emits the windows it changed; the
-sink stores them per batch and the reader keeps the newest value per window
-(merge on read), so the stored table always holds the current counts.
+Offences are often reported months late.  A watermark would drop such rows without a trace, so the
+stream keeps no window state: each micro-batch stores the partial counts of the windows it touched
+(one row per window and type, whatever its lateness), and readers add them up.  A retried
+batch overwrites its own rows.
 """
 
 from __future__ import annotations
@@ -14,39 +14,30 @@ from pyspark.sql import functions as F
 from gridwatch.operators.clean import type_incidents
 from gridwatch.streaming.sinks import BATCH_COL, run_token
 
+KEYS = ["window_start", "window_end", "incident_type"]
 
-def window_counts(parsed: DataFrame, size: str = "1 day", watermark: str = "30 days") -> DataFrame:
-    """Incidents per (tumbling window of ``offense_date``, incident_type).
 
-    Watermarks need a zoned TIMESTAMP, so the zone-free ``offense_date`` is
-    read as a session-zone instant for the window and the bounds are turned
-    back into zone-free values (the session zone is UTC: no DST gaps).
-    """
-    t = type_incidents(parsed).withColumn("event_time", F.col("offense_date").cast("timestamp"))
-    w = F.window("event_time", size)
-    return (t.withWatermark("event_time", watermark)
-            .groupBy(w.alias("w"), "incident_type")
+def window_counts(typed: DataFrame, size: str = "1 day") -> DataFrame:
+    """Incidents per (tumbling window of ``offense_date``, incident_type); rows without a date are left out."""
+    return (typed.filter(F.col("offense_date").isNotNull())
+            .groupBy(F.window("offense_date", size).alias("w"), "incident_type")
             .agg(F.count(F.lit(1)).alias("incidents"))
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-                    "incident_type", "incidents"))
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "incident_type", "incidents"))
 
 
-class UpdateSink:
-    """``foreachBatch`` callback storing each batch's updated rows under its own directory."""
+class CountSink:
+    """``foreachBatch`` callback storing each batch's window counts under its own directory."""
 
-    def __init__(self, path: str, checkpoint: str):
+    def __init__(self, path: str, checkpoint: str, size: str):
         self.path = path.rstrip("/")
         self.token = run_token(checkpoint)
+        self.size = size
 
     def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
-        if batch_df.isEmpty():
-            return
-        (batch_df.withColumn("_batch_id", F.lit(batch_id).cast("long"))
+        (window_counts(type_incidents(batch_df), self.size)
          .write.mode("overwrite").parquet(f"{self.path}/{BATCH_COL}={self.token}_{batch_id:012d}"))
 
 
 def read_window_counts(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
-    keys = ["window_start", "window_end", "incident_type"]
-    return df.groupBy(*keys).agg(F.max_by("incidents", "_batch_id").alias("incidents"))
+    return spark.read.parquet(path).groupBy(*KEYS).agg(F.sum("incidents").alias("incidents"))

@@ -49,24 +49,24 @@ def test_typing_is_ansi_safe(spark):
     assert reasons[1] == "bad_offense_date,bad_hour,bad_latitude"
 
 
-def test_csv_demo_seed_risk(spark, scratch):
+def test_csv_night_and_afternoon_risk(spark, scratch):
     from gridwatch.operators import graph, risk
     from gridwatch.sources.files import read_incident_csv
 
     path = scratch + "/seed.csv"
     spark.createDataFrame(
-        [("1", "Theft", "University Ave & 13th St", 29.6516, -82.3248, "2023-10-31 23:00:00"),
-         ("2", "Assault", "34th St & Archer Rd", 29.6190, -82.3730, "2023-11-01 14:30:00")],
+        [("n1", "Vandalism", "12 Harbour Row", 29.6401, -82.3105, "2024-02-17 02:15:00"),
+         ("n2", "Fraud", "8 Mill Lane", 29.6022, -82.3909, "2024-07-05 13:40:00")],
         "ID string, `Crime Type` string, Location string, Latitude double, Longitude double, "
         "`Incident Date` string").coalesce(1).write.option("header", True).csv(path)
     typed = read_incident_csv(spark, path)
     g = graph.graph_input(typed)
     parts = {r.id: (r.part_of_day, r.season) for r in g.collect()}
-    assert parts == {"1": ("night", "Fall"), "2": ("afternoon", "Fall")}
+    assert parts == {"n1": ("night", "Winter"), "n2": ("afternoon", "Summer")}
     night = {r.address: r.risk_score for r in risk.risk_band(g, "night").collect()}
     day = {r.address: r.risk_score for r in risk.risk_band(g, "day").collect()}
-    assert night == {"University Ave & 13th St": 1}
-    assert day == {"34th St & Archer Rd": 1}
+    assert night == {"12 Harbour Row": 1}
+    assert day == {"8 Mill Lane": 1}
 
 
 def test_csv_defaults_and_us_dates(spark, scratch):
@@ -89,9 +89,9 @@ def test_snapshot_roundtrip_two_rows(spark, scratch):
 
     path = scratch + "/historical.json"
     rows = [{"incident_id": "1", "incident_type": "Theft", "incident_date": "2023-01-01",
-             "latitude": "29.6516", "longitude": "-82.3248"},
+             "latitude": "29.6111", "longitude": "-82.3222"},
             {"incident_id": "2", "incident_type": "Assault", "incident_date": "2023-01-02",
-             "latitude": "29.6190", "longitude": "-82.3730"}]
+             "latitude": "29.6333", "longitude": "-82.3444"}]
     import os
 
     os.makedirs(path, exist_ok=True)
@@ -99,8 +99,9 @@ def test_snapshot_roundtrip_two_rows(spark, scratch):
         fh.write(json.dumps(rows))
     out = read_snapshot(spark, path).orderBy("seq").collect()
     assert [(r.id, r.incident_type, r.latitude, r.longitude) for r in out] == [
-        ("1", "Theft", 29.6516, -82.3248), ("2", "Assault", 29.619, -82.373)]
-    assert read_snapshot(spark, path, limit=1).count() == 1
+        ("1", "Theft", 29.6111, -82.3222), ("2", "Assault", 29.6333, -82.3444)]
+    assert [r.id for r in read_snapshot(spark, path, limit=1).collect()] == ["1"]
+    assert facts.beyond_limit(read_snapshot(spark, path), 1) == 1
 
 
 def test_missing_snapshot_fails_visibly(spark, scratch):
@@ -113,9 +114,45 @@ def test_missing_snapshot_fails_visibly(spark, scratch):
         read_snapshot(spark, scratch + "/does-not-exist.json").collect()
 
 
+def _write_csv(path, rows):
+    import os
+
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as fh:
+        fh.write("ID,Crime Type,Location,Latitude,Longitude,Incident Date\n")
+        fh.writelines(",".join(r) + "\n" for r in rows)
+
+
+def test_earlier_and_smaller_file_comes_first(spark, scratch):
+    from gridwatch.sources.files import read_incident_csv
+
+    _write_csv(f"{scratch}/2024-01.csv", [("x", "first", "A", "1", "1", "2024-01-01 10:00:00")])
+    _write_csv(f"{scratch}/2024-02.csv", [("x", "second", "B", "1", "1", "2024-02-01 10:00:00")] + [
+        (f"f{i}", "filler", "C", "1", "1", "2024-02-01 10:00:00") for i in range(500)])
+    rows = read_incident_csv(spark, scratch)
+    assert {r.id: r.incident_type for r in facts.fact_first_wins(rows).collect()}["x"] == "first"
+    assert sorted(r.seq for r in rows.collect()) == list(range(502))
+
+
+def test_keyless_ids_do_not_depend_on_splits(spark, scratch):
+    from gridwatch.sources.files import read_incident_csv
+
+    _write_csv(f"{scratch}/a.csv", [("", f"type {i}", "A", "1", "1", "2024-01-01 10:00:00") for i in range(300)])
+    _write_csv(f"{scratch}/b.csv", [("", f"other {i}", "A", "1", "1", "2024-01-01 10:00:00") for i in range(50)])
+    seen = []
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128MB", "1500b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            seen.append(sorted((r.id, r.incident_type) for r in read_incident_csv(spark, scratch).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert seen[0] == seen[1] and len({i for i, _ in seen[0]}) == 350
+
+
 def test_snapshot_limit_exact_first_n(spark):
     df = spark.range(0, 50_000, numPartitions=16).select((F.col("id") * 7 % 50_000).alias("seq"),
                                                           F.col("id").cast("string").alias("v"))
     for n in (1, 999, 12_345, 49_999, 50_000, 60_000):
-        got = [r.seq for r in facts.snapshot_limit(df, n, accuracy=500).collect()]
+        got = [r.seq for r in facts.snapshot_limit(df, n).collect()]
         assert sorted(got) == list(range(min(n, 50_000)))

@@ -86,9 +86,10 @@ def test_hot_cell_all_pairs_kept(spark):
     assert out.count() == 120 * 119 // 2
 
 
-def test_within_radius_broadcasts_given_points(spark):
+def test_within_radius_leaves_the_join_to_the_measured_size(spark):
     pts = spark.createDataFrame([(1, 29.65, -82.32)], "point_id int, lat double, lon double")
     fact = spark.createDataFrame([("a", 29.651, -82.32), ("b", 29.70, -82.32)],
                                  "id string, latitude double, longitude double")
-    df = proximity.within_radius(pts, fact, 1000.0, n_points=1)
+    df = proximity.within_radius(pts, fact, 1000.0)
     assert [r.id for r in df.collect()] == ["a"]
+    assert "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString()

@@ -24,7 +24,7 @@ def test_stream_one_and_many_batches_equal_batch(spark, scratch):
     for n_files in (1, 5):
         base = f"{scratch}/n{n_files}"
         source.land_records(records, f"{base}/landing", n_files)
-        runner.run_incidents(spark, f"{base}/landing", f"{base}/store", f"{base}/ckpt")
+        runner.run_incidents(spark, source.file_stream(spark, f"{base}/landing"), f"{base}/store", f"{base}/ckpt")
         got = _rows(sinks.read_fact(spark, f"{base}/store").select("id", "seq"))
         assert got == want
         edges = _rows(sinks.read_edges(spark, f"{base}/store").select("edge_type", "src", "dst"))
@@ -36,13 +36,13 @@ def test_replay_is_idempotent(spark, scratch):
     records = standin.incident_json(spark, SF)
     source.land_records(records, f"{scratch}/landing", 3)
     store = f"{scratch}/store"
-    runner.run_incidents(spark, f"{scratch}/landing", store, f"{scratch}/ckpt")
+    runner.run_incidents(spark, source.file_stream(spark, f"{scratch}/landing"), store, f"{scratch}/ckpt")
     first = _rows(sinks.read_fact(spark, store))
     # Same checkpoint: nothing new to read.
-    runner.run_incidents(spark, f"{scratch}/landing", store, f"{scratch}/ckpt")
+    runner.run_incidents(spark, source.file_stream(spark, f"{scratch}/landing"), store, f"{scratch}/ckpt")
     assert _rows(sinks.read_fact(spark, store)) == first
     # New checkpoint over the same store: everything is re-read, nothing is re-inserted.
-    runner.run_incidents(spark, f"{scratch}/landing", store, f"{scratch}/ckpt2")
+    runner.run_incidents(spark, source.file_stream(spark, f"{scratch}/landing"), store, f"{scratch}/ckpt2")
     assert _rows(sinks.read_fact(spark, store)) == first
     assert sinks.read_edges(spark, store).groupBy("edge_type", "src", "dst").count() \
         .filter(F.col("count") > 1).count() == 0
@@ -62,17 +62,94 @@ def test_retried_batch_overwrites_itself(spark, scratch):
 def test_window_counts_stream(spark, scratch):
     records = standin.incident_json(spark, SF)
     source.land_records(records, f"{scratch}/landing", 3)
-    got = runner.run_window_counts(spark, f"{scratch}/landing", f"{scratch}/out", f"{scratch}/ckpt")
+    got = runner.run_window_counts(spark, source.file_stream(spark, f"{scratch}/landing"), f"{scratch}/out", f"{scratch}/ckpt")
     t = clean.type_incidents(standin.incident_payloads(spark, SF)).filter(F.col("offense_date").isNotNull())
     want = t.groupBy(F.to_date("offense_date").alias("d"), "incident_type").count()
     assert got.count() == want.count()
     assert got.agg(F.sum("incidents")).first()[0] == t.count()
 
 
+def _late_feed(spark, path):
+    """Three files in order: March, then offences of January that are reported late."""
+    rows = [(1, "a", "2024-03-10 12:00:00"), (2, "b", "2024-01-02 12:00:00"), (3, "c", "2024-01-03 12:00:00")]
+    for seq, i, day in rows:
+        df = spark.createDataFrame([(seq, i, day)], "seq long, id string, offense_date string").select(
+            "seq", F.to_json(F.struct("id", "offense_date", F.lit("Theft").alias("narrative"), F.lit("29.6").alias("latitude"),
+                                      F.lit("-82.3").alias("longitude"))).alias("value"))
+        df.coalesce(1).write.mode("append").json(path)
+
+
+def test_late_rows_are_counted_and_linked(spark, scratch):
+    from gridwatch.streaming import near
+
+    _late_feed(spark, f"{scratch}/landing")
+    got = runner.run_window_counts(spark, source.file_stream(spark, f"{scratch}/landing"), f"{scratch}/out", f"{scratch}/w")
+    assert sorted(str(r.window_start)[:10] for r in got.collect()) == ["2024-01-02", "2024-01-03", "2024-03-10"]
+    runner.run_incidents(spark, source.file_stream(spark, f"{scratch}/landing"), f"{scratch}/store", f"{scratch}/ckpt")
+    pairs = near.run_near_stream(spark, f"{scratch}/store", f"{scratch}/near", f"{scratch}/n", 500.0, 7, max_files_per_trigger=1)
+    assert _rows(pairs.select("id_a", "id_b")) == [("b", "c")]
+
+
+def test_smaller_seq_in_a_later_batch_wins(spark, scratch):
+    def batch(seq, lat):
+        value = F.to_json(F.struct(F.lit("x").alias("id"), F.lit("Main").alias("address"), F.lit(lat).alias("latitude"),
+                                   F.lit("-82.3").alias("longitude")))
+        return source.parsed(spark.range(1).select(F.lit(seq).alias("seq"), value.alias("value")))
+
+    sink = sinks.IncidentSink(f"{scratch}/store", f"{scratch}/ckpt")
+    sink(batch(100, "1.0"), 0)
+    sink(batch(5, "2.0"), 1)
+    assert [(r.seq, r.latitude) for r in sinks.read_fact(spark, f"{scratch}/store").collect()] == [(5, 2.0)]
+    assert [r.lat for r in sinks.read_locations(spark, f"{scratch}/store").collect()] == [2.0]
+
+
+def test_near_pairs_stand_once_after_a_retried_batch(spark, scratch):
+    from gridwatch.streaming import near
+
+    parsed = source.parsed(standin.incident_json(spark, SF).limit(200))
+    sink = sinks.IncidentSink(f"{scratch}/store", f"{scratch}/ckpt")
+    sink(parsed, 0)
+    args = (f"{scratch}/store", f"{scratch}/near", f"{scratch}/n", 500.0, 7)
+    first = _rows(near.run_near_stream(spark, *args))
+    assert first
+    sink(parsed, 0)  # written again under new file names after it was read
+    assert _rows(near.run_near_stream(spark, *args)) == first
+
+
+def test_compaction_changes_no_row(spark, scratch):
+    parsed = source.parsed(standin.incident_json(spark, SF))
+    sink = sinks.IncidentSink(f"{scratch}/store", f"{scratch}/ckpt")
+    for i in range(3):
+        sink(parsed.filter(F.col("seq") % 3 == i), i)
+    for table in sinks.MERGES:
+        before = _rows(sinks.read_merged(spark, f"{scratch}/store", table))
+        sinks.compact(spark, f"{scratch}/store", table, "folded_1")
+        stored = spark.read.parquet(f"{scratch}/store/{table}")
+        assert [r[0] for r in stored.select("batch").distinct().collect()] == ["folded_1"]
+        assert _rows(sinks.read_merged(spark, f"{scratch}/store", table)) == before
+
+
+def test_failure_of_one_query_stops_the_other(spark, scratch):
+    import pytest
+
+    records = standin.incident_json(spark, SF)
+    source.land_records(records, f"{scratch}/landing", 2)
+    stream = source.parsed(source.file_stream(spark, f"{scratch}/landing"))
+
+    def fails(df, i):
+        raise ValueError("sink is gone")
+
+    queries = [runner.start(stream, fails, f"{scratch}/a", available_now=False),
+               runner.start(stream, lambda df, i: None, f"{scratch}/b", available_now=False)]
+    with pytest.raises(Exception, match="sink is gone"):
+        runner.wait(spark, queries, available_now=False)
+    assert not any(q.isActive for q in queries)
+
+
 def test_progress_counts(spark, scratch):
     records = standin.incident_json(spark, SF)
     source.land_records(records, f"{scratch}/landing", 2)
-    qs = runner.run_incidents(spark, f"{scratch}/landing", f"{scratch}/store", f"{scratch}/ckpt")
+    qs = runner.run_incidents(spark, source.file_stream(spark, f"{scratch}/landing"), f"{scratch}/store", f"{scratch}/ckpt")
     counts = runner.batch_counts(qs[0])
     assert sum(c["records"] for c in counts) == records.count()
 
@@ -81,7 +158,7 @@ def test_stateful_stream_is_insert_once_across_restarts(spark, scratch):
     records = standin.incident_json(spark, SF)
     source.land_records(records, f"{scratch}/landing", 2)
     store, ckpt = f"{scratch}/store", f"{scratch}/ckpt"
-    runner.run_incidents_stateful(spark, f"{scratch}/landing", store, ckpt)
+    runner.run_incidents_stateful(spark, source.file_stream(spark, f"{scratch}/landing"), store, ckpt)
     first = _rows(sinks.read_fact(spark, store).select("id", "seq"))
     assert first == _rows(_batch_fact(spark))
     g = graph.graph_input(clean.type_incidents(standin.incident_payloads(spark, SF)))
@@ -91,9 +168,11 @@ def test_stateful_stream_is_insert_once_across_restarts(spark, scratch):
     assert locs == _rows(graph.location_nodes(g).select("address", "lat", "lon"))
     # The same records arrive again (a replayed topic): state already holds every key.
     source.land_records(records, f"{scratch}/landing", 1)
-    runner.run_incidents_stateful(spark, f"{scratch}/landing", store, ckpt)
+    runner.run_incidents_stateful(spark, source.file_stream(spark, f"{scratch}/landing"), store, ckpt)
     assert _rows(sinks.read_fact(spark, store).select("id", "seq")) == first
     assert _rows(sinks.read_edges(spark, store).select("edge_type", "src", "dst")) == edges
+    # Every edge is stored once: the keyed state dropped the replays.
+    assert spark.read.parquet(f"{store}/edges").count() == len(edges)
 
 
 def test_near_pairs_stream_equals_batch(spark, scratch):
@@ -102,9 +181,8 @@ def test_near_pairs_stream_equals_batch(spark, scratch):
 
     records = standin.incident_json(spark, SF)
     source.land_records(records, f"{scratch}/landing", 3)
-    runner.run_incidents(spark, f"{scratch}/landing", f"{scratch}/store", f"{scratch}/ckpt")
-    got = near.run_near_stream(spark, f"{scratch}/store/fact", f"{scratch}/near", f"{scratch}/near_ckpt",
-                               500.0, 7, watermark="30 days")
+    runner.run_incidents(spark, source.file_stream(spark, f"{scratch}/landing"), f"{scratch}/store", f"{scratch}/ckpt")
+    got = near.run_near_stream(spark, f"{scratch}/store", f"{scratch}/near", f"{scratch}/near_ckpt", 500.0, 7)
     t = clean.type_incidents(standin.incident_payloads(spark, SF))
     want = proximity.near_incident_pairs(facts.fact_first_wins(t), 500.0, 7)
     assert _rows(got.select("id_a", "id_b")) == _rows(want.select("id_a", "id_b"))
@@ -113,7 +191,7 @@ def test_near_pairs_stream_equals_batch(spark, scratch):
 def test_dual_mode_stores_each_quarantined_row_once(spark, scratch):
     records = standin.incident_json(spark, SF)
     source.land_records(records, f"{scratch}/landing", 2)
-    runner.run_incidents(spark, f"{scratch}/landing", f"{scratch}/store", f"{scratch}/ckpt", mode="dual")
+    runner.run_incidents(spark, source.file_stream(spark, f"{scratch}/landing"), f"{scratch}/store", f"{scratch}/ckpt", mode="dual")
     got = _rows(sinks.read_quarantine(spark, f"{scratch}/store").select("seq", "reasons"))
     want = _rows(clean.quarantine(standin.incident_payloads(spark, SF)).select("seq", "reasons"))
     assert got == want
@@ -123,8 +201,8 @@ def test_dual_mode_stores_each_quarantined_row_once(spark, scratch):
 def test_stateful_day_and_season_nodes(spark, scratch):
     records = standin.incident_json(spark, SF)
     source.land_records(records, f"{scratch}/landing", 3)
-    runner.run_incidents_stateful(spark, f"{scratch}/landing", f"{scratch}/store", f"{scratch}/ckpt")
+    runner.run_incidents_stateful(spark, source.file_stream(spark, f"{scratch}/landing"), f"{scratch}/store", f"{scratch}/ckpt")
     g = graph.graph_input(clean.type_incidents(standin.incident_payloads(spark, SF)))
     for table, nodes in (("day", graph.day_nodes(g)), ("season", graph.season_nodes(g))):
-        got = _rows(spark.read.parquet(f"{scratch}/store/{table}").select("name"))
+        got = _rows(sinks.read_merged(spark, f"{scratch}/store", table))
         assert got == _rows(nodes)
