@@ -1,0 +1,93 @@
+"""Toxicity and quality: held-out accuracy, the models' steps by hand, edge cases."""
+
+import zlib
+
+import numpy as np
+import pytest
+
+from gridwatch.llm import quality, toxicity
+from gridwatch.llm.common import load
+
+SF = "/root/testdata/sf0.1"
+
+
+def accuracy(spark, query, label):
+    docs, labels = load(spark, SF, "documents"), load(spark, SF, "labels")
+    truth = {r.doc_id: r[label] for r in labels.collect()}
+    rows = query(docs, labels).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    held = [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in truth]
+    assert len(held) > 500
+    return held
+
+
+def test_toxicity_held_out(spark):
+    held = accuracy(spark, toxicity.toxicity_query, "toxic")
+    caught = [p for t, p in held if t == 1]
+    clean = [p for t, p in held if t == 0]
+    assert sum(caught) / len(caught) > 0.75 and sum(clean) / len(clean) < 0.02
+
+
+def test_quality_held_out(spark):
+    held = accuracy(spark, quality.quality_query, "quality")
+    good = [p for t, p in held if t == 1]
+    bad = [p for t, p in held if t == 0]
+    assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
+
+
+@pytest.mark.parametrize("query", [toxicity.toxicity_query, quality.quality_query])
+def test_edge_cases(spark, query):
+    rows = [(i, f"good text number {i} with some words" if i % 2 else f"scum idiot *** {i} ***") for i in range(80)]
+    rows += [(200, None), (201, ""), (202, " \n"), (203, "x" * 400000), (204, "é🙂 日本"), (None, "good text"), (3, rows[3][1]), (3, "other text of an id")]
+    docs = spark.createDataFrame([(*r, 0.5, "q") for r in rows], "doc_id long, text string, score double, label string")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(80)] + [(5, None, None), (None, 1, 1), (999, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    out = query(docs.repartition(3), labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in out)
+    assert not [r for r in out if r.doc_id is None][0].held_out
+    assert query(docs.limit(0), labels).count() == 0
+    assert len(query(docs, labels.limit(0)).collect()) == len(rows)
+    only = labels.filter("toxic = 1 AND quality = 0")
+    assert len(query(docs, only).collect()) == len(rows)
+
+
+def test_sample_is_bounded(spark):
+    docs, labels = load(spark, SF, "documents"), load(spark, SF, "labels")
+    assert toxicity.sample_labelled(docs, labels, "toxic", 50).count() <= 50
+
+
+def test_ngrams_of_a_text():
+    grams = toxicity.distinct_grams("Ab  c")
+    assert len(grams) == sum(len({" ab c "[i:i + n] for i in range(6 - n + 1)}) for n in toxicity.SIZES)
+    assert set(toxicity.distinct_grams("ab c").tolist()) == set(grams.tolist())
+    assert len(toxicity.distinct_grams(None)) == 0
+
+
+def test_logistic_regression_finds_the_minimum():
+    rng = np.random.default_rng(2)
+    rows, columns = np.repeat(np.arange(60), 3), rng.integers(0, 5, 180)
+    values, labels = rng.random(180), rng.integers(0, 2, 60).astype(float)
+    w, b = toxicity.fit_logistic(rows, columns, values, labels, 5)
+
+    def loss(v):
+        z = np.bincount(rows, values * v[:-1][columns], 60) + v[-1]
+        return (np.log1p(np.exp(z)) - labels * z).sum() + toxicity.PENALTY / 2 * (v[:-1] ** 2).sum()
+
+    best = np.append(w, b)
+    assert all(loss(best) <= loss(best + rng.normal(0, 0.05, 6)) + 1e-6 for _ in range(200))
+
+
+def test_votes_are_those_of_all_products():
+    rng = np.random.default_rng(4)
+    terms = rng.random((300, quality.TERMS)).astype(np.float32)
+    model = {"idf": np.ones(quality.TERMS, np.float32), "mean": terms.mean(axis=0) * 0,
+             "directions": rng.standard_normal((quality.TERMS, quality.RANK)).astype(np.float32),
+             "labels": rng.integers(0, 2, 300).astype(np.float32)}
+    model["vectors"] = quality.latent(terms, model)
+    query = rng.random((7, quality.TERMS)).astype(np.float32)
+    for score, v in zip(quality.votes(query, model), quality.latent(query, model), strict=True):
+        products = model["vectors"] @ v
+        near = np.argsort(-products)[:quality.NEIGHBOURS]
+        weight = np.maximum(products[near], 0).astype(float) ** quality.SHARPNESS + 1e-9
+        assert score == pytest.approx((weight * model["labels"][near]).sum() / weight.sum(), abs=1e-4)
