@@ -7,9 +7,11 @@
    a second one (``pi``) is used for all ``BANDS * ROWS`` coordinates, shifted circularly
    by one place each time.  Bands of ``ROWS`` coordinates make the bucket keys.
    At a similarity of 0.75 a pair misses all bands with a probability of 5e-6.
-3. In each bucket the smallest class is the head; every class is compared with one of
-   its heads (the smallest) on the full sets, and links make components.
-4. Buckets whose members still lie in several components are resolved exactly: among
+3. The most central member of a bucket is its head.  Each class is compared, on the
+   full sets, with that one of its buckets' heads with which it shares most buckets, and links
+   join components; then, where a bucket's members still lie in several components, every member
+   with the bucket's head, which settles buckets of two.
+4. Larger buckets whose members still lie in several components are resolved exactly: among
    their members, a prefix-filter join (two sets with enough in common share one of
    their rarest shingles) yields every pair of different components that can reach the
    threshold, and these are compared on the full sets.  So no bucket is capped, no
@@ -37,6 +39,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 #: Documents are linked where PERCENT * union <= 100 * intersection.
 PERCENT = 75
+#: Bits of a set's bitmap.
+BITS = 2048
 
 U64, U32 = np.uint64, np.uint32
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], U64)
@@ -82,7 +86,7 @@ def shingles(text: bytes, table: np.ndarray) -> np.ndarray:
         return words
     size = min(SHINGLE, len(words))
     n = len(words) - size + 1
-    total = np.full(n, U64(size) * ODD[4], U64)
+    total = np.full(n, size, U64) * ODD[4]
     for j in range(size):
         total += words[j:j + n] * ODD[j]
     return np.unique(mix64(total, ODD[3]))
@@ -150,8 +154,15 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"uid long, doc_id {kind}, n long, f1 long, f2 long, bands array<bigint>, text_key long")
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """``BITS`` bits as longs: bit h is set where some item hashes to h."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(items & U64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, items): the sets of the wanted classes (cls, doc_id, f1, f2), made anew from the texts."""
+    """(cls, n, bits, items): the sets of the wanted classes (cls, doc_id, f1, f2), made anew from the texts."""
 
     def run(batches):
         table = _table()
@@ -162,24 +173,34 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for c, a, b, raw in zip(cls, f1, f2, as_bytes(batch.column(3)), strict=True):
                     items = shingles(raw, table)
                     if fingerprint(items) == (a, b):  # another text may bear the same id
-                        found.append((c, items.view(np.int64)))
+                        found.append((c, len(items), bitmap(items), items.view(np.int64)))
                 if found:
+                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([c for c, _ in found], pa.int64()), pa.array([i for _, i in found], pa.list_(pa.int64()))],
-                        names=["cls", "items"])
+                        [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["cls", "n", "bits", "items"])
 
     rows = (docs.join(wanted.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
             .select("cls", "f1", "f2", "text"))
-    return rows.mapInArrow(run, "cls long, items array<bigint>")
+    return rows.mapInArrow(run, "cls long, n long, bits array<bigint>, items array<bigint>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    """The pairs (a, b) whose sets reach the threshold.
+
+    Bitmaps of the sets go first: a bit that one set has and the other has not stands for at least one
+    shingle that is not shared, so most pairs drop out before full sets are moved.
+    """
+    small = [sets.select(*(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "bits"))) for x in "ab"]
+    lacks = lambda x, y: F.aggregate(F.zip_with(
+        x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, c: n + c)
+    shared = F.least(F.col("n_a") - lacks("bits_a", "bits_b"), F.col("n_b") - lacks("bits_b", "bits_a"))
+    enough = lambda c: (100 + PERCENT) * c >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    left = (pairs.join(small[0], F.col("a") == F.col("cls_a")).join(small[1], F.col("b") == F.col("cls_b"))
+            .filter(enough(shared)).select("a", "b", "n_a", "n_b"))
     a = sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
     b = sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("items_a", "items_b"))
-    return both.filter((100 + PERCENT) * shared >= PERCENT * (F.size("items_a") + F.size("items_b"))).select("a", "b").distinct()
+    return (left.join(a, "a").join(b, "b").filter(enough(F.size(F.array_intersect("items_a", "items_b"))))
+            .select("a", "b").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,36 +210,91 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = staged(edges.select(F.col("a").alias("v"), F.col("b").alias("u"))
                   .unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u"))).distinct(), "edges")
-    labels = staged(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("label")), "labels")
+    labels = both.select("v").distinct().withColumn("label", F.col("v"))
     while True:
-        heard = (both.join(labels.select(F.col("v").alias("u"), "label"), "u").select("v", "label")
-                 .unionByName(labels).groupBy("v").agg(F.min("label").alias("label")))
-        jumped = (heard.alias("x").join(labels.select(F.col("v").alias("label"), F.col("label").alias("further")), "label")
-                  .select("v", F.least("label", "further").alias("label")))
-        now = staged(jumped, "labels")
-        changed = now.join(labels.withColumnRenamed("label", "before"), "v").filter("label <> before").limit(1).count()
-        labels = now
-        if not changed:
-            return labels
+        heard = (both.join(labels.select(F.col("v").alias("u"), "label"), "u").select("v", "label", F.lit(None).cast("long").alias("own"))
+                 .unionByName(labels.select("v", "label", F.col("label").alias("own")))
+                 .groupBy("v").agg(F.min("label").alias("label"), F.max("own").alias("own")))
+        further = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
+        labels = staged(heard.join(further, "label").select("v", F.least("label", "further").alias("label"), "own"), "labels")
+        if labels.filter("label <> own").isEmpty():
+            return labels.drop("own")
+
+
+def joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (cls, label) after links (a, b): the components of the linked labels take their smallest label."""
+    a = labels.select(F.col("cls").alias("a"), F.col("label").alias("x"))
+    b = labels.select(F.col("cls").alias("b"), F.col("label").alias("y"))
+    between = links.join(a, "a").join(b, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = components(between).select(F.col("v").alias("label"), F.col("label").alias("new"))
+    return staged(labels.join(merged, "label", "left").select("cls", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, size, cls, label, head, head_label) of the buckets that hold several components.
+
+    The head is the most central member: the one with most neighbours over all its buckets.
+    """
+    named = buckets.join(labels, "cls")
+    heads = (named.groupBy("key").agg(F.max(F.struct("central", "cls", "label")).alias("first"),
+                                      F.min("label").alias("low"), F.max("label").alias("high"))
+             .filter("low <> high").select("key", F.col("first.cls").alias("head"), F.col("first.label").alias("head_label")))
+    return named.join(heads, "key").drop("central")
+
+
+def outside(members: DataFrame) -> DataFrame:
+    return members.filter("label <> head_label")
+
+
+def head_pairs(members: DataFrame) -> DataFrame:
+    """One pair (a, b) per class that lies outside a head's component: the head it shares most buckets with."""
+    return (outside(members).groupBy("cls", "head").agg(F.count("*").alias("shared"))
+            .groupBy("cls").agg(F.max(F.struct("shared", "head")).alias("most"))
+            .select(F.least("cls", "most.head").alias("a"), F.greatest("cls", "most.head").alias("b")).distinct())
 
 
 def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of members (cls, label) with different labels that can reach the threshold.
 
-    Shingles are ordered from rare to common among the members' sets.  Two sets of sizes
-    x <= y that reach the threshold share one of the first x - ceil(0.75 x) + 1 of each.
+    Shingles are ordered from rare to common among the members' sets.  Let x be the smaller and y
+    the larger set of a pair that reaches the threshold.  Then they have at least
+    need = 75/175 (|x| + |y|) shingles in common, so one of the first |x| - 6/7 |x| + 1 of x is one of the
+    first |y| - 3/4 |y| + 1 of y, and after the first one that both have there is room for the rest.
+    A pair is made at that first common shingle only.
+
+    Of the members with one shingle only those outside its most frequent component are paired
+    with all others, so a large component is never paired with itself.
     """
-    rows = sets.join(members, "cls").select("cls", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
-    often = rows.groupBy("item").agg(F.count_distinct("cls").alias("often")).filter("often > 1")
-    prefix = (rows.join(often, "item", "left").withColumn("often", F.coalesce("often", F.lit(1)))
-              .groupBy("cls", "label", "n").agg(F.array_sort(F.collect_set(F.struct("often", "item"))).alias("order"))
-              .select("cls", "label", "n", F.explode(F.expr(f"slice(order, 1, cast(n - ceil(n * {PERCENT} / 100D) + 1 as int))")).alias("x"))
-              .filter("x.often > 1").select("cls", "label", "n", F.col("x.item").alias("item")))
-    prefix = staged(prefix, "prefix")
-    a, b = (prefix.select("item", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "label", "n"))) for s in "ab")
-    return (a.join(b, "item").filter("cls_a < cls_b AND label_a <> label_b")
-            .filter((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")))
-            .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct())
+    rows = sets.join(members, "cls").select("cls", "label", "n", F.explode("items").alias("item"))
+    often = (rows.groupBy("item").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high"))
+             .filter("often > 1").select("item", "often", (F.col("low") != F.col("high")).alias("open")))
+    order = (rows.join(often, "item", "left")
+             .groupBy("cls", "label", "n").agg(F.array_sort(F.collect_set(F.struct(
+                 F.coalesce("often", F.lit(1)).alias("often"), "item", F.coalesce("open", F.lit(False)).alias("open")))).alias("order")))
+    long = F.expr(f"cast(n - ceil(n * {PERCENT} / 100D) + 1 as int)")
+    short = F.expr(f"cast(n - ceil(n * {2 * PERCENT} / {100 + PERCENT}D) + 1 as int)")
+    # Only shingles that several components have can pair members of different ones.
+    places = F.filter(F.transform(F.slice("order", 1, long), lambda x, i: F.struct(i.alias("i"), x["item"].alias("item"), x["open"].alias("open"))),
+                      lambda x: x["open"])
+    compact = staged(order.withColumn("places", places).filter(F.size("places") > 0).select(
+        "cls", "label", "n", short.alias("short"), F.transform("places", lambda x: x["item"]).alias("prefix"),
+        F.transform("places", lambda x: x["i"]).alias("at")), "prefix")
+    prefix = (compact.select("cls", "label", "n", "short", "prefix", "at", F.posexplode("prefix").alias("k", "item"))
+              .withColumn("i", F.get("at", "k")).withColumn("early", F.col("i") < F.col("short")).drop("short", "at", "k"))
+    most = (prefix.groupBy("item", "label").agg(F.count("*").alias("times"))
+            .groupBy("item").agg(F.max(F.struct("times", "label")).alias("most")).select("item", F.col("most.label").alias("major")))
+    named = prefix.join(most, "item")
+    a = named.filter("label <> major").select("item", *(F.col(c).alias(f"{c}_a") for c in prefix.columns if c != "item"))
+    b = named.select("item", "major", *(F.col(c).alias(f"{c}_b") for c in prefix.columns if c != "item"))
+    smaller = F.expr("n_a < n_b OR (n_a = n_b AND cls_a < cls_b)")
+    need = F.expr(f"ceil({PERCENT} * (n_a + n_b) / {100 + PERCENT}D)")
+    return (a.join(b, "item")
+            .filter("label_a <> label_b AND (label_b = major OR cls_a < cls_b)")
+            .filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+            .filter(F.when(smaller, F.col("early_a")).otherwise(F.col("early_b")))
+            .filter(F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= need)
+            .filter(F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("item"))
+            .select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,23 +305,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      "classes")
     keys = (rows.join(classes.select("cls"), F.col("uid") == F.col("cls"))
             .select("cls", F.explode("bands").alias("key")))
-    heads = keys.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("members")).filter("members > 1")
-    buckets = staged(keys.join(heads.select("key", "head"), "key"), "buckets")
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    buckets = keys.join(shared, "key")
+    central = buckets.groupBy("cls").agg(F.sum("members").alias("central"))
+    buckets = staged(buckets.join(central, "cls").select("key", F.col("members").alias("size"), "cls", "central"), "buckets")
 
     ids = rows.select(F.col("uid").alias("cls"), "doc_id", "f1", "f2")
-    sets = staged(full_sets(source, ids.join(buckets.select("cls").distinct(), "cls")), "sets")
-    star = buckets.groupBy("cls").agg(F.min("head").alias("head")).filter("cls <> head").select(
-        F.col("head").alias("a"), F.col("cls").alias("b"))
-    links = staged(linked(star, sets), "links")
-    labels = components(links)
-
-    named = buckets.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    members = staged(named.join(open_keys, "key", "left_semi").select("cls", "label").distinct(), "members")
-    more = staged(linked(prefix_pairs(members, sets), sets), "links")
-    labels = components(links.unionByName(more))
-
-    named = (classes.join(labels.withColumnRenamed("v", "cls"), "cls", "left")
+    labels = staged(buckets.select("cls").distinct().withColumn("label", F.col("cls")), "labels")
+    sets = staged(full_sets(source, ids.join(labels.select("cls"), "cls")), "sets")
+    labels = joined_up(labels, staged(linked(head_pairs(open_buckets(buckets, labels)), sets), "links"))
+
+    still = staged(open_buckets(buckets, labels), "open")
+    # Every member against its bucket's head settles the buckets of two.
+    pairs = outside(still).select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
+    members = still.filter("size > 2").select("cls", "label").distinct()
+    more = staged(pairs.unionByName(prefix_pairs(members, sets)).distinct(), "pairs")
+    labels = joined_up(labels, staged(linked(more, sets), "links"))
+
+    named = (classes.join(labels, "cls", "left")
              .select("f1", "f2", "first_id", F.coalesce("label", "cls").alias("label")))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_set = named.join(smallest, "label").select("f1", "f2", "component_id")
