@@ -1,8 +1,9 @@
 """Summarise the physical plan of every registered query (writes PLANS.md).
 
-For each query: shuffles (Exchange), join strategies, aggregates, windows,
-generators, and what each Parquet scan reads and pushes down.  Streaming
-queries are listed by their read-back plan.
+For each batch query of the incident engine: shuffles (Exchange), join
+strategies, aggregates by kind, windows, generators, and what each Parquet
+scan reads and pushes down.  Streaming queries (which run when they are
+built) are left out.
 Usage: python scripts/plans.py [sf_dir] > PLANS.md
 """
 import contextlib
@@ -10,10 +11,11 @@ import io
 import os
 import re
 import sys
+from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from gridwatch.plans import catalog  # noqa: E402
 from gridwatch.session import build_session  # noqa: E402
 
 
@@ -22,7 +24,8 @@ def summarise(plan: str) -> dict:
         "shuffles": len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition", plan)),
         "broadcasts": len(re.findall(r"BroadcastExchange", plan)),
         "joins": sorted(set(re.findall(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin|CartesianProduct)", plan))),
-        "aggregates": len(re.findall(r"(?:Hash|Sort|ObjectHash)Aggregate\(keys?=", plan)),
+        "aggregates": ", ".join(f"{n} {k.lower()}" for k, n in sorted(Counter(
+            re.findall(r"(?<![A-Za-z])(Hash|Sort|ObjectHash)Aggregate\(keys?=", plan)).items())) or "-",
         "windows": len(re.findall(r"\bWindow \[", plan)),
         "generators": len(re.findall(r"\bGenerate ", plan)),
     }
@@ -47,7 +50,9 @@ def main():
     print("sort-merge join into a broadcast join after measuring a side).\n")
     print("| query | shuffles | broadcasts | joins | aggs | windows | explode | parquet scans (table: cols read; pushed / partition filters) |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in E.queries().items():
+    for name, fn in catalog.registry().items():
+        if name.startswith("stream_"):
+            continue
         df = fn(spark, sf)
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
