@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ END_ID = 2
 HASHED, DIMS, BITS = 1024, 4, 12
 #: Tokens of a document in one row of the staged table at most.
 SEGMENT = 1 << 16
-#: Words kept in a worker's cache.
-CACHE_WORDS = 400_000
+#: Words in each of the two generations of a worker's cache.
+CACHE_WORDS = 250_000
 
 #: White space that the fast path and the tokenizer's \s both split at, and
 #: control characters at which only str.split() splits.
@@ -78,19 +79,35 @@ class WordTokenizer:
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             hidden = [b for b in range(256) if b not in set(shown)]
             self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        # Two generations: when the younger is full, it becomes the older one.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def part(self, part: str) -> bytes:
+        """Ids of one part that the tokenizer's own pattern splits off, in lower case."""
+        ids = self.words.get(part)
+        if ids is None:
+            shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.alphabet)
+            ids = self.pack([t.id for t in self.model.tokenize(shown)])
+            self.keep(part, ids)
+        return ids
 
     def word(self, word: str) -> bytes:
+        if word.isascii() and word[:-1].isalpha() and word.isprintable():
+            if word[-1].isalpha():
+                return self.part(word.lower())
+            return self.part(word[:-1].lower()) + self.part(word[-1])
         if len(word) <= 256 and PLAIN_WORD.fullmatch(word):
-            ids = []
-            for part in self.split.findall(word.lower()):
-                ids += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]
-        else:
-            ids = self.full.encode(word, add_special_tokens=False).ids
-        return self.pack(ids)
+            return b"".join([self.part(p) for p in self.split.findall(word.lower())])
+        return self.pack(self.full.encode(word, add_special_tokens=False).ids)
+
+    def keep(self, word: str, ids: bytes) -> None:
+        if len(word) <= 64:
+            self.words[word] = ids
 
     def text(self, text: str) -> bytes:
         """Ids as little-endian bytes of ``dtype``."""
@@ -98,15 +115,14 @@ class WordTokenizer:
             return self.pack(self.full.encode(text, add_special_tokens=False).ids)
         words = text.split()
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         out = list(map(self.words.get, words))
         if None in out:
             for i, ids in enumerate(out):
                 if ids is None:
                     word = words[i]
-                    out[i] = ids = self.words.get(word) or self.word(word)
-                    if len(word) <= 64:
-                        self.words[word] = ids
+                    out[i] = ids = self.words.get(word) or self.older.get(word) or self.word(word)
+                    self.keep(word, ids)
         return b"".join(out)
 
 
