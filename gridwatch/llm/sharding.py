@@ -28,6 +28,8 @@ SHARDS = 8
 ROUNDS = 16
 #: Groups larger than this part of a shard move row by row.
 LARGE = 1 / 64
+#: Tasks over which the rows of a large group are spread in a join.
+SALTS = 64
 
 
 def chance(*columns):
@@ -56,10 +58,15 @@ def propagate(linked: DataFrame, quota: int, shards: int) -> DataFrame:
                  .groupBy("g1", "g2").agg(F.collect_list(F.struct("part", F.xxhash64("g1", "label").alias("tie"), "label")).alias("parts"))
                  .filter(F.size("parts") > 1)
                  .withColumn("best", F.array_max(F.filter("parts", lambda x: x["label"].isin(open_shards)))))
+        # The rows of a large group are joined over several tasks.
+        large, pieces = F.col("members") > quota * LARGE, F.lit(SALTS)
+        parts = parts.withColumn("members", F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["part"]))
+        parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(large, pieces - 1).otherwise(0)))).drop("members")
+        salt = F.when(large, F.pmod(F.xxhash64("uid"), pieces).cast("int")).otherwise(0)
         own = F.get(F.filter("parts", lambda x: x["label"] == F.col("label")), F.lit(0))["part"]
-        wished = (linked.join(parts, ["g1", "g2"], "left")
+        wished = (linked.withColumn("salt", salt).join(parts, ["g1", "g2", "salt"], "left")
                   .withColumn("wants", (F.col("best.label") != F.col("label")) & (F.col("best.part") >= own))
-                  .withColumn("best", F.col("best.label")).drop("parts"))
+                  .withColumn("best", F.col("best.label")).drop("parts", "salt"))
         demand = {r.best: r["count"] for r in wished.filter("wants").groupBy("best").count().collect()}
         if not demand:
             return linked
