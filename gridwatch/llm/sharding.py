@@ -3,15 +3,17 @@
 Documents of one link key (by default: equal texts) are linked.  Every document starts in a
 random shard.  In each round, written to the shared folder, the members' shards are
 counted per group (a histogram, pre-aggregated, so a group of a third of all rows is
-at most ``shards`` rows); the group's largest part in a shard with room draws
-the members in parts that are not larger.  A shard takes as many as its quota leaves,
-chosen by a hash: whole groups, or single rows where a group is larger than a share of a
-shard.  A group larger than a shard fills one after the other.  Rounds end when
-nobody wants to move.
+at most ``shards`` rows); the group's largest part draws the others.  Moves are counted per pair of
+shards, and a shard takes as many as leave it and as its quota has room for, chosen by a
+hash: whole groups, or single rows where a group is larger than a share of a shard.  So full shards
+exchange rows.  Where that moves little, shards may exceed their quota, more from round to
+round.  A group larger than a shard is drawn together outside the quotas.  Rounds end when
+nobody wants to move: then every group is in one shard.
 
 At last all documents are put in one order (shard; unlinked documents at both ends; group)
 by a range sort, numbered without gaps, and cut into equal counts: law ``rows``.  Unlinked
-documents are dealt to the shards that have room, so the cuts fall among them.
+documents are dealt to the shards that have room, so the cuts fall among them; if there are too few,
+a cut may fall into a group, so at most ``shards`` - 1 groups that fit a shard are split.
 
 Defined results: null text counts as empty; a null id is placed like any other; repeated
 rows are placed one by one and are linked; an empty table gives no rows; extra columns are ignored.
@@ -19,13 +21,16 @@ rows are placed one by one and are linked; an empty table gives no rows; extra c
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwatch.llm.common import staged
 
 SHARDS = 8
-ROUNDS = 16
+#: A shard's rows over its quota at first, as a part of the quota.
+EXCESS = 0.001
 #: Groups larger than this part of a shard move row by row.
 LARGE = 1 / 64
 #: Tasks over which the rows of a large group are spread in a join.
@@ -45,36 +50,64 @@ def case(column, values: dict, default):
     return F.lit(default) if out is None else out.otherwise(default)
 
 
+def accepted(wanted: dict, room: list[float]) -> dict:
+    """Of the rows that want from one shard to another, how many may move: {(from, to): rows}.
+
+    A shard takes what leaves it and what room it has; its flows in are cut in proportion until that holds everywhere.
+    """
+    flow = {k: float(n) for k, n in wanted.items()}
+    for _ in range(1000):
+        settled = True
+        for s, free in enumerate(room):
+            into = sum(n for (_, to), n in flow.items() if to == s)
+            limit = free + sum(n for (at, _), n in flow.items() if at == s)
+            if into > limit * (1 + 1e-6):
+                settled = False
+                flow = {k: n * limit / into if k[1] == s else n for k, n in flow.items()}
+        if settled:
+            break
+    return flow
+
+
 def propagate(linked: DataFrame, quota: int, shards: int) -> DataFrame:
-    """Rows (uid, g1, g2, members, label) with labels moved towards their groups under the quota."""
-    for turn in range(ROUNDS):
-        sizes = {r.label: r["count"] for r in linked.groupBy("label").count().collect()}
-        room = {s: quota - sizes.get(s, 0) for s in range(shards)}
-        open_shards = [s for s, free in room.items() if free > quota * 0.001]
-        if len(open_shards) < 2:
-            return linked
+    """Rows (uid, g1, g2, members, label) with every group in one shard.
+
+    Only the best part of a group grows, so a row moves at most once.  A round moves a quarter of
+    the rows that want to, or the excess allowed is raised: the rounds end at any size.
+    """
+    large, pieces = F.col("members") > quota * LARGE, F.lit(SALTS)
+    huge = F.col("members") > quota
+    excess = max(1.0, quota * EXCESS)
+    for turn in count():
         # A group's parts: at most one entry per shard.
         parts = (linked.groupBy("g1", "g2", "label").agg(F.count("*").alias("part"))
                  .groupBy("g1", "g2").agg(F.collect_list(F.struct("part", F.xxhash64("g1", "label").alias("tie"), "label")).alias("parts"))
                  .filter(F.size("parts") > 1)
-                 .withColumn("best", F.array_max(F.filter("parts", lambda x: x["label"].isin(open_shards)))))
+                 .withColumn("members", F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["part"]))
+                 .withColumn("best", F.array_max("parts")["label"]))
         # The rows of a large group are joined over several tasks.
-        large, pieces = F.col("members") > quota * LARGE, F.lit(SALTS)
-        parts = parts.withColumn("members", F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["part"]))
-        parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(large, pieces - 1).otherwise(0)))).drop("members")
+        parts = (parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(large, pieces - 1).otherwise(0))))
+                 .select("g1", "g2", "salt", "best"))
         salt = F.when(large, F.pmod(F.xxhash64("uid"), pieces).cast("int")).otherwise(0)
-        own = F.get(F.filter("parts", lambda x: x["label"] == F.col("label")), F.lit(0))["part"]
-        wished = (linked.withColumn("salt", salt).join(parts, ["g1", "g2", "salt"], "left")
-                  .withColumn("wants", (F.col("best.label") != F.col("label")) & (F.col("best.part") >= own))
-                  .withColumn("best", F.col("best.label")).drop("parts", "salt"))
-        demand = {r.best: r["count"] for r in wished.filter("wants").groupBy("best").count().collect()}
-        if not demand:
+        wished = (linked.withColumn("salt", salt).join(parts, ["g1", "g2", "salt"], "left").drop("salt")
+                  .withColumn("wants", F.coalesce(F.col("best") != F.col("label"), F.lit(False))))
+        sizes, demand, free = [0] * shards, {}, 0
+        for r in wished.groupBy("label", "best", "wants", huge.alias("huge")).count().collect():
+            if r.huge:
+                free += r["count"] * r.wants
+            else:
+                sizes[r.label] += r["count"]
+                if r.wants:
+                    demand[r.label, r.best] = r["count"]
+        if not demand and not free:
             return linked
-        taken = {s: min(1.0, room[s] / n) for s, n in demand.items()}
-        drawn = F.when(F.col("members") > quota * LARGE, chance("uid", F.lit(turn))).otherwise(chance("g1", "g2", F.lit(turn)))
-        linked = staged(wished.withColumn("label", F.when(
-            F.col("wants") & (drawn < case(F.col("best"), taken, 0.0)), F.col("best")).otherwise(F.col("label"))).drop("best", "wants"), "labels")
-    return linked
+        flow = accepted(demand, [max(0, quota - n) + excess for n in sizes])
+        taken = {at * shards + to: min(1.0, flow[at, to] / n) for (at, to), n in demand.items()}
+        if sum(flow.values()) < sum(demand.values()) / 4:
+            excess *= 4
+        drawn = F.when(large, chance("uid", F.lit(turn))).otherwise(chance("g1", "g2", F.lit(turn)))
+        moves = F.col("wants") & (huge | (drawn < case(F.col("label") * shards + F.col("best"), taken, 0.0)))
+        linked = staged(wished.withColumn("label", F.when(moves, F.col("best")).otherwise(F.col("label"))).drop("best", "wants"), "labels")
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -50,3 +50,19 @@ def test_documents(spark):
     df = load(spark, "/root/testdata/sf0.01", "documents")
     parts = check([(r.doc_id, r.text) for r in df.collect()], S.sharding_query(df).collect())
     assert sum(n > 1 for n in parts.values()) <= 7
+
+
+def test_all_documents_linked(spark):
+    rows = [(i, f"text {i % 5000}") for i in range(20000)]
+    parts = check(rows, S.sharding_query(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert sum(n > 1 for n in parts.values()) <= 7
+    rows = [(i, "hot" if i < 6668 else f"text {i % 3333}") for i in range(20000)]
+    parts = check(rows, S.sharding_query(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert parts.pop(zlib.crc32(b"hot")) <= 4 and sum(n > 1 for n in parts.values()) <= 7
+
+
+def test_accepted_moves_are_balanced():
+    assert S.accepted({(0, 1): 30, (1, 0): 20}, [0, 0]) == {(0, 1): 20, (1, 0): 20}
+    ring = S.accepted({(0, 1): 10, (1, 2): 20, (2, 0): 30}, [0, 0, 0])
+    assert all(abs(n - 10) < 0.01 for n in ring.values())
+    assert S.accepted({(0, 1): 30}, [0, 12]) == {(0, 1): 12}
