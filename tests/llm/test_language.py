@@ -87,3 +87,19 @@ def test_held_out_accuracy(spark):
     out = {r.doc_id: r for r in L.language_query(df).collect()}
     held = [(r.lang, out[r.doc_id].lang_pred) for r in df.collect() if out[r.doc_id].held_out and r.lang]
     assert len(held) > 200 and sum(a == b for a, b in held) / len(held) > 0.97
+
+
+def test_model_larger_than_the_broadcast(spark, monkeypatch):
+    df = load(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    extra = [(100000, None, "en"), (100001, "", None), (100002, "日本語 xyzzy qqq", None), (100002, "日本語 xyzzy qqq", None), (None, "the", None)]
+    df = df.union(spark.createDataFrame(extra, df.schema)).localCheckpoint()
+
+    def result():
+        return sorted(((r.doc_id is None, r.doc_id or 0, r.lang_pred, r.rejected, r.score, r.cross_entropy) for r in L.language_query(df).collect()), key=str)
+
+    whole = result()
+    monkeypatch.setattr(L, "MAX_GRAMS", 200)
+    few = result()
+    assert len(few) == len(whole) and [r[:4] for r in few] == [r[:4] for r in whole]
+    assert [r[4] for r in few] == pytest.approx([r[4] for r in whole], abs=1e-3)
+    assert [r[5] or 0 for r in few] == pytest.approx([r[5] or 0 for r in whole], rel=1e-5)
