@@ -65,6 +65,8 @@ DAMPERS = {"name", "path", "file", "url", "uri", "type", "length", "len", "size"
            "prompt", "hint", "policy", "expires", "expiry", "ttl", "id", "header", "param", "env", "public"}
 PLACEHOLDERS = {"changeme", "password", "secret", "token", "example", "placeholder", "none", "null", "true",
                 "false", "undefined", "todo", "xxxxxx", "test", "string", "your"}
+#: Whole values that a program fills in: ${NAME}, $NAME, $(command), %(name)s, %NAME%, {{name}}, {name}, <name>.
+TEMPLATE = re.compile(r"\$\{[^{}]*\}|\$(?:[A-Z_][A-Z0-9_]*|[a-z_]+)|\$\([^()]*\)|%\(\w+\)[sdr]|%\w+%|\{\{[^{}]*\}\}|\{[\w.]*\}|<[^<>]*>")
 THRESHOLD = 0.9
 MIN_LITERAL = 6
 
@@ -81,7 +83,7 @@ def literal_score(value: str) -> float:
     if len(value) < MIN_LITERAL or any(c.isspace() for c in value):
         return -1.0
     low = value.lower()
-    if low in PLACEHOLDERS or value[0] in "<{$%" or value[-1] in ">}" or len(set(value)) <= 2 or low.startswith(("http:", "https:", "file:")):
+    if low in PLACEHOLDERS or TEMPLATE.fullmatch(value) or len(set(value)) <= 2 or low.startswith(("http:", "https:", "file:")):
         return -1.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())

@@ -89,3 +89,12 @@ def test_documents(spark):
     for r in S.secrets_query(df).collect():
         spans = brute(texts[r.doc_id] or "")
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in spans) for kind in PLAIN)
+
+
+def test_only_whole_templates_are_placeholders():
+    hashed = "$2b$12$" + "EixZaYVK1fsbw1ZfbX3OXe"
+    for value in (hashed, "%9xK!vQ2mLw8", "{Zr7kQ9vT1pL", "<Zr7kQ9vT1pL", "Zr7kQ9vT1pL}", "Zr7kQ9vT1pL>"):
+        text = f'password = "{value}"'
+        assert [text[a:b] for a, b in S.literal_spans(text)] == [value]
+    for value in ("${DB_PASSWORD}", "$DB_PASSWORD", "%(password)s", "%DB_PASSWORD%", "{{ db_password }}", "{{db_password}}", "<db_password>"):
+        assert S.literal_spans(f'password = "{value}"') == []
