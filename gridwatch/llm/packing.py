@@ -15,7 +15,8 @@ Memory per task is one Arrow batch and one open sequence.  Documents longer than
 
 Defined results: null text counts as empty and gives the single end id; a null
 id is packed like any other; repeated rows are packed once each; extra columns
-are ignored.  Strings of special tokens in a text are ordinary text.
+are ignored.  A text that holds the string of a token that the tokenizer file adds (``<|endoftext|>``)
+goes through encode() whole, so its ids are the library's with add_special_tokens=False.
 """
 
 from __future__ import annotations
@@ -37,8 +38,12 @@ END_ID = 2
 HASHED, DIMS, BITS = 1024, 4, 12
 #: Tokens of a document in one row of the staged table at most.
 SEGMENT = 1 << 16
-#: Words in each of the two generations of a worker's cache.
-CACHE_WORDS = 250_000
+#: Hashed vectors held at a time.
+BLOCK = 1024
+#: Bytes in each of the two generations of a worker's cache of words: text, ids and about
+#: ``ENTRY`` bytes for the two objects and their place in the dict.
+CACHE_BYTES = 24 << 20
+ENTRY = 200
 
 #: White space that the fast path and the tokenizer's \s both split at, and
 #: control characters at which only str.split() splits.
@@ -61,9 +66,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(added)) if added else None
         self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
         normal = [(x["type"], x.get("pattern")) for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -83,6 +89,7 @@ class WordTokenizer:
         # Two generations: when the younger is full, it becomes the older one.
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -108,14 +115,15 @@ class WordTokenizer:
     def keep(self, word: str, ids: bytes) -> None:
         if len(word) <= 64:
             self.words[word] = ids
+            self.held += ENTRY + len(word) + len(ids)
 
     def text(self, text: str) -> bytes:
         """Ids as little-endian bytes of ``dtype``."""
-        if not self.by_word or ODD_SPACE.search(text):
+        if not self.by_word or ODD_SPACE.search(text) or (self.added and self.added.search(text)):
             return self.pack(self.full.encode(text, add_special_tokens=False).ids)
         words = text.split()
-        if len(self.words) > CACHE_WORDS:
-            self.older, self.words = self.words, {}
+        if self.held > CACHE_BYTES:
+            self.older, self.words, self.held = self.words, {}, 0
         out = list(map(self.words.get, words))
         if None in out:
             for i, ids in enumerate(out):
@@ -192,11 +200,13 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
         for whole in batches:
             for batch in slices(whole, "text"):
                 packed = [tokenizer.text(t or "") for t in batch.column(2).to_pylist()]
-                vectors = np.zeros((len(packed), HASHED))
-                for i, p in enumerate(packed):
-                    ids = np.frombuffer(p, tokenizer.dtype)
-                    vectors[i] = np.bincount(table[ids], sign[ids], HASHED)
-                curve = curve_position(vectors, matrix)
+                curve = np.empty(len(packed), np.int64)
+                for a in range(0, len(packed), BLOCK):
+                    vectors = np.zeros((len(packed[a:a + BLOCK]), HASHED))
+                    for i, p in enumerate(packed[a:a + BLOCK]):
+                        ids = np.frombuffer(p, tokenizer.dtype)
+                        vectors[i] = np.bincount(table[ids], sign[ids], HASHED)
+                    curve[a:a + BLOCK] = curve_position(vectors, matrix)
                 rows, start, ids = [], [], []
                 for i, p in enumerate(packed):
                     p += end

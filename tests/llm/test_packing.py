@@ -20,9 +20,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def full():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_word_path_equals_library(full):
@@ -32,6 +30,23 @@ def test_word_path_equals_library(full):
         assert np.frombuffer(t.text(text), t.dtype).tolist() == full.encode(text, add_special_tokens=False).ids, text
 
 
+def test_strings_of_added_tokens(full):
+    """The fixed ids are those of the tokenizer file with add_special_tokens=False."""
+    t = packing.WordTokenizer(PATH)
+    assert np.frombuffer(t.text("end of page <|endoftext|> next"), t.dtype).tolist() == [806, 539, 2504, 49407, 1131]
+    for text in ("a <|startoftext|> b", "x<|endoftext|><|endoftext|>y z", "A <|ENDOFTEXT|> b", "<|endoftext| >", "two  <|endoftext|>\n ends"):
+        assert np.frombuffer(t.text(text), t.dtype).tolist() == full.encode(text, add_special_tokens=False).ids, text
+
+
+def test_word_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    t, fresh = packing.WordTokenizer(PATH), packing.WordTokenizer(PATH)
+    for i in range(40):
+        text = " ".join(f"w{i}x{j}" for j in range(30))
+        assert t.text(text) == fresh.text(text)
+        assert len(t.words) + len(t.older) < 2 * (20_000 // packing.ENTRY + 200)
+
+
 def test_hilbert_curve_is_continuous():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))

@@ -57,7 +57,6 @@ def test_stages(spark, documents):
     docs = out
     # Packing.
     full = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    full.encode_special_tokens = True
     test_packing.check(P.pack(spark, docs, SF).collect(), dict(rows(docs)), full)
 
 
