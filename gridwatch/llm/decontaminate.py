@@ -7,9 +7,11 @@ document is normalised the same way and scanned once; a match's end is
 mapped to the document's words, and from there to code points of the original
 text.
 
-The benchmark is broadcast in blocks of at most ``BLOCK_CHARS`` normalised
-characters, each block with its own automaton and its own scan; the results of
-the blocks are merged per document.  A benchmark of ordinary size is one block.
+The benchmark is normalised and dealt into blocks by a Spark job; a block holds about
+``BLOCK_CHARS`` characters (or one longer item).  One block at a time comes to the driver
+and is broadcast; it has its own automaton and its own scan, and the results of the blocks are merged per
+document.  A benchmark of ordinary size is one block.  A worker keeps one automaton, known by its
+items' digest, and drops it when another one is asked for.
 
 Defined results: a null text has no words; items of null or wordless text have no
 window; items without an id count for hits but not as items; equal items each
@@ -20,15 +22,16 @@ every document clean; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwatch.llm.common import as_bytes, slices, worker_cache
+from gridwatch.llm.common import as_bytes, slices, staged, worker_cache
 
 WINDOW = 10
 #: Normalised benchmark text in one automaton: about 8 M nodes at the most repetitive.
@@ -99,18 +102,36 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(words[a][0], words[b - 1][1]) for a, b in runs]
 
 
+def normalised(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item id as text, normalised text) of the items that have words."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([normalise(t) for t in as_bytes(batch.column(1))], pa.string())], names=["item", "normal"])
+
+    return (benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+            .mapInArrow(run, "item string, normal string").filter("normal <> ''"))
+
+
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    """Lists of (item id as text, normalised text) of at most BLOCK_CHARS, or of one item."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    block, size = [], 0
-    for row in rows.toLocalIterator():
-        normal = normalise((row.text or "").encode())
-        if block and size + len(normal) > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append((row.item, normal))
-        size += len(normal)
-    yield block
+    """Lists of (item id as text, normalised text) of about BLOCK_CHARS in all; one empty list for no items."""
+    rows = staged(normalised(benchmark, item_col, text_col), "benchmark")
+    chars = rows.agg(F.sum(F.length("normal"))).head()[0] or 0
+    blocks = max(1, math.ceil(chars / BLOCK_CHARS))
+    for b in range(blocks):
+        mine = F.pmod(F.xxhash64("item", "normal"), F.lit(blocks)) == b
+        yield sorted(((r.item, r.normal) for r in rows.filter(mine).collect()), key=lambda r: (r[0] or "", r[1]))
+
+
+def kept_automaton(items: list[tuple[str | None, str]], key: str):
+    """The worker's automaton; an older one is dropped before another is built."""
+    cache = worker_cache()
+    if cache.get("automaton", (None,))[0] != key:
+        cache.pop("automaton", None)
+        cache["automaton"] = (key, automaton(items))
+    return cache["automaton"][1]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -126,10 +147,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def scanner(shared, key):
         def run(batches):
-            cache = worker_cache()
-            if key not in cache:
-                cache[key] = automaton(shared.value)
-            machine = cache[key]
+            machine = kept_automaton(shared.value, key)
             for whole in batches:
                 for batch in slices(whole, "__text"):
                     out = []
@@ -153,7 +171,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                           *(f"`{c}` {kind[c]}" for c in frame.columns[2:])])
 
     def one(block, frame):
-        return frame.mapInArrow(scanner(spark.sparkContext.broadcast(block), f"automaton-{uuid.uuid4().hex}"), schema(frame))
+        key = hashlib.sha256(pickle.dumps(block)).hexdigest()
+        return frame.mapInArrow(scanner(spark.sparkContext.broadcast(block), key), schema(frame))
 
     blocks = item_blocks(benchmark, item_col, item_text_col)
     first, rest = next(blocks), next(blocks, None)
@@ -169,23 +188,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"),
         F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    for c in ("runs", "spans"):
-        merged = merged.withColumn(c, merged_runs(c))
-    return keyed.join(merged, "__row").select("doc_id", "n_words", "runs", "spans", "items",
-                                              *(f"c{i}" for i in range(len(carry))))
+    kind = "__row " + merged.schema["__row"].dataType.simpleString() + ", " + ", ".join(
+        f"{f.name} {f.dataType.simpleString()}" for f in merged.schema.fields[1:])
 
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([merged_runs(x) for x in c.to_pylist()], pair) if name in ("runs", "spans") else c
+                 for name, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
-def merged_runs(name: str):
-    """Sorted runs with those that touch or overlap joined."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    last = lambda acc: F.element_at(acc, -1)
+    return keyed.join(merged.mapInArrow(run, kind), "__row").select("doc_id", "n_words", "runs", "spans", "items",
+                                                                    *(f"c{i}" for i in range(len(carry))))
 
-    def add(acc, x):
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(F.array_sort(F.col(name)), empty, add)
+def merged_runs(runs: list[dict]) -> list[dict]:
+    """Sorted runs with those that touch or overlap joined."""
+    out: list[dict] = []
+    for r in sorted(runs, key=lambda r: (r["start"], r["end"])):
+        if out and r["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], r["end"])
+        else:
+            out.append(dict(r))
+    return out
 
 
 def n_hit():

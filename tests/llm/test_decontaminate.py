@@ -67,3 +67,17 @@ def test_documents(spark):
     docs, bench = load(spark, sf, "documents"), load(spark, sf, "benchmark")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
     assert any(r[-1] for r in want) and result(docs, bench) == want
+
+
+def test_worker_keeps_one_automaton(spark):
+    """Two calls of one benchmark share an automaton; another benchmark replaces it."""
+    docs = spark.createDataFrame([(1, "a short item"), (2, "none")], "doc_id long, text string")
+    for words_, hits in (("short item", 1), ("short item", 1), ("none", 1), ("short", 1)):
+        bench = spark.createDataFrame([(1, words_)], "item_id long, text string")
+        assert sum(r.contaminated for r in D.decontamination_query(docs, bench).collect()) == hits
+    D.worker_cache().pop("automaton", None)
+    first = D.kept_automaton([("1", " a b ")], "x")
+    assert D.kept_automaton([("1", " a b ")], "x") is first
+    assert D.kept_automaton([("1", " c ")], "y") is not first
+    assert D.worker_cache()["automaton"][0] == "y" and sum("automaton" in str(k) for k in D.worker_cache()) == 1
+    D.worker_cache().pop("automaton")
