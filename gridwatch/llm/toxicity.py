@@ -14,6 +14,11 @@ Scoring streams all texts whole through the kept n-grams.  Texts are lower-cased
 white space is folded, and n-grams of ``SIZES`` characters are taken inside a text
 with a space at each end.
 
+Memory: a worker holds the n-grams of one piece of ``PIECE`` characters, the distinct
+n-grams of one slice of ``COUNT_SLICE`` text bytes, and sorted runs of at most ``RUN`` n-grams
+that wait to be merged.  Together that stays below 150 MB, whatever the texts are
+(measured in tests/llm/test_classifiers.py).
+
 Defined results: null counts as empty; an empty text has the score of a text without
 any kept n-gram; a null id is not held out; labels that are null are not learnt from;
 without labels of both classes every score is 0; repeated rows are scored alike;
@@ -32,12 +37,17 @@ from gridwatch.llm.common import bucket_of_id, slices
 SIZES = (3, 4, 5, 6)
 MAX_LABELS = 12_000
 MAX_FEATURES = 8_000
-#: An n-gram needs so many texts of the toxic class to be kept.
+#: An n-gram needs so many texts of the sample (either class) to be kept.
 MIN_TEXTS = 3
 SMOOTHING = 1.0
 PENALTY = 0.5
 THRESHOLD = 0.3
 
+#: Characters whose n-grams are held at a time, text bytes counted at a time, and n-grams waiting to be merged.
+PIECE = 1 << 16
+COUNT_SLICE = 512 << 10
+RUN = 1 << 19
+
 #: n-grams are packed into 64 bits through these odd multipliers.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -45,48 +55,85 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 def code_points(text: str) -> np.ndarray:
     """Folded text as code points."""
     folded = f" {' '.join(text.lower().split())} "
-    return np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def gram_hashes(points: np.ndarray, sizes=SIZES) -> list[np.ndarray]:
-    """For each size, a 64-bit hash of the n-gram that starts at each character."""
-    out, hashed, have = [], None, 0
+def gram_hashes(points: np.ndarray, sizes=SIZES, starts: int | None = None) -> list[np.ndarray]:
+    """For each size, a 64-bit hash of the n-gram that starts at each of the first ``starts`` characters (all if None)."""
+    points = points.astype(np.uint64)
+    out, hashed = [], None
     for size in range(1, max(sizes) + 1):
         n = len(points) - size + 1
         if n <= 0:
             break
         hashed = points[:n] + MIX[1] if hashed is None else hashed[:n] * MIX[0] + points[size - 1:]
         hashed = hashed ^ (hashed >> np.uint64(32))
-        have += 1
         if size in sizes:
-            out.append(hashed * MIX[1])
+            out.append(hashed[:starts] * MIX[1])
     return out
 
 
+def piecewise(text: str | None):
+    """``gram_hashes`` of a whole text, piece by piece; every n-gram belongs to the piece it starts in."""
+    points = code_points(text or "")
+    for a in range(0, len(points), PIECE):
+        yield gram_hashes(points[a:a + PIECE + max(SIZES) - 1], starts=PIECE)
+
+
 def distinct_grams(text: str | None) -> np.ndarray:
-    grams = gram_hashes(code_points(text or ""))
-    return np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
+    found = np.empty(0, np.uint64)
+    for grams in piecewise(text):
+        if grams:
+            own = np.unique(np.concatenate(grams))
+            found = np.union1d(found, own) if len(found) else own
+    return found
 
 
-def class_counts(sample: DataFrame) -> DataFrame:
-    """(gram, n0, n1): texts of each class with the n-gram; summed per Arrow batch before the shuffle."""
+def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted run (keys, counts) of several."""
+    keys, counts = (np.concatenate(c) for c in zip(*runs, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    if not len(first):
+        return keys, np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first)
 
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                labels = np.array(batch.column(1).to_pylist())
-                grams = [distinct_grams(t) for t in batch.column(0).to_pylist()]
-                every = np.concatenate(grams)
-                if not len(every):
-                    continue
-                label = np.repeat(labels, [len(g) for g in grams])
-                keys, at = np.unique(every, return_inverse=True)
-                n1 = np.bincount(at, label, len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.bincount(at, minlength=len(keys)) - n1), pa.array(n1)],
-                    names=["gram", "n0", "n1"])
 
-    return (sample.select("text", "label").mapInArrow(run, "gram long, n0 long, n1 long")
+def counted(batches):
+    """Batches (gram, n0, n1) of batches (text, label), summed in sorted runs.
+
+    A run's counts hold the texts of class 0 in the lower and those of class 1 in the upper 32 bits.
+    """
+
+    def out(run):
+        keys, counts = run
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys.view(np.int64)), pa.array(counts & 0xFFFFFFFF), pa.array(counts >> 32)], names=["gram", "n0", "n1"])
+
+    runs, held = [], 0
+    for whole in batches:
+        for batch in slices(whole, "text", COUNT_SLICE):
+            own, size = [], 0
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grams = distinct_grams(text)
+                own.append((grams, np.full(len(grams), 1 << 32 if label else 1, np.int64)))
+                size += len(grams)
+                if size > RUN:
+                    own, size = [merged(own)], 0
+            if size or len(own) == 1:
+                runs.append(merged(own))
+                held += len(runs[-1][0])
+            if held > RUN:
+                yield out(merged(runs))
+                runs, held = [], 0
+    if held:
+        yield out(merged(runs))
+
+
+def class_counts(sample: DataFrame) -> DataFrame:
+    """(gram, n0, n1): texts of each class with the n-gram; summed per task before the shuffle."""
+    return (sample.select("text", "label").mapInArrow(counted, "gram long, n0 long, n1 long")
             .groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
@@ -102,10 +149,11 @@ def present(texts: list[str | None], kept: np.ndarray) -> tuple[np.ndarray, np.n
     rows, features = [], []
     for i, t in enumerate(texts):
         found = []
-        for g in gram_hashes(code_points(t or "")):
-            g = g[door[g >> np.uint64(46)]]
-            at = np.minimum(np.searchsorted(kept, g), len(kept) - 1)
-            found.append(at[kept[at] == g])
+        for grams in piecewise(t):
+            for g in grams:
+                g = g[door[g >> np.uint64(46)]]
+                at = np.minimum(np.searchsorted(kept, g), len(kept) - 1)
+                found.append(np.unique(at[kept[at] == g]))
         if found:
             found = np.unique(np.concatenate(found))
             rows.append(np.full(len(found), i))
@@ -146,13 +194,16 @@ def fit_logistic(rows, columns, values, labels, width, penalty=PENALTY, steps=30
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(text, label) of at most ``bound`` labelled rows that are not held out.
 
-    The ids are the ``bound`` smallest by hash: at most bound * 17 bytes, so they may be broadcast.
+    Rows are one per id, text and label, however often they stand in the tables; the ``bound`` smallest
+    by hash of their id are taken.  The chosen keys are at most bound * 32 bytes, so they may be broadcast.
     """
-    chosen = (labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
-              .filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of_id(F.col("doc_id"), 4) != 2))
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(bound))
-    return (docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))
-            .select("text", (F.col("label") > 0).cast("int").alias("label")))
+    marked = (labels.select(F.col("doc_id").alias("id"), (F.col(label) > 0).cast("int").alias("label"))
+              .filter(F.col("label").isNotNull() & F.col("id").isNotNull() & (bucket_of_id(F.col("id"), 4) != 2)).distinct())
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    chosen = (texts.drop("text").join(marked, F.col("doc_id") == F.col("id")).select("id", "k1", "k2", "label").distinct()
+              .orderBy(F.xxhash64("id"), "id", "k1", "k2", "label").limit(bound).withColumnsRenamed({"k1": "c1", "k2": "c2"}))
+    at = (F.col("doc_id") == F.col("id")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
+    return texts.join(F.broadcast(chosen), at).select("doc_id", "text", "label").distinct().select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labels: int = MAX_LABELS) -> dict:
@@ -175,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labels:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2 << 20):
                 r, c = present(batch.column(0).to_pylist(), kept)
                 cut = np.searchsorted(r, np.arange(batch.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
@@ -196,7 +247,7 @@ def with_score(docs: DataFrame, model: dict, text_col: str = "text", name: str =
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, 2 << 20):
                 r, c = present(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), kept)
                 z = np.bincount(r, weights[c], batch.num_rows) + bias if len(r) else np.full(batch.num_rows, bias)
                 yield pa.RecordBatch.from_arrays(

@@ -1,9 +1,12 @@
 """Toxicity and quality: held-out accuracy, the models' steps by hand, edge cases."""
 
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridwatch.llm import quality, toxicity
 from gridwatch.llm.common import load
@@ -57,6 +60,90 @@ def test_sample_is_bounded(spark):
     assert toxicity.sample_labelled(docs, labels, "toxic", 50).count() <= 50
 
 
+def test_sample_bounds_rows_not_ids(spark):
+    """One labelled id on very many rows gives at most the bound; equal rows count once."""
+    docs = spark.range(60_000).select(F.lit(4).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(4, 1), (4, 1), (5, 0)], "doc_id long, toxic int")
+    assert zlib.crc32(b"4") % 4 != 2
+    assert toxicity.sample_labelled(docs, labels, "toxic", 50).count() == 50
+    same = docs.withColumn("text", F.lit("one text"))
+    assert [tuple(r) for r in toxicity.sample_labelled(same, labels, "toxic", 50).collect()] == [("one text", 1)]
+
+
+def test_class_counts_by_hand(spark):
+    rows = [("ab ab", 1), ("abc", 0), ("ab", 0), ("", 1), (None, 0), ("xyz " * 5000, 1)]
+    got = {r.gram: (r.n0, r.n1) for r in toxicity.class_counts(spark.createDataFrame(rows, "text string, label int").repartition(2)).collect()}
+    want: dict = {}
+    for text, label in rows:
+        for g in toxicity.distinct_grams(text).view(np.int64).tolist():
+            n = want.setdefault(g, [0, 0])
+            n[label] += 1
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    text = " ".join(f"word{i} Straße" for i in range(500))
+    whole = toxicity.distinct_grams(text)
+    monkeypatch.setattr(toxicity, "PIECE", 37)
+    assert (toxicity.distinct_grams(text) == whole).all()
+    kept = np.unique(whole[::7])
+    assert toxicity.present([text, None], kept)[1].tolist() == list(range(len(kept)))
+
+
+def test_memory_of_counting():
+    """A worker's peak over what it stood at stays below 150 MB for 4 MB of text in one batch."""
+    code = """
+import random, resource, pyarrow as pa
+from gridwatch.llm import toxicity
+rng = random.Random(1)
+texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(400)) for _ in range(1600)]
+batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(1600)], pa.int32())], names=["text", "label"])
+assert sum(map(len, texts)) > 4e6
+list(toxicity.counted([batch.slice(0, 8)]))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = sum(b.num_rows for b in toxicity.counted([batch]))
+print(rows, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    rows, peak = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert rows > 1_000_000 and peak < 150
+
+
+def test_scores_equal_a_plain_computation(spark):
+    """Ratios, selection, weights and scores again, with dicts and strings instead of hashes."""
+    rng = np.random.default_rng(7)
+    good, bad = "kind calm nice plain open".split(), "scum vile rotten idiot".split()
+    rows = [(i, " ".join(rng.choice(good + (bad if i % 3 == 0 else ["other"]), 12))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    learnt = [(t, int(i % 3 == 0)) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    grams = lambda t: {f" {t} "[i:i + n] for n in toxicity.SIZES for i in range(len(t) + 3 - n)}
+    n = [sum(1 for _, y in learnt if y == c) for c in (0, 1)]
+    count: dict = {}
+    for t, y in learnt:
+        for g in grams(t):
+            count.setdefault(g, [0, 0])[y] += 1
+    ratio = {g: np.log(((c[1] + 1) / (n[1] + 2)) / ((c[0] + 1) / (n[0] + 2))) for g, c in count.items() if sum(c) >= toxicity.MIN_TEXTS}
+    model = toxicity.train(docs, labels)
+    assert len(model["kept"]) == len(ratio) < toxicity.MAX_FEATURES
+    names = sorted(ratio)
+    at = {g: i for i, g in enumerate(names)}
+    x = np.zeros((len(learnt), len(names)))
+    for i, (t, _) in enumerate(learnt):
+        for g in grams(t) & ratio.keys():
+            x[i, at[g]] = ratio[g]
+    y = np.array([y for _, y in learnt], float)
+    w, bias = np.zeros(len(names)), 0.0
+    for _ in range(60):  # plain Newton steps on the dense problem
+        p = 1 / (1 + np.exp(-(x @ w + bias)))
+        one = np.hstack([x, np.ones((len(y), 1))])
+        reg = np.append(np.full(len(names), toxicity.PENALTY), 1e-6)
+        step = np.linalg.solve(one.T @ (one * (p * (1 - p))[:, None]) + np.diag(reg), one.T @ (p - y) + reg * np.append(w, bias))
+        w, bias = w - step[:-1], bias - step[-1]
+    for r in toxicity.toxicity_query(docs, labels).collect():
+        z = sum(w[at[g]] * ratio[g] for g in grams(rows[r.doc_id][1]) & ratio.keys()) + bias
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=0.02)
+
+
 def test_ngrams_of_a_text():
     grams = toxicity.distinct_grams("Ab  c")
     assert len(grams) == sum(len({" ab c "[i:i + n] for i in range(6 - n + 1)}) for n in toxicity.SIZES)
