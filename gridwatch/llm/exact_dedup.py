@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwatch.llm.common import as_bytes, slices, staged
+from gridwatch.llm.common import slices, staged
 from gridwatch.session import shared_path
 
 CHUNK_ROWS = 1 << 15
@@ -104,36 +104,41 @@ def exchange_table(docs: DataFrame, owners: int, text: str) -> DataFrame:
 
     def run(batches):
         first_chunk, made = TaskContext.get().partitionId() << 20, 0
-        held, size, rows = [], 0, 0
+        held, digests, size = [], [], 0
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        own = ["__chunk", "__place", "__bit", "__copied", "__sha", "__owner", "__n", "__k", "__blob"]
 
         def flush():
-            nonlocal held, size, rows, made
+            nonlocal held, digests, size, made
             chunk = first_chunk + made
-            table = pa.Table.from_batches(held).combine_chunks()
-            digests = [hashlib.sha256(t.lower()) for t in as_bytes(table.column(names.index(text)).combine_chunks())]
-            prints = np.array([int.from_bytes(d.digest()[:8], "big") for d in digests], np.uint64)
+            prints = np.array([int.from_bytes(d[:8], "big") for d in digests], np.uint64)
             bit, copied, messages = chunk_plan(prints, owners)
-            n, m = len(prints), len(messages)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            columns = [pa.array([chunk] * n, kinds[0]), pa.array(range(n), kinds[1]), pa.array(bit, kinds[2]), pa.array(copied, kinds[3]),
-                       pa.array([d.hexdigest() for d in digests], kinds[4]), *(pa.nulls(n, t) for t in kinds[5:])]
-            own = ["__chunk", "__place", "__bit", "__copied", "__sha", "__owner", "__n", "__k", "__blob"]
-            yield from pa.Table.from_arrays([*table.columns, *columns], names=names + own).to_batches()
+            types, place = held[0].schema.types, 0
+            for i, batch in enumerate(held):
+                n = batch.num_rows
+                rows = slice(place, place + n)
+                columns = [pa.array([chunk] * n, kinds[0]), pa.array(range(place, place + n), kinds[1]), pa.array(bit[rows], kinds[2]),
+                           pa.array(copied[rows], kinds[3]), pa.array([d.hex() for d in digests[rows]], kinds[4]), *(pa.nulls(n, t) for t in kinds[5:])]
+                held[i], place = None, place + n
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names + own)
+            m = len(messages)
             owner, count, k, blob = (list(c) for c in zip(*messages, strict=True))
             columns = [pa.array([chunk] * m, kinds[0]), *(pa.nulls(m, t) for t in kinds[1:5]),
                        *(pa.array(c, t) for c, t in zip((owner, count, k, blob), kinds[5:], strict=True))]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, f.type) for f in table.schema), *columns], names=names + own)
-            held, size, rows, made = [], 0, 0, made + 1
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in types), *columns], names=names + own)
+            held, digests, size, made = [], [], 0, made + 1
 
         for whole in batches:
-            for piece in slices(whole, text):
+            for piece in slices(whole, text, 2 << 20):
                 for a in range(0, piece.num_rows, CHUNK_ROWS):
                     batch = piece.slice(a, CHUNK_ROWS)
-                    if rows and (rows + batch.num_rows > CHUNK_ROWS or size + batch.nbytes > CHUNK_BYTES):
+                    if held and (len(digests) + batch.num_rows > CHUNK_ROWS or size + batch.nbytes > CHUNK_BYTES):
                         yield from flush()
                     held.append(batch)
-                    size, rows = size + batch.nbytes, rows + batch.num_rows
-        if rows:
+                    # One text at a time becomes a Python object; only its digest stays.
+                    digests += [hashlib.sha256((t.as_py() or "").encode().lower()).digest() for t in batch.column(names.index(text))]
+                    size += batch.nbytes
+        if held:
             yield from flush()
 
     own = ", ".join(f"{c} {t}" for c, t in (

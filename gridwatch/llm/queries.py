@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridwatch.llm import (
+    bpe,
     decontaminate,
     exact_dedup,
     language,
@@ -22,6 +23,7 @@ from gridwatch.llm import (
 from gridwatch.llm.common import load
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +66,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup_query(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_query(load(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_hilbert_packing, op3_decontamination, op4_quality_neighbours, op5_language, op6_line_dedup,
-        op7_toxicity, op8_exact_dedup, op9_sharding, op10_near_dedup)}
+        op7_toxicity, op8_exact_dedup, op9_sharding, op10_near_dedup, op11_byte_bpe)}
 
 
 def sql() -> dict[str, str]:
