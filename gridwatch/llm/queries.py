@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridwatch.llm import (
     bpe,
+    conversations,
     decontaminate,
     exact_dedup,
     language,
@@ -70,10 +71,15 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_query(load(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_query(load(spark, sf_dir, "conversations"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_hilbert_packing, op3_decontamination, op4_quality_neighbours, op5_language, op6_line_dedup,
-        op7_toxicity, op8_exact_dedup, op9_sharding, op10_near_dedup, op11_byte_bpe)}
+        op7_toxicity, op8_exact_dedup, op9_sharding, op10_near_dedup, op11_byte_bpe,
+        op12_conversation_repair)}
 
 
 def sql() -> dict[str, str]:
