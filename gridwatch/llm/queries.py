@@ -13,6 +13,7 @@ from gridwatch.llm import (
     decontaminate,
     exact_dedup,
     language,
+    lexical,
     line_dedup,
     near_dedup,
     packing,
@@ -75,11 +76,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_query(load(spark, sf_dir, "conversations"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_hilbert_packing, op3_decontamination, op4_quality_neighbours, op5_language, op6_line_dedup,
         op7_toxicity, op8_exact_dedup, op9_sharding, op10_near_dedup, op11_byte_bpe,
-        op12_conversation_repair)}
+        op12_conversation_repair, op13_lexical_search)}
 
 
 def sql() -> dict[str, str]:
