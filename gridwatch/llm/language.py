@@ -10,9 +10,10 @@
    Otherwise the same model stays in tables in the shared folder (``Tables``): the log probabilities of
    the most frequent n-grams, as many as that, are broadcast; those of the texts' other n-grams are joined.
 3. A text's language is the one of the lowest cross-entropy per character.
-4. Rejection is calibrated on learning rows that were kept out of the counts: beyond the
-   ``QUANTILE`` of a language's cross-entropies there, the column ``rejected`` is true (the best
-   language is still named).
+4. Rejection is calibrated with a first model that lacks one learning row in ``CALIBRATION``: beyond the
+   ``QUANTILE`` of a language's cross-entropies on these rows, the column ``rejected`` is true (the best
+   language is still named).  The model that predicts has the counts of all learning rows, so a language of
+   a single row is learnt too; a language without calibrating rows has no limit.
 
 Defined results: a null text and one without letters give ``und`` with score 0; rows
 of null id or null lang are not learnt from; a null id is not held out; without learning rows
@@ -32,7 +33,7 @@ from gridwatch.llm.common import bucket_of_id, slices, staged, worker_cache
 ORDER = 4
 #: For eight languages, the n-grams whose log probabilities are broadcast; it bounds memory, not the model.
 MAX_GRAMS = 200_000
-#: One learning row in so many calibrates instead of being counted.
+#: One learning row in so many calibrates; the first model does not count it.
 CALIBRATION = 32
 QUANTILE = 0.995
 #: The confidence counts at most so many characters.
@@ -130,6 +131,13 @@ class Model:
             self.contexts[n], self.weights[n] = contexts, np.log(weight).astype(np.float32)
         self.floor = np.float32(-np.log(alphabet))
 
+    @classmethod
+    def of(cls, arrays: dict) -> Model:
+        """The model of another one's attributes."""
+        out = cls.__new__(cls)
+        out.__dict__.update(arrays)
+        return out
+
     @staticmethod
     def orders(keys: np.ndarray, counts: np.ndarray) -> dict:
         """Counts of the top order, continuation counts of the others; keys sorted."""
@@ -284,13 +292,17 @@ def model_of(counts: DataFrame) -> Model | Tables | None:
 def train(docs: DataFrame) -> dict:
     """The model and the cross-entropy of each language beyond which a text is rejected."""
     rows = learning_rows(docs)
-    model = {"model": model_of(staged(count_grams(rows.filter(~calibrates())), "grams")), "limits": {}}
-    if model["model"] is None:
-        return model
-    seen = identify(rows.filter(calibrates()).select("doc_id", "text"), model).filter("lang_pred <> 'und'")
-    model["limits"] = {r.lang_pred: r.limit for r in seen.groupBy("lang_pred").agg(
-        F.percentile_approx("cross_entropy", QUANTILE, 1000).alias("limit")).collect()}
-    return model
+    part = F.when(calibrates(), "1").otherwise("0")
+    counts = staged(count_grams(rows.withColumn("lang", F.concat(part, "lang"))), "grams").select(
+        F.substring("lang", 1, 1).alias("part"), F.expr("substring(lang, 2)").alias("lang"), "gram", "n")
+    first = {"model": model_of(counts.filter("part = '0'").drop("part")), "limits": {}}
+    limits = {}
+    if first["model"] is not None:
+        seen = identify(rows.filter(calibrates()).select("doc_id", "text"), first).filter("lang_pred <> 'und'")
+        limits = {r.lang_pred: r.limit for r in seen.groupBy("lang_pred").agg(
+            F.percentile_approx("cross_entropy", QUANTILE, 1000).alias("limit")).collect()}
+    every = staged(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    return {"model": model_of(every), "limits": limits}
 
 
 PREDICTED = "lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -313,10 +325,13 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score, cross_entropy (nats per character) and rejected."""
     if isinstance(model["model"], Tables):
         return identify_joined(docs, model, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays only: a broadcast object's class would have to be installed on the executors, while
+    # this function is shipped with the class.
+    shared = docs.sparkSession.sparkContext.broadcast((None if model["model"] is None else vars(model["model"]), model["limits"]))
 
     def run(batches):
-        table, known, limits = letter_table(), shared.value["model"], shared.value["limits"]
+        table, (arrays, limits) = letter_table(), shared.value
+        known = None if arrays is None else Model.of(arrays)
         for whole in batches:
             for batch in slices(whole, text_col, 2 << 20):
                 texts = [letters(t, table) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]

@@ -16,7 +16,7 @@ carried along where asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwatch.llm.common import staged
@@ -53,16 +53,13 @@ def covered(occurrences: DataFrame) -> DataFrame:
     later = (occurrences.join(first, ["h1", "h2"]).filter(~same | (F.col("pos") != F.col("first.pos")))
              .select("doc_id", "key", F.struct(start.alias("start"), (F.col("pos") + WINDOW).alias("end")).alias("range"))
              .filter("range.start < range.end"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def add(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(done) > 0) & (x["start"] <= last["end"]), joined).otherwise(F.concat(done, F.array(x)))
-
-    return (later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("range")).alias("ranges"))
-            .withColumn("ranges", F.aggregate("ranges", empty, add)))
+    # Ranges in order of their start; one that begins behind all ends before it opens a new island.
+    in_text = Window.partitionBy("doc_id", "key").orderBy("range.start", "range.end")
+    before = F.max("range.end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.count_if(F.col("before").isNull() | (F.col("range.start") > F.col("before"))).over(in_text.rowsBetween(Window.unboundedPreceding, 0))
+    return (later.withColumn("before", before).withColumn("island", island)
+            .groupBy("doc_id", "key", "island").agg(F.min("range.start").alias("start"), F.max("range.end").alias("end"))
+            .groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -74,13 +71,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     occurrences = staged(every.join(repeated, ["h1", "h2"]), "occurrences")
     cover = covered(occurrences).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "ranges")
 
-    lines = F.split("text", "\n", -1)
+    # The lines are split before the join, so that no later expression splits again; one flag per line says whether it stays.
+    lines = source.withColumn("lines", F.split("text", "\n", -1)).drop("text")
     starts = F.concat(F.array(F.lit(0)), F.transform("ranges", lambda r: r["end"]))
-    ends = F.concat(F.transform("ranges", lambda r: r["start"]), F.array(F.size(lines)))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
-    return (source.join(cover, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
-            .select("doc_id", F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-                    F.coalesce(F.size(lines).cast("long"), F.lit(0)).alias("n_lines"),
+    ends = F.concat(F.transform("ranges", lambda r: r["start"]), F.array(F.size("lines")))
+    stay = F.zip_with(starts, ends, lambda a, b: F.array_repeat(F.lit(True), b - a))
+    go = F.transform("ranges", lambda r: F.array_repeat(F.lit(False), r["end"] - r["start"]))
+    flags = F.flatten(F.zip_with(stay, go, lambda x, y: F.concat(x, F.coalesce(y, F.array().cast("array<boolean>")))))
+    marked = F.filter(F.arrays_zip(F.col("lines").alias("line"), flags.alias("stays")), lambda x: x["stays"])
+    kept = F.when(F.col("ranges").isNull(), F.col("lines")).otherwise(F.transform(marked, lambda x: x["line"]))
+    return (lines.join(cover, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
+            .select("doc_id", F.array_join(kept, "\n").alias("text"),
+                    F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
                     F.coalesce("ranges", F.array().cast("array<struct<start:int,end:int>>")).alias("ranges"),
                     *(f"c{i}" for i in range(len(carry)))))
 

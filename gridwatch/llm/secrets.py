@@ -121,6 +121,26 @@ def lexed_pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]], str]]:
     return found
 
 
+def reached_scores(names: set[str], sources: dict[str, list[str]]) -> dict[str, float]:
+    """For each name that reaches a sensitive one, the largest score among those that its constant reaches.
+
+    Scores are pushed back along the assignments, the highest first, so each name is settled once and each
+    assignment is followed once.
+    """
+    scores = sorted(((name_score(n), n) for n in names), reverse=True)
+    reach: dict[str, float] = {}
+    for score, name in scores:
+        if score <= 0:
+            break
+        todo = [name]
+        while todo:
+            at = todo.pop()
+            if at not in reach:
+                reach[at] = score
+                todo += sources.get(at, ())
+    return reach
+
+
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants."""
     if "=" not in text and ":" not in text:
@@ -129,33 +149,19 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
     if not pairs:
         return []
     # Constants flow from the name on the right to the name on the left.
-    flows: dict[str, list[str]] = {}
     defined = {name for name, _, _, _ in pairs}
+    sources: dict[str, list[str]] = {}
     for name, _, _, right in pairs:
         if right and right in defined and right != name:
-            flows.setdefault(right, []).append(name)
-    reach: dict[str, float] = {}
-
-    def sensitivity(name: str) -> float:
-        """The largest score of the names that the constant of ``name`` reaches."""
-        if name not in reach:
-            seen, todo, best = {name}, [name], 0.0
-            while todo:
-                at = todo.pop()
-                best = max(best, name_score(at))
-                for to in flows.get(at, ()):
-                    if to not in seen:
-                        seen.add(to)
-                        todo.append(to)
-            reach[name] = best
-        return reach[name]
+            sources.setdefault(name, []).append(right)
+    reach = reached_scores(defined, sources)
 
     out = []
     for name, value, spans, right in pairs:
         if right and right in defined and right != name:
             continue  # a reference; its constant is reported where it stands
         quality = literal_score(value)
-        if quality >= 0 and (s := sensitivity(name)) and s + quality >= THRESHOLD:
+        if quality >= 0 and (s := reach.get(name, 0.0)) and s + quality >= THRESHOLD:
             out += [span for span in spans if span[1] > span[0]]
     return sorted(set(out))
 

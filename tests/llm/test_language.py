@@ -1,12 +1,18 @@
 """Language models: probabilities sum to one, formula by hand, held-out accuracy, edge cases."""
 
+import os
+import subprocess
+import sys
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from gridwatch.llm import language as L
-from gridwatch.llm.common import load
+from gridwatch.llm.common import load, staged
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def model_of(texts):
@@ -82,6 +88,43 @@ def test_empty_and_unlabelled(spark):
     assert L.language_query(one).first().lang_pred == "und"
 
 
+def test_every_language_is_learnt(spark):
+    """Languages of a single learning row, whichever part that row falls into."""
+    rows = [(i, TEXTS["aa"], "aa") for i in range(0, 90, 3)]
+    kept_out = {r.doc_id: r.c for r in spark.range(1000, 4000).withColumnRenamed("id", "doc_id").select("doc_id", L.calibrates().alias("c")).collect()
+                if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    ids = [i for i, c in kept_out.items() if c][:10] + [i for i, c in kept_out.items() if not c][:10]
+    alphabet = [chr(0x1200 + i) for i in range(80) if chr(0x1200 + i).isalpha()]
+    rare = [(i, " ".join(["".join(alphabet[n * 3:n * 3 + 3])] * 6), f"r{n}") for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.lang_pred for r in L.language_query(df).collect()}
+    assert all(out[i] == lang for i, _, lang in rare)
+
+
+def test_executors_need_no_package(tmp_path):
+    """The driver alone can import the package; workers get what they need with the function and the broadcast."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+def absent(batches):
+    import importlib.util
+    import pyarrow as pa
+    assert importlib.util.find_spec("gridwatch") is None
+    yield from batches
+spark.range(2).mapInArrow(absent, "id long").count()
+from gridwatch.llm import language, lexical
+df = spark.createDataFrame([(i, "the cat sat on the mat" if i % 2 else "und die katze lag da", "en" if i % 2 else "de") for i in range(60)],
+                           "doc_id long, text string, lang string")
+print(sum(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in language.language_query(df).collect()))
+print(lexical.search_query(df, df.limit(1).withColumnRenamed("doc_id", "item_id")).count())
+"""
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env=clean, timeout=300)
+    assert done.stdout.split() == ["60", "30"], done.stderr[-3000:]
+
+
 def test_held_out_accuracy(spark):
     df = load(spark, "/root/testdata/sf0.01", "documents")
     out = {r.doc_id: r for r in L.language_query(df).collect()}
@@ -92,7 +135,7 @@ def test_held_out_accuracy(spark):
 def test_model_larger_than_the_broadcast(spark, monkeypatch):
     df = load(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
     extra = [(100000, None, "en"), (100001, "", None), (100002, "日本語 xyzzy qqq", None), (100002, "日本語 xyzzy qqq", None), (None, "the", None)]
-    df = df.union(spark.createDataFrame(extra, df.schema)).localCheckpoint()
+    df = staged(df.union(spark.createDataFrame(extra, df.schema)), "larger")
 
     def result():
         return sorted(((r.doc_id is None, r.doc_id or 0, r.lang_pred, r.rejected, r.score, r.cross_entropy) for r in L.language_query(df).collect()), key=str)

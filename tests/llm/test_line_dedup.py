@@ -1,6 +1,7 @@
 """Line dedup against brute force and its SQL."""
 
 import hashlib
+import time
 
 import duckdb
 
@@ -49,6 +50,19 @@ def test_empty_table(spark):
     assert L.line_dedup_query(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_many_ranges(spark):
+    """One text of 100,000 removed ranges: linear in its lines."""
+    parts = [f"a{i}\nb{i}\nc{i}" for i in range(100_000)]
+    first = "\n".join(parts)
+    second = "\n".join(f"{p}\nown{i}" for i, p in enumerate(parts))
+    df = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in L.line_dedup(df).collect()}
+    assert time.time() - began < 60
+    assert got[1].text == first and got[2].text == "\n".join(f"own{i}" for i in range(100_000))
+    assert len(got[2].ranges) == 100_000 and got[2].n_lines == 400_000
+
+
 def test_documents_and_sql(spark):
     df = load(spark, "/root/testdata/sf0.01", "documents")
     got = result(df)

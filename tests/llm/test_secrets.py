@@ -1,6 +1,8 @@
 """Secret scan: base spans against the plain patterns, lexing, propagation, edge cases."""
 
 import hashlib
+import random
+import time
 import re
 
 from gridwatch.llm import secrets as S
@@ -98,3 +100,33 @@ def test_only_whole_templates_are_placeholders():
         assert [text[a:b] for a, b in S.literal_spans(text)] == [value]
     for value in ("${DB_PASSWORD}", "$DB_PASSWORD", "%(password)s", "%DB_PASSWORD%", "{{ db_password }}", "{{db_password}}", "<db_password>"):
         assert S.literal_spans(f'password = "{value}"') == []
+
+
+def test_long_chain_of_constants():
+    """1 MB of constants that flow through each other: each assignment is followed once."""
+    lines = ['c0 = "Zr7kQ9vT1pLm"'] + [f"c{i} = c{i - 1}" for i in range(1, 40_000)] + ["db_password = c39999"]
+    text = "\n".join(lines) + "\n" + "\n".join(f"filler_{i} = other_{i}" for i in range(16_000))
+    assert len(text) > 1_000_000
+    began = time.process_time()
+    assert [text[a:b] for a, b in S.literal_spans(text)] == ["Zr7kQ9vT1pLm"]
+    assert time.process_time() - began < 10
+
+
+def test_scores_flow_as_by_search():
+    rng = random.Random(8)
+    for _ in range(100):
+        names = ["a", "b", "c", "d", "my_token", "db_password", "x_secret", "key"]
+        sources = {n: rng.choices(names, k=rng.randint(0, 2)) for n in names}
+
+        def reaches(start, sources=sources, names=names):
+            seen, todo = {start}, [start]
+            while todo:
+                at = todo.pop()
+                for n in names:
+                    if at in sources[n] and n not in seen:
+                        seen.add(n)
+                        todo.append(n)
+            return max(S.name_score(n) for n in seen)
+
+        got = S.reached_scores(set(names), sources)
+        assert all(got.get(n, 0.0) == reaches(n) for n in names)
