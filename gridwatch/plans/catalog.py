@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwatch.operators import clean, facts, graph, poi, predict, proximity, risk, spatial
+from gridwatch.operators import clean, clusters, facts, graph, nearest, poi, predict, proximity, risk, spatial, terrain
 from gridwatch.session import shared_path
 from gridwatch.functions.geo import in_bbox
 from gridwatch.plans import params as P
@@ -413,6 +413,57 @@ def q_prediction_keys(spark, sf_dir):
         F.count_if(F.col("created_at").isNull()).alias("n_unstamped"))
 
 
+def q_grid_scores_kernel(spark, sf_dir):
+    return predict.grid_scores_kernel(cells_df(spark, sf_dir), P.PREDICTION_TIME, P.KERNEL_VERSION, P.GRID_DEG,
+                                      P.KERNEL_HALF_LIFE_DAYS, P.KERNEL_BANDWIDTH_M, P.KERNEL_REACH_M)
+
+
+def q_prediction_scopes(spark, sf_dir):
+    """Scores by type, over all types and of the kernel stored for one time, in both orders: rows per model and scope."""
+    cells = cells_df(spark, sf_dir)
+    path = shared_path(spark, "predictions", fresh=True)
+    for by_type in (True, False, True):
+        predict.store_predictions(predict.grid_scores(cells, P.PREDICTION_TIME, P.MODEL_VERSION, by_type=by_type), path)
+    predict.store_predictions(q_grid_scores_kernel(spark, sf_dir), path)
+    return (predict.predictions_at(spark, path, P.PREDICTION_TIME).groupBy("model_version", "scope")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("incident_type").alias("n_types")))
+
+
+def q_incident_clusters(spark, sf_dir):
+    f = fact(spark, sf_dir, ["latitude", "longitude", "offense_date"])
+    return clusters.incident_clusters(f, P.CLUSTER_M, P.CLUSTER_DAYS, P.CLUSTER_MIN_NEAR)
+
+
+def q_nearest_places(spark, sf_dir):
+    """The nearest place of every amenity kind for each Location."""
+    locations = graph.location_nodes(g_input(spark, sf_dir)).select("address", "lat", "lon")
+    return nearest.nearest_places(locations, places_df(spark, sf_dir))
+
+
+def _terrain(spark, sf_dir):
+    return terrain.cell_factors(fact(spark, sf_dir, ["latitude", "longitude"]), places_df(spark, sf_dir), P.TERRAIN_REACH_M, P.GRID_DEG)
+
+
+def q_rtm_patterns(spark, sf_dir):
+    """Cells and incidents per combination of amenity factors: all that the risk terrain model reads."""
+    return terrain.factor_patterns(_terrain(spark, sf_dir))
+
+
+def q_rtm_weights(spark, sf_dir):
+    return terrain.rtm_weights(_terrain(spark, sf_dir))
+
+
+def q_graph_store_generation(spark, sf_dir):
+    """Two refreshes of the stored graph; edges as read through the pointer to the newest generation."""
+    from gridwatch.sources import tables
+
+    root = shared_path(spark, "graph", fresh=True)
+    t = typed(spark, sf_dir)
+    tables.refresh_graph(graph.graph_input(t.filter(F.col("seq") % 2 == 0)), t, root)
+    tables.refresh_graph(graph.graph_input(t), t, root)
+    return spark.read.parquet(f"{tables.current_graph(spark, root)}/edges").select("edge_type", "src", "dst")
+
+
 # ---------------------------------------------------------------------------
 # phase 5: streaming (each run lands a fresh feed under the shared folder,
 # runs the stream to completion and returns the stored result)
@@ -526,6 +577,17 @@ def q_stream_late_windows(spark, sf_dir):
     return runner.run_window_counts(spark, stream, f"{base}/windows", f"{base}/checkpoint", size=P.WINDOW_SIZE)
 
 
+def q_stream_window_replay(spark, sf_dir):
+    """Incidents per window after the whole feed was read twice, under two checkpoints, and compacted in between."""
+    from gridwatch.streaming import runner, source, windows
+
+    stream, base = _landed(spark, standin.incident_json(spark, sf_dir))
+    runner.run_incident_window_counts(spark, stream, f"{base}/windows", f"{base}/checkpoint", size=P.WINDOW_SIZE)
+    windows.compact_incidents(spark, f"{base}/windows", "folded_0001")
+    again = source.file_stream(spark, f"{base}/landing")
+    return runner.run_incident_window_counts(spark, again, f"{base}/windows", f"{base}/checkpoint_2", size=P.WINDOW_SIZE)
+
+
 def q_publish_readback(spark, sf_dir):
     """Publish every record as a JSON message (to files), read the messages back and type them."""
     from gridwatch.sources import files

@@ -415,7 +415,7 @@ FROM cells GROUP BY ROLLUP (day_name, part_of_day)""")
     pt_part = _part_sql(f"hour(TIMESTAMP '{pt}')")
     q["grid_scores"] = with_ctes(*FB, body=f"""
 , c AS (SELECT grid_id, incident_type, count(*) AS n FROM cells
-        WHERE day_name = dayname(TIMESTAMP '{pt}') AND part_of_day = {pt_part}
+        WHERE offense_date < TIMESTAMP '{pt}' AND day_name = dayname(TIMESTAMP '{pt}') AND part_of_day = {pt_part}
         GROUP BY grid_id, incident_type),
 m AS (SELECT incident_type, max(n) AS mx FROM c GROUP BY incident_type)
 SELECT c.grid_id, c.incident_type, TIMESTAMP '{pt}' AS prediction_time, c.n / m.mx AS risk_score,
@@ -425,7 +425,7 @@ FROM c JOIN m ON c.incident_type = m.incident_type""")
 
     q["top_cells_geojson"] = with_ctes(*FB, body=f"""
 , c AS (SELECT grid_id, cy, cx, count(*) AS n FROM cells
-        WHERE day_name = dayname(TIMESTAMP '{pt}') AND part_of_day = {pt_part}
+        WHERE offense_date < TIMESTAMP '{pt}' AND day_name = dayname(TIMESTAMP '{pt}') AND part_of_day = {pt_part}
         GROUP BY grid_id, cy, cx),
 s AS (SELECT grid_id, cy, cx, n / (SELECT max(n) FROM c) AS risk_score FROM c),
 t AS (SELECT *, row_number() OVER (ORDER BY risk_score DESC, grid_id) AS rk FROM s)
@@ -503,7 +503,8 @@ UNION SELECT DISTINCT 'season', season FROM g""")
 SELECT TIMESTAMP '{t}' AS prediction_time, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_keys,
        CAST(0 AS BIGINT) AS n_unstamped
 FROM (SELECT DISTINCT grid_id, incident_type FROM cells
-      WHERE day_name = dayname(TIMESTAMP '{t}') AND part_of_day = {_part_sql(f"hour(TIMESTAMP '{t}')")})""") + ")"
+      WHERE offense_date < TIMESTAMP '{t}' AND day_name = dayname(TIMESTAMP '{t}')
+        AND part_of_day = {_part_sql(f"hour(TIMESTAMP '{t}')")})""") + ")"
         for t in P.PREDICTION_TIMES)
     # The earlier delivery is smaller: a row of it comes before every row of the later one.
     q["csv_first_wins"] = with_ctes(RAW, body="""
@@ -523,6 +524,77 @@ SELECT time_bucket(INTERVAL 1 DAY, offense_date) AS window_start,
        time_bucket(INTERVAL 1 DAY, offense_date) + INTERVAL 1 DAY AS window_end,
        incident_type, CAST(count(*) AS BIGINT) AS incidents
 FROM typed WHERE offense_date IS NOT NULL
+GROUP BY ALL""")
+
+    # --- clusters, kernel, nearest places, risk terrain --------------------------
+    near = f"abs(epoch_us(a.t) - epoch_us(b.t)) <= {P.CLUSTER_DAYS * 86_400_000_000} AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} < {P.CLUSTER_M}"
+    q["incident_clusters"] = with_ctes(RAW, TYPED, KEYED, FACT, body=f"""
+, p AS (SELECT id, latitude AS lat, longitude AS lon, offense_date AS t FROM fact
+        WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND offense_date IS NOT NULL),
+link AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON a.id <> b.id
+         AND abs(a.lat - b.lat) < 0.1 AND {near}),
+core AS MATERIALIZED (SELECT u AS id FROM link GROUP BY u HAVING count(*) >= {P.CLUSTER_MIN_NEAR}),
+walk AS (SELECT * FROM (WITH RECURSIVE reach(id, root) AS (
+           SELECT id, id FROM core
+           UNION
+           SELECT link.v, reach.root FROM reach JOIN link ON reach.id = link.u JOIN core ON core.id = link.v WHERE reach.root < link.v)
+         SELECT * FROM reach)),
+named AS (SELECT id, min(root) AS cluster_id FROM walk GROUP BY id)
+SELECT id AS case_id, cluster_id, TRUE AS is_core FROM named
+UNION ALL
+SELECT u, min(cluster_id), FALSE FROM link JOIN named ON link.v = named.id
+WHERE u NOT IN (SELECT id FROM core) GROUP BY u""")
+
+    # Every incident gives its share to every cell around it, one by one.
+    steps = int(P.KERNEL_REACH_M // 200) + 1
+    mid = lambda c: f"(({c} + 0.5::DOUBLE) * {P.GRID_DEG}::DOUBLE)"
+    away = hav(mid("cy"), mid("cx"), mid("cy + dy"), mid("cx + dx"))
+    q["grid_scores_kernel"] = with_ctes(*FB, body=f"""
+, share AS (
+  SELECT CAST(cy + dy AS VARCHAR) || ':' || CAST(cx + dx AS VARCHAR) AS grid_id, incident_type, {away} AS away,
+    pow(0.5::DOUBLE, (epoch_us(TIMESTAMP '{pt}') - epoch_us(offense_date)) / 86400000000.0 / {P.KERNEL_HALF_LIFE_DAYS}::DOUBLE) AS w
+  FROM cells, range(-{steps}, {steps} + 1) AS y(dy), range(-{steps}, {steps} + 1) AS x(dx)
+  WHERE offense_date < TIMESTAMP '{pt}'),
+c AS (SELECT grid_id, incident_type, sum(w * exp(-away * away / {2 * P.KERNEL_BANDWIDTH_M ** 2}::DOUBLE)) AS n
+      FROM share WHERE away <= {P.KERNEL_REACH_M} GROUP BY grid_id, incident_type),
+m AS (SELECT incident_type, max(n) AS mx FROM c GROUP BY incident_type)
+SELECT c.grid_id, c.incident_type, TIMESTAMP '{pt}' AS prediction_time, round(c.n / m.mx, 6) AS risk_score,
+       '{P.KERNEL_VERSION}' AS model_version
+FROM c JOIN m ON c.incident_type = m.incident_type""")
+
+    typed_n = q["grid_scores"]
+    q["prediction_scopes"] = f"""
+SELECT model_version, 'by_type' AS scope, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT incident_type) AS BIGINT) AS n_types
+FROM ({typed_n}) GROUP BY ALL
+UNION ALL SELECT model_version, 'all', CAST(count(DISTINCT grid_id) AS BIGINT), CAST(1 AS BIGINT) FROM ({typed_n}) GROUP BY ALL
+UNION ALL SELECT model_version, 'by_type', CAST(count(*) AS BIGINT), CAST(count(DISTINCT incident_type) AS BIGINT)
+FROM ({q["grid_scores_kernel"]}) GROUP BY ALL"""
+
+    q["nearest_places"] = with_ctes(*BASE, EDGES, ELEMENTS, flat_pois(), body=f"""
+SELECT address, amenity_type, osm_type, osm_id, distance_m FROM (
+  SELECT *, row_number() OVER (PARTITION BY address, amenity_type ORDER BY distance_m, osm_type, osm_id) AS rn FROM (
+    SELECT l.address, p.amenity_type, p.osm_type, p.osm_id, round({hav('l.lat', 'l.lon', 'p.lat', 'p.lon')}, 3) AS distance_m
+    FROM location l, places p WHERE l.lat IS NOT NULL AND l.lon IS NOT NULL))
+WHERE rn = 1""")
+
+    from gridwatch.operators.proximity import AMENITY_KINDS
+
+    bits = " + ".join(f"CASE WHEN bool_or(amenity_type = '{k}') THEN {1 << i} ELSE 0 END" for i, k in enumerate(AMENITY_KINDS))
+    square = lambda lat, lon: f"CAST(floor({lat} / {P.GRID_DEG}::DOUBLE) AS BIGINT) AS cy, CAST(floor({lon} / {P.GRID_DEG}::DOUBLE) AS BIGINT) AS cx"
+    q["rtm_patterns"] = with_ctes(*BASE, FACT, ELEMENTS, flat_pois(), body=f"""
+, inc AS (SELECT {square('latitude', 'longitude')} FROM fact WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+held AS (SELECT cy, cx FROM inc UNION SELECT {square('lat', 'lon')} FROM places),
+f AS (SELECT cy, cx, {bits} AS factors
+      FROM held LEFT JOIN places ON {hav(mid('cy'), mid('cx'), 'lat', 'lon')} < {P.TERRAIN_REACH_M} GROUP BY cy, cx),
+n AS (SELECT cy, cx, count(*) AS n FROM inc GROUP BY cy, cx)
+SELECT CAST(factors AS INTEGER) AS factors, CAST(count(*) AS BIGINT) AS cells, CAST(sum(coalesce(n, 0)) AS BIGINT) AS incidents
+FROM f LEFT JOIN n USING (cy, cx) GROUP BY factors""")
+    q["graph_store_generation"] = q["edges_all"]
+    q["stream_window_replay"] = with_ctes(RAW, TYPED, KEYED, FACT, body="""
+SELECT time_bucket(INTERVAL 1 DAY, offense_date) AS window_start,
+       time_bucket(INTERVAL 1 DAY, offense_date) + INTERVAL 1 DAY AS window_end,
+       incident_type, CAST(count(*) AS BIGINT) AS incidents
+FROM fact WHERE offense_date IS NOT NULL
 GROUP BY ALL""")
 
     return q

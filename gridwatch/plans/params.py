@@ -24,3 +24,11 @@ PREDICTION_TIMES = ["2024-01-26 23:00:00", "2024-01-27 14:00:00"]
 STREAM_FILES = 4                  # landed files (= micro-batches) in the stream feeds
 WINDOW_SIZE = "1 day"
 LATE_DAYS = 60                    # how much earlier the late rows of the late feed lie
+CLUSTER_M = 300.0                 # clusters: NEAR means closer than this (strict <)
+CLUSTER_DAYS = 1                  # ... and at most so many days apart
+CLUSTER_MIN_NEAR = 4              # ... and a core has at least so many others NEAR
+KERNEL_VERSION = "kernel-v1"
+KERNEL_HALF_LIFE_DAYS = 7.0
+KERNEL_BANDWIDTH_M = 250.0
+KERNEL_REACH_M = 750.0
+TERRAIN_REACH_M = 400.0           # risk terrain: a place counts for a cell whose centre is closer

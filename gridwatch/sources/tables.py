@@ -4,17 +4,21 @@
   enforced by casting to ``FACT``) and partitioned by offense day, so a date
   lookup reads one directory and a bounding box uses row-group statistics.
 * The graph is one Parquet table per node label and per edge type.
-  ``mode="overwrite"`` is the full refresh (wipe then reload) of a batch load.
+  ``mode="overwrite"`` is the full refresh (wipe then reload) of a batch load, table by table;
+  ``refresh_graph`` writes a new generation and switches readers to it in one step.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwatch.operators import graph
 from gridwatch.operators.facts import pick_by_seq
 from gridwatch.schema import FACT
+from gridwatch.session import remove_path
 
 DAY_COL = "offense_day"
 
@@ -112,3 +116,56 @@ def write_graph(g: DataFrame, typed: DataFrame, root: str, mode: str = "overwrit
     for name, df in graph_tables(g).items():
         df.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
     graph.incident_nodes(typed).write.mode(mode).parquet(f"{root.rstrip('/')}/incident")
+
+
+# ---------------------------------------------------------------------------
+# Generations: a refresh that readers see as a whole
+# ---------------------------------------------------------------------------
+
+def refresh_graph(g: DataFrame, typed: DataFrame, root: str, near: DataFrame | None = None) -> str:
+    """Write every graph table to a new generation below ``root``, then point to it; returns the generation's folder.
+
+    Readers resolve the pointer once and keep reading that generation.  A refresh that fails before the pointer is
+    written leaves the old graph as it was; its folder is dropped by the next ``drop_old_generations``.
+    """
+    spark, root = g.sparkSession, root.rstrip("/")
+    number = max((n for n, _ in _pointers(spark, root)), default=-1) + 1
+    folder = f"{root}/generations/{number:012d}_{uuid.uuid4().hex[:8]}"
+    write_graph(g, typed, folder)
+    if near is not None:
+        write_near(near, folder)
+    # The pointer is a committed write of one line: it counts only with its success mark.
+    spark.createDataFrame([(folder,)], "value string").coalesce(1).write.text(f"{root}/pointers/{number:012d}")
+    return folder
+
+
+def current_graph(spark: SparkSession, root: str) -> str:
+    """The folder of the newest complete generation; resolve it once for all tables of a query."""
+    pointers = _pointers(spark, root.rstrip("/"))
+    if not pointers:
+        raise FileNotFoundError(f"no graph below {root}")
+    return spark.read.text(max(pointers)[1]).head().value
+
+
+def drop_old_generations(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Delete all but the newest ``keep`` generations, and those that no pointer names."""
+    root = root.rstrip("/")
+    pointers = sorted(_pointers(spark, root))
+    kept = {spark.read.text(path).head().value.rsplit("/", 1)[1] for _, path in pointers[-keep:]}
+    for _, path in pointers[:-keep]:
+        remove_path(spark, path)
+    for path in _children(spark, f"{root}/generations"):
+        if path.rsplit("/", 1)[1] not in kept:
+            remove_path(spark, path)
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f"{path}/{s.getPath().getName()}" for s in files.listStatus(at)] if files.exists(at) else []
+
+
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, path) of the pointers whose write was committed."""
+    return [(int(p.rsplit("/", 1)[1]), p) for p in _children(spark, f"{root}/pointers")
+            if any(c.endswith("/_SUCCESS") for c in _children(spark, p))]

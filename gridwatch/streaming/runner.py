@@ -119,3 +119,12 @@ def run_window_counts(spark: SparkSession, records: DataFrame, out: str, checkpo
         q = start(source.parsed(records), windows.CountSink(out, checkpoint, size), checkpoint, available_now)
     wait(spark, [q], available_now)
     return windows.read_window_counts(spark, out)
+
+
+def run_incident_window_counts(spark: SparkSession, records: DataFrame, out: str, checkpoint: str,
+                               size: str = "1 day", available_now: bool = True) -> DataFrame:
+    """Window counts of incidents (each id once, however often and under whichever checkpoint it is read)."""
+    with stream_settings(spark):
+        q = start(source.parsed(records), windows.IncidentCountSink(out, checkpoint, size), checkpoint, available_now)
+    wait(spark, [q], available_now)
+    return windows.read_incident_window_counts(spark, out)

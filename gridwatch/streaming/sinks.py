@@ -3,8 +3,7 @@
 Storage layout: every table is a Parquet directory with one sub-directory per
 micro-batch (``batch=<run>_<id>``).  A batch overwrites only its own
 directory, so a retried batch (after a failure or an executor loss) replaces
-its earlier partial output instead of duplicating it; and when it checks what
-is already stored it excludes its own directory.  ``run`` is derived from the
+its earlier partial output instead of duplicating it.  ``run`` is derived from the
 checkpoint location, so a restart on the same checkpoint reuses the same
 names and a new checkpoint never touches another run's batches.
 

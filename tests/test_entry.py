@@ -23,7 +23,8 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle():
     from gridwatch.plans import catalog
 
-    assert set(catalog.registry()) <= set(E.oracle_sql()) <= set(E.queries())
+    # A fit by Newton steps has no SQL; tests/test_forecast.py compares it with a dense fit, and rtm_patterns (its whole input) has SQL.
+    assert set(catalog.registry()) - {"rtm_weights"} <= set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("missing", ["public_tokenizers", "corpus_pipeline", "gridwatch.llm"])
@@ -37,7 +38,7 @@ with warnings.catch_warnings(record=True) as said:
     warnings.simplefilter("always")
     import __spark_entry__ as E
 from gridwatch.plans import catalog
-assert set(E.queries()) == set(catalog.registry()) == set(E.oracle_sql())
+assert set(E.queries()) == set(catalog.registry()) == set(E.oracle_sql()) | {{'rtm_weights'}}
 assert any({missing!r} in str(w.message) for w in said), [str(w.message) for w in said]
 """
     subprocess.run([sys.executable, "-c", code], check=True, timeout=100)
