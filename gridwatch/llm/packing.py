@@ -42,7 +42,7 @@ SEGMENT = 1 << 16
 BLOCK = 1024
 #: Bytes in each of the two generations of a worker's cache of words: text, ids and about
 #: ``ENTRY`` bytes for the two objects and their place in the dict.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 48 << 20
 ENTRY = 200
 
 #: White space that the fast path and the tokenizer's \s both split at, and
@@ -96,24 +96,25 @@ class WordTokenizer:
 
     def part(self, part: str) -> bytes:
         """Ids of one part that the tokenizer's own pattern splits off, in lower case."""
-        ids = self.words.get(part)
+        ids = self.words.get(part) or self.older.get(part)
         if ids is None:
             shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.alphabet)
             ids = self.pack([t.id for t in self.model.tokenize(shown)])
-            self.keep(part, ids)
+        self.keep(part, ids)
         return ids
 
     def word(self, word: str) -> bytes:
-        if word.isascii() and word[:-1].isalpha() and word.isprintable():
-            if word[-1].isalpha():
+        if word.isascii() and word.isprintable():
+            if word.isalpha():
                 return self.part(word.lower())
-            return self.part(word[:-1].lower()) + self.part(word[-1])
+            if word[:-1].isalpha():
+                return self.part(word[:-1].lower()) + self.part(word[-1])
         if len(word) <= 256 and PLAIN_WORD.fullmatch(word):
             return b"".join([self.part(p) for p in self.split.findall(word.lower())])
         return self.pack(self.full.encode(word, add_special_tokens=False).ids)
 
     def keep(self, word: str, ids: bytes) -> None:
-        if len(word) <= 64:
+        if len(word) <= 64 and word not in self.words:
             self.words[word] = ids
             self.held += ENTRY + len(word) + len(ids)
 
@@ -121,16 +122,19 @@ class WordTokenizer:
         """Ids as little-endian bytes of ``dtype``."""
         if not self.by_word or ODD_SPACE.search(text) or (self.added and self.added.search(text)):
             return self.pack(self.full.encode(text, add_special_tokens=False).ids)
-        words = text.split()
+        words, at = text.split(), 0
         if self.held > CACHE_BYTES:
             self.older, self.words, self.held = self.words, {}, 0
-        out = list(map(self.words.get, words))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    word = words[i]
-                    out[i] = ids = self.words.get(word) or self.older.get(word) or self.word(word)
-                    self.keep(word, ids)
+        known = self.words.get
+        out = list(map(known, words))
+        for _ in range(out.count(None)):
+            at = out.index(None, at)
+            word = words[at]
+            ids = known(word)
+            if ids is None:
+                ids = self.older.get(word) or self.word(word)
+                self.keep(word, ids)
+            out[at] = ids
         return b"".join(out)
 
 
