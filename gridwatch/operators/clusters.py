@@ -18,90 +18,33 @@ Components are found by ``components``: rounds of grouped minima and pointer jum
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwatch.functions.geo import EARTH_RADIUS_M, haversine_m
+from gridwatch.operators import boxes
 from gridwatch.operators.components import components
-from gridwatch.operators.proximity import DAY_US, epoch_us
+from gridwatch.operators.proximity import DAY_US
 from gridwatch.operators.spatial import proximity_join
 from gridwatch.session import materialised
 
-AXES = ("x", "y", "z")
-
-
-def _points(fact: DataFrame) -> DataFrame:
-    """Incidents with place and time, on the unit sphere."""
-    phi, lam = F.radians("lat"), F.radians("lon")
-    return (fact.filter(F.col("offense_date").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-            .select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), epoch_us(F.col("offense_date")).alias("t_us"))
-            .withColumns({"x": F.cos(phi) * F.cos(lam), "y": F.cos(phi) * F.sin(lam), "z": F.sin(phi)}))
-
-
-def _chord(radius_m: float) -> float:
-    """Straight-line distance, on the unit sphere, of points ``radius_m`` apart."""
-    return 2.0 * math.sin(radius_m / (2.0 * EARTH_RADIUS_M))
-
-
-def _farthest(axis: str) -> Column:
-    return F.greatest(F.abs(F.col(f"a_max_{axis}") - F.col(f"b_min_{axis}")), F.abs(F.col(f"b_max_{axis}") - F.col(f"a_min_{axis}")))
-
-
-def _nearest(axis: str) -> Column:
-    return F.greatest(F.lit(0.0), F.col(f"a_min_{axis}") - F.col(f"b_max_{axis}"), F.col(f"b_min_{axis}") - F.col(f"a_max_{axis}"))
-
-
-def _square(of) -> Column:
-    x, y, z = (of(a) * of(a) for a in AXES)
-    return x + y + z
-
 
 def dense_links(dense: DataFrame, points: DataFrame, radius_m: float, days: float) -> DataFrame:
     """(u, v): pairs of dense cells in which some incidents are NEAR each other.
 
-    ``dense``: node and box (min_/max_ of x, y, z, t) of each cell; ``points``: the incidents of dense cells with their node.
+    ``points``: the incidents of dense cells with their node.
     """
-    limit, reach = _chord(radius_m) ** 2, days * DAY_US
-    mid = {a: (F.col(f"min_{a}") + F.col(f"max_{a}")) / 2 for a in (*AXES, "t")}
-    centres = dense.withColumns({
-        "lat": F.degrees(F.atan2(mid["z"], F.sqrt(mid["x"] * mid["x"] + mid["y"] * mid["y"]))),
-        "lon": F.degrees(F.atan2(mid["y"], mid["x"])), "t_mid": mid["t"]})
-    boxes = ["node", *(f"{m}_{a}" for a in (*AXES, "t") for m in ("min", "max"))]
-    # A box is not longer than the radius, so centres of linked cells are within twice the reach.
-    near = proximity_join(centres, centres, 2.02 * radius_m, boxes, boxes, extra=[("t_mid", 2.0 * reach)], strict=False)
-    near = (near.filter(F.col("p_node") < F.col("b_node"))
-            .withColumnsRenamed({f"p_{c}": f"a_{c}" for c in boxes})
-            .filter((_square(_nearest) <= limit * (1 + 1e-9)) & (_nearest("t") <= reach))
-            .withColumn("inside", (_square(_farthest) < limit * (1 - 1e-9)) & (_farthest("t") <= reach)))
-    near = materialised(near.select("a_node", "b_node", "inside", *(f"{s}_{b}" for s in "ab" for b in boxes[1:])), "cell_pairs")
-
-    def reaching(side: str, other: str) -> DataFrame:
-        """Points of one side of the undecided pairs that are in reach of the other side's box."""
-        gap = lambda a: F.greatest(F.lit(0.0), F.col(f"{other}_min_{a}") - F.col(a), F.col(a) - F.col(f"{other}_max_{a}"))
-        rim = near.filter(~F.col("inside")).select("a_node", "b_node", *(f"{other}_{b}" for b in boxes[1:]))
-        at = points.select(F.col("node").alias("_n"), *AXES, F.col("t_us").alias("t"), "lat", "lon").dropDuplicates(["_n", "lat", "lon", "t"])
-        return (rim.join(at, F.col(f"{side}_node") == F.col("_n"))
-                .filter((_square(gap) <= limit * (1 + 1e-9)) & (gap("t") <= reach))
-                .select("a_node", "b_node", *(F.col(c).alias(f"{side}_{c}") for c in ("lat", "lon", "t"))))
-
-    distance = haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    met = (reaching("a", "b").join(reaching("b", "a"), ["a_node", "b_node"])
-           .filter((F.abs(F.col("a_t") - F.col("b_t")) <= reach) & (distance < radius_m)).select("a_node", "b_node"))
+    near = materialised(boxes.cell_pairs(dense, radius_m, days), "cell_pairs")
+    places = points.dropDuplicates(["node", "lat", "lon", "t_us"])
+    sides = [boxes.rim_points(near, places, side, radius_m, days) for side in "ab"]
+    met = sides[0].join(sides[1], ["a_node", "b_node"]).filter(boxes.rim_test(radius_m, days)).select("a_node", "b_node")
     return near.filter("inside").select("a_node", "b_node").unionByName(met).distinct().toDF("u", "v")
 
 
 def incident_clusters(fact: DataFrame, radius_m: float, days: float, min_near: int) -> DataFrame:
     """(case_id, cluster_id, is_core) of every incident in a cluster."""
-    side = _chord(radius_m) / math.sqrt(3.0) * (1.0 - 1e-6)
-    cell = [F.floor(F.col(a) / side).cast("long").alias(f"c_{a}") for a in AXES]
-    base = materialised(_points(fact).select("*", *cell, F.floor(F.col("t_us") / (days * DAY_US)).cast("long").alias("c_t")), "points")
-    keys = ["c_x", "c_y", "c_z", "c_t"]
-    box = [f(c).alias(f"{n}_{a}") for a, c in (*((a, a) for a in AXES), ("t", "t_us")) for n, f in (("min", F.min), ("max", F.max))]
-    dense = materialised(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("node"), *box)
-                         .filter(F.col("n") > min_near).drop("n"), "dense")
-    marked = materialised(base.join(dense.select(*keys, "node"), keys, "left").drop(*keys), "marked")
+    base = materialised(boxes.points(fact, radius_m, days), "points")
+    dense = materialised(boxes.cells(base).filter(F.col("n") > min_near), "dense")
+    marked = materialised(base.join(dense.select(*boxes.KEYS, "node"), boxes.KEYS, "left").drop(*boxes.KEYS), "marked")
 
     sparse = marked.filter(F.col("node").isNull())
     links = proximity_join(sparse, marked, radius_m, ["id"], ["id", "node"], extra=[("t_us", days * DAY_US)])

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwatch.operators import clean, clusters, facts, graph, nearest, poi, predict, proximity, risk, spatial, terrain
+from gridwatch.operators import boxes, clean, clusters, facts, graph, nearest, poi, predict, proximity, risk, spatial, terrain
 from gridwatch.session import shared_path
 from gridwatch.functions.geo import in_bbox
 from gridwatch.plans import params as P
@@ -319,9 +319,9 @@ def q_near_incident_pairs(spark, sf_dir):
 
 
 def q_near_counts(spark, sf_dir):
-    """NEAR neighbour count per incident; aggregated straight off the join, pairs never stored."""
+    """NEAR neighbour count per incident: whole cells are counted, only incidents at the rim compared."""
     f = fact(spark, sf_dir, ["latitude", "longitude", "offense_date"])
-    return proximity.near_counts(proximity.near_incident_pairs(f, P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS))
+    return boxes.near_counts(f, P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS)
 
 
 def q_within_radius(spark, sf_dir):

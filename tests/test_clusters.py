@@ -99,3 +99,18 @@ def test_components(spark):
     want = roots({n for e in edges for n in e}, edges)
     assert got == {n: r for n, r in want.items() if n != r}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("lat,lon", [(29.65, -82.3), (0.0, 179.9995)])
+def test_near_counts_without_pairs(spark, lat, lon):
+    from gridwatch.operators import boxes
+
+    rng = random.Random(9)
+    rows = [(f"c{i:04d}", lat + rng.uniform(-0.01, 0.01), (lon + rng.uniform(-0.01, 0.01) + 180) % 360 - 180, T0 + timedelta(hours=rng.randint(0, 300)))
+            for i in range(400)] + [(f"h{i}", lat, lon, T0 + timedelta(minutes=i)) for i in range(60)] + [("n", None, lon, T0), ("far", -lat - 9, 0.0, T0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    full = [r for r in rows if None not in r]
+    want = {r[0]: sum(s[0] != r[0] and abs(r[3] - s[3]) <= timedelta(days=3) and metres(r, s) < 400.0 for s in full) for r in full}
+    assert {r.id: r.near_incidents for r in boxes.near_counts(df, 400.0, 3).collect()} == {i: n for i, n in want.items() if n}
+    seen = boxes.candidate_rows(df, 400.0, 3)
+    assert seen["inside"] > 0 and seen["compared"] < sum(want.values())
