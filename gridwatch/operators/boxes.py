@@ -28,15 +28,18 @@ def chord(radius_m: float) -> float:
     return 2.0 * math.sin(radius_m / (2.0 * EARTH_RADIUS_M))
 
 
-def points(fact: DataFrame, radius_m: float, days: float) -> DataFrame:
-    """Incidents with place, time, unit vector and cell; rows without a point or a date dropped."""
-    side = chord(radius_m) / math.sqrt(3.0) * (1.0 - 1e-6)
+def points(fact: DataFrame, radius_m: float, days: float, parts: int = 1) -> DataFrame:
+    """Incidents with place, time, unit vector and cell; rows without a point or a date dropped.
+
+    ``parts`` cuts each side of a cell: more cells, of which fewer are undecided.
+    """
+    side = chord(radius_m) / math.sqrt(3.0) * (1.0 - 1e-6) / parts
     phi, lam = F.radians("lat"), F.radians("lon")
     return (fact.filter(F.col("offense_date").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
             .select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), epoch_us(F.col("offense_date")).alias("t_us"))
             .withColumns({"x": F.cos(phi) * F.cos(lam), "y": F.cos(phi) * F.sin(lam), "z": F.sin(phi)})
             .select("*", *(F.floor(F.col(a) / side).cast("long").alias(f"c_{a}") for a in AXES),
-                    F.floor(F.col("t_us") / (days * DAY_US)).cast("long").alias("c_t")))
+                    F.floor(F.col("t_us") / (days * DAY_US / parts)).cast("long").alias("c_t")))
 
 
 def cells(base: DataFrame) -> DataFrame:
@@ -95,13 +98,13 @@ def rim_test(radius_m: float, days: float) -> Column:
         haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) < radius_m)
 
 
-def near_counts(fact: DataFrame, radius_m: float, days: float) -> DataFrame:
+def near_counts(fact: DataFrame, radius_m: float, days: float, parts: int = 2) -> DataFrame:
     """(id, near_incidents): how many incidents are NEAR each, without listing the pairs.
 
     A cell's own incidents and those of cells wholly inside count by cell; only incidents at the rim are compared.
     Incidents without a neighbour have no row.
     """
-    base = materialised(points(fact, radius_m, days), "points")
+    base = materialised(points(fact, radius_m, days, parts), "points")
     found = materialised(cells(base), "cells")
     pairs = materialised(cell_pairs(found, radius_m, days), "cell_pairs")
     marked = base.join(found.select(*KEYS, "node", "n"), KEYS).drop(*KEYS)
@@ -118,9 +121,9 @@ def near_counts(fact: DataFrame, radius_m: float, days: float) -> DataFrame:
             .select("id", total.alias("near_incidents")).filter("near_incidents > 0"))
 
 
-def candidate_rows(fact: DataFrame, radius_m: float, days: float) -> dict[str, int]:
+def candidate_rows(fact: DataFrame, radius_m: float, days: float, parts: int = 2) -> dict[str, int]:
     """What ``near_counts`` looks at: cells, cell pairs by kind and point comparisons (for reports)."""
-    base = materialised(points(fact, radius_m, days), "points")
+    base = materialised(points(fact, radius_m, days, parts), "points")
     found = materialised(cells(base), "cells")
     pairs = materialised(cell_pairs(found, radius_m, days), "cell_pairs")
     marked = base.join(found.select(*KEYS, "node"), KEYS).drop(*KEYS)

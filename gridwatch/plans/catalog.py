@@ -309,6 +309,34 @@ def q_incidents_bbox_stored(spark, sf_dir):
     return tables.facts_in_bbox(spark, _stored_fact(spark, sf_dir), P.MAP_VIEW)
 
 
+def _curve_store(spark, sf_dir):
+    from gridwatch.sources import curve
+
+    path = shared_path(spark, "fact_curve", fresh=True)
+    curve.write_fact_curve(fact(spark, sf_dir), path)
+    return path
+
+
+def q_incidents_bbox_curve(spark, sf_dir):
+    """Store the fact table along a Morton curve, then read a map view by key ranges."""
+    from gridwatch.sources import curve
+
+    return curve.facts_in_bbox_curve(spark, _curve_store(spark, sf_dir), P.MAP_VIEW)
+
+
+def q_within_radius_curve(spark, sf_dir):
+    """Radius lookups on the Morton store, each by the key ranges of its own box."""
+    from gridwatch.sources import curve
+
+    path = _curve_store(spark, sf_dir)
+    parts = [curve.facts_in_radius_curve(spark, path, lat, lon, P.RADIUS_M).select(F.lit(n).alias("point_id"), "id", "distance_m")
+             for n, lat, lon in P.RADIUS_POINTS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def q_occurred_near(spark, sf_dir):
     return proximity.occurred_near(g_input(spark, sf_dir), places_df(spark, sf_dir), P.NEAR_PLACE_M)
 

@@ -589,6 +589,8 @@ f AS (SELECT cy, cx, {bits} AS factors
 n AS (SELECT cy, cx, count(*) AS n FROM inc GROUP BY cy, cx)
 SELECT CAST(factors AS INTEGER) AS factors, CAST(count(*) AS BIGINT) AS cells, CAST(sum(coalesce(n, 0)) AS BIGINT) AS incidents
 FROM f LEFT JOIN n USING (cy, cx) GROUP BY factors""")
+    q["incidents_bbox_curve"] = q["incidents_bbox"]
+    q["within_radius_curve"] = q["within_radius"]
     q["graph_store_generation"] = q["edges_all"]
     q["stream_window_replay"] = with_ctes(RAW, TYPED, KEYED, FACT, body="""
 SELECT time_bucket(INTERVAL 1 DAY, offense_date) AS window_start,
