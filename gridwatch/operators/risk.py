@@ -25,7 +25,7 @@ from gridwatch.operators.graph import location_nodes, occurred_at
 BANDS = {"night": cal.NIGHT_PARTS, "day": cal.DAY_PARTS}
 
 
-def _band_of_part(part) -> F.Column:
+def band_of_part(part) -> F.Column:
     return (F.when(part.isin(*cal.NIGHT_PARTS), "night")
             .when(part.isin(*cal.DAY_PARTS), "day"))
 
@@ -33,7 +33,7 @@ def _band_of_part(part) -> F.Column:
 def risk_scores(g: DataFrame) -> DataFrame:
     """(address, band, risk_score, incidents) for bands night and day."""
     per_case = (g.select(F.col("id").alias("case_id"), "hour",
-                         _band_of_part(F.col("part_of_day")).alias("band"))
+                         band_of_part(F.col("part_of_day")).alias("band"))
                 .filter(F.col("band").isNotNull())
                 .groupBy("case_id", "band")
                 .agg(F.count_distinct("hour").alias("paths")))
@@ -66,7 +66,7 @@ def risk_at_hour(g: DataFrame, hour: int) -> DataFrame:
     """
     # The requested hour goes through the same part-of-day rule (constant-folded
     # by Catalyst); an evening hour yields a NULL band, which matches nothing.
-    band = _band_of_part(cal.part_of_day(F.lit(hour)))
+    band = band_of_part(cal.part_of_day(F.lit(hour)))
     scores = risk_scores(g).filter(F.col("band") == band)
     return (scores.join(location_nodes(g), "address")
             .select("address", "lat", "lon", F.col("risk_score").alias("risk")))
@@ -93,7 +93,7 @@ def risk_from_graph(edges: DataFrame, time_blocks: DataFrame) -> DataFrame:
     during = edges.filter(F.col("edge_type") == "OCCURRED_DURING") \
         .select(F.col("src").alias("case_id"), F.col("dst").cast("int").alias("hour"))
     per_case = (during.join(time_blocks, "hour")
-                .withColumn("band", _band_of_part(F.col("part_of_day")))
+                .withColumn("band", band_of_part(F.col("part_of_day")))
                 .filter(F.col("band").isNotNull())
                 .groupBy("case_id", "band").agg(F.count(F.lit(1)).alias("paths")))
     return (at.join(per_case, "case_id").groupBy("address", "band")

@@ -583,6 +583,14 @@ def q_stream_risk_refresh(spark, sf_dir):
     return scores.filter(F.col("band") == "night").select("address", "risk_score", "incidents")
 
 
+def q_stream_risk_incremental(spark, sf_dir):
+    """Risk of both bands kept current batch by batch: only changed sums are stored, nothing stored is read."""
+    from gridwatch.streaming import risk as stream_risk
+
+    stream, base = _landed(spark, standin.incident_json(spark, sf_dir))
+    return stream_risk.run_risk_stream(spark, stream, f"{base}/risk", f"{base}/checkpoint")
+
+
 def q_stream_quarantine(spark, sf_dir):
     from gridwatch.streaming import sinks
 

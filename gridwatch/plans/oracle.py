@@ -518,6 +518,7 @@ FROM (SELECT time_bucket(INTERVAL 1 DAY, CASE WHEN seq % 5 = 0 THEN offense_date
              ELSE offense_date END) AS w, incident_type FROM typed WHERE offense_date IS NOT NULL)
 GROUP BY ALL""")
     q["stream_risk_refresh"] = q["risk_night"]
+    q["stream_risk_incremental"] = q["risk_table"]
     q["stream_quarantine"] = q["quarantine"]
     q["stream_window_counts"] = with_ctes(RAW, TYPED, body="""
 SELECT time_bucket(INTERVAL 1 DAY, offense_date) AS window_start,
