@@ -227,3 +227,61 @@ def test_incremental_risk_equals_batch_after_every_batch(spark, scratch):
     again = stream_risk.run_risk_stream(spark, source.file_stream(spark, landing, 10), out, f"{scratch}/ckpt2", partitions=2)
     assert _rows(again.select(cols)) == _rows(want.select(cols))
     assert _rows(stream_risk.read_risk(spark, out, f"{scratch}/ckpt").select(cols)) == _rows(want.select(cols))
+
+
+def _fact_rows(spark, rows):
+    """Rows (seq, id, lat, lon, day of January) as a batch of the fact table."""
+    from datetime import datetime
+
+    df = spark.createDataFrame([(s, i, y, x, datetime(2024, 1, d, 12) if d else None) for s, i, y, x, d in rows],
+                               "seq long, id string, latitude double, longitude double, offense_date timestamp_ntz")
+    return df
+
+
+def _near_links(spark, out):
+    from gridwatch.streaming import near
+
+    return sorted((r.id_a, r.id_b) for r in near.read_near(spark, out).collect())
+
+
+def test_near_follows_moves_retries_and_other_checkpoints(spark, scratch):
+    from gridwatch.streaming import near
+
+    sink = near.NearSink(scratch, "/ckpt/1", 500.0, 7)
+    one = _fact_rows(spark, [(10, "a", 29.0, -82.0, 5), (11, "b", 29.001, -82.0, 6), (12, "c", 29.0, -82.0, 25), (13, "d", None, -82.0, 5), (14, "e", 29.0, -82.0, None)])
+    sink(one, 0)
+    assert _near_links(spark, scratch) == [("a", "b")]
+    sink(one, 0)  # retried
+    near.NearSink(scratch, "/ckpt/2", 500.0, 7)(one, 0)  # read again under another checkpoint
+    assert _near_links(spark, scratch) == [("a", "b")]
+    # An earlier record of b moves it to the 20th, next to c; a later record of a changes nothing; d gets no point.
+    sink(_fact_rows(spark, [(3, "b", 29.0, -82.001, 20), (30, "a", 29.0, -82.0, 24), (31, "d", 29.0, -82.0, 5)]), 1)
+    assert _near_links(spark, scratch) == [("b", "c")]
+    # The first version of e comes last.
+    sink(_fact_rows(spark, [(1, "e", 29.0, -82.0, 19)]), 2)
+    assert _near_links(spark, scratch) == [("b", "c"), ("b", "e"), ("c", "e")]
+
+
+def test_near_batch_reads_only_days_and_cells_in_reach(spark, scratch):
+    from gridwatch.streaming import near
+
+    sink = near.NearSink(scratch, "/ckpt/1", 500.0, 7)
+    far = [(i, f"f{i}", 20.0 + i % 10, -80.0 + i // 10, 1 + i % 28) for i in range(200)]
+    here = [(1000 + d, f"h{d}", 29.0, -82.0, d) for d in range(1, 29)]
+    edge = [(2000, "w", 0.0, 179.9999, 14), (2001, "x", 0.0, -179.9999, 15)]
+    sink(_fact_rows(spark, far + here + edge[:1]), 0)
+    new = sink.versions(_fact_rows(spark, [(3000, "n", 29.0001, -82.0, 14), edge[1]]))
+    stored = sink.in_reach(spark, new, "other")
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        plan = sink.in_reach(spark, new, "other")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    # Days, cells and the batch select partitions; no filter is left for rows.
+    filters = plan[plan.index("PartitionFilters"):].split("PushedFilters")[0]
+    assert "day#" in filters and "cell#" in filters and "batch#" in filters and "DataFilters: []" in plan
+    assert sorted(r.id for r in stored.collect()) == sorted([f"h{d}" for d in range(7, 23)] + ["w"])  # days 14 and 15, a week each way
+    sink(_fact_rows(spark, [(3000, "n", 29.0001, -82.0, 14), edge[1]]), 1)
+    got = _near_links(spark, scratch)
+    assert ("w", "x") in got and {a for a, b in got if b == "n"} == {f"h{d}" for d in range(7, 22)}
