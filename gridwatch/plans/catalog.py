@@ -498,13 +498,18 @@ def q_graph_store_generation(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _landed(spark: SparkSession, records: DataFrame) -> tuple[DataFrame, str]:
-    """A streaming DataFrame over freshly landed records, and a base folder."""
+    """A streaming DataFrame over freshly landed records, and a base folder.
+
+    The feed has a file per STREAM_FILE_ROWS records, so landing and batches spread over the cluster at any size;
+    each of the STREAM_BATCHES micro-batches takes its share of the files.
+    """
     from gridwatch.streaming import source
 
     _prepare(spark)
     base = shared_path(spark, "stream", fresh=True)
-    source.land_records(records, f"{base}/landing", P.STREAM_FILES)
-    return source.file_stream(spark, f"{base}/landing"), base
+    files = max(P.STREAM_BATCHES, -(-records.count() // P.STREAM_FILE_ROWS))
+    source.land_records(records, f"{base}/landing", files)
+    return source.file_stream(spark, f"{base}/landing", -(-files // P.STREAM_BATCHES)), base
 
 
 def _stream_run(spark: SparkSession, sf_dir: str, mode: str = "single") -> str:

@@ -21,7 +21,8 @@ MODEL_VERSION = "count-v1"
 MAP_VIEW = (29.6200, -82.3800, 29.6800, -82.3000)  # south, west, north, east of a map view
 PREDICTION_TIME = "2024-01-26 23:00:00"   # a Friday night
 PREDICTION_TIMES = ["2024-01-26 23:00:00", "2024-01-27 14:00:00"]
-STREAM_FILES = 4                  # landed files (= micro-batches) in the stream feeds
+STREAM_BATCHES = 4                # micro-batches of the stream feeds
+STREAM_FILE_ROWS = 20_000         # records in a landed file
 WINDOW_SIZE = "1 day"
 LATE_DAYS = 60                    # how much earlier the late rows of the late feed lie
 CLUSTER_M = 300.0                 # clusters: NEAR means closer than this (strict <)
