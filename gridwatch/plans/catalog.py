@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwatch.operators import boxes, clean, clusters, facts, graph, nearest, poi, predict, proximity, risk, spatial, terrain
+from gridwatch.operators import boxes, clean, clusters, facts, graph, nearest, patterns, poi, predict, proximity, risk, spatial, terrain
 from gridwatch.session import shared_path
 from gridwatch.functions.geo import in_bbox
 from gridwatch.plans import params as P
 from gridwatch.sources import standin
 
 Query = Callable[[SparkSession, str], DataFrame]
+NEAR_PAIR = "id_a string, id_b string, distance_m double"
 
 
 def _prepare(spark: SparkSession) -> None:
@@ -219,6 +220,59 @@ def q_edges_with_near(spark, sf_dir):
     return tables.read_all_edges(spark, root)
 
 
+def _stored_patterns(spark, sf_dir, with_near: bool = True) -> tuple[str, DataFrame]:
+    """The pattern edges of the whole fact table, stored (NEAR only if asked for); (folder, cells)."""
+    from gridwatch.session import materialised
+    from gridwatch.sources import tables
+
+    f = materialised(fact(spark, sf_dir, predict.CELL_INPUT), "facts")
+    cells = predict.with_cells(f, P.GRID_DEG)
+    near = (proximity.near_incident_pairs(f, P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS) if with_near
+            else spark.createDataFrame([], NEAR_PAIR))
+    root = shared_path(spark, "patterns", fresh=True)
+    tables.write_patterns(patterns.pattern_edges(f, near, predict.grid_type_risk(cells, P.HIGH_RISK)), root)
+    return root, cells
+
+
+def q_pattern_edges(spark, sf_dir):
+    """DURING, NEAR and HIGH_RISK_FOR edges with their weights, read back from the store."""
+    from gridwatch.sources import tables
+
+    return tables.read_patterns(spark, _stored_patterns(spark, sf_dir)[0])
+
+
+def q_edges_knowledge(spark, sf_dir):
+    """All eight edge types of one generation of the stored graph as one table."""
+    from gridwatch.sources import tables
+
+    t = typed(spark, sf_dir)
+    g = graph.graph_input(t)
+    stored = tables.read_patterns(spark, _stored_patterns(spark, sf_dir)[0])
+    root = shared_path(spark, "graph", fresh=True)
+    tables.refresh_graph(g, t, root, near=proximity.occurred_near(g, places_df(spark, sf_dir), P.NEAR_PLACE_M), pattern_edges=stored)
+    return tables.read_knowledge_edges(spark, tables.current_graph(spark, root))
+
+
+def q_pattern_nodes(spark, sf_dir):
+    f = fact(spark, sf_dir, predict.CELL_INPUT)
+    high = predict.grid_type_risk(predict.with_cells(f, P.GRID_DEG), P.HIGH_RISK)
+    return patterns.pattern_nodes(patterns.pattern_edges(f, spark.createDataFrame([], NEAR_PAIR), high))
+
+
+def q_window_lift(spark, sf_dir):
+    """Incident types that are more or less frequent in a weekday and part of day than if both were independent."""
+    f = fact(spark, sf_dir, ["incident_type", "offense_date", "offense_hour", "offense_day_of_week"])
+    return patterns.window_lift(patterns.during(f), f.select("id", "incident_type"))
+
+
+def q_high_risk_windows(spark, sf_dir):
+    """When the incidents behind each stored HIGH_RISK_FOR edge mostly happen."""
+    from gridwatch.sources import tables
+
+    root, cells = _stored_patterns(spark, sf_dir, with_near=False)
+    return patterns.high_risk_windows(tables.read_patterns(spark, root), cells)
+
+
 def q_graph_store_nodes(spark, sf_dir):
     """Node tables of the batch graph load, read back: (label, key)."""
     from gridwatch.sources import tables

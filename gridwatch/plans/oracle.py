@@ -593,6 +593,31 @@ FROM f LEFT JOIN n USING (cy, cx) GROUP BY factors""")
     q["incidents_bbox_curve"] = q["incidents_bbox"]
     q["within_radius_curve"] = q["within_radius"]
     q["graph_store_generation"] = q["edges_all"]
+    near_sql, risk_sql = (f"({q[name]})" for name in ("near_incident_pairs", "grid_type_risk"))
+    q["pattern_edges"] = with_ctes(*FB, body=f"""
+SELECT 'DURING' AS edge_type, id AS src, day_name || '/' || part_of_day AS dst, CAST(NULL AS DOUBLE) AS weight FROM gf
+UNION ALL SELECT 'NEAR', id_a, id_b, distance_m FROM {near_sql}
+UNION ALL SELECT 'HIGH_RISK_FOR', grid_id, incident_type, risk_score FROM {risk_sql}""")
+    q["edges_knowledge"] = (f"SELECT edge_type, src, dst FROM ({q['edges_with_near']})\n"
+                            f"UNION ALL SELECT edge_type, src, dst FROM ({q['pattern_edges']})")
+    q["pattern_nodes"] = with_ctes(*FB, body=f"""
+SELECT DISTINCT 'TimeWindow' AS label, day_name || '/' || part_of_day AS key FROM gf
+UNION SELECT 'Grid', grid_id FROM {risk_sql}
+UNION SELECT 'IncidentType', incident_type FROM {risk_sql}""")
+    q["window_lift"] = with_ctes(*FB, body="""
+SELECT a.incident_type, a.w AS time_window, CAST(count(*) AS BIGINT) AS incidents,
+       CAST(any_value(t.n) AS DOUBLE) * any_value(v.n) / (SELECT count(*) FROM gf) AS expected,
+       count(*) / (CAST(any_value(t.n) AS DOUBLE) * any_value(v.n) / (SELECT count(*) FROM gf)) AS lift
+FROM (SELECT incident_type, day_name || '/' || part_of_day AS w FROM gf) a
+JOIN (SELECT incident_type, count(*) AS n FROM gf GROUP BY 1) t ON a.incident_type IS NOT DISTINCT FROM t.incident_type
+JOIN (SELECT day_name || '/' || part_of_day AS w, count(*) AS n FROM gf GROUP BY 1) v ON a.w = v.w
+GROUP BY a.incident_type, a.w""")
+    q["high_risk_windows"] = with_ctes(*FB, body=f"""
+, n AS (SELECT grid_id, incident_type, day_name || '/' || part_of_day AS w, count(*) AS n FROM cells GROUP BY ALL)
+SELECT grid_id, incident_type, risk_score, incidents, w AS time_window, CAST(n AS BIGINT) AS in_window, n / incidents AS share
+FROM (SELECT *, row_number() OVER (PARTITION BY grid_id, incident_type ORDER BY n DESC, w) AS place
+      FROM {risk_sql} JOIN n USING (grid_id, incident_type))
+WHERE place = 1""")
     q["stream_window_replay"] = with_ctes(RAW, TYPED, KEYED, FACT, body="""
 SELECT time_bucket(INTERVAL 1 DAY, offense_date) AS window_start,
        time_bucket(INTERVAL 1 DAY, offense_date) + INTERVAL 1 DAY AS window_end,

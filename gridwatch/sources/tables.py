@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwatch.operators import graph
+from gridwatch.operators import graph, patterns
 from gridwatch.operators.facts import pick_by_seq
 from gridwatch.schema import FACT
 from gridwatch.session import remove_path
@@ -88,6 +88,21 @@ def read_all_edges(spark: SparkSession, root: str) -> DataFrame:
     return edges.unionByName(graph.near_edges(spark.read.parquet(f"{root.rstrip('/')}/occurred_near")))
 
 
+def write_patterns(edges: DataFrame, root: str) -> None:
+    """Full refresh of the stored pattern edges (``patterns.pattern_edges``), a partition per edge type."""
+    edges.write.mode("overwrite").partitionBy("edge_type").parquet(f"{root.rstrip('/')}/patterns")
+
+
+def read_patterns(spark: SparkSession, root: str) -> DataFrame:
+    """The stored pattern edges (edge_type, src, dst, weight); a filter on the type prunes to its files."""
+    return spark.read.parquet(f"{root.rstrip('/')}/patterns").select(*patterns.COLUMNS)
+
+
+def read_knowledge_edges(spark: SparkSession, root: str) -> DataFrame:
+    """Incident edges, OCCURRED_NEAR and pattern edges as one (edge_type, src, dst) table."""
+    return read_all_edges(spark, root).unionByName(read_patterns(spark, root).drop("weight"))
+
+
 def write_risk(scores: DataFrame, root: str) -> None:
     """Full refresh of the stored risk table (address, band, risk_score, incidents): old scores go."""
     scores.write.mode("overwrite").parquet(f"{root.rstrip('/')}/risk")
@@ -122,7 +137,8 @@ def write_graph(g: DataFrame, typed: DataFrame, root: str, mode: str = "overwrit
 # Generations: a refresh that readers see as a whole
 # ---------------------------------------------------------------------------
 
-def refresh_graph(g: DataFrame, typed: DataFrame, root: str, near: DataFrame | None = None) -> str:
+def refresh_graph(g: DataFrame, typed: DataFrame, root: str, near: DataFrame | None = None,
+                  pattern_edges: DataFrame | None = None) -> str:
     """Write every graph table to a new generation below ``root``, then point to it; returns the generation's folder.
 
     Readers resolve the pointer once and keep reading that generation.  A refresh that fails before the pointer is
@@ -134,6 +150,8 @@ def refresh_graph(g: DataFrame, typed: DataFrame, root: str, near: DataFrame | N
     write_graph(g, typed, folder)
     if near is not None:
         write_near(near, folder)
+    if pattern_edges is not None:
+        write_patterns(pattern_edges, folder)
     # The pointer is a committed write of one line: it counts only with its success mark.
     spark.createDataFrame([(folder,)], "value string").coalesce(1).write.text(f"{root}/pointers/{number:012d}")
     return folder
