@@ -627,6 +627,18 @@ def q_stream_near_pairs(spark, sf_dir):
                                 P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS)
 
 
+def q_stream_near_compacted(spark, sf_dir):
+    """NEAR links after the store was folded and all facts were read a second time, under another checkpoint."""
+    from gridwatch.streaming import near
+
+    root = _stream_run(spark, sf_dir)
+    base = root.rsplit("/", 1)[0]
+    settings = (P.NEAR_INCIDENT_M, P.NEAR_INCIDENT_DAYS)
+    near.run_near_stream(spark, root, f"{base}/near", f"{base}/near_checkpoint", *settings)
+    near.compact_near(spark, f"{base}/near", "folded_0001")
+    return near.run_near_stream(spark, root, f"{base}/near", f"{base}/near_checkpoint_2", *settings)
+
+
 def q_stream_graph(spark, sf_dir):
     from gridwatch.streaming import sinks
 
@@ -664,6 +676,25 @@ def q_stream_window_counts(spark, sf_dir):
     return runner.run_window_counts(spark, stream, f"{base}/windows", f"{base}/checkpoint", size=P.WINDOW_SIZE)
 
 
+def q_stream_windows_compacted(spark, sf_dir):
+    """Record counts per window after the stored batches were folded twice."""
+    from gridwatch.streaming import runner, windows
+
+    stream, base = _landed(spark, standin.incident_json(spark, sf_dir))
+    runner.run_window_counts(spark, stream, f"{base}/windows", f"{base}/checkpoint", size=P.WINDOW_SIZE)
+    windows.compact_window_counts(spark, f"{base}/windows", "folded_0001")
+    windows.compact_window_counts(spark, f"{base}/windows", "folded_0002")
+    return windows.read_window_counts(spark, f"{base}/windows")
+
+
+def q_stream_quarantine_compacted(spark, sf_dir):
+    from gridwatch.streaming import sinks
+
+    root = _stream_run(spark, sf_dir)
+    sinks.compact(spark, root, "quarantine", "folded_0001")
+    return sinks.read_quarantine(spark, root).select("seq", "id", "reasons")
+
+
 def q_stream_late_windows(spark, sf_dir):
     """Window counts of a feed in which every fifth record lies LATE_DAYS earlier than its neighbours."""
     from gridwatch.streaming import runner

@@ -593,6 +593,9 @@ FROM f LEFT JOIN n USING (cy, cx) GROUP BY factors""")
     q["incidents_bbox_curve"] = q["incidents_bbox"]
     q["within_radius_curve"] = q["within_radius"]
     q["graph_store_generation"] = q["edges_all"]
+    q["stream_near_compacted"] = q["near_incident_pairs"]
+    q["stream_windows_compacted"] = q["stream_window_counts"]
+    q["stream_quarantine_compacted"] = q["stream_quarantine"]
     near_sql, risk_sql = (f"({q[name]})" for name in ("near_incident_pairs", "grid_type_risk"))
     q["pattern_edges"] = with_ctes(*FB, body=f"""
 SELECT 'DURING' AS edge_type, id AS src, day_name || '/' || part_of_day AS dst, CAST(NULL AS DOUBLE) AS weight FROM gf

@@ -13,7 +13,7 @@ readers merge (the reference's MERGE / ON CONFLICT rules):
 * fact, Location: first-wins by ``seq`` over all batches (a NULL first point stays NULL),
   so a record that arrives in a later batch with a smaller ``seq`` still wins;
 * Incident, TimeBlock: last-wins attributes by ``seq``;
-* Day, Season, edges: sets.
+* Day, Season, edges, quarantine: sets.
 
 Inside a batch the same rules pre-aggregate, so an id replayed a million times in a
 batch is stored once.  ``compact`` folds the batches of a table into one.
@@ -123,7 +123,7 @@ def _as_set(df: DataFrame) -> DataFrame:
 
 #: How the batches of each table merge; merging twice gives the same rows.
 MERGES = {"fact": _first_facts, "location": _first_locations, "incident": _last_incidents,
-          "time_block": _last_time_blocks, "day": _as_set, "season": _as_set, "edges": _as_set}
+          "time_block": _last_time_blocks, "day": _as_set, "season": _as_set, "edges": _as_set, "quarantine": _as_set}
 
 
 def read_merged(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -153,7 +153,8 @@ def read_time_blocks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/quarantine").drop(BATCH_COL)
+    """Bad records, each once however often it was read."""
+    return read_merged(spark, root, "quarantine")
 
 
 def compact(spark: SparkSession, root: str, table: str, name: str) -> None:

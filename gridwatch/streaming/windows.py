@@ -9,13 +9,14 @@ batch overwrites its own rows.
 ``IncidentCountSink`` counts incidents.  It stores each batch's first record per id with its window, and readers
 take the first record of each id over all batches and checkpoints before they count.  So a replayed id
 changes nothing, and an earlier record that arrives late moves its incident to another window (it leaves
-the old one).  ``compact_incidents`` folds the batches into one row per id.
+the old one).  ``compact_incidents`` folds the batches into one row per id, ``compact_window_counts`` those of ``CountSink``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridwatch.operators import clean
 from gridwatch.operators.clean import type_incidents
@@ -87,5 +88,36 @@ def compact_incidents(spark: SparkSession, path: str, name: str) -> None:
         remove_path(spark, f"{path}/{BATCH_COL}={key}")
 
 
+#: Stored window counts.  A row with ``covers`` holds no count: it names a batch that its own batch replaces.
+COUNTS = T.StructType([T.StructField("window_start", T.TimestampNTZType()), T.StructField("window_end", T.TimestampNTZType()),
+                       T.StructField("incident_type", T.StringType()), T.StructField("incidents", T.LongType()),
+                       T.StructField("covers", T.StringType()), T.StructField(BATCH_COL, T.StringType())])
+
+
+def _counting(stored: DataFrame) -> DataFrame:
+    """The rows of batches that no folded batch covers, summed."""
+    covered = stored.filter(F.col("covers").isNotNull()).select(F.col("covers").alias(BATCH_COL)).distinct()
+    return (stored.filter(F.col("covers").isNull()).join(covered, BATCH_COL, "left_anti")
+            .groupBy(*KEYS).agg(F.sum("incidents").alias("incidents")))
+
+
 def read_window_counts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy(*KEYS).agg(F.sum("incidents").alias("incidents"))
+    return _counting(spark.read.schema(COUNTS).parquet(path))
+
+
+def compact_window_counts(spark: SparkSession, path: str, name: str) -> None:
+    """Fold all batches, as stored now, into the batch ``name``; then delete them.
+
+    Sums can't be merged twice, so the folded batch names those it covers, one row each, and readers leave these out:
+    they see the same counts before, between and after the two steps, and when a covered batch is written again later.
+    """
+    stored = spark.read.schema(COUNTS).parquet(path)
+    old = [r[0] for r in stored.select(BATCH_COL).distinct().collect()]  # one row per batch
+    if name in old:
+        raise ValueError(f"batch {name} is stored already")
+    covers = (stored.select(F.col(BATCH_COL).alias("covers")).unionByName(stored.filter(F.col("covers").isNotNull()).select("covers"))
+              .distinct())
+    (_counting(stored).unionByName(covers, allowMissingColumns=True)
+     .write.parquet(f"{path}/{BATCH_COL}={name}"))
+    for key in old:
+        remove_path(spark, f"{path}/{BATCH_COL}={key}")
