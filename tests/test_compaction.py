@@ -88,3 +88,34 @@ def test_near(spark, scratch, monkeypatch, days):
     assert links(spark, scratch) == [("a", "f"), ("a", "g"), ("b", "c"), ("b", "e"), ("c", "e"), ("f", "g")]
     with pytest.raises(ValueError):
         near.compact_near(spark, scratch, "f2", days)
+
+
+def test_near_links_once_and_after_failures(spark, scratch):
+    """A record read again under another checkpoint is not linked again; a batch that failed before its links is."""
+    from datetime import datetime
+
+    from gridwatch.session import remove_path
+    from gridwatch.streaming.sinks import run_token
+
+    schema = "id string, seq long, latitude double, longitude double, offense_date timestamp_ntz"
+    rows = [(f"i{n % 25}", n, 29.6 + n % 7 * 0.001, -82.3, datetime(2024, 1, 5 + n % 3)) for n in range(30)]
+    one, two = (spark.createDataFrame(part, schema) for part in (rows[::2], rows[1::2]))
+    sink, again = near.NearSink(scratch, "/ckpt/1", 500.0, 7), near.NearSink(scratch, "/ckpt/2", 500.0, 7)
+    read = lambda: sorted(tuple(r) for r in near.read_near(spark, scratch).collect())
+    stored = lambda key: spark.read.parquet(f"{scratch}/links").filter(f"batch = '{key}'").count()
+    sink(one, 0)
+    sink(two, 1)
+    want = read()
+    again(one, 0)
+    assert want and read() == want and stored(f"{run_token('/ckpt/2')}_{0:012d}") == 0
+
+    remove_path(spark, f"{scratch}/links/batch={run_token('/ckpt/1')}_{1:012d}")  # as if the second batch had failed there
+    assert read() != want
+    near.compact_near(spark, scratch, "f1")
+    again(two, 1)
+    assert read() == want
+    sink(two, 1)  # the failed batch is tried again
+    near.compact_near(spark, scratch, "f2", ("2024-01-05", "2024-01-05"))
+    near.compact_near(spark, scratch, "f3")
+    assert read() == want
+    assert {r[0] for r in spark.read.parquet(f"{scratch}/versions").select("batch").distinct().collect()} == {"f3"}
