@@ -84,3 +84,40 @@ def test_near_pairs_are_not_broadcast(spark):
     fact = spark.createDataFrame([("a", 29.6, -82.3, "2024-01-05 10:00:00")], "id string, latitude double, longitude double, offense_date string")
     plan = _plan(proximity.near_incident_pairs(fact.withColumn("offense_date", F.col("offense_date").cast("timestamp_ntz")), 500.0, 7))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_paths_leave_the_distance_join_unshuffled(spark):
+    """Above the join on cells nothing is shuffled or joined again, chunks of one address lose no incident."""
+    g, _, _, places = _inputs(spark)
+    paths = proximity.occurred_near_paths(g, places, 200.0)
+    top = _plan(paths.joined(paths.links)).split("SortMergeJoin")
+    assert "Exchange" not in top[0] and "xxhash64" in top[1].split("\n")[0]
+    links = spark.range(2500).selectExpr("concat('i', id) AS case_id", "'N1' AS address", "1 AS n_addresses", "true AS apart")
+    here = paths.pairs.filter("address = 'N1'").count()
+    got = [paths.joined(links, few).groupBy("case_id").count() for few in (False, True)]
+    assert here and all((r.count() == 2500 and r.filter(f"count <> {here}").isEmpty()) for r in got)
+
+
+def test_pairs_are_the_same_from_either_side(spark):
+    g, _, _, places = _inputs(spark)
+    locations = graph.location_nodes(g).select("address", "lat", "lon")
+    a, b = (sorted(tuple(r) for r in proximity.point_place_pairs(locations, places, 200.0, side).collect()) for side in (True, False))
+    assert a and a == b
+
+
+def test_edges_of_varied_incidents_are_counted_once(spark):
+    """Incidents whose rows are alike are counted by span; the others edge by edge, also when too many for a broadcast."""
+    row = lambda s, i, a, h, d: (s, i, "t", None, "2024-01-05 10:00:00", h, d, a, "29.6", "-82.3", None, None)
+    rows = [row(0, "x", "A", "1", "Friday"), row(1, "x", "A", "1", "Friday"), row(2, "y", "A", "1", "Friday"), row(3, "y", "B", "1", "Friday"),
+            row(4, "y", "A", "2", "Friday"), row(5, "z", None, None, None)]
+    g = graph.graph_input(clean.type_incidents(spark.createDataFrame(rows, RAW)))
+    assert {r.case_id: (r.a, r.z, r.alike) for r in graph.case_spans(g).collect()} == {
+        "x": ("A", None, True), "y": ("A", "B", False), "z": ("Unknown Location", None, True)}
+    want = {"Location": 3, "Incident": 3, "TimeBlock": 3, "Day": 2, "Season": 1,
+            "OCCURRED_AT": 4, "OCCURRED_DURING": 4, "ON_DAY": 3, "DURING_SEASON": 3}
+    assert {r.item: r.n for r in graph.graph_stats(g).collect()} == want
+    few, graph.FEW_ROWS = graph.FEW_ROWS, 0
+    try:
+        assert {r.item: r.n for r in graph.graph_stats(g).collect()} == want
+    finally:
+        graph.FEW_ROWS = few

@@ -5,6 +5,7 @@ import random
 
 from gridwatch.functions.geo import EARTH_RADIUS_M
 from gridwatch.operators import proximity, spatial
+from pyspark.sql import functions as F
 
 
 def hav(lat1, lon1, lat2, lon2):
@@ -93,3 +94,10 @@ def test_within_radius_leaves_the_join_to_the_measured_size(spark):
     df = proximity.within_radius(pts, fact, 1000.0)
     assert [r.id for r in df.collect()] == ["a"]
     assert "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_copies_out_of_reach_are_left_out(spark):
+    """Of the eight cells around a point only those that may hold a partner on the sphere get a copy."""
+    pts = spark.range(4000).selectExpr("29.6 + rand(3) * 0.1 AS lat", "-82.3 + rand(4) * 0.1 AS lon", "id")
+    dims = spatial._axes(F.col("lat"), F.col("lon"), 200.0, [])
+    assert 4000 < spatial._cell_keys(pts, dims, probe=True, self_join=False).count() < 5 * 4000
