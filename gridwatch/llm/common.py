@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,36 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_gridwatch_llm_worker", types.ModuleType("_gridwatch_llm_worker")).__dict__
 
 
+def release() -> None:
+    """Give memory that is freed, but kept by the allocators, back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run`` for mapInArrow, releasing memory at its end: the Python worker lives on into later tasks and stages."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return wrapped
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """Arrow batches of so many rows for the jobs run inside the block: whole texts are held outside the heap, batch by batch, on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES):
     """Zero-copy slices of a batch with about ``limit`` bytes of text each (one row at least)."""
     n = batch.num_rows

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwatch.llm.common import as_bytes, slices, staged, worker_cache
+from gridwatch.llm.common import as_bytes, lean, slices, staged, worker_cache
 
 WINDOW = 10
 #: Normalised benchmark text in one automaton: about 8 M nodes at the most repetitive.
@@ -112,7 +112,7 @@ def normalised(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
                     [batch.column(0), pa.array([normalise(t) for t in as_bytes(batch.column(1))], pa.string())], names=["item", "normal"])
 
     return (benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "item string, normal string").filter("normal <> ''"))
+            .mapInArrow(lean(run), "item string, normal string").filter("normal <> ''"))
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str):
@@ -172,7 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def one(block, frame):
         key = hashlib.sha256(pickle.dumps(block)).hexdigest()
-        return frame.mapInArrow(scanner(spark.sparkContext.broadcast(block), key), schema(frame))
+        return frame.mapInArrow(lean(scanner(spark.sparkContext.broadcast(block), key)), schema(frame))
 
     blocks = item_blocks(benchmark, item_col, item_text_col)
     first, rest = next(blocks), next(blocks, None)
@@ -197,7 +197,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 [pa.array([merged_runs(x) for x in c.to_pylist()], pair) if name in ("runs", "spans") else c
                  for name, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
-    return keyed.join(merged.mapInArrow(run, kind), "__row").select("doc_id", "n_words", "runs", "spans", "items",
+    return keyed.join(merged.mapInArrow(lean(run), kind), "__row").select("doc_id", "n_words", "runs", "spans", "items",
                                                                     *(f"c{i}" for i in range(len(carry))))
 
 

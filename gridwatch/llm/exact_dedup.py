@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwatch.llm.common import slices, staged
+from gridwatch.llm.common import lean, slices, small_batches, staged
 from gridwatch.session import shared_path
 
 CHUNK_ROWS = 1 << 15
@@ -145,7 +145,7 @@ def exchange_table(docs: DataFrame, owners: int, text: str) -> DataFrame:
         ("__chunk", "long"), ("__place", "long"), ("__bit", "long"), ("__copied", "boolean"), ("__sha", "string"), ("__owner", "long"),
         ("__n", "long"), ("__k", "long"), ("__blob", "binary")))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema] + T.StructType.fromDDL(own).fields)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +178,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
     carried = [f"c{i}" for i in range(len(carry))]
     owners = max(16, docs.count() // OWNER_FINGERPRINTS + 1)
-    table = bucketed(exchange_table(source, owners, "__text"), "__chunk")
+    with small_batches(docs.sparkSession):
+        table = bucketed(exchange_table(source, owners, "__text"), "__chunk")
     marks = staged(table.filter(F.col("__owner").isNotNull()).select("__chunk", "__owner", "__n", "__k", "__blob")
              .groupBy("__owner").applyInPandas(answer, "__chunk long, __owner long, __marks binary")
              .groupBy("__chunk").agg(F.array_sort(F.collect_list(F.struct("__owner", "__marks"))).alias("__all"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwatch.llm.common import as_bytes, slices, staged, worker_cache
+from gridwatch.llm.common import as_bytes, lean, slices, staged, worker_cache
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -151,7 +151,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 uid += len(rows)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"uid long, doc_id {kind}, n long, f1 long, f2 long, bands array<bigint>, text_key long")
+    return docs.mapInArrow(lean(run), f"uid long, doc_id {kind}, n long, f1 long, f2 long, bands array<bigint>, text_key long")
 
 
 def bitmap(items: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = (docs.join(wanted.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
             .select("cls", "f1", "f2", "text"))
-    return rows.mapInArrow(run, "cls long, n long, bits array<bigint>, items array<bigint>")
+    return rows.mapInArrow(lean(run), "cls long, n long, bits array<bigint>, items array<bigint>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwatch.llm.common import slices, staged, worker_cache
+from gridwatch.llm.common import lean, slices, staged, worker_cache
 
 CAPACITY = 4096
 END_ID = 2
@@ -230,7 +230,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
                          F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(
-        run, f"doc_id {id_type}, start long, doc_tokens long, curve long, tie long, ids binary, width int")
+        lean(run), f"doc_id {id_type}, start long, doc_tokens long, curve long, tie long, ids binary, width int")
 
 
 class Packer:
@@ -302,7 +302,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     return (staged(source, "packing").withColumn("same", F.xxhash64("ids"))
             .repartitionByRange(*order).sortWithinPartitions(*order, "same")
             .select("doc_id", "start", "doc_tokens", "ids", "width")
-            .mapInArrow(run, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, "
+            .mapInArrow(lean(run), f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, "
                              "sequence_id long, offset long"))
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwatch.llm.common import bucket_of_id, slices
+from gridwatch.llm.common import bucket_of_id, lean, slices
 
 SIZES = (3, 4, 5, 6)
 MAX_LABELS = 12_000
@@ -133,7 +133,7 @@ def counted(batches):
 
 def class_counts(sample: DataFrame) -> DataFrame:
     """(gram, n0, n1): texts of each class with the n-gram; summed per task before the shuffle."""
-    return (sample.select("text", "label").mapInArrow(counted, "gram long, n0 long, n1 long")
+    return (sample.select("text", "label").mapInArrow(lean(counted), "gram long, n0 long, n1 long")
             .groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labels:
                     [batch.column(1), pa.array([c[a:b].astype("<u2").tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())],
                     names=["label", "features"])
 
-    data = sample.mapInArrow(run, "label int, features binary").toPandas()
+    data = sample.mapInArrow(lean(run), "label int, features binary").toPandas()
     features = [np.frombuffer(f, "<u2") for f in data["features"]]
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     columns = np.concatenate(features).astype(np.int64)
@@ -254,7 +254,7 @@ def with_score(docs: DataFrame, model: dict, text_col: str = "text", name: str =
                     [*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*batch.schema.names, name])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

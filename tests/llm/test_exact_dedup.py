@@ -63,3 +63,28 @@ def test_documents_with_carried_columns(spark):
     got = E.exact_dedup(df, carry=("text", "source")).collect()
     texts = {r.doc_id: (r.text, r.source) for r in df.collect()}
     assert all(texts[r.doc_id] == (r.c0, r.c1) for r in got)
+
+
+def test_worker_memory_is_given_back(monkeypatch):
+    """A task releases what its allocators hold when its input ends, and when its reader stops early."""
+    from gridwatch.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    task = common.lean(lambda batches: (2 * b for b in batches))
+    assert list(task(iter([1, 2, 3]))) == [2, 4, 6] and len(calls) == 1
+    begun = task(iter([1, 2, 3]))
+    next(begun)
+    begun.close()
+    assert len(calls) == 2
+
+
+def test_exchange_reads_small_batches(spark, monkeypatch):
+    """Whole texts reach the exchange in small Arrow batches; the caller's setting is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old, seen = spark.conf.get(key), []
+    made = E.bucketed
+    monkeypatch.setattr(E, "bucketed", lambda *a: (seen.append(int(spark.conf.get(key))), made(*a))[1])
+    rows = E.exact_dedup(spark.createDataFrame([(1, "A"), (2, "a"), (3, None)], "doc_id long, text string"))
+    assert {(r.doc_id, r.keep_id, r.kept) for r in rows.collect()} == {(1, 2, False), (2, 2, True), (3, 3, True)}
+    assert seen == [1024] and spark.conf.get(key) == old
