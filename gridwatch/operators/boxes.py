@@ -10,16 +10,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwatch.functions.geo import EARTH_RADIUS_M, haversine_m
 from gridwatch.operators.proximity import DAY_US, epoch_us
-from gridwatch.operators.spatial import proximity_join
+from gridwatch.operators.spatial import proximity_join, tiles
 from gridwatch.session import materialised
 
 AXES = ("x", "y", "z")
 KEYS = ["c_x", "c_y", "c_z", "c_t"]
+#: Squares of a tile in ``near_counts`` along the radius.
+SQUARES = 8
 BOX = [f"{m}_{a}" for a in (*AXES, "t") for m in ("min", "max")]
 
 
@@ -98,31 +102,79 @@ def rim_test(radius_m: float, days: float) -> Column:
         haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) < radius_m)
 
 
-def near_counts(fact: DataFrame, radius_m: float, days: float, parts: int = 2) -> DataFrame:
-    """(id, near_incidents): how many incidents are NEAR each, without listing the pairs.
+def tile_counts(radius_m: float, days: float):
+    """For ``applyInArrow``: (id, near_incidents) of a tile's own incidents, from all incidents in reach of the tile.
 
-    A cell's own incidents and those of cells wholly inside count by cell; only incidents at the rim are compared.
-    Incidents without a neighbour have no row.
+    The tile's places are taken by small squares.  Other places lie wholly in reach of a square, out of reach, or at
+    its rim; only rim places are measured, once for each place of the square.  What is in reach is then counted by its sorted
+    times.  So the work follows incidents and places, not the pairs of incidents.
     """
-    base = materialised(points(fact, radius_m, days, parts), "points")
-    found = materialised(cells(base), "cells")
-    pairs = materialised(cell_pairs(found, radius_m, days), "cell_pairs")
-    marked = base.join(found.select(*KEYS, "node", "n"), KEYS).drop(*KEYS)
-
-    whole = pairs.filter("inside")
-    by_cell = (whole.select(F.col("a_node").alias("node"), F.col("b_n").alias("n")).unionByName(whole.select(F.col("b_node").alias("node"), F.col("a_n").alias("n")))
-               .groupBy("node").agg(F.sum("n").alias("of_cells")).withColumnRenamed("node", "w_node"))
-    sides = [rim_points(pairs, marked, side, radius_m, days, ("id",)) for side in "ab"]
-    met = sides[0].join(sides[1], ["a_node", "b_node"]).filter(rim_test(radius_m, days))
-    at_rim = met.select(F.explode(F.array("a_id", "b_id")).alias("r_id")).groupBy("r_id").agg(F.count(F.lit(1)).alias("of_rim"))
-    total = F.col("n") - 1 + F.coalesce("of_cells", F.lit(0)) + F.coalesce("of_rim", F.lit(0))
-    return (marked.select("id", "node", "n").join(by_cell, F.col("node") == F.col("w_node"), "left")
-            .join(at_rim, F.col("id") == F.col("r_id"), "left")
-            .select("id", total.alias("near_incidents")).filter("near_incidents > 0"))
+    limit, reach, side = chord(radius_m) ** 2, math.floor(days * DAY_US), chord(radius_m) / SQUARES
+
+    def between(times: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(times, at + reach, "right") - np.searchsorted(times, at - reach, "left")
+
+    def run(tile: pa.Table) -> pa.Table:
+        own = tile.column("own").to_numpy()
+        if not own.any():
+            return pa.table({"id": tile.column("id").slice(0, 0), "near_incidents": pa.array([], pa.int64())})
+        t = tile.column("t_us").to_numpy()
+        spots, of = np.unique(tile.column("lat").to_numpy() + 1j * tile.column("lon").to_numpy(), return_inverse=True)
+        phi, lam = np.radians(spots.real), np.radians(spots.imag)
+        cphi = np.cos(phi)
+        xyz = np.stack([cphi * np.cos(lam), cphi * np.sin(lam), np.sin(phi)])
+        by_time = np.argsort(t, kind="stable")
+        times, place = t[by_time], of[by_time]
+
+        # Own incidents by square and place.
+        square = np.floor(xyz / side).astype(np.int64)
+        rows = np.flatnonzero(own)
+        rows = rows[np.lexsort((of[rows], *square[:, of[rows]]))]
+        at, when = of[rows], t[rows]
+        counts = np.empty(len(rows), np.int64)
+        new_place = np.flatnonzero(np.diff(at, prepend=-1))
+        new_square = new_place[np.concatenate([[True], (np.diff(square[:, at[new_place]]) != 0).any(axis=0)])]
+        ends = dict(zip(new_place, [*new_place[1:], len(rows)], strict=True))
+        for first, last in zip(new_square, [*new_square[1:], len(rows)], strict=True):
+            firsts = new_place[np.searchsorted(new_place, first):np.searchsorted(new_place, last)]
+            mine = xyz[:, at[firsts]]
+            low, high = mine.min(axis=1)[:, None], mine.max(axis=1)[:, None]
+            whole = (np.maximum(np.abs(xyz - low), np.abs(high - xyz)) ** 2).sum(axis=0) < limit * (1 - 1e-9)
+            rim = ~whole & ((np.maximum(0.0, np.maximum(low - xyz, xyz - high)) ** 2).sum(axis=0) <= limit * (1 + 1e-9))
+            # The incident itself lies in its square, which is wholly in reach.
+            counts[first:last] = between(times[whole[place]], when[first:last]) - 1
+            if not rim.any():
+                continue
+            rim_rows, rim_places, met = np.flatnonzero(rim[place]), np.flatnonzero(rim), np.zeros(len(spots), bool)
+            rim_times, rim_place = times[rim_rows], place[rim_rows]
+            for f in firsts:
+                p = at[f]
+                a = (np.sin(np.radians(spots.real[rim_places] - spots.real[p]) / 2) ** 2
+                     + cphi[p] * cphi[rim_places] * np.sin(np.radians(spots.imag[rim_places] - spots.imag[p]) / 2) ** 2)
+                met[rim_places] = 2.0 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, a))) < radius_m
+                counts[f:ends[f]] += between(rim_times[met[rim_place]], when[f:ends[f]])
+        found = counts > 0
+        return pa.table({"id": tile.column("id").take(pa.array(rows[found])), "near_incidents": pa.array(counts[found])})
+
+    return run
+
+
+def near_counts(fact: DataFrame, radius_m: float, days: float) -> DataFrame:
+    """(id, near_incidents): how many incidents are NEAR each, without listing or comparing the pairs.
+
+    Incidents are dealt to space-time tiles, twice the radius and the time reach wide, and copied to the tiles in their reach;
+    ``tile_counts`` counts each tile.  Incidents without a neighbour have no row.
+    """
+    base = (fact.filter(F.col("offense_date").isNotNull())
+            .select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), epoch_us(F.col("offense_date")).alias("t_us")))
+    dealt = tiles(base, radius_m, [("t_us", float(days) * DAY_US)])
+    return (dealt.select(*(f"k_{i}" for i in range(4)), F.when(F.col("own"), F.col("id")).alias("id"), "lat", "lon", "t_us", "own")
+            .groupBy(*(f"k_{i}" for i in range(4)))
+            .applyInArrow(tile_counts(radius_m, days), f"id {fact.schema['id'].dataType.simpleString()}, near_incidents long"))
 
 
 def candidate_rows(fact: DataFrame, radius_m: float, days: float, parts: int = 2) -> dict[str, int]:
-    """What ``near_counts`` looks at: cells, cell pairs by kind and point comparisons (for reports)."""
+    """What a count by pairs of cells looks at: cells, cell pairs by kind and point comparisons (for reports)."""
     base = materialised(points(fact, radius_m, days, parts), "points")
     found = materialised(cells(base), "cells")
     pairs = materialised(cell_pairs(found, radius_m, days), "cell_pairs")

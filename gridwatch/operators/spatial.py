@@ -168,6 +168,31 @@ def proximity_join(probe: DataFrame, build: DataFrame, radius_m: float,
             .drop("p_k", "b_k", *trig))
 
 
+def tiles(df: DataFrame, radius_m: float, extra: list[tuple[str, float]], lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Each point in the tile it lies in (``own``) and copied to the neighbour tiles it may reach; ``k_<i>``: the tile's keys.
+
+    All points closer than ``radius_m`` (and within each extra reach) to a tile's own points are in the tile.  Tiles and
+    copies are those of ``proximity_join``; coordinates are columns of their own, so each is computed once per point.
+    """
+    dims = _axes(F.col(lat), F.col(lon), radius_m, [Axis(n, F.col(n), reach) for n, reach in extra])
+    n, sizes = len(dims), [2.0 * reach for _, reach in dims]
+    out = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns({f"_u{i}": c / F.lit(2.0 * r) for i, (c, r) in enumerate(dims)})
+    out = out.withColumns({f"_h{i}": F.floor(f"_u{i}").cast("long") for i in range(n)})
+    out = out.withColumns({f"_f{i}": F.col(f"_u{i}") - F.col(f"_h{i}") for i in range(n)})
+    out = out.select(*df.columns, *(f"_h{i}" for i in range(n)), *(F.when(F.col(f"_f{i}") < 0.5, -1).otherwise(1).alias(f"_o{i}") for i in range(n)),
+                     *(F.pow(F.least(F.col(f"_f{i}"), 1.0 - F.col(f"_f{i}")), F.lit(2.0)).alias(f"_g{i}") for i in range(3)))
+    moves = F.array(*(F.struct(*(F.lit(m >> i & 1).alias(f"m{i}") for i in range(n))) for m in range(1 << n)))
+    out = out.withColumn("_m", F.explode(moves)).select("*", "_m.*").filter("_g0 * m0 + _g1 * m1 + _g2 * m2 <= 0.25")
+    keys = {f"k_{i}": F.col(f"_h{i}") + F.col(f"_o{i}") * F.col(f"m{i}") for i in range(n)}
+    # Points lie on the unit sphere, so tiles apart from it have no points of their own.
+    middle = [F.abs((k + 0.5) * F.lit(size)) for k, size in zip(list(keys.values())[:3], sizes, strict=False)]
+    inner = sum((F.pow(F.greatest(F.lit(0.0), c - F.lit(size / 2)), F.lit(2.0)) for c, size in zip(middle, sizes, strict=False)), F.lit(0.0))
+    outer = sum((F.pow(c + F.lit(size / 2), F.lit(2.0)) for c, size in zip(middle, sizes, strict=False)), F.lit(0.0))
+    stays = F.expr(" + ".join(f"m{i}" for i in range(n)) + " = 0")
+    return (out.filter((inner <= 1.0 + 1e-9) & (outer >= 1.0 - 1e-9))
+            .select(*df.columns, stays.alias("own"), *(k.alias(name) for name, k in keys.items())))
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """``df`` as a side of a join in which no side is broadcast."""
     return df.hint("merge")

@@ -114,3 +114,24 @@ def test_near_counts_without_pairs(spark, lat, lon):
     assert {r.id: r.near_incidents for r in boxes.near_counts(df, 400.0, 3).collect()} == {i: n for i, n in want.items() if n}
     seen = boxes.candidate_rows(df, 400.0, 3)
     assert seen["inside"] > 0 and seen["compared"] < sum(want.values())
+
+
+def test_near_counts_of_crowded_places(spark):
+    """Many incidents at few places, half of them at each other's rim: counted by place and time, not pair by pair (3.6 billion)."""
+    import bisect
+
+    from gridwatch.operators import boxes
+
+    steps, n = [0.0, 0.0004, 0.0039, 0.0041, 0.0043], 60_000
+    rows = spark.range(n).select(
+        F.col("id").cast("string").alias("id"), F.lit(29.0).alias("latitude"),
+        F.element_at(F.array(*(F.lit(-82.0 + s) for s in steps)), (F.col("id") % 5 + 1).cast("int")).alias("longitude"),
+        (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id").cast("decimal(18,6)") * 30)).alias("offense_date"))
+    near = [[j for j in range(5) if metres((0, 29.0, -82.0 + steps[i]), (0, 29.0, -82.0 + steps[j])) < 400.0] for i in range(5)]
+    at = [list(range(i, n, 5)) for i in range(5)]
+    reach = 3 * 86_400 // 30
+    want = {str(i): sum(bisect.bisect_right(at[j], i + reach) - bisect.bisect_left(at[j], i - reach) for j in near[i % 5]) - 1 for i in range(n)}
+    assert any(len(x) < 5 for x in near)
+    plan = boxes.near_counts(rows, 400.0, 3)
+    assert {r.id: r.near_incidents for r in plan.collect()} == want
+    assert "Join" not in plan._jdf.queryExecution().toString()
