@@ -52,6 +52,19 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 PLAIN_WORD = re.compile("[\x00-ɏ]+")
 
 
+def plain_split(pattern: str):
+    """findall() of a pattern on lower-cased plain words, by the faster ``re`` where its classes name only letters and numbers."""
+    import regex
+
+    chars = sorted({x for c in range(0x250) for x in chr(c) + chr(c).lower()})  # some lower-case letters lie beyond
+    classes = {rf"\p{{{kind}}}": "".join(re.escape(x) for x in chars if regex.match(rf"\p{{{kind}}}", x)) for kind in "LN"}
+    if "\\p" in re.sub(r"\[[^\[\]]*\]", "", pattern):
+        return regex.compile(pattern).findall
+    for name, members in classes.items():
+        pattern = pattern.replace(name, members)
+    return regex.compile(pattern).findall if "\\p" in pattern else re.compile(pattern).findall
+
+
 class WordTokenizer:
     """Token ids of whole texts, through a cache of words.
 
@@ -62,7 +75,6 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -80,12 +92,13 @@ class WordTokenizer:
             and not before[1].get("add_prefix_space") and not before[1].get("use_regex", True)
             and spec.get("post_processor") is None and spec["model"]["type"] == "BPE")
         if self.by_word:
-            self.split = regex.compile(before[0]["pattern"]["Regex"])
+            self.split = plain_split(before[0]["pattern"]["Regex"])
             self.model = self.full.model
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             hidden = [b for b in range(256) if b not in set(shown)]
             self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.packed = [self.pack([i]) for i in range(self.full.get_vocab_size())]
         # Two generations: when the younger is full, it becomes the older one.
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -96,11 +109,14 @@ class WordTokenizer:
 
     def part(self, part: str) -> bytes:
         """Ids of one part that the tokenizer's own pattern splits off, in lower case."""
-        ids = self.words.get(part) or self.older.get(part)
+        ids = self.words.get(part)
         if ids is None:
-            shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.pack([t.id for t in self.model.tokenize(shown)])
-        self.keep(part, ids)
+            ids = self.older.get(part)
+            if ids is None:
+                shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.alphabet)
+                one = self.packed
+                ids = b"".join([one[t.id] for t in self.model.tokenize(shown)])
+            self.keep(part, ids)
         return ids
 
     def word(self, word: str) -> bytes:
@@ -110,7 +126,7 @@ class WordTokenizer:
             if word[:-1].isalpha():
                 return self.part(word[:-1].lower()) + self.part(word[-1])
         if len(word) <= 256 and PLAIN_WORD.fullmatch(word):
-            return b"".join([self.part(p) for p in self.split.findall(word.lower())])
+            return b"".join(map(self.part, self.split(word.lower())))
         return self.pack(self.full.encode(word, add_special_tokens=False).ids)
 
     def keep(self, word: str, ids: bytes) -> None:
@@ -122,17 +138,19 @@ class WordTokenizer:
         """Ids as little-endian bytes of ``dtype``."""
         if not self.by_word or ODD_SPACE.search(text) or (self.added and self.added.search(text)):
             return self.pack(self.full.encode(text, add_special_tokens=False).ids)
-        words, at = text.split(), 0
+        # Words that differ in case only share an entry; beyond ASCII lower-casing is left to each word.
+        words = (text.lower() if text.isascii() else text).split()
         if self.held > CACHE_BYTES:
             self.older, self.words, self.held = self.words, {}, 0
-        known = self.words.get
+        known, older = self.words.get, self.older.get
         out = list(map(known, words))
-        for _ in range(out.count(None)):
-            at = out.index(None, at)
+        for at in [i for i, ids in enumerate(out) if ids is None]:
             word = words[at]
             ids = known(word)
             if ids is None:
-                ids = self.older.get(word) or self.word(word)
+                ids = older(word)
+                if ids is None:
+                    ids = self.word(word)
                 self.keep(word, ids)
             out[at] = ids
         return b"".join(out)
@@ -182,9 +200,12 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def curve_position(vectors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """Hilbert keys of hashed document vectors."""
-    vectors = np.sign(vectors) * np.sqrt(np.abs(vectors))
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    y = (vectors / np.maximum(norm, 1e-12)) @ matrix
+    y = np.empty((len(vectors), matrix.shape[1]))
+    for a in range(0, len(vectors), 64):  # few enough to stay in the processor's cache
+        some = vectors[a:a + 64]
+        some = np.copysign(np.sqrt(np.abs(some)), some)
+        some /= np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-12)
+        y[a:a + 64] = some @ matrix
     cells = np.floor((1 << BITS) / (1 + np.exp(-1.702 * y))).astype(np.int64)
     return hilbert_key(np.clip(cells, 0, (1 << BITS) - 1), BITS)
 

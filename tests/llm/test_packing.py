@@ -47,6 +47,35 @@ def test_word_cache_is_bounded(monkeypatch):
         assert len(t.words) + len(t.older) < 2 * (20_000 // packing.ENTRY + 200)
 
 
+def test_plain_words_are_split_as_by_the_pattern(full):
+    """The faster split finds the parts that the tokenizer's own pattern finds, for every plain character and pair of kinds."""
+    import json
+
+    import regex
+
+    with open(PATH, encoding="utf-8") as f:
+        pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    fast, slow = packing.plain_split(pattern), regex.compile(pattern)
+    assert not isinstance(getattr(fast, "__self__", None), type(slow))
+    chars = [chr(c) for c in range(0x250) if not 0x1c <= c <= 0x1f]
+    for c in chars:
+        for word in (c, f"a{c}", f"{c}1", f"-{c}é", f"{c}'s{c}", f"'{c}LL"):
+            assert fast(word.lower()) == slow.findall(word.lower()), word
+    # A class of one kind only, outside brackets, stays with the library.
+    assert packing.plain_split(r"\p{L}+|x")("ab1é") == ["ab", "é"]
+    t = packing.WordTokenizer(PATH)
+    for text in ("Foo FOO foo, Foo.", "İstanbul ISTANBUL ſ ß", "".join(chars), " ".join(chars)):
+        assert np.frombuffer(t.text(text), t.dtype).tolist() == full.encode(text, add_special_tokens=False).ids, text
+    assert "foo" in t.words and "FOO" not in t.words
+
+
+def test_curve_position_in_blocks():
+    """A document's place on the curve doesn't depend on the documents it comes with."""
+    vectors, matrix = np.random.default_rng(3).integers(-4, 5, (150, packing.HASHED)).astype(float), packing.projection()
+    alone = np.concatenate([packing.curve_position(v[None], matrix) for v in vectors])
+    assert (packing.curve_position(vectors, matrix) == alone).all()
+
+
 def test_hilbert_curve_is_continuous():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
