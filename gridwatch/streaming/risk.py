@@ -6,7 +6,9 @@ state (in the JVM, RocksDB, partitioned by incident) holds the edges seen so far
 completes it.  No batch reads what is stored: it appends one signed row per (address, band) that it changed, and
 readers add the rows up.
 
-``incidents`` counts an incident once per (address, band): the same join with (incident, band) in place of (incident, hour).
+``incidents`` counts an incident once per (address, band).  It rides the same join: besides an edge per (incident, hour), which
+stands for a path, an incident has one per band, without an hour.  So one query reads and parses the feed once for each side of one join, and holds
+the edges to addresses once, for both measures.
 
 A retried batch overwrites its own rows.  The rows lie in a folder per checkpoint, and a reader adds up one of them: a
 run under another checkpoint, which reads the feed again, builds its own scores and doubles nothing.
@@ -22,36 +24,37 @@ from gridwatch.operators.risk import band_of_part
 from gridwatch.streaming.sinks import BATCH_COL, run_token
 
 KEYS = ["address", "band"]
+MEASURES = ["risk_score", "incidents"]
 
 
-def new_paths(g: DataFrame, per: str) -> DataFrame:
-    """(address, band, case_id, <per>) of each path, once; ``per`` is ``hour``, or ``band`` for an incident's first path in a band."""
+def new_paths(g: DataFrame) -> DataFrame:
+    """(address, band, measure): for ``risk_score`` each path, once; for ``incidents`` each incident's first path in a band."""
     band = band_of_part(F.col("part_of_day")).alias("band")
     at = g.select(F.col("id").alias("case_id"), F.col("location_key").alias("address")).dropDuplicates(["case_id", "address"])
-    during = g.select(F.col("id").alias("d_id"), "hour", band).filter(F.col("band").isNotNull()).dropDuplicates(["d_id", per])
-    return at.join(during, F.col("case_id") == F.col("d_id")).select(*KEYS)
+    per = F.explode(F.array("hour", F.lit(None).cast("int"))).alias("hour")  # no hour: the edge to the band
+    during = (g.select(F.col("id").alias("d_id"), "hour", band).filter(F.col("band").isNotNull())
+              .select("d_id", "band", per).dropDuplicates(["d_id", "band", "hour"]))
+    measure = F.when(F.col("hour").isNull(), "incidents").otherwise("risk_score").alias("measure")
+    return at.join(during, F.col("case_id") == F.col("d_id")).select(*KEYS, measure)
 
 
 class DeltaSink:
-    """``foreachBatch`` storing how much a batch adds to one measure of each (address, band)."""
+    """``foreachBatch`` storing how much a batch adds to the measures of each (address, band)."""
 
-    def __init__(self, out: str, measure: str, run: str, checkpoint: str):
-        self.path, self.measure, self.key = f"{out.rstrip('/')}/run={run}/{measure}", measure, run_token(checkpoint)
+    def __init__(self, out: str, checkpoint: str):
+        self.key = run_token(checkpoint)
+        self.path = f"{out.rstrip('/')}/run={self.key}"
 
     def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
-        (batch_df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("delta"))
+        sums = [F.count_if(F.col("measure") == m).alias(m) for m in MEASURES]
+        (batch_df.groupBy(*KEYS).agg(*sums)
          .write.mode("overwrite").parquet(f"{self.path}/{BATCH_COL}={self.key}_{batch_id:012d}"))
 
 
 def read_risk(spark: SparkSession, out: str, checkpoint: str) -> DataFrame:
     """(address, band, risk_score, incidents) as of the last batch of the run under ``checkpoint``."""
-    base = f"{out.rstrip('/')}/run={run_token(checkpoint)}"
-    parts = [spark.read.parquet(f"{base}/{m}").select(
-        *KEYS, *(F.col("delta").alias(n) if n == m else F.lit(0).cast("long").alias(n) for n in ("risk_score", "incidents")))
-        for m in ("risk_score", "incidents")]
-    return (parts[0].unionByName(parts[1]).groupBy(*KEYS)
-            .agg(F.sum("risk_score").alias("risk_score"), F.sum("incidents").alias("incidents"))
-            .filter(F.col("risk_score") != 0))
+    stored = spark.read.parquet(f"{out.rstrip('/')}/run={run_token(checkpoint)}")
+    return stored.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES)).filter(F.col("risk_score") != 0)
 
 
 def run_risk_stream(spark: SparkSession, records: DataFrame, out: str, checkpoint: str, available_now: bool = True,
@@ -61,9 +64,7 @@ def run_risk_stream(spark: SparkSession, records: DataFrame, out: str, checkpoin
     from gridwatch.streaming.runner import start, stream_settings, wait
 
     g = graph.graph_input(clean.type_incidents(source.parsed(records)))
-    run = run_token(checkpoint)
     with stream_settings(spark, partitions, rocksdb=True):
-        queries = [start(new_paths(g, per), DeltaSink(out, measure, run, f"{checkpoint}/{measure}"), f"{checkpoint}/{measure}", available_now)
-                   for measure, per in (("risk_score", "hour"), ("incidents", "band"))]
-    wait(spark, queries, available_now)
+        query = start(new_paths(g), DeltaSink(out, checkpoint), checkpoint, available_now)
+    wait(spark, [query], available_now)
     return read_risk(spark, out, checkpoint)

@@ -229,6 +229,21 @@ def test_incremental_risk_equals_batch_after_every_batch(spark, scratch):
     assert _rows(stream_risk.read_risk(spark, out, f"{scratch}/ckpt").select(cols)) == _rows(want.select(cols))
 
 
+def test_risk_stream_reads_the_feed_in_one_query(spark, scratch, monkeypatch):
+    """Both measures come from one query: the feed is not read, and its edges are not held, once for each measure."""
+    from gridwatch.streaming import risk as stream_risk
+    from gridwatch.streaming import runner
+
+    started, start = [], runner.start
+    monkeypatch.setattr(runner, "start", lambda *a: started.append(start(*a)) or started[-1])
+    row = '{"id": "%s", "offense_date": "2024-01-05 10:00:00", "offense_hour_of_day": "%d", "address": "A"}'
+    feed = [(1, row % ("i", 23)), (2, row % ("i", 1)), (3, row % ("i", 23)), (4, row % ("j", 22)), (5, row % ("j", 9))]
+    source.land_records(spark.createDataFrame(feed, "seq long, value string"), f"{scratch}/landing", 1)
+    got = stream_risk.run_risk_stream(spark, source.file_stream(spark, f"{scratch}/landing"), f"{scratch}/risk", f"{scratch}/ckpt", partitions=1)
+    assert {(r.address, r.band, r.risk_score, r.incidents) for r in got.collect()} == {("A", "night", 3, 2), ("A", "day", 1, 1)}
+    assert len(started) == 1
+
+
 def _fact_rows(spark, rows):
     """Rows (seq, id, lat, lon, day of January) as a batch of the fact table."""
     from datetime import datetime
