@@ -17,6 +17,9 @@
    threshold, and these are compared on the full sets.  So no bucket is capped, no
    bucket's pairs are listed, and no link between components is lost.
 
+Texts and sets are moved for the classes that a step needs only: a bitmap of bounded size (``sieved``)
+drops most other rows where they are read, the join that follows is exact.
+
 All links inside a component need not be listed; components equal those of all links.
 
 Defined results: null, empty and blank texts have empty sets and are linked with
@@ -41,6 +44,10 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 #: Bits of a set's bitmap.
 BITS = 2048
+#: A shingle's row in the prefix join names so many of the shingles before it.
+BEFORE = 4
+#: The largest bitmap of wanted values: 2**SLOT_BITS bits (8 MB).
+SLOT_BITS = 26
 
 U64, U32 = np.uint64, np.uint32
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], U64)
@@ -161,6 +168,21 @@ def bitmap(items: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def sieved(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose value of a column is one of the wanted ones, and a few others: saves a join most of what it would shuffle.
+
+    A bitmap with 32 bits or more per wanted value, ``2**SLOT_BITS`` at most, is broadcast; with more
+    wanted values than that serves, more other rows stay.  ``wanted`` is read twice.
+    """
+    slots = 1 << min(SLOT_BITS, max(15, (32 * wanted.count()).bit_length()))
+    slot = F.xxhash64(column).bitwiseAND(F.lit(slots - 1)) + 1
+    maps = (wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("__bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__map")))
+    hit = F.expr("getbit(cast(conv(hex(substring(__map, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int), cast(__bit % 8 as int)) = 1")
+    return (rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).withColumn("__bit", F.bitmap_bit_position(slot))
+            .join(F.broadcast(maps), "__bucket").filter(hit).select(*rows.columns))
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, n, bits, items): the sets of the wanted classes (cls, doc_id, f1, f2), made anew from the texts."""
 
@@ -179,7 +201,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["cls", "n", "bits", "items"])
 
-    rows = (docs.join(wanted.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    rows = (sieved(docs, "doc_id", wanted).join(wanted.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
             .select("cls", "f1", "f2", "text"))
     return rows.mapInArrow(lean(run), "cls long, n long, bits array<bigint>, items array<bigint>")
 
@@ -195,8 +217,9 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, c: n + c)
     shared = F.least(F.col("n_a") - lacks("bits_a", "bits_b"), F.col("n_b") - lacks("bits_b", "bits_a"))
     enough = lambda c: (100 + PERCENT) * c >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    left = (pairs.join(small[0], F.col("a") == F.col("cls_a")).join(small[1], F.col("b") == F.col("cls_b"))
-            .filter(enough(shared)).select("a", "b", "n_a", "n_b"))
+    left = staged(pairs.join(small[0], F.col("a") == F.col("cls_a")).join(small[1], F.col("b") == F.col("cls_b"))
+                  .filter(enough(shared)).select("a", "b", "n_a", "n_b"), "left")
+    sets = sieved(sets.select("cls", "items"), "cls", left.select(F.explode(F.array("a", "b")).alias("cls")))
     a = sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
     b = sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
     return (left.join(a, "a").join(b, "b").filter(enough(F.size(F.array_intersect("items_a", "items_b"))))
@@ -253,19 +276,13 @@ def head_pairs(members: DataFrame) -> DataFrame:
             .select(F.least("cls", "most.head").alias("a"), F.greatest("cls", "most.head").alias("b")).distinct())
 
 
-def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (cls, label) with different labels that can reach the threshold.
-
-    Shingles are ordered from rare to common among the members' sets.  Let x be the smaller and y
-    the larger set of a pair that reaches the threshold.  Then they have at least
-    need = 75/175 (|x| + |y|) shingles in common, so one of the first |x| - 6/7 |x| + 1 of x is one of the
-    first |y| - 3/4 |y| + 1 of y, and after the first one that both have there is room for the rest.
-    A pair is made at that first common shingle only.
+def prefix_rows(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls, label, n, item, i, early, before): the shingles of the members (cls, label) that can be the first one of a pair (``prefix_pairs``).
 
-    Of the members with one shingle only those outside its most frequent component are paired
-    with all others, so a large component is never paired with itself.
+    i: the shingle's place in the set; early: it is early enough for the smaller set of a pair; before: the
+    ``BEFORE`` listed shingles before it.
     """
-    rows = sets.join(members, "cls").select("cls", "label", "n", F.explode("items").alias("item"))
+    rows = sieved(sets, "cls", members).join(members, "cls").select("cls", "label", "n", F.explode("items").alias("item"))
     often = (rows.groupBy("item").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high"))
              .filter("often > 1").select("item", "often", (F.col("low") != F.col("high")).alias("open")))
     order = (rows.join(often, "item", "left")
@@ -279,8 +296,29 @@ def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     compact = staged(order.withColumn("places", places).filter(F.size("places") > 0).select(
         "cls", "label", "n", short.alias("short"), F.transform("places", lambda x: x["item"]).alias("prefix"),
         F.transform("places", lambda x: x["i"]).alias("at")), "prefix")
-    prefix = (compact.select("cls", "label", "n", "short", "prefix", "at", F.posexplode("prefix").alias("k", "item"))
-              .withColumn("i", F.get("at", "k")).withColumn("early", F.col("i") < F.col("short")).drop("short", "at", "k"))
+    before = F.slice("prefix", F.greatest(F.col("k") - BEFORE + 1, F.lit(1)), F.least("k", F.lit(BEFORE)))
+    return (compact.select("cls", "label", "n", "short", "prefix", "at", F.posexplode("prefix").alias("k", "item"))
+            .withColumn("i", F.get("at", "k")).withColumn("early", F.col("i") < F.col("short"))
+            .withColumn("before", before).drop("short", "prefix", "at", "k"))
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (cls, label) with different labels that can reach the threshold.
+
+    Shingles are ordered from rare to common among the members' sets.  Let x be the smaller and y
+    the larger set of a pair that reaches the threshold.  Then they have at least
+    need = 75/175 (|x| + |y|) shingles in common, so one of the first |x| - 6/7 |x| + 1 of x is one of the
+    first |y| - 3/4 |y| + 1 of y, and after the first one that both have there is room for the rest.
+    A pair that qualifies at a later common shingle does so at the first one too, as
+    there is less room behind the later one.  So each common shingle may make the pair, once it is made distinct, and rows
+    need not carry whole prefixes (their bytes would grow with the square of a prefix): the last
+    ``BEFORE`` shingles before each one spare most repeats, since a shingle common to both lists shows that
+    this one is not the first.
+
+    Of the members with one shingle only those outside its most frequent component are paired
+    with all others, so a large component is never paired with itself.
+    """
+    prefix = prefix_rows(members, sets)
     most = (prefix.groupBy("item", "label").agg(F.count("*").alias("times"))
             .groupBy("item").agg(F.max(F.struct("times", "label")).alias("most")).select("item", F.col("most.label").alias("major")))
     named = prefix.join(most, "item")
@@ -293,7 +331,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
             .filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
             .filter(F.when(smaller, F.col("early_a")).otherwise(F.col("early_b")))
             .filter(F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= need)
-            .filter(F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("item"))
+            .filter(~F.arrays_overlap("before_a", "before_b"))
             .select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct())
 
 
@@ -312,13 +350,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ids = rows.select(F.col("uid").alias("cls"), "doc_id", "f1", "f2")
     labels = staged(buckets.select("cls").distinct().withColumn("label", F.col("cls")), "labels")
-    sets = staged(full_sets(source, ids.join(labels.select("cls"), "cls")), "sets")
+    sets = staged(full_sets(source, staged(ids.join(labels.select("cls"), "cls"), "wanted")), "sets")
     labels = joined_up(labels, staged(linked(head_pairs(open_buckets(buckets, labels)), sets), "links"))
 
     still = staged(open_buckets(buckets, labels), "open")
     # Every member against its bucket's head settles the buckets of two.
     pairs = outside(still).select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
-    members = still.filter("size > 2").select("cls", "label").distinct()
+    members = staged(still.filter("size > 2").select("cls", "label").distinct(), "members")
     more = staged(pairs.unionByName(prefix_pairs(members, sets)).distinct(), "pairs")
     labels = joined_up(labels, staged(linked(more, sets), "links"))
 

@@ -105,6 +105,43 @@ def test_one_large_group(spark):
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_sieve_keeps_wanted_rows_and_few_others(spark):
+    rows = spark.range(40000).selectExpr("if(id = 0, null, id * id) as doc_id", "id as n")
+    wanted = rows.filter("n % 40 = 0").select("doc_id")
+    left = [r.n for r in N.sieved(rows, "doc_id", wanted).select("n").collect()]
+    assert set(range(0, 40000, 40)) <= set(left) and len(left) == len(set(left)) < 1000 + 0.06 * 39000
+    assert N.sieved(rows, "doc_id", wanted.limit(0)).count() == 0
+
+
+def test_a_full_sieve_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(N, "SLOT_BITS", 3)
+    rows = spark.range(2000).withColumnRenamed("id", "doc_id")
+    assert {r.doc_id for r in N.sieved(rows, "doc_id", rows.filter("doc_id % 3 = 0")).collect()} >= set(range(0, 2000, 3))
+    test_small_cases(spark)
+
+
+def test_prefix_join_lists_every_pair_in_narrow_rows(spark):
+    rng = random.Random(8)
+    sets = {}
+    for g in range(12):
+        base = rng.sample(range(10**9), 400)
+        for _ in range(5):
+            own = list(base)
+            for _ in range(rng.choice([0, 5, 30, 55, 120])):
+                own[rng.randrange(400)] = rng.randrange(10**9)
+            sets[len(sets)] = set(own)
+    labels = {c: c - c % rng.choice([1, 5]) for c in sets}
+    table = spark.createDataFrame([(c, len(x), [], sorted(x)) for c, x in sets.items()], "cls long, n long, bits array<long>, items array<long>")
+    members = spark.createDataFrame(list(labels.items()), "cls long, label long")
+    rows = N.prefix_rows(members, table)
+    arrays = [f.name for f in rows.schema if f.dataType.typeName() == "array"]
+    assert rows.count() > 2000 and max(len(r[c]) for r in rows.select(*arrays).collect() for c in arrays) == N.BEFORE
+    got = [tuple(r) for r in N.prefix_pairs(members, table).collect()]
+    want = {(a, b) for a in sets for b in sets if a < b and labels[a] != labels[b]
+            and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(got) == len(set(got)) and len(want) > 20 and want <= set(got)
+
+
 def test_empty_table(spark):
     assert N.near_dedup_query(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
