@@ -102,3 +102,49 @@ def test_copies_out_of_reach_are_left_out(spark):
     dims = spatial._axes(F.col("lat"), F.col("lon"), 200.0, [])
     copies = spatial._cell_keys(pts, dims, probe=True, self_join=False).count() / 4000
     assert 1 < copies < 6, copies
+
+
+def _generated(df):
+    """Sizes of the largest generated method of each stage of a plan."""
+    import re
+
+    spark = df.sparkSession
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+
+
+def test_no_generated_method_is_too_large_to_be_compiled(spark):
+    """The JVM interprets methods of more than 8,000 bytes: the copying of probes was one of 38,050."""
+    df = spark.createDataFrame([("a", 29.65, -82.32, 0, 1), ("b", 29.65, -82.32, 0, 2)], "id string, lat double, lon double, t long, n int")
+    for out in (spatial.self_proximity_join(df, "id", 500.0, extra=[("t", 1.0)], carry=["n"]),
+                spatial.proximity_join(df, df, 500.0, ["id"], ["id"], extra=[("t", 1.0)], large=True)):
+        sizes = _generated(out)
+        assert sizes and max(sizes) < 8000, sizes
+    assert [tuple(r) for r in spatial.self_proximity_join(df, "id", 500.0, extra=[("t", 1.0)], carry=["n"]).select("a_id", "a_n", "b_id", "b_n").collect()] \
+        == [("a", 1, "b", 2)]
+
+
+def test_round_mm_equals_round(spark):
+    from gridwatch.functions.geo import round_mm
+
+    rnd = random.Random(3)
+    values = [rnd.uniform(0, 500) for _ in range(3000)] + [n / 8000 for n in range(4000)] + [k / 1000 + 0.0005 for k in range(4000)]
+    values += [math.nextafter(k / 1000 + 0.0005, d) for k in range(0, 500_000, 331) for d in (0, 1e9)] + [rnd.uniform(0, 2e7) for _ in range(3000)] + [None, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "d double")
+    assert df.filter(~round_mm(F.col("d")).eqNullSafe(F.round("d", 3))).count() == 0
+
+
+def test_chord_decides_like_the_distance(spark):
+    """Pairs at the radius, a hair inside and outside, at all radii and places."""
+    for lat, radius in ((0.0, 0.001), (29.65, 0.5), (-60.0, 500.0), (89.9, 200.0), (10.0, 2e6)):
+        steps = [0.0, 0.5, 1 - 1e-5, 1 - 1e-7, 1 - 1e-9, 1 - 1e-13, 1.0, 1 + 1e-13, 1 + 1e-9, 1 + 1e-7, 1 + 1e-5, 1.5]
+        rows = [(n, *north_of(lat, 179.9999, -math.copysign(1, lat) * radius * s)) for n, s in enumerate(steps)]
+        p = spark.createDataFrame([(1, lat, 179.9999)], "pid int, lat double, lon double")
+        b = spark.createDataFrame(rows, "bid int, lat double, lon double")
+        got = {r.b_bid for r in spatial.proximity_join(p, b, radius, ["pid"], ["bid"]).collect()}
+        assert got == {n for n, la, lo in rows if hav(lat, 179.9999, la, lo) < radius}, (lat, radius)
