@@ -300,3 +300,43 @@ def test_near_batch_reads_only_days_and_cells_in_reach(spark, scratch):
     sink(_fact_rows(spark, [(3000, "n", 29.0001, -82.0, 14), edge[1]]), 1)
     got = _near_links(spark, scratch)
     assert ("w", "x") in got and {a for a, b in got if b == "n"} == {f"h{d}" for d in range(7, 22)}
+
+
+def test_near_links_are_stored_once_and_read_as_they_are(spark, scratch):
+    from gridwatch.streaming import near
+
+    sink = near.NearSink(scratch, "/ckpt/1", 500.0, 7)
+    rows = [(n, f"i{n}", 29.0 + n % 5 * 0.0001, -82.0, 1 + n % 4) for n in range(40)]
+    sink(_fact_rows(spark, rows[::2]), 0)
+    sink(_fact_rows(spark, rows[1::2]), 1)
+    assert spark.read.parquet(f"{scratch}/links").count() == 40 * 39 // 2  # all are in reach of each other
+
+    def shuffles():
+        return near.read_near(spark, scratch)._jdf.queryExecution().sparkPlan().toString().count("HashAggregate")
+
+    assert len(set(_near_links(spark, scratch))) == len(_near_links(spark, scratch)) == 40 * 39 // 2
+    assert shuffles() == 0
+    near.compact_near(spark, scratch, "f1")
+    assert len(set(_near_links(spark, scratch))) == len(_near_links(spark, scratch)) == 40 * 39 // 2 and shuffles() == 0
+
+
+def test_near_links_met_twice_are_read_once(spark, scratch):
+    """A batch meets versions of one that failed before its links; when that is tried again, both have their common links."""
+    from gridwatch.session import remove_path
+    from gridwatch.streaming import near
+    from gridwatch.streaming.sinks import run_token
+
+    one, two = _fact_rows(spark, [(1, "a", 29.0, -82.0, 5), (2, "b", 29.0, -82.0, 5)]), _fact_rows(spark, [(3, "c", 29.0, -82.0, 6)])
+    sink, other = near.NearSink(scratch, "/ckpt/1", 500.0, 7), near.NearSink(scratch, "/ckpt/2", 500.0, 7)
+    key = f"{run_token('/ckpt/1')}_{0:012d}"
+    sink(one, 0)
+    remove_path(spark, f"{scratch}/links/batch={key}")  # as if it had failed before
+    remove_path(spark, f"{scratch}/once/{key}")
+    other(two, 0)
+    sink(one, 0)
+    want = [("a", "b"), ("a", "c"), ("b", "c")]
+    assert spark.read.parquet(f"{scratch}/links").count() == 5 and _near_links(spark, scratch) == want
+    sink(one, 0)  # again, after its links were stored
+    assert _near_links(spark, scratch) == want
+    near.compact_near(spark, scratch, "f1")
+    assert spark.read.parquet(f"{scratch}/links").count() == 3 and _near_links(spark, scratch) == want
