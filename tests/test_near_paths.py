@@ -121,3 +121,11 @@ def test_edges_of_varied_incidents_are_counted_once(spark):
         assert {r.item: r.n for r in graph.graph_stats(g).collect()} == want
     finally:
         graph.FEW_ROWS = few
+
+
+def test_distances_are_rounded_before_incidents_are_listed(spark):
+    """One rounding per address and place, not one per incident and place."""
+    g, _, _, places = _inputs(spark)
+    paths = proximity.occurred_near_paths(g, places, 200.0)
+    above = _plan(paths.joined(paths.links)).split("Generate explode")[0]
+    assert "round(" not in above.lower() and "floor(" not in above.lower()
