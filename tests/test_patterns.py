@@ -83,3 +83,31 @@ def test_one_type_reads_its_partition_and_belongs_to_the_generation(spark, graph
     assert sorted(map(str, stored.collect())) == sorted(map(str, edges.collect()))
     near = stored.filter("edge_type = 'NEAR'")
     assert "PartitionFilters: [isnotnull(edge_type" in near._jdf.queryExecution().executedPlan().toString() and near.count() == 2
+
+
+def test_stored_edges_are_not_sorted_by_type(spark, scratch, monkeypatch):
+    """Only edges of unknown types go through the writer of several partitions, which sorts its rows; all are stored, old ones go."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from gridwatch.sources import tables
+
+    sorted_rows, plain = [], DataFrameWriter.partitionBy
+
+    def partition_by(writer, *columns):
+        sorted_rows.append(writer._df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(writer, *columns)
+
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", partition_by)
+    day = [datetime(2024, 1, 5, h) for h in (10, 11)]
+    fact = spark.createDataFrame([(f"i{n}", d, 10, "Friday") for n, d in enumerate(day)],
+                                 "id string, offense_date timestamp_ntz, offense_hour int, offense_day_of_week string")
+    near = spark.createDataFrame([("i0", "i1", 12.5)], "id_a string, id_b string, distance_m double")
+    high = spark.createDataFrame([("1:2", "theft", 0.75)], "grid_id string, incident_type string, risk_score double")
+    read = lambda: sorted(tuple(str(v) for v in r) for r in tables.read_patterns(spark, scratch).collect())
+    edges = patterns.pattern_edges(fact, near, high)
+    odd = spark.createDataFrame([("ODD", "a", "b", 1.0), (None, "c", "d", None)], "edge_type string, src string, dst string, weight double")
+    tables.write_patterns(edges.unionByName(odd), scratch)
+    assert len(read()) == 6 and ("ODD", "a", "b", "1.0") in read() and ("None", "c", "d", "None") in read()
+    tables.write_patterns(edges, scratch)
+    assert read() == sorted(tuple(str(v) for v in r) for r in edges.collect()) and len(read()) == 4
+    assert sorted_rows[-1].startswith("LocalRelation <empty>")
